@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import line_dedup, media, mixing, packing, simhash_dedup, suffix_dedup
+from quillspark.llm import line_dedup, media, mixing, packing, simhash_dedup, suffix_dedup, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit_chain(docs, read(spark, sf_dir, "labels"))
+    return toxicity.judge(docs, chain).drop("text")
+
+
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
 
@@ -35,5 +41,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_iso_media, op2_line_runs, op6_suffix_array, op7_mixture, op9_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_iso_media, op2_line_runs, op3_toxicity, op6_suffix_array, op7_mixture, op9_packing, op10_simhash)}
 ORACLES = {"op2_line_runs": line_dedup.LINES_SQL, "op7_mixture": mixing.MIX_SQL}
