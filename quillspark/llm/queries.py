@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import line_dedup, media, mixing, packing, simhash_dedup, suffix_dedup, toxicity
+from quillspark.llm import embedding_dedup, line_dedup, media, mixing, packing, simhash_dedup, suffix_dedup, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("source")
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_iso_media, op2_line_runs, op3_toxicity, op6_suffix_array, op7_mixture, op9_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_iso_media, op2_line_runs, op3_toxicity, op6_suffix_array, op7_mixture, op8_embeddings, op9_packing, op10_simhash)}
 ORACLES = {"op2_line_runs": line_dedup.LINES_SQL, "op7_mixture": mixing.MIX_SQL}

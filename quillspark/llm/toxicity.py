@@ -16,8 +16,8 @@ from quillspark.llm.common import materialize, null_safe
 
 #: Category: SQL over a labels row. Later categories see the probabilities of earlier ones.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_low_quality": "toxic = 1 AND quality = 0"}
-MAX_TRAINING_ROWS, MAX_TERMS, MAX_SELECTED, LEAST_CHI2, LEAST_ROWS = 4000, 30_000, 512, 15.0, 6
-FOLDS, PREFIXES, RIDGE, SEED = 3, (3, 4, 5, 6), 1.0, 5
+MAX_TRAINING_ROWS, MAX_TERMS, MAX_SELECTED, LEAST_CHI2, LEAST_ROWS = 8000, 12_000, 512, 25.0, 6
+FOLDS, PREFIXES, RIDGE, SEED = 3, (3, 4, 5, 6), 0.1, 5
 WORDS = re.compile(r"[^\W\d_]+")
 
 
