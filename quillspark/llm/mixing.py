@@ -77,6 +77,28 @@ def mix(
     return out.select(F.col("id").alias(key), "source", "size", "source_size", "target", (whole * F.col("size") + extra).alias("taken"))
 
 
+def take(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options: object) -> DataFrame:
+    """docs as the mixture takes them: each row repeated as often as it is taken whole, then its first words if in part.
+
+    Options go to mix(). Rows not taken, and those without words, do not come. Rows are told apart by key and text; equal
+    rows share what is taken from them, whichever of them it is. A part keeps the white space between its words.
+    """
+    name = F.concat_ws(":", F.col(f"`{key}`").cast("string"), F.xxhash64(f"`{text}`").cast("string"), F.xxhash64(F.lit(7), f"`{text}`").cast("string"))
+    named = docs.withColumn("_name", name)
+    mixed = mix(named.select("_name", source, text), text, source, "_name", **options).filter("taken > 0")
+    number = Window.partitionBy("_name")
+    mixed = materialize(mixed.select("_name", "size", "taken", F.row_number().over(number.orderBy(F.desc("taken"))).alias("_copy")), "mix-taken")
+    rows = named.withColumn("_copy", F.row_number().over(number.orderBy(F.lit(0)))).join(mixed, ["_name", "_copy"])
+    part = F.pmod(F.col("taken"), F.col("size")).cast("int")
+    words_kept = F.split(F.ltrim(F.lit(" \t\n\x0b\x0c\r"), F.col(f"`{text}`")), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    first = F.rtrim(F.lit(" \t\n\x0b\x0c\r"), F.array_join(F.slice(words_kept, 1, part), ""))
+    times = F.floor(F.col("taken") / F.col("size")).cast("int")
+    texts = F.concat(F.array_repeat(F.col(f"`{text}`"), times), F.when(part > 0, F.array(first)).otherwise(F.array().cast("array<string>")))
+    rest = [c for c in docs.columns if c != text]
+    out = rows.select(*(F.col(f"`{c}`") for c in rest), F.explode(texts).alias(text))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 MIX_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,

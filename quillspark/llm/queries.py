@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import embedding_dedup, html_extract, line_dedup, media, mixing, packing, simhash_dedup, suffix_dedup, toxicity
+from quillspark.llm import embedding_dedup, html_extract, line_dedup, media, mixing, packing, pii, simhash_dedup, suffix_dedup, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(read(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
 
@@ -49,5 +53,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_iso_media, op2_line_runs, op3_toxicity, op4_main_text, op6_suffix_array, op7_mixture, op8_embeddings, op9_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_iso_media, op2_line_runs, op3_toxicity, op4_main_text, op5_surrogates, op6_suffix_array, op7_mixture, op8_embeddings, op9_packing, op10_simhash)}
 ORACLES = {"op2_line_runs": line_dedup.LINES_SQL, "op7_mixture": mixing.MIX_SQL}
