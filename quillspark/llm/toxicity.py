@@ -16,7 +16,7 @@ from quillspark.llm.common import materialize, null_safe
 
 #: Category: SQL over a labels row. Later categories see the probabilities of earlier ones.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_low_quality": "toxic = 1 AND quality = 0"}
-MAX_TRAINING_ROWS, MAX_TERMS, MAX_SELECTED, LEAST_CHI2, LEAST_ROWS = 8000, 12_000, 512, 25.0, 6
+MAX_TRAINING_ROWS, MAX_TERMS, MAX_SELECTED, LEAST_CHI2, LEAST_ROWS = 6000, 20_000, 512, 25.0, 3
 FOLDS, PREFIXES, RIDGE, SEED = 3, (3, 4, 5, 6), 0.1, 5
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -165,10 +165,11 @@ def fit_chain(
     rows = sample.select("body", F.col("id").cast("long").alias("id"), "fold", *names).mapInArrow(encode, schema).toArrow()
     order = np.argsort(rows["id"].to_numpy(), kind="stable")
     x = np.zeros((len(order), len(vocabulary)), np.uint8)
+    place = np.argsort(order)
     for i, hit in enumerate(rows["terms"]):
-        x[i, hit.values.to_numpy()] = 1
+        x[place[i], hit.values.to_numpy()] = 1
     y = np.stack([rows[c].to_numpy() for c in names], axis=1)
-    return train(x[order], y[order], rows["fold"].to_numpy()[order], names, decide, vocabulary).trimmed()
+    return train(x, y[order], rows["fold"].to_numpy()[order], names, decide, vocabulary).trimmed()
 
 
 def judge(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
