@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import WORD, materialize, null_safe
 
 WEIGHTS, EPOCHS, SHARE, SEED, LANES = (5, 2, 1), 2, 1.5, 11, 1024
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def words(text: str) -> F.Column:
@@ -90,8 +91,8 @@ def take(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     mixed = materialize(mixed.select("_name", "size", "taken", F.row_number().over(number.orderBy(F.desc("taken"))).alias("_copy")), "mix-taken")
     rows = named.withColumn("_copy", F.row_number().over(number.orderBy(F.lit(0)))).join(mixed, ["_name", "_copy"])
     part = F.pmod(F.col("taken"), F.col("size")).cast("int")
-    words_kept = F.split(F.ltrim(F.lit(" \t\n\x0b\x0c\r"), F.col(f"`{text}`")), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    first = F.rtrim(F.lit(" \t\n\x0b\x0c\r"), F.array_join(F.slice(words_kept, 1, part), ""))
+    words_kept = F.split(F.ltrim(F.col(f"`{text}`"), F.lit(SPACES)), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    first = F.rtrim(F.array_join(F.slice(words_kept, 1, part), ""), F.lit(SPACES))
     times = F.floor(F.col("taken") / F.col("size")).cast("int")
     texts = F.concat(F.array_repeat(F.col(f"`{text}`"), times), F.when(part > 0, F.array(first)).otherwise(F.array().cast("array<string>")))
     rest = [c for c in docs.columns if c != text]
