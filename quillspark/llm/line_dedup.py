@@ -105,8 +105,9 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", min_w
     later = hits.filter(F.col("first") != F.struct("doc", "pos"))
     gone = later.select("doc", F.explode(F.sequence("pos", F.col("pos") + F.col("depth") - 1)).alias("pos"))
     gone = materialize(gone.groupBy("doc").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("doc", "_doc"), "ld-gone")
+    # what goes grows with the input, so it is never broadcast: the plan is the same at every size
     kept_columns = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.select(*kept_columns, row_name(text, key).alias("_row")).join(gone, F.col("_row") == F.col("_doc"), "left")
+    joined = docs.select(*kept_columns, row_name(text, key).alias("_row")).join(gone.hint("merge"), F.col("_row") == F.col("_doc"), "left")
     all_lines = lines(text)
     left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_gone"))
     kept = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
