@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from quillspark.queries import planning
+
+MODULES = (planning,)
 FLAGSHIP = "flagship_decisions"
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
