@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.queries import planning
+from quillspark.queries import planning, scalars
 
-MODULES = (planning,)
+MODULES = (planning, scalars)
 FLAGSHIP = "flagship_decisions"
 QUERIES: dict = {}
 ORACLES: dict = {}
