@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.queries import planning, scalars
+from quillspark.queries import planning, relational, scalars
 
-MODULES = (planning, scalars)
+MODULES = (planning, scalars, relational)
 FLAGSHIP = "flagship_decisions"
 QUERIES: dict = {}
 ORACLES: dict = {}
