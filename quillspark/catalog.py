@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.queries import planning, relational, scalars
+from quillspark.queries import aggregates, planning, relational, scalars, windows
 
-MODULES = (planning, scalars, relational)
+MODULES = (planning, scalars, relational, windows, aggregates)
 FLAGSHIP = "flagship_decisions"
 QUERIES: dict = {}
 ORACLES: dict = {}
