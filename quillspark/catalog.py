@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.queries import aggregates, planning, relational, scalars, windows
+from quillspark.queries import aggregates, planning, relational, scalars, state, texts, windows
 
-MODULES = (planning, scalars, relational, windows, aggregates)
+MODULES = (planning, scalars, relational, windows, aggregates, texts, state)
 FLAGSHIP = "flagship_decisions"
 QUERIES: dict = {}
 ORACLES: dict = {}
