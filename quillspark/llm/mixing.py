@@ -88,12 +88,12 @@ def take(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     named = docs.withColumn("_name", name)
     mixed = mix(named.select("_name", source, text), text, source, "_name", **options).filter("taken > 0")
     number = Window.partitionBy("_name")
-    mixed = materialize(mixed.select("_name", "size", "taken", F.row_number().over(number.orderBy(F.desc("taken"))).alias("_copy")), "mix-taken")
+    mixed = materialize(mixed.select("_name", F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.row_number().over(number.orderBy(F.desc("taken"))).alias("_copy")), "mix-taken")
     rows = named.withColumn("_copy", F.row_number().over(number.orderBy(F.lit(0)))).join(mixed, ["_name", "_copy"])
-    part = F.pmod(F.col("taken"), F.col("size")).cast("int")
+    part = F.pmod(F.col("_taken"), F.col("_size")).cast("int")
     words_kept = F.split(F.ltrim(F.col(f"`{text}`"), F.lit(SPACES)), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     first = F.rtrim(F.array_join(F.slice(words_kept, 1, part), ""), F.lit(SPACES))
-    times = F.floor(F.col("taken") / F.col("size")).cast("int")
+    times = F.floor(F.col("_taken") / F.col("_size")).cast("int")
     texts = F.concat(F.array_repeat(F.col(f"`{text}`"), times), F.when(part > 0, F.array(first)).otherwise(F.array().cast("array<string>")))
     rest = [c for c in docs.columns if c != text]
     out = rows.select(*(F.col(f"`{c}`") for c in rest), F.explode(texts).alias(text))
