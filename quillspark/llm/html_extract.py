@@ -7,10 +7,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, null_safe
+from quillspark.llm.common import null_safe, parts
 
 #: Elements whose content is never text of a page. Fixed values.
 SKIPPED = frozenset("script style template noscript head title iframe object svg math canvas select option textarea button audio video".split())
@@ -156,19 +156,23 @@ def common_lines(a: list[str], b: list[str]) -> list[bool]:
     return kept
 
 
-def main_text(page: str | None, partner: str | None) -> tuple[str, int, int]:
-    """(text, blocks, blocks deleted as shared with the partner).
+def pick(mine: list[tuple[str, int]], partner: list[tuple[str, int]] | None) -> tuple[str, int, int]:
+    """(text, blocks, blocks deleted as shared) of a page's blocks next to its partner's.
 
     Shared lines go, unless the page's article or main element holds them; where a page has such an element, only it is
     text. Furniture goes whether it is shared or not.
     """
-    mine = lines(page)
-    shared = common_lines([t for t, _ in mine], [t for t, _ in lines(partner)]) if partner is not None else [False] * len(mine)
+    shared = common_lines([t for t, _ in mine], [t for t, _ in partner]) if partner is not None else [False] * len(mine)
     declared = any(mark > 0 for _, mark in mine)
     kept = [t for (t, mark), s in zip(mine, shared) if mark > 0 or not declared and mark == 0 and not s]
     return " ".join(kept), len(mine), sum(s and mark <= 0 for (_, mark), s in zip(mine, shared))
 
 
+def main_text(page: str | None, partner: str | None) -> tuple[str, int, int]:
+    """pick() for raw pages."""
+    return pick(lines(page), lines(partner) if partner is not None else None)
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
@@ -182,36 +186,55 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", key: str = "
     """key, url, text, n_chars, n_blocks and n_shared of every page.
 
     Each page is compared with the page nearest by URL path within its host: the one before in path order, or the one
-    after for a host's first. Pairing moves no html: hosts and paths are sorted by range, so a host with a third of all
-    pages is spread over tasks, and each page then meets its partner in one join by row name. A host's only page has no
-    partner and goes by its landmarks. Null html is empty; null URLs are one host; repeated rows each get their text.
+    after for a host's first. A narrow pass orders (host, path, key) by range, so a host with a third of all pages is
+    spread out, and leaves the first and last key of each range: as many as there are partitions. Then the pages move
+    once, to their range, the last of each also to the next; each task walks its pages in order. A host's only page has
+    no partner and goes by its landmarks. Null html is empty; null URLs are one host; repeated rows each get their text.
     """
     rows = null_safe(pages, key, url, page).toDF("id", "url", "page")
-    rows = rows.withColumn("name", F.struct(F.xxhash64("id", "url").alias("a"), F.xxhash64("page").alias("b")))
-    places = rows.select("name", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).distinct()
-    order = ["host", "path", "name"]
-    placed = places.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    placed = materialize(placed.select("name", "host", F.shiftright("at", 33).alias("part"), "at"), "html-order")
-    following = placed.select((F.col("at") + 1).alias("at"), F.col("name").alias("other"), F.col("host").alias("host2"))
-    ends = placed.groupBy("part").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    ends = ends.withColumn("to", F.lead("first").over(Window.orderBy("part")))  # one row a partition
-    across = ends.filter("to is not null").join(placed, F.col("last") == placed["at"]).select(F.col("to").alias("at"), F.col("name").alias("other"), F.col("host").alias("host2"))
-    before = placed.join(following.unionAll(across), "at").filter("host = host2").select("name", "other")
-    pairs = before.withColumn("turn", F.lit(0)).unionAll(before.select(F.col("other").alias("name"), F.col("name").alias("other"), F.lit(1).alias("turn")))
-    pairs = pairs.groupBy("name").agg(F.min_by("other", "turn").alias("other"))
-    pairs = materialize(pairs, "html-pairs")
-    bodies = rows.groupBy("name").agg(F.first("page").alias("partner"))
-    partners = pairs.join(bodies.withColumnRenamed("name", "other"), "other").select("name", "partner")
-    joined = rows.join(partners, "name", "left").select("id", "url", "page", "partner")
+    place = F.struct(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"))
+    order = rows.select(place.alias("at")).repartitionByRange(parts(pages.sparkSession), "at").withColumn("part", F.spark_partition_id())
+    ends = order.groupBy("part").agg(F.min("at").alias("first"), F.max("at").alias("last")).orderBy("part").collect()
+    text = lambda r: F.struct(F.lit(r["host"]).alias("host"), F.lit(r["path"]).alias("path"), F.lit(r["id"]).alias("id"))
+    if ends:
+        firsts, lasts = F.array(*(text(r["first"]) for r in ends)), F.array(*(text(r["last"]) for r in ends))
+        part = F.size(F.filter(firsts, lambda f: f <= F.col("at")))
+        to = F.when(F.array_contains(lasts, F.col("at")), F.array(part, part + 1)).otherwise(F.array(part))
+    else:
+        part, to = F.lit(0), F.array(F.lit(0))
+    sent = rows.withColumn("at", place).withColumn("to", to).withColumn("own", part)
+    sent = sent.select("id", "url", "page", "at.host", F.col("at.path").alias("path"), F.explode("to").alias("to"), "own")
+    sent = sent.repartition(max(1, len(ends)), "to").sortWithinPartitions("to", "host", "path", F.col("id").cast("string"))
+    kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = now = None  # (range, host, blocks, output row or None)
+        out: list[tuple] = []
+
+        def settle(after: tuple | None) -> None:
+            if now is None or now[3] is None:
+                return
+            near = next((x[2] for x in (before, after) if x is not None and x[:2] == now[:2]), None)
+            out.append((*now[3], *pick(now[2], near)))
+
+        def flush() -> pa.RecordBatch:
+            ids, urls, texts, blocks, shared = zip(*out) if out else [()] * 5
+            columns = [pa.array(ids, id_type), pa.array(urls, pa.string()), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (map(len, texts), blocks, shared))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[key, url, "text", "n_chars", "n_blocks", "n_shared"])
+
+        id_type = pa.null()
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                found = [main_text(a.as_py(), b.as_py()) for a, b in zip(part.column(2), part.column(3))]
-                texts, blocks, shared = zip(*found)
-                columns = [pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (map(len, texts), blocks, shared))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=[key, url, "text", "n_chars", "n_blocks", "n_shared"])
-
-    kind = pages.schema[key].dataType.simpleString()
-    return joined.mapInArrow(run, f"`{key}` {kind}, `{url}` string, text string, n_chars long, n_blocks long, n_shared long")
+            id_type = batch.column(0).type
+            for i in range(batch.num_rows):
+                ident, link, body, host, to, own = (batch.column(c)[i].as_py() for c in (0, 1, 2, 3, 5, 6))
+                after = (to, host, lines(body), (ident, link) if to == own else None)
+                settle(after)
+                before, now = now, after
+                if len(out) >= 512:
+                    yield flush()
+        settle(None)
+        if out:
+            yield flush()
+
+    return sent.mapInArrow(run, f"`{key}` {kind}, `{url}` string, text string, n_chars long, n_blocks long, n_shared long")
