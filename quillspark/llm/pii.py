@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,7 @@ PATTERNS = {
 }
 ANY = EDGE + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: A document without any of these holds no entity; most are settled by this alone.
-HINT = r"[0-9@=:]|Mr|Ms|Miss|Mme|Monsieur|Madame|Herr|Frau|Señor|Sr|Господин|Госпожа"
+HINT = r"[0-9@=:MHFSГ](?:(?<=[0-9@=:])|(?<=M)(?:r|s|iss|me|onsieur|adame)|(?<=H)err|(?<=F)rau|(?<=S)(?:eñor|r)|(?<=Г)осп)"
 WOMEN = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа)"
 #: Given names by gender and script, and syllables that family names are made of.
 GIVEN = {
@@ -37,6 +38,11 @@ GIVEN = {
 SYLLABLES = {"latin": "ba den for gan hol kin lan mer nor pel ros sten tal ver wil zan".split(), "cyrillic": "ба вен дор гал зим кар лин мор нов пет рос сав тар фил хол шин".split()}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once; inside a lambda, each mention of an expression would compute it anew."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def kind_of(m: Column) -> Column:
     """Which pattern a match of ANY is."""
     return reduce(lambda other, k: F.when(m.rlike(f"^(?:{PATTERNS[k]})$"), k).otherwise(other), reversed(list(PATTERNS)[:-1]), F.lit("name"))
@@ -79,49 +85,56 @@ def letter(alphabet: str, n: Column) -> Column:
 def masked(s: Column, h: Column, hexadecimal: Column) -> Column:
     """s with each digit and letter replaced by one of its own class; other characters stay."""
 
-    def one(c: Column, i: Column) -> Column:
+    def one(c: Column, i: Column, form: Column) -> Column:
         return (
-            F.when(hexadecimal & s.rlike("[A-F]"), letter("0123456789ABCDEF", draw(h, i, 16)))
-            .when(hexadecimal, letter("0123456789abcdef", draw(h, i, 16)))
+            F.when(form == "upper", letter("0123456789ABCDEF", draw(h, i, 16)))
+            .when(form == "lower", letter("0123456789abcdef", draw(h, i, 16)))
             .when(c.rlike("[0-9]"), letter("0123456789", draw(h, i, 10)))
             .when(c.rlike("[a-z]"), letter("abcdefghijklmnopqrstuvwxyz", draw(h, i, 26)))
             .when(c.rlike("[A-Z]"), letter("ABCDEFGHIJKLMNOPQRSTUVWXYZ", draw(h, i, 26)))
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(s, ""), one), "")
+    form = F.when(hexadecimal & s.rlike("[A-F]"), "upper").when(hexadecimal, "lower").otherwise("mixed")
+    return let(form, lambda f: F.array_join(F.transform(F.split(s, ""), lambda c, i: one(c, i, f)), ""))
 
 
 def refill(m: Column, digits: Column) -> Column:
     """m with its digits replaced in turn by those of `digits`, so any writing of a number gets the same new number."""
     chars = F.split(m, "")
     nth = lambda i: F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), "[^0-9]", ""))
-    return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substr(digits, nth(i), F.lit(1))).otherwise(c)), "")
+    return let(digits, lambda d: F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substr(d, nth(i), F.lit(1))).otherwise(c)), ""))
 
 
-def luhn_sum(digits: Column) -> Column:
+def luhn_sum(number: Column) -> Column:
     """Luhn's sum of all digits, the last one counting once."""
-    n = F.length(digits)
 
-    def step(total: Column, i: Column) -> Column:
-        d = F.substr(digits, i.cast("int"), F.lit(1)).cast("int")
-        twice = F.pmod(n - i, F.lit(2)) == 1
-        return total + F.when(twice & (d > 4), d * 2 - 9).when(twice, d * 2).otherwise(d)
+    def of(digits: Column) -> Column:
+        n = F.length(digits)
+
+        def step(total: Column, i: Column) -> Column:
+            d = F.substr(digits, i.cast("int"), F.lit(1)).cast("int")
+            twice = F.pmod(n - i, F.lit(2)) == 1
+            return total + F.when(twice & (d > 4), d * 2 - 9).when(twice, d * 2).otherwise(d)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), step)
+        return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), step)
+
+    return let(number, of)
 
 
 def new_digits(kind: Column, canon: Column, h: Column) -> Column:
     """New digits for numbers: a phone's country code, a card's first digit and its Luhn check are kept in kind."""
-    plain = F.regexp_replace(canon, "[^0-9]", "")
-    mapped = masked(plain, h, F.lit(False))
-    country = F.when(canon.startswith("+1"), F.lit("1")).when(canon.startswith("+"), F.substr(plain, F.lit(1), F.lit(2))).otherwise(F.lit(""))
-    area = (draw(h, 59, 8) + 2).cast("string")
-    phone = F.concat(country, area, F.substr(mapped, F.length(country) + 2))
-    body = F.concat(F.substr(plain, F.lit(1), F.lit(1)), F.substr(mapped, F.lit(2), F.length(plain) - 2))
-    check = F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
-    card = F.when(F.pmod(luhn_sum(plain), F.lit(10)) == 0, F.concat(body, check)).otherwise(F.concat(body, F.substr(mapped, F.length(plain))))
-    return F.when(kind == "phone", phone).when(kind == "card", card).otherwise(mapped)
+
+    def of(plain: Column, mapped: Column) -> Column:
+        country = F.when(canon.startswith("+1"), F.lit("1")).when(canon.startswith("+"), F.substr(plain, F.lit(1), F.lit(2))).otherwise(F.lit(""))
+        area = (draw(h, 59, 8) + 2).cast("string")
+        phone = F.concat(country, area, F.substr(mapped, F.length(country) + 2))
+        body = F.concat(F.substr(plain, F.lit(1), F.lit(1)), F.substr(mapped, F.lit(2), F.length(plain) - 2))
+        check = F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
+        card = F.when(F.pmod(luhn_sum(plain), F.lit(10)) == 0, F.concat(body, check)).otherwise(F.concat(body, F.substr(mapped, F.length(plain))))
+        return F.when(kind == "phone", phone).when(kind == "card", card).otherwise(mapped)
+
+    return let(F.regexp_replace(canon, "[^0-9]", ""), lambda plain: let(masked(plain, h, F.lit(False)), lambda mapped: of(plain, mapped)))
 
 
 def new_name(rest: Column, woman: Column, h: Column, attempt: Column) -> Column:
@@ -137,23 +150,25 @@ def new_name(rest: Column, woman: Column, h: Column, attempt: Column) -> Column:
 
 def surrogate(m: Column, kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The replacement of a match, written as the match is."""
-    h = stream(kind, canon, attempt, key)
-    domain = F.regexp_extract(canon, "@(.*)\\.[a-z]+$", 1)
-    mail = F.concat(
-        masked(F.regexp_extract(canon, "^([^@]*)@", 1), h, F.lit(False)), F.lit("@"),
-        masked(domain, stream(F.lit("domain"), domain, F.lit(0), key), F.lit(False)), F.regexp_extract(canon, "(\\.[a-z]+)$", 1),
-    )
-    mail = F.when((m == F.upper(m)) & (m != F.lower(m)), F.upper(mail)).otherwise(mail)
-    octets = F.concat_ws(".", *((draw(h, 3 * i, 223 if i == 0 else 254) + 1).cast("string") for i in range(4)))
-    iban = F.concat(F.substr(canon, F.lit(1), F.lit(2)), masked(F.substr(canon, F.lit(3)), h, F.lit(False)))
-    iban = F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(iban, F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
-    label = F.substr(m, F.lit(1), F.length(m) - F.length(canon))
-    secret = F.concat(label, masked(canon, h, canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")))
-    title, rest = title_and_rest(m)
-    return (
-        F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "iban", iban).when(kind == "secret", secret)
-        .when(kind == "name", F.concat(title, new_name(rest, canon.startswith("f "), h, attempt))).otherwise(refill(m, new_digits(kind, canon, h)))
-    )
+
+    def of(h: Column) -> Column:
+        domain = F.regexp_extract(canon, "@(.*)\\.[a-z]+$", 1)
+        new_domain = let(domain, lambda d: let(stream(F.lit("domain"), d, F.lit(0), key), lambda s: masked(d, s, F.lit(False))))
+        mail = F.concat(masked(F.regexp_extract(canon, "^([^@]*)@", 1), h, F.lit(False)), F.lit("@"), new_domain, F.regexp_extract(canon, "(\\.[a-z]+)$", 1))
+        mail = let(mail, lambda x: F.when((m == F.upper(m)) & (m != F.lower(m)), F.upper(x)).otherwise(x))
+        octets = F.concat_ws(".", *((draw(h, 3 * i, 223 if i == 0 else 254) + 1).cast("string") for i in range(4)))
+        compact = F.concat(F.substr(canon, F.lit(1), F.lit(2)), masked(F.substr(canon, F.lit(3)), h, F.lit(False)))
+        place = lambda i: F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), " ", ""))
+        iban = let(compact, lambda x: F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(x, place(i), F.lit(1)))), ""))
+        label = F.substr(m, F.lit(1), F.length(m) - F.length(canon))
+        secret = F.concat(label, masked(canon, h, canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")))
+        title, rest = title_and_rest(m)
+        return (
+            F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "iban", iban).when(kind == "secret", secret)
+            .when(kind == "name", F.concat(title, new_name(rest, canon.startswith("f "), h, attempt))).otherwise(refill(m, new_digits(kind, canon, h)))
+        )
+
+    return let(stream(kind, canon, attempt, key), of)
 
 
 def found(text: Column) -> Column:
@@ -171,7 +186,7 @@ def clashes(docs: DataFrame, entities: DataFrame, key: str) -> DataFrame:
     """
     def given(e: DataFrame) -> DataFrame:
         said = surrogate(F.col("m"), F.col("kind"), F.col("canon"), F.col("attempt"), key)
-        return e.withColumn("said", canonical(said, F.col("kind")))
+        return e.withColumn("said", let(said, lambda s: canonical(s, F.col("kind"))))
 
     now = materialize(given(entities.withColumn("attempt", F.lit(0))), "pii-entities")
     for _ in range(ROUNDS):
