@@ -8,7 +8,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm import embedding_dedup, html_extract, media, mixing, packing, pii, simhash_dedup, suffix_dedup, toxicity
+import corpus_pipeline
+from quillspark.llm import embedding_dedup, html_extract, media, mixing, packing, pii, shingle_dedup, simhash_dedup, suffix_dedup, toxicity
 from quillspark.llm.common import connected_components
 
 
@@ -194,3 +195,47 @@ def test_projection_passes_recall(spark):
     near = (x @ x.T >= 0.93) & (lab[:, None] == lab[None]) & ~np.eye(len(x), dtype=bool)
     links = {r.vec_id: r.n_links for r in got}
     assert all(links[i] <= near[i].sum() for i in range(len(x))) and sum(links.values()) >= 0.9 * near.sum()
+
+
+@pytest.mark.parametrize("small", (32, 2))
+def test_shingle_components_are_those_of_all_pairs(spark, monkeypatch, small):
+    monkeypatch.setattr(shingle_dedup, "SMALL", small)
+    monkeypatch.setattr(shingle_dedup, "COMMON", 5)
+    random.seed(8)
+    texts = []
+    for g in range(12):
+        base = [f"w{random.randrange(40 if g % 3 == 0 else 4000)}" for _ in range(random.randrange(3, 200))]
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(random.randrange(1 + len(base) // 25)):
+                copy[random.randrange(len(copy))] = f"v{random.randrange(999)}"
+            texts.append(" ".join(copy))
+    texts += ["", " ", "a b", "A b", "one common line of words here " + texts[0]]
+    sets = [set(zip(*(w[i:] for i in range(min(5, len(w)))))) for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r.id: r.component_id for r in shingle_dedup.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_near_duplicate_stage_drops_edited_copies(spark):
+    words = [f"word{i * i % 997}x{i}" for i in range(300)]
+    rows = []
+    for k in range(6):
+        w = list(words)
+        if k:
+            w[40 * k], w[40 * k + 11] = f"new{k}", f"other{k}"
+        rows.append((k, " ".join(w), "en", "s", 1))
+    rows.append((9, " ".join(words[::-1]), "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [0, 9]
