@@ -40,8 +40,7 @@ def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.many_phrases(load(spark, sf_dir, "documents").select("doc_id", "text"), b, "text", "phrase").select("doc_id", "item_id").distinct()
 
 
-def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    d = load(spark, sf_dir, "documents").filter("length(text) < 8000").select("doc_id", "text")
+def _versions(d: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = F.split("text", "\n")
     edited = F.array_join(F.filter(lines, lambda line, i: (i + F.col("doc_id")) % 5 != 0), "\n")
     before = d.filter("doc_id % 6 <> 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(edited).alias("text"))
@@ -50,13 +49,13 @@ def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def version_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents were added, continued or changed, by source parity."""
-    before, after = _versions(spark, sf_dir)
+    before, after = _versions(load(spark, sf_dir, "documents").filter("length(text) < 8000").select("doc_id", "text"))
     c = diff.compare(before, after, "doc_id", "text").select("doc_id", "change").distinct()
     return c.groupBy((F.col("doc_id") % 2).alias("parity"), "change").agg(F.count("*").alias("n"))
 
 
 def version_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before, after = _versions(spark, sf_dir)
+    before, after = _versions(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return diff.compare(before, after, "doc_id", "text").filter("change = 'hunk'")
 
 

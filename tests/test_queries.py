@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from quillspark import catalog
+from quillspark.operators import diff
 from quillspark.session import TABLES
 
 DATA = "/root/testdata/sf0.001"
@@ -38,3 +39,14 @@ def test_every_document_has_one_decision(spark):
     d = catalog.QUERIES["flagship_decisions"](spark, DATA).toPandas()
     assert len(d) == spark.read.parquet(f"{DATA}/documents.parquet").count() and d.action.notna().all() and d.reason.notna().all()
     assert (d.groupby("run_id").output_chars.sum() <= 48_000).all()
+
+
+def test_version_hunks_take_long_documents(spark):
+    want = set()
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect():
+        if r.doc_id % 2 and r.doc_id % 6 and r.text is not None:
+            after = r.text.split("\n")
+            before = "\n".join(line for i, line in enumerate(after) if (i + r.doc_id) % 5).split("\n")
+            want |= {(r.doc_id, *h) for h in diff.hunks(before, after)}
+    got = catalog.QUERIES["version_hunks"](spark, DATA).collect()
+    assert {(r.doc_id, r.before_start, r.before_end, r.after_start, r.after_end) for r in got} == want and len(got) == len(want)
