@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +12,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; a temporary folder only where it is unset (tests)."""
+    """spark.checkpoint.dir as the cluster names it.
+
+    A local session without one gets a folder beside its warehouse. On a cluster executors could not read that, so there
+    it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="quillspark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -44,6 +50,18 @@ def discard(*tables: DataFrame | None) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def by_bytes(rows: list, sizes: list[int], most: int = 32 << 20) -> Iterator[list]:
+    """rows in order, in lists of at most so many bytes; a larger row is alone. Keeps Arrow batches far from 2 GiB."""
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most:
+            yield rows[start:i]
+            start, held = i, 0
+        held += size
+    if start < len(rows):
+        yield rows[start:]
+
+
 def null_safe(df: DataFrame, *columns: str) -> DataFrame:
     """Only the given columns, so that extra columns with clashing names can't interfere."""
     return df.select(*(F.col(f"`{c}`") for c in columns))

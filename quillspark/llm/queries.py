@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm import embedding_dedup, html_extract, line_dedup, media, mixing, packing, pii, simhash_dedup, suffix_dedup, toxicity
 
@@ -34,7 +35,9 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+    """The digests, and the text that is left; a character that a cut splits is U+FFFD in it."""
+    left = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return left.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

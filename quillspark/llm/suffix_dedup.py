@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, null_safe
+from quillspark.llm.common import by_bytes, discard, materialize, null_safe
 from quillspark.llm.line_dedup import row_name
 
 MATCH, GRAM, STEP, LARGEST, BUCKET = 400, 200, 8, 1024, 4000
@@ -172,15 +172,17 @@ def fetch(docs: DataFrame, wanted: DataFrame, text: str, match: int = MATCH) ->
     """The bytes of wanted segments; each text is met once by the list of its own segments."""
     lists = wanted.groupBy("k", "tie").agg(F.collect_list(F.struct("lo", "cnt", "at", "key", "alone", "crowded")).alias("all"))
     once = docs.select("name.k", "name.tie", F.col(f"`{text}`").alias("body")).join(lists, ["k", "tie"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 k, tie = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 raw = batch.column(2)[i].as_buffer().to_pybytes()
-                rows = [(k, tie, *s.values(), raw[s["lo"] : s["lo"] + s["cnt"] + match - 1]) for s in batch.column(3)[i].as_py()]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["k", "tie", "lo", "cnt", "at", "key", "alone", "crowded", "seg"])
+                wanted = batch.column(3)[i].as_py()
+                for some in by_bytes(wanted, [s["cnt"] + match for s in wanted]):
+                    rows = [(k, tie, *s.values(), raw[s["lo"] : s["lo"] + s["cnt"] + match - 1]) for s in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["k", "tie", "lo", "cnt", "at", "key", "alone", "crowded", "seg"])
 
     return once.mapInArrow(run, "k long, tie long, lo long, cnt int, at int, key long, alone boolean, crowded boolean, seg binary")
 
@@ -193,15 +195,29 @@ def runs_of(k: np.ndarray, tie: np.ndarray, start: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"k": k[head], "tie": tie[head], "lo": start[head], "cnt": np.diff(np.append(head, len(o)))})
 
 
+def neighbour_lcp(symbols: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Common prefix of each suffix in `order` with the next one, in symbols, counted up to `most`. The last symbol must be unique."""
+    a, b = order[:-1], order[1:]
+    lcp, alive = np.zeros(len(a), np.int64), np.arange(len(a))
+    for depth in range(most):
+        ahead = np.maximum(a[alive], b[alive]) + depth < len(symbols)
+        alive = alive[ahead]
+        alive = alive[symbols[a[alive] + depth] == symbols[b[alive] + depth]]
+        lcp[alive] = depth + 1
+    return lcp
+
+
 def repeated_starts(frame: pd.DataFrame, match: int = MATCH, step: int = STEP) -> pd.DataFrame:
     """Starts of the frame's lone segments whose window stands elsewhere in the frame too, as runs (k, tie, lo, cnt).
 
     Segments become rows of `step`-byte blocks that are aligned to the anchor, so equal windows around an anchor have
-    equal blocks. The suffix array of all block rows puts suffixes with the same match - step bytes side by side; the few
-    windows that begin in the block before such a suffix are then compared in full.
+    equal blocks; match is a multiple of step. In the suffix array of all block rows, an interval whose longest common
+    prefix has match / step - 1 blocks holds all suffixes with those bytes. A window is such a suffix, the bytes of the block
+    before it that are the window's, and those after its last whole block: `step` bytes together. Windows are equal if
+    and only if interval, place in the block and these bytes are, so the answer is exact.
     """
     segs, at = frame["seg"].tolist(), frame["at"].to_numpy() % step
-    blocks = [np.frombuffer(s, "<u8", (len(s) - a) // step, a) for s, a in zip(segs, at.tolist())]
+    blocks = [np.frombuffer(s, f"<u{step}", (len(s) - a) // step, a) for s, a in zip(segs, at.tolist())]
     lengths = np.array([len(b) for b in blocks])
     ends = np.cumsum(lengths + 1)
     begins = ends - lengths - 1
@@ -209,34 +225,37 @@ def repeated_starts(frame: pd.DataFrame, match: int = MATCH, step: int = STEP) -
     inner = np.ones(ends[-1], bool)
     inner[ends - 1] = False
     symbols = np.empty(ends[-1], np.int64)
-    symbols[~inner] = np.arange(len(segs))  # a separator of its own ends each segment
+    symbols[~inner] = np.arange(len(segs))  # a separator of its own ends each segment, so no common prefix crosses it
     symbols[inner] = np.unique(np.concatenate(blocks), return_inverse=True)[1] + len(segs)
     order = suffix_array(symbols)
     need = match // step - 1
-    head = np.zeros(len(symbols), np.uint64)
-    shared = gram_hashes(symbols, need)
-    head[: len(shared)] = shared
-    fits = np.arange(len(symbols)) + need <= (ends - 1)[owner]
-    a, b = order[:-1], order[1:]
-    near = fits[a] & fits[b] & (head[a] == head[b])
-    chosen = np.zeros(len(symbols), bool)
-    chosen[a[near]] = chosen[b[near]] = True
-    chosen = np.flatnonzero(chosen)
-    j = np.repeat(owner[chosen], step)
-    start = (at[owner[chosen]] + step * (chosen - begins[owner[chosen]])).repeat(step) - np.tile(np.arange(step), len(chosen))
-    counts = frame["cnt"].to_numpy()
-    ok = (start >= 0) & (start < counts[j])
-    j, start = j[ok], start[ok]
+    deep = neighbour_lcp(symbols, order, need) >= need
+    interval = np.append(0, np.cumsum(~deep))
+    chosen = np.append(deep, False) | np.append(False, deep)
+    suffix, interval = order[chosen], interval[chosen]
+    j, begin = np.repeat(owner[suffix], step), np.tile(np.arange(step), len(suffix))  # the window begins so many bytes before
+    start = np.repeat(at[owner[suffix]] + step * (suffix - begins[owner[suffix]]), step) - begin
+    interval = np.repeat(interval, step)
+    ok = (start >= 0) & (start < frame["cnt"].to_numpy()[j])
+    j, start, begin, interval = j[ok], start[ok], begin[ok], interval[ok]
+    data = np.frombuffer(b"".join(segs), np.uint8)
     base = np.append(0, np.cumsum([len(s) for s in segs]))[:-1]
-    windows = gram_hashes(np.frombuffer(b"".join(segs), np.uint8), match)[base[j] + start]
-    _, which, many = np.unique(windows, return_inverse=True, return_counts=True)
-    hit = (many[which] > 1) & frame["alone"].to_numpy()[j]
+    edge = np.array([[i if i < d else i + match - step for i in range(step)] for d in range(step)])
+    rest = data[(base[j] + start)[:, None] + edge[begin]].view(f"<u{step}").ravel()
+    o = np.lexsort((rest, begin, interval))
+    same = np.append(False, (interval[o][1:] == interval[o][:-1]) & (begin[o][1:] == begin[o][:-1]) & (rest[o][1:] == rest[o][:-1]))
+    many = np.zeros(len(o), bool)
+    many[o] = same | np.append(same[1:], False)
+    hit = many & frame["alone"].to_numpy()[j]
     j, start = j[hit], start[hit]
     return runs_of(frame["k"].to_numpy()[j], frame["tie"].to_numpy()[j], frame["lo"].to_numpy()[j] + start)
 
 
-def crowded_starts(segs: DataFrame, match: int = MATCH) -> DataFrame:
-    """The same for segments whose key has too many different segments for one task: windows meet by their digests."""
+def crowded_starts(segs: DataFrame, match: int = MATCH) -> tuple[DataFrame, list[DataFrame]]:
+    """The same for segments whose key has too many different segments for one task: windows meet by their digests.
+
+    Also the written tables that the result reads.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,8 +269,9 @@ def crowded_starts(segs: DataFrame, match: int = MATCH) -> DataFrame:
     windows = materialize(segs.select("k", "tie", "lo", "cnt", "alone", "seg").mapInArrow(run, schema), "sd-windows")
     place = F.struct("k", "tie", "lo")
     twice = windows.groupBy("x", "y").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("x", "y")
-    hits = windows.filter("alone").join(materialize(twice, "sd-twice"), ["x", "y"], "left_semi")
-    return hits.select("k", "tie", "lo", F.lit(1).cast("long").alias("cnt"))
+    twice = materialize(twice, "sd-twice")
+    hits = windows.filter("alone").join(twice, ["x", "y"], "left_semi")
+    return hits.select("k", "tie", "lo", F.lit(1).cast("long").alias("cnt")), [windows, twice]
 
 
 def repeated_runs(docs: DataFrame, text: str = "text", key: str = "doc_id", match: int = MATCH, largest: int = LARGEST) -> DataFrame:
@@ -262,16 +282,23 @@ def repeated_runs(docs: DataFrame, text: str = "text", key: str = "doc_id", matc
     classes = materialize(classes, "sd-classes")
     keys = classes.groupBy("key").agg(F.count("*").alias("different"), F.sum("n").alias("n")).filter("n > 1").drop("n")
     keys = materialize(keys, "sd-keys")
-    whole = segs.join(materialize(classes.filter("n > 1").select("key", "x", "y"), "sd-whole"), ["key", "x", "y"], "left_semi")
+    twice = materialize(classes.filter("n > 1").select("key", "x", "y"), "sd-whole")
+    whole = segs.join(twice, ["key", "x", "y"], "left_semi")
     whole = materialize(whole.select("k", "tie", "lo", F.col("cnt").cast("long").alias("cnt")), "sd-runs")
+    discard(segs, twice)
     unsure = classes.join(keys.filter("different > 1"), "key")
     unsure = unsure.select("first.*", "key", (F.col("n") == 1).alias("alone"), (F.col("different") > largest).alias("crowded"))
-    got = materialize(fetch(docs, materialize(unsure, "sd-unsure"), text, match), "sd-bytes")
+    unsure = materialize(unsure, "sd-unsure")
+    discard(classes, keys)
+    got = materialize(fetch(docs, unsure, text, match), "sd-bytes")
+    discard(unsure)
     buckets = max(1, got.filter("not crowded").count() // BUCKET + 1)
     bucketed = got.filter("not crowded").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     partial = bucketed.groupBy("bucket").applyInPandas(lambda f: repeated_starts(f, match), "k long, tie long, lo long, cnt long")
-    crowded = crowded_starts(got.filter("crowded"), match)
-    return whole.unionAll(materialize(partial.unionAll(crowded), "sd-partial"))
+    crowded, made = crowded_starts(got.filter("crowded"), match)
+    out = materialize(whole.unionAll(partial).unionAll(crowded), "sd-partial")
+    discard(whole, got, *made)
+    return out
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", match: int = MATCH, largest: int = LARGEST) -> DataFrame:
@@ -282,17 +309,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", mat
     key. Segments that are equal whole repeat whole; only those that share a key but differ are fetched, and ordered by
     suffix arrays in buckets of keys. A key with more than `largest` different segments goes by window digests instead,
     with no limit on its size. No text leaves its document but for such segments. Null texts are empty; rows equal in key
-    and text repeat each other; null keys are allowed. Digests have 128 bits, those inside a bucket 64.
+    and text repeat each other; null keys are allowed. Digests have 128 bits;
+    inside a bucket bytes are compared. Other columns are not read, so their names don't matter; an empty table gives no rows.
     """
     named = null_safe(docs, key, text).withColumn("name", row_name(text, key))
-    spans = repeated_runs(named, text, key, match, largest).groupBy("k", "tie").agg(F.collect_list(F.struct("lo", "cnt")).alias("runs"))
-    spans = materialize(spans, "sd-spans")
+    found = repeated_runs(named, text, key, match, largest)
+    spans = materialize(found.groupBy("k", "tie").agg(F.collect_list(F.struct("lo", "cnt")).alias("runs")), "sd-spans")
+    discard(found)
     joined = named.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("body"), "name.k", "name.tie").join(spans, ["k", "tie"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for body, runs in zip(batch.column(1), batch.column(2)):
+            rows, held, begun = [], 0, 0
+            for at, (body, runs) in enumerate(zip(batch.column(1), batch.column(2))):
                 raw = body.as_buffer().to_pybytes() if body.is_valid else b""
                 kept, removed, count = raw, 0, 0
                 if runs.is_valid:
@@ -305,9 +334,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", mat
                     kept = b"".join(raw[x:y] for x, y in zip([0, *b], [*a, len(raw)]))
                     removed, count = len(raw) - len(kept), len(a)
                 rows.append((len(raw), removed, count, hashlib.sha256(kept).hexdigest(), kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            columns = zip(*rows) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                held += len(kept)
+                if held > 32 << 20 or at == batch.num_rows - 1:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begun, len(rows)), *columns], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    rows, held, begun = [], 0, at + 1
 
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     kind = docs.schema[key].dataType.simpleString()
     return joined.select("id", "body", "runs").mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -114,15 +114,22 @@ def train(x: np.ndarray, y: np.ndarray, folds: np.ndarray, categories: list[str]
 
 
 def best_cut(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1, halfway to the next lower probability."""
+    """The cut with the best F1, halfway to the next lower probability.
+
+    It has to beat the F1 of calling every row toxic; where it doesn't, the labels tell nothing apart (no toxic row, no
+    other row, contradictory labels, no term that goes with them), and the cut is 1.1, above all probabilities: none is toxic.
+    """
     if not y.sum():
         return 1.1
+    everything = 2 * y.sum() / (len(y) + y.sum())
     order = np.argsort(-p, kind="stable")
     p, y = p[order], y[order]
     f1 = 2 * np.cumsum(y) / (np.arange(1, len(y) + 1) + y.sum())
     lower = np.append(p[1:], 0.0)
     f1[lower == p] = -1
     best = int(np.argmax(f1))
+    if f1[best] <= everything * (1 + 1e-9):
+        return 1.1
     return float((p[best] + lower[best]) / 2)
 
 
@@ -175,10 +182,13 @@ def fit_chain(
 def judge(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     """docs with one probability column p_<category> a category, and is_toxic. One scan of whole texts, no shuffle.
 
-    Null and empty texts have no terms. All rows and columns stay.
+    Null and empty texts have no terms. All rows stay, repeated ones too, and all columns, but for columns of docs that
+    have the name of an added one: the added one takes their place.
     """
     names = [f"p_{c}" for c in chain.categories]
     at = chain.categories.index(chain.decide)
+    taken = {*map(str.lower, names), "is_toxic"}
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,8 +2,10 @@
 
 import random
 import struct
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -26,6 +28,41 @@ def test_every_window_has_one_anchor(data):
     assert count.sum() == len(data) - 399 and (np.diff(first) == count[:-1]).all() and ((at >= first + count - 1) & (at <= first + 200)).all()
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", min_size=16, max_size=60), st.booleans()), min_size=1, max_size=8))
+def test_repeated_starts_are_those_of_brute_force(rows):
+    """Segments with one anchor gram ("XY") in them: windows of 16 bytes around it that stand at two places."""
+    segs = []
+    for body, alone in rows:
+        at = len(body) // 2
+        body = body[:at] + "XY" + body[at:]
+        lo, hi = max(0, at + 2 - 16), min(at, len(body) - 16)
+        if lo <= hi:
+            segs.append((body[lo : hi + 16].encode(), at - lo, hi - lo + 1, alone))
+    if not segs:
+        return
+    frame = pd.DataFrame({"k": range(len(segs)), "tie": 0, "lo": 100, "cnt": [c for _, _, c, _ in segs], "at": [a for _, a, _, _ in segs], "alone": [x for *_, x in segs], "seg": [s for s, *_ in segs]})
+    seen = Counter(s[p : p + 16] for s, _, c, _ in segs for p in range(c))
+    want = {(k, 100 + p) for k, (s, _, c, alone) in enumerate(segs) for p in range(c) if alone and seen[s[p : p + 16]] > 1}
+    got = suffix_dedup.repeated_starts(frame, match=16, step=4)
+    assert {(k, lo + i) for k, lo, cnt in zip(got["k"], got["lo"], got["cnt"]) for i in range(cnt)} == want
+
+
+def test_labels_without_signal_judge_none_toxic(spark):
+    docs = spark.createDataFrame([(i, f"plain words number {i % 3}") for i in range(20)], "doc_id long, text string")
+    kinds = {"one class": lambda i: 1, "none": lambda i: 0, "contradictory": lambda i: i // 3 % 2}
+    for name, toxic in kinds.items():
+        labels = spark.createDataFrame([(i, 1, toxic(i)) for i in range(20)], "doc_id long, quality int, toxic int")
+        assert toxicity.judge(docs, toxicity.fit_chain(docs, labels)).filter("is_toxic").count() == 0, name
+
+
+def test_judge_replaces_columns_with_its_names(spark):
+    docs = spark.createDataFrame([(1, "a", 7, "x", 3.0)], "doc_id long, text string, is_toxic int, P_toxic string, other double")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = toxicity.judge(docs, toxicity.fit_chain(docs, labels))
+    assert got.columns == ["doc_id", "text", "other", "p_low_quality", "p_toxic", "p_toxic_low_quality", "is_toxic"] and got.first()["is_toxic"] is False
+
+
 def test_bk_tree():
     random.seed(1)
     words = [random.getrandbits(64) for _ in range(50)]
