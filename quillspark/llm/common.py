@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,15 +67,37 @@ def null_safe(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in columns))
 
 
+def private(docs: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of docs has."""
+    used, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def first_of_each(docs: DataFrame, keys: DataFrame, text: str, key: str) -> DataFrame:
+    """Rows of docs whose key is in keys (one column), one row a key should it repeat, and all rows with a null key."""
+    wanted, copy = private(docs, "wanted", "copy")
+    keys = keys.toDF(wanted).distinct()
+    kept = docs.join(keys.hint("merge"), docs[f"`{key}`"] == keys[wanted], "left_semi")
+    order = Window.partitionBy(F.col(f"`{key}`")).orderBy(F.xxhash64(F.col(f"`{text}`")), F.col(f"`{text}`"))
+    kept = kept.withColumn(copy, F.row_number().over(order)).filter(F.col(copy) == 1).drop(copy)
+    return kept.unionAll(docs.filter(F.col(f"`{key}`").isNull()))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id of every node that has an edge: (node, component).
 
     edges: (a, b) longs, any order, repeats and loops allowed. Alternating large-star and small-star steps
-    (Kiveris et al., Connected Components in MapReduce and Beyond, 2014) until the edge set is all stars. Each step
+    (Kiveris et al., Connected Components in MapReduce and Beyond, 2014) until the edge set is all stars, which takes a number of
+    rounds that grows with the logarithm of the nodes. Each step
     is one partial aggregate and one join whose small side is a written table, so a hub's edges are split.
     """
 
@@ -99,7 +121,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     now = materialize(edges.filter("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(), "cc-edges")
     before = None
-    for _ in range(rounds):
+    while True:
         wide = star(now, True)
         small = star(wide, False)
         discard(now, wide)
@@ -107,8 +129,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
 

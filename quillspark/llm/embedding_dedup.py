@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import connected_components, materialize, null_safe, parts
+from quillspark.llm.common import connected_components, discard, materialize, null_safe, parts
 
-COSINE, WINDOW, LEAST_PASSES, BITS, SEED, MISSED = 0.93, 1024, 6, 30, 17, 0.02
+COSINE, WINDOW, LEAST_PASSES, BITS, SEED, MISSED, DENSE = 0.93, 1024, 6, 30, 17, 0.02, 128
 
 
 def passes_for(rows: int, window: int = WINDOW, cosine: float = COSINE, missed: float = MISSED) -> int:
@@ -41,12 +41,16 @@ def near_duplicates(
     at least `cosine`. Vectors that are null, empty or zero, or hold nulls or non-finite numbers, link with nothing; so do
     rows with a null label. Equal vectors of a label are one class: they link, are never paired, and count by number.
 
-    Each pass sorts all classes by label and by the concatenated signs of random projections, and compares each with all
-    of its own and of the neighbouring block of `window` in that order. Rows carry their block in every pass, so a
-    pair met in several is counted in the first only, without pairs ever being written: blocks return sums of links, and
-    of their links one spanning forest. The sort moves only (pass, label, code, key); it is one range shuffle, so a label
-    with a third of all rows is spread out. Passes grow with the logarithm of the rows (see passes_for). Pairs that are
-    farther apart than a window in every pass are missed; none below the threshold is ever linked.
+    Each pass sorts all classes by label and by the concatenated signs of random projections, ties in an order of its own,
+    and compares each with all of its own and of the neighbouring block of `window` in that order. Where one comparison in
+    DENSE or more with the farthest block was a link, a run of near vectors is longer than the window, and that block goes
+    on to twice as many blocks in the next round, until its links get fewer or the order ends. So a dense run is compared
+    whole, in pairs of blocks spread over tasks, and what is compared stays in proportion to the links found. Rows carry
+    their block in every pass: a pair counts in the pass that has it nearest, without pairs ever being written. Blocks
+    return sums of links, and of their links one spanning forest. The sort moves only (pass, label, code, key); it is one
+    range shuffle, so a label with a third of all rows is spread out. Passes grow with the logarithm of the rows (see
+    passes_for). Pairs that are in sparse surroundings and far apart in every pass are missed; none below the threshold is
+    ever linked. Repeated keys are allowed; other columns are not read; an empty table gives no rows.
     """
     v = null_safe(vectors, key, embedding, label).toDF("id", "vec", "label")
     v = v.withColumn("vec", F.col("vec").cast("array<double>"))
@@ -70,7 +74,7 @@ def near_duplicates(
 
     kind = vectors.schema[label].dataType.simpleString()
     coded = classes.select("row", "label", "dim", "vec").mapInArrow(code, f"turn int, row long, label {kind}, dim int, code long")
-    order = ["turn", "label", "dim", "code", "row"]
+    order = ["turn", "label", "dim", "code", F.xxhash64("turn", "row"), "row"]
     ranked = coded.repartitionByRange(parts(vectors.sparkSession), *order).sortWithinPartitions(*order)
     ranked = ranked.withColumn("at", F.monotonically_increasing_id())
     ranked = materialize(ranked.select("turn", "row", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("inside")), "ed-order")
@@ -81,16 +85,15 @@ def near_duplicates(
     blocks = placed.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "block"))), lambda s: s["block"]).alias("blocks"))
     rows = materialize(classes.join(blocks, "row").select("rep", "n", "vec", F.xxhash64("label", "dim").alias("grp"), "blocks"), "ed-rows")
     sent = rows.select("*", F.posexplode("blocks").alias("turn", "block"))
-    sent = sent.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("own"))
-    sent = sent.withColumn("block", F.when(F.col("own"), F.col("block")).otherwise(F.col("block") - 1)).filter("block >= 0")
 
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(table: pa.Table, inside: bool) -> pa.Table:
         table = table.combine_chunks()
+        turn, block = table["turn"][0].as_py(), table["at"][0].as_py()
         mine = table["own"].to_numpy(zero_copy_only=False)
         at = np.concatenate([np.flatnonzero(mine), np.flatnonzero(~mine)])
         rep, n, grp = (table[c].to_numpy()[at] for c in ("rep", "n", "grp"))
         met = np.stack(table["blocks"].to_numpy(zero_copy_only=False))[at]
-        own, turn = int(mine.sum()), table["turn"][0].as_py()
+        own, compared, hits = int(mine.sum()), 0, 0
         counts, lab = np.zeros(len(at), np.int64), np.arange(len(at))
         vecs = table["vec"].to_numpy(zero_copy_only=False)[at]
         for g in np.unique(grp[:own]):
@@ -98,13 +101,20 @@ def near_duplicates(
             x = np.stack(vecs[j])
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             near = x[: len(i)] @ x.T >= cosine  # own rows come first in j
+            compared, hits = compared + len(i) * (len(j) - len(i)), hits + int(near[:, len(i) :].sum())
+            if not inside:
+                near[:, : len(i)] = False
             near[np.arange(len(i)), np.arange(len(i))] = False
-            fresh = near.copy()
-            for s in range(turn):
-                fresh &= np.abs(met[i, s][:, None] - met[j, s][None, :]) > 1
-            counts[i] += fresh @ n[j]
-            ahead = j[len(i) :]
-            counts[ahead] += n[i] @ fresh[:, len(i) :]
+            p, q = np.nonzero(near)
+            best, nearest = np.full(len(p), -1), np.full(len(p), np.iinfo(np.int64).max)
+            for t in range(met.shape[1]):
+                apart = np.abs(met[i[p], t] - met[j[q], t])
+                best[apart < nearest] = t
+                nearest = np.minimum(nearest, apart)
+            p, q = p[best == turn], q[best == turn]
+            counts[i] += np.bincount(p, n[j[q]], len(i)).astype(np.int64)
+            ahead = q >= len(i)
+            counts[j] += np.bincount(q[ahead], n[i[p[ahead]]], len(j)).astype(np.int64)
             while True:  # smallest linked row, until nothing changes
                 low = np.where(near, lab[j][None, :], len(at)).min(axis=1, initial=len(at))
                 new = np.minimum(lab[i], low)
@@ -115,10 +125,28 @@ def near_duplicates(
                     break
                 lab[j] = renewed
         some = np.flatnonzero((counts > 0) | (lab != np.arange(len(at))))
-        return pa.table({"a": rep[some], "b": rep[lab[some]], "links": counts[some]})
-
-    found = sent.groupBy("turn", "block").applyInArrow(compare, "a long, b long, links long")
-    found = materialize(found, "ed-found")
+        none = np.full(len(some), None)
+        said = {"a": np.append(rep[some].astype(object), None), "b": np.append(rep[lab[some]].astype(object), None), "links": np.append(counts[some].astype(object), None)}
+        said |= {k: np.append(none, v) for k, v in (("turn", turn), ("at", block), ("compared", compared), ("hits", hits))}
+        return pa.table({k: pa.array(v, kinds[k]) for k, v in said.items()})
+
+    kinds = {k: pa.int32() if k == "turn" else pa.int64() for k in ("a", "b", "links", "turn", "at", "compared", "hits")}
+    result = "a long, b long, links long, turn int, at long, compared long, hits long"
+    both = sent.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("own"))
+    both = both.withColumn("at", F.when(F.col("own"), F.col("block")).otherwise(F.col("block") - 1)).filter("at >= 0")
+    found = made = materialize(both.groupBy("turn", "at").applyInArrow(lambda t: compare(t, True), result), "ed-found")
+    reach = 1
+    while True:  # longer windows, from each block whose farthest comparisons had many links
+        dense = made.filter("a IS NULL").groupBy("turn", "at").agg(F.sum("compared").alias("compared"), F.sum("hits").alias("hits")).filter(F.col("hits") * DENSE >= F.greatest("compared", F.lit(1)))
+        dense = materialize(dense.select("turn", "at", F.explode(F.sequence(F.lit(reach + 1), F.lit(2 * reach))).alias("shift")), "ed-dense")
+        if dense.isEmpty():
+            break
+        mine = sent.join(dense, (sent["turn"] == dense["turn"]) & (sent["block"] == dense["at"])).select(*rows.columns, sent["turn"], "at", "shift", F.lit(True).alias("own"))
+        ahead = sent.join(dense, (sent["turn"] == dense["turn"]) & (sent["block"] == dense["at"] + dense["shift"])).select(*rows.columns, sent["turn"], "at", "shift", F.lit(False).alias("own"))
+        made = materialize(mine.unionAll(ahead).groupBy("turn", "at", "shift").applyInArrow(lambda t: compare(t, False), result), "ed-found")
+        discard(dense)
+        found, reach = found.unionAll(made), 2 * reach
+    found = found.filter("a IS NOT NULL")
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     comps = connected_components(found.select("a", "b")).select(F.col("node").alias("rep"), "component")
     known = classes.select("class", "rep", "n").join(links, "rep", "left").join(comps, "rep", "left")

@@ -1,4 +1,4 @@
-"""Main text of HTML pages: nearest-URL page differencing, with the page's own landmarks as tie-breaker."""
+"""Main text of HTML pages: nearest-URL page differencing, together with the page's own landmarks."""
 
 from __future__ import annotations
 
@@ -7,10 +7,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import null_safe, parts
+from quillspark.llm.common import discard, materialize, null_safe, parts
+
+RANGE_ROWS = 20_000
 
 #: Elements whose content is never text of a page. Fixed values.
 SKIPPED = frozenset("script style template noscript head title iframe object svg math canvas select option textarea button audio video".split())
@@ -24,13 +27,16 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark furniture. Fixed values.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner menu navbar nav navigation breadcrumb breadcrumbs sidebar side aside widget"
-    " header masthead footer foot comment comments reply replies disqus cookie cookies consent notice notices popup modal overlay newsletter subscribe share sharing social"
-    " related recommended search login signup toolbar skip contentinfo complementary".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner menu navbar nav navigation breadcrumb breadcrumbs sidebar aside widget"
+    " header masthead footer comment comments reply replies disqus cookie cookies consent notice notices popup modal overlay newsletter subscribe"
+    " login signup toolbar contentinfo complementary".split()
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPACE = re.compile(r"\s+")
+#: Elements of other vocabularies, which alone may end in "/>". Fixed values.
+FOREIGN = frozenset("svg math".split())
+SLASH = re.compile(r"(?:^|[\s\"'])/\Z")
 PARAGRAPH_ENDS = frozenset("p li dt dd tr td th option".split())
 
 
@@ -51,7 +57,8 @@ def lines(page: str | None) -> list[tuple[str, int]]:
     """Blocks of text in page order with their landmark: 1 in the article or main element, -1 in furniture, else 0.
 
     White space inside a block is one space, character references are decoded, empty blocks are left out. Unclosed and
-    cut elements are allowed: furniture ends with its own end tag, or with one of an element around it.
+    cut elements are allowed: furniture ends with its own end tag, or with one of an element around it. An inline element
+    that is furniture is a block of its own. A "/" before ">" ends no HTML element, and may belong to an unquoted value.
     """
     out: list[tuple[str, int]] = []
     text: list[str] = []
@@ -83,19 +90,21 @@ def lines(page: str | None) -> list[tuple[str, int]]:
                 close()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
+                    if stack[i][1] != now:
+                        close()
                     now = stack[i][1]
                     del stack[i:]
                     break
             continue
         if tag in SKIPPED:
-            if not m["rest"].endswith("/"):
+            if tag not in FOREIGN or not SLASH.search(m["rest"]):
                 skipping = tag
             continue
         if tag == "br":
             text.append(" ")
         if tag not in INLINE:
             close()
-        if tag in VOID or m["rest"].endswith("/"):
+        if tag in VOID:
             continue
         if tag in PARAGRAPH_ENDS and stack and stack[-1][0] == tag:  # a new paragraph ends an open one
             now = stack.pop()[1]
@@ -114,7 +123,7 @@ def lines(page: str | None) -> list[tuple[str, int]]:
     return out
 
 
-def common_lines(a: list[str], b: list[str]) -> list[bool]:
+def common_lines(a: list, b: list) -> list[bool]:
     """Which lines of a are in a longest common subsequence of a and b.
 
     Equal ends are matched first and lines that stand in one side only are left out; what remains is solved by rows of
@@ -134,7 +143,7 @@ def common_lines(a: list[str], b: list[str]) -> list[bool]:
     columns = [j for j in range(head, len(b) - tail) if b[j] in both]
     if not rows:
         return kept
-    where: dict[str, int] = {}
+    where: dict = {}
     for bit, i in enumerate(rows):
         where[a[i]] = where.get(a[i], 0) | 1 << bit
     full = (1 << len(rows)) - 1
@@ -156,21 +165,39 @@ def common_lines(a: list[str], b: list[str]) -> list[bool]:
     return kept
 
 
-def pick(mine: list[tuple[str, int]], partner: list[tuple[str, int]] | None) -> tuple[str, int, int]:
-    """(text, blocks, blocks deleted as shared) of a page's blocks next to its partner's.
+def shared_lines(mine: list[int], partner: list[int] | None) -> list[int]:
+    """Numbers of the lines that a page shares with its partner: those of a longest common subsequence."""
+    return [i for i, s in enumerate(common_lines(mine, partner)) if s] if partner is not None else []
+
+
+def pick(blocks: list[tuple[str, int]], shared: list[int]) -> tuple[str, int, int]:
+    """(text, blocks, blocks deleted as shared) of a page's blocks, given those that it shares with its partner.
 
-    Shared lines go, unless the page's article or main element holds them; where a page has such an element, only it is
-    text. Furniture goes whether it is shared or not.
+    Shared lines are deleted, inside an article or main element too, and so is furniture, shared or not. If most of such an
+    element is shared, or all of a page without one, the two are copies of one article, and what it shares stays. Own text
+    outside the element stays out, unless it is longer than what the element leaves: then the element isn't the article.
     """
-    shared = common_lines([t for t, _ in mine], [t for t, _ in partner]) if partner is not None else [False] * len(mine)
-    declared = any(mark > 0 for _, mark in mine)
-    kept = [t for (t, mark), s in zip(mine, shared) if mark > 0 or not declared and mark == 0 and not s]
-    return " ".join(kept), len(mine), sum(s and mark <= 0 for (_, mark), s in zip(mine, shared))
+    gone = set(shared)
+    inside = any(mark > 0 for _, mark in blocks)
+    size = lambda kept: sum(len(blocks[i][0]) for i in kept)
+    declared = [i for i, (_, mark) in enumerate(blocks) if mark > 0]
+    other = [i for i, (_, mark) in enumerate(blocks) if mark == 0]
+    own_declared, own_other = [i for i in declared if i not in gone], [i for i in other if i not in gone]
+    if inside:
+        if 2 * size(own_declared) < size(declared):
+            own_declared = declared
+        kept = sorted(own_declared + own_other) if size(own_other) > size(own_declared) else own_declared
+    else:
+        kept = own_other or other
+    left = set(kept)
+    deleted = sum(i not in left for i in gone if blocks[i][1] >= 0)
+    return " ".join(blocks[i][0] for i in kept), len(blocks), deleted
 
 
 def main_text(page: str | None, partner: str | None) -> tuple[str, int, int]:
     """pick() for raw pages."""
-    return pick(lines(page), lines(partner) if partner is not None else None)
+    mine = lines(page)
+    return pick(mine, shared_lines([t for t, _ in mine], [t for t, _ in lines(partner)] if partner is not None else None))
 
 
 def host_of(url: Column) -> Column:
@@ -182,59 +209,83 @@ def path_of(url: Column) -> Column:
     return F.regexp_replace(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*", "")
 
 
-def extract(pages: DataFrame, page: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
-    """key, url, text, n_chars, n_blocks and n_shared of every page.
+def walk(rows: list[tuple]) -> Iterator[tuple[tuple[int, int], list[int]]]:
+    """(name, shared lines) of the pages (host, path, id, name, lines, own) in order, where lines are shared.
 
-    Each page is compared with the page nearest by URL path within its host: the one before in path order, or the one
-    after for a host's first. A narrow pass orders (host, path, key) by range, so a host with a third of all pages is
-    spread out, and leaves the first and last key of each range: as many as there are partitions. Then the pages move
-    once, to their range, the last of each also to the next; each task walks its pages in order. A host's only page has
-    no partner and goes by its landmarks. Null html is empty; null URLs are one host; repeated rows each get their text.
+    Equal pages in a row are one; its partner is the page before, or else after, on its host.
+    """
+    rows = sorted(rows, key=lambda r: r[:4])
+    runs: list[list[tuple]] = []
+    for r in rows:
+        if runs and runs[-1][-1][0] == r[0] and runs[-1][-1][4] == r[4]:
+            runs[-1].append(r)
+        else:
+            runs.append([r])
+    for i, run in enumerate(runs):
+        near = next((runs[j][0][4] for j in (i - 1, i + 1) if 0 <= j < len(runs) and runs[j][0][0] == run[0][0]), None)
+        if near is not None and (shared := shared_lines(run[0][4], near)):
+            for name in {r[3] for r in run if r[5]}:
+                yield name, shared
+
+
+def partners(named: DataFrame, page: str) -> DataFrame:
+    """(name, shared): the lines that a page shares with its nearest by URL path, for pages that share any.
+
+    Only hashes of lines move: each page's to its range of (host, path, id), so a host with a third of all pages is spread
+    out; ranges grow in number with the pages. The first and last page of each range also go to the ranges beside it.
+    """
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in lines(x.as_py())] for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["at", "lines"])
+
+    place = F.struct("host", "path", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "name")
+    narrow = named.select(place.alias("at"), F.col(page)).mapInArrow(digests, "at struct<host:string,path:string,id:string,name:struct<x:bigint,y:bigint>>, lines array<long>")
+    ranges = max(parts(named.sparkSession), named.count() // RANGE_ROWS + 1)
+    placed = materialize(narrow.repartitionByRange(ranges, "at").withColumn("part", F.spark_partition_id()), "html-lines")
+    row = F.struct("at", "lines")
+    ends = placed.groupBy("part").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    beside = Window.orderBy("part")  # one row a range
+    ends = ends.select(F.lag("part").over(beside).alias("below"), F.lead("part").over(beside).alias("above"), "first", "last")
+    ends = ends.select(F.explode(F.array(F.struct(F.col("below").alias("part"), F.col("first").alias("r")), F.struct(F.col("above").alias("part"), F.col("last").alias("r")))).alias("e"))
+    ends = ends.filter("e.part IS NOT NULL").select("e.r.at", "e.r.lines", "e.part", F.lit(False).alias("own"))
+    both = placed.withColumn("own", F.lit(True)).unionByName(ends)
+
+    def compare(table: pa.Table) -> pa.Table:
+        at = table["at"].to_pylist()
+        rows = [(a["host"], a["path"], a["id"], (a["name"]["x"], a["name"]["y"]), said, own) for a, said, own in zip(at, table["lines"].to_pylist(), table["own"].to_pylist())]
+        found = list(walk(rows))
+        return pa.table({"x": pa.array([n[0] for n, _ in found], pa.int64()), "y": pa.array([n[1] for n, _ in found], pa.int64()), "shared": pa.array([s for _, s in found], pa.list_(pa.int32()))})
+
+    shared = materialize(both.groupBy("part").applyInArrow(compare, "x long, y long, shared array<int>").dropDuplicates(["x", "y"]), "html-shared")
+    discard(placed)
+    return shared
+
+
+def extract(pages: DataFrame, page: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
+    """key, url, text, n_chars, n_blocks and n_shared (blocks deleted as shared) of every page.
+
+    Each page is compared with the page nearest by URL path within its host: the one before in path order that differs
+    from it, or for a host's first the one after. A first pass over whole pages leaves hashes of lines, which are put in
+    order and compared; then the pages that share lines get the numbers of these, and a second pass takes their text.
+    A host's only page has no partner and goes by its landmarks. Null html is empty; null URLs are one host; repeated rows
+    each get their text, the same one. Pages may be of any length; a task holds one batch of pages, and the line hashes of
+    one range. Should equal pages fill a range, their partner is sought in the ranges beside it only. Other columns are
+    not read, so their names don't matter. An empty table gives no rows.
     """
     rows = null_safe(pages, key, url, page).toDF("id", "url", "page")
-    place = F.struct(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"))
-    order = rows.select(place.alias("at")).repartitionByRange(parts(pages.sparkSession), "at").withColumn("part", F.spark_partition_id())
-    ends = order.groupBy("part").agg(F.min("at").alias("first"), F.max("at").alias("last")).orderBy("part").collect()
-    text = lambda r: F.struct(F.lit(r["host"]).alias("host"), F.lit(r["path"]).alias("path"), F.lit(r["id"]).alias("id"))
-    if ends:
-        firsts, lasts = F.array(*(text(r["first"]) for r in ends)), F.array(*(text(r["last"]) for r in ends))
-        part = F.size(F.filter(firsts, lambda f: f <= F.col("at")))
-        to = F.when(F.array_contains(lasts, F.col("at")), F.array(part, part + 1)).otherwise(F.array(part))
-    else:
-        part, to = F.lit(0), F.array(F.lit(0))
-    sent = rows.withColumn("at", place).withColumn("to", to).withColumn("own", part)
-    sent = sent.select("id", "url", "page", "at.host", F.col("at.path").alias("path"), F.explode("to").alias("to"), "own")
-    sent = sent.repartition(max(1, len(ends)), "to").sortWithinPartitions("to", "host", "path", F.col("id").cast("string"))
+    name = F.struct(F.xxhash64("id", "url", "page").alias("x"), F.xxhash64(F.lit(7), "id", "url", "page").alias("y"))
+    named = rows.withColumn("name", name).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    shared = partners(named, "page").withColumnsRenamed({"x": "nx", "y": "ny"})
+    sent = named.join(shared, (F.col("name.x") == F.col("nx")) & (F.col("name.y") == F.col("ny")), "left").select("id", "url", "page", "shared")
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = now = None  # (range, host, blocks, output row or None)
-        out: list[tuple] = []
-
-        def settle(after: tuple | None) -> None:
-            if now is None or now[3] is None:
-                return
-            near = next((x[2] for x in (before, after) if x is not None and x[:2] == now[:2]), None)
-            out.append((*now[3], *pick(now[2], near)))
-
-        def flush() -> pa.RecordBatch:
-            ids, urls, texts, blocks, shared = zip(*out) if out else [()] * 5
-            columns = [pa.array(ids, id_type), pa.array(urls, pa.string()), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (map(len, texts), blocks, shared))]
-            out.clear()
-            return pa.RecordBatch.from_arrays(columns, names=[key, url, "text", "n_chars", "n_blocks", "n_shared"])
-
-        id_type = pa.null()
         for batch in batches:
-            id_type = batch.column(0).type
-            for i in range(batch.num_rows):
-                ident, link, body, host, to, own = (batch.column(c)[i].as_py() for c in (0, 1, 2, 3, 5, 6))
-                after = (to, host, lines(body), (ident, link) if to == own else None)
-                settle(after)
-                before, now = now, after
-                if len(out) >= 512:
-                    yield flush()
-        settle(None)
-        if out:
-            yield flush()
+            found = [pick(lines(p.as_py()), s.as_py() or []) for p, s in zip(batch.column(2), batch.column(3))]
+            texts, blocks, deleted = zip(*found) if found else [()] * 3
+            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (map(len, texts), blocks, deleted))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, url, "text", "n_chars", "n_blocks", "n_shared"])
 
     return sent.mapInArrow(run, f"`{key}` {kind}, `{url}` string, text string, n_chars long, n_blocks long, n_shared long")

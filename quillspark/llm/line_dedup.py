@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD, discard, materialize, null_safe
+from quillspark.llm.common import WORD, discard, materialize, null_safe, private
 
 MIN_WORDS = 50
 LAST = (1 << 63) - 1
@@ -99,23 +99,31 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", min_w
     A line goes if it lies in a run of min_words words or more that also starts at an earlier place, in the order of
     keys and lines; the same document counts. A run may be one long line, or many short or blank ones. Null texts stay
     null and have one empty line. Rows equal in key and text count as one place and are treated alike; null keys come
-    last. Keys are integers. Other columns stay as they are.
+    last. Keys are integers. Other columns stay as they are, but for columns named n_lines or n_removed, whose place the
+    added ones take. An empty table gives no rows.
     """
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")))
     hits = run_intervals(null_safe(docs, key, text), text, key, min_words)
-    later = hits.filter(F.col("first") != F.struct("doc", "pos"))
-    gone = later.select("doc", F.explode(F.sequence("pos", F.col("pos") + F.col("depth") - 1)).alias("pos"))
-    gone = materialize(gone.groupBy("doc").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("doc", "_doc"), "ld-gone")
+    later = hits.filter(F.col("first") != F.struct("doc", "pos")).select("doc", "pos", (F.col("pos") + F.col("depth")).alias("end"))
+    # runs that overlap become one span before any line is listed, so each line is listed once
+    order = Window.partitionBy("doc").orderBy("pos", "end")
+    spans = later.withColumn("reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumn("span", F.sum(F.when(F.col("pos") <= F.col("reach"), 0).otherwise(1)).over(order))
+    spans = spans.groupBy("doc", "span").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
+    row, owner, gone_, lines_ = private(docs, "row", "owner", "gone", "lines")
+    gone = spans.select("doc", F.explode(F.sequence("pos", F.col("end") - 1)).alias("pos"))
+    gone = materialize(gone.groupBy("doc").agg(F.collect_list("pos").alias(gone_)).withColumnRenamed("doc", owner), "ld-gone")
     # what goes grows with the input, so it is never broadcast: the plan is the same at every size
     kept_columns = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.select(*kept_columns, row_name(text, key).alias("_row")).join(gone.hint("merge"), F.col("_row") == F.col("_doc"), "left")
+    joined = docs.select(*kept_columns, row_name(text, key).alias(row)).join(gone.hint("merge"), F.col(row) == F.col(owner), "left")
     all_lines = lines(text)
-    left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_gone"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
-    out = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), all_lines))
+    left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(gone_))
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col(lines_), i)), "\n")
+    out = joined.withColumn(lines_, F.when(F.col(gone_).isNotNull(), all_lines))
     return out.select(
-        *(F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns),
+        *(F.when(F.col(gone_).isNotNull(), kept).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns),
         F.size(all_lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(gone_), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD, materialize, null_safe
+from quillspark.llm.common import WORD, materialize, null_safe, private
 
 WEIGHTS, EPOCHS, SHARE, SEED, LANES = (5, 2, 1), 2, 1.5, 11, 1024
 SPACES = " \t\n\x0b\x0c\r"
@@ -84,16 +84,17 @@ def take(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     Options go to mix(). Rows not taken, and those without words, do not come. Rows are told apart by key and text; equal
     rows share what is taken from them, whichever of them it is. A part keeps the white space between its words.
     """
+    row, size, taken, copy = private(docs, "row", "words", "taken", "copy")
     name = F.concat_ws(":", F.col(f"`{key}`").cast("string"), F.xxhash64(f"`{text}`").cast("string"), F.xxhash64(F.lit(7), f"`{text}`").cast("string"))
-    named = docs.withColumn("_name", name)
-    mixed = mix(named.select("_name", source, text), text, source, "_name", **options).filter("taken > 0")
-    number = Window.partitionBy("_name")
-    mixed = materialize(mixed.select("_name", F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.row_number().over(number.orderBy(F.desc("taken"))).alias("_copy")), "mix-taken")
-    rows = named.withColumn("_copy", F.row_number().over(number.orderBy(F.lit(0)))).join(mixed, ["_name", "_copy"])
-    part = F.pmod(F.col("_taken"), F.col("_size")).cast("int")
+    named = docs.withColumn(row, name)
+    mixed = mix(named.select(row, source, text), text, source, row, **options).filter("taken > 0")
+    number = Window.partitionBy(row)
+    mixed = mixed.select(row, F.col("size").alias(size), F.col("taken").alias(taken), F.row_number().over(number.orderBy(F.desc("taken"))).alias(copy))
+    rows = named.withColumn(copy, F.row_number().over(number.orderBy(F.lit(0)))).join(materialize(mixed, "mix-taken"), [row, copy])
+    part = F.pmod(F.col(taken), F.col(size)).cast("int")
     words_kept = F.split(F.ltrim(F.col(f"`{text}`"), F.lit(SPACES)), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     first = F.rtrim(F.array_join(F.slice(words_kept, 1, part), ""), F.lit(SPACES))
-    times = F.floor(F.col("_taken") / F.col("_size")).cast("int")
+    times = F.floor(F.col(taken) / F.col(size)).cast("int")
     texts = F.concat(F.array_repeat(F.col(f"`{text}`"), times), F.when(part > 0, F.array(first)).otherwise(F.array().cast("array<string>")))
     rest = [c for c in docs.columns if c != text]
     out = rows.select(*(F.col(f"`{c}`") for c in rest), F.explode(texts).alias(text))

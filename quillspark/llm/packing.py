@@ -7,7 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +141,6 @@ def shortest_pack_first(histogram: dict[int, int], length: int = LENGTH) -> list
                 if not open_packs[room - size]:
                     heappush(rooms, size - room)
                 open_packs[room - size].append((first, count))
-    heapify(rooms)
     return placed
 
 

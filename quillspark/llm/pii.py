@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import discard, materialize, null_safe
 
-KEY, ROUNDS = "change-me", 24
+KEY, LONGER = "change-me", {"email": 3, "domain": 3, "number": 8}
 #: No entity begins inside a word or number.
 EDGE = r"(?<![\p{L}\p{N}_])"
 #: What is looked for, in this order where several would fit at one place.
@@ -28,14 +28,9 @@ ANY = EDGE + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: A document without any of these holds no entity; most are settled by this alone.
 HINT = r"[0-9@=:MHFSГ](?:(?<=[0-9@=:])|(?<=M)(?:r|s|iss|me|onsieur|adame)|(?<=H)err|(?<=F)rau|(?<=S)(?:eñor|r)|(?<=Г)осп)"
 WOMEN = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа)"
-#: Given names by gender and script, and syllables that family names are made of.
-GIVEN = {
-    "m": "James Robert David Thomas Peter Martin Paul Daniel Simon Felix Hugo Lucas Oscar Adrian Victor Leo".split(),
-    "f": "Mary Anna Laura Sarah Emma Julia Clara Helen Alice Nora Eva Sofia Marta Ines Lucia Irene".split(),
-    "m_cyrillic": "Иван Павел Олег Игорь Антон Денис Роман Кирилл".split(),
-    "f_cyrillic": "Анна Ольга Ирина Елена Мария Дарья Юлия Нина".split(),
-}
+#: Syllables that names are made of, and what a given name ends in by gender.
 SYLLABLES = {"latin": "ba den for gan hol kin lan mer nor pel ros sten tal ver wil zan".split(), "cyrillic": "ба вен дор гал зим кар лин мор нов пет рос сав тар фил хол шин".split()}
+ENDINGS = {"latin": ("a", "o"), "cyrillic": ("а", "ий")}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -44,8 +39,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    """Which pattern a match of ANY is."""
-    return reduce(lambda other, k: F.when(m.rlike(f"^(?:{PATTERNS[k]})$"), k).otherwise(other), reversed(list(PATTERNS)[:-1]), F.lit("name"))
+    """Which pattern a match of ANY is; null for a long number that fails a card's Luhn check, which is no entity."""
+    number = F.regexp_replace(m, "[^0-9]", "")
+    which = {k: F.when(F.pmod(luhn_sum(number), F.lit(10)) == 0, k) if k == "card" else F.lit(k) for k in PATTERNS}
+    return reduce(lambda other, k: F.when(m.rlike(f"^(?:{PATTERNS[k]})$"), which[k]).otherwise(other), reversed(list(PATTERNS)[:-1]), F.lit("name"))
 
 
 def title_and_rest(m: Column) -> tuple[Column, Column]:
@@ -122,8 +119,11 @@ def luhn_sum(number: Column) -> Column:
     return let(number, of)
 
 
-def new_digits(kind: Column, canon: Column, h: Column) -> Column:
-    """New digits for numbers: a phone's country code, a card's first digit and its Luhn check are kept in kind."""
+def new_digits(kind: Column, canon: Column, h: Column, attempt: Column) -> Column:
+    """New digits for numbers: a phone's country code, a card's first digit and its Luhn check are kept in kind.
+
+    After many clashes, when all numbers of that length are taken, more digits follow.
+    """
 
     def of(plain: Column, mapped: Column) -> Column:
         country = F.when(canon.startswith("+1"), F.lit("1")).when(canon.startswith("+"), F.substr(plain, F.lit(1), F.lit(2))).otherwise(F.lit(""))
@@ -131,44 +131,92 @@ def new_digits(kind: Column, canon: Column, h: Column) -> Column:
         phone = F.concat(country, area, F.substr(mapped, F.length(country) + 2))
         body = F.concat(F.substr(plain, F.lit(1), F.lit(1)), F.substr(mapped, F.lit(2), F.length(plain) - 2))
         check = F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
-        card = F.when(F.pmod(luhn_sum(plain), F.lit(10)) == 0, F.concat(body, check)).otherwise(F.concat(body, F.substr(mapped, F.length(plain))))
-        return F.when(kind == "phone", phone).when(kind == "card", card).otherwise(mapped)
+        new = F.when(kind == "phone", phone).when(kind == "card", F.concat(body, check)).otherwise(mapped)
+        return F.concat(new, masked(longer(attempt, "number", "0"), h, F.lit(False)))
 
     return let(F.regexp_replace(canon, "[^0-9]", ""), lambda plain: let(masked(plain, h, F.lit(False)), lambda mapped: of(plain, mapped)))
 
 
-def new_name(rest: Column, woman: Column, h: Column, attempt: Column) -> Column:
-    """A name of as many parts, of the same gender, script and case; each attempt adds a syllable."""
-    cyrillic = rest.rlike(r"\p{IsCyrillic}")
-    pick = lambda names, i: F.element_at(F.array(*(F.lit(x) for x in names)), draw(h, i, len(names)) + 1)
-    given = F.when(cyrillic & woman, pick(GIVEN["f_cyrillic"], 0)).when(cyrillic, pick(GIVEN["m_cyrillic"], 0)).when(woman, pick(GIVEN["f"], 0)).otherwise(pick(GIVEN["m"], 0))
-    made = lambda script: F.array_join(F.transform(F.sequence(F.lit(1), attempt + 3), lambda i: pick(SYLLABLES[script], i)), "")
-    family = F.initcap(F.when(cyrillic, made("cyrillic")).otherwise(made("latin")))
-    name = F.when(rest.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family)
-    return F.when(rest == F.upper(rest), F.upper(name)).otherwise(name)
+def longer(attempt: Column, form: str, with_: str) -> Column:
+    """What lengthens a surrogate once its format may be full: one more character an attempt, so that rounds end."""
+    return F.repeat(F.lit(with_), F.greatest(F.lit(0), attempt - LONGER[form] + 1))
+
+
+def alike(new: Column, m: Column) -> Column:
+    """new in capitals if m is."""
+    return F.when((m == F.upper(m)) & (m != F.lower(m)), F.upper(new)).otherwise(new)
+
+
+def domain_of(canon: Column) -> Column:
+    """A mail address's domain without its last label."""
+    return F.regexp_extract(canon, "@(.*)\\.[a-z]+$", 1)
+
+
+def new_domain(domain: Column, attempt: Column, key: str) -> Column:
+    return let(stream(F.lit("domain"), domain, attempt, key), lambda h: masked(F.concat(domain, longer(attempt, "domain", "x")), h, F.lit(False)))
+
+
+def new_part(kind: Column, canon: Column, m: Column, attempt: Column, key: str) -> Column:
+    """A given or family name of the same gender, script and case; each attempt adds a syllable."""
+    pick = lambda h, names, i: F.element_at(F.array(*(F.lit(x) for x in names)), draw(h, i, len(names)) + 1)
+    made = lambda h, script: F.array_join(F.transform(F.sequence(F.lit(1), attempt + 3), lambda i: pick(h, SYLLABLES[script], i)), "")
+
+    def of(h: Column) -> Column:
+        def name(script: str) -> Column:
+            end = F.when(kind == "family", F.lit("")).when(canon.startswith("f "), F.lit(ENDINGS[script][0])).otherwise(F.lit(ENDINGS[script][1]))
+            return F.concat(made(h, script), end)
+
+        return alike(F.initcap(F.when(m.rlike(r"\p{IsCyrillic}"), name("cyrillic")).otherwise(name("latin"))), m)
+
+    return let(stream(kind, canon, attempt, key), of)
 
 
-def surrogate(m: Column, kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The replacement of a match, written as the match is."""
+def surrogate(m: Column, kind: Column, canon: Column, tries: Callable[[Column | str, Column], Column], key: str) -> Column:
+    """The replacement of a match, written as the match is. tries(kind, canon) is the attempt of an entity or a part of one."""
+    attempt = tries(kind, canon)
 
     def of(h: Column) -> Column:
-        domain = F.regexp_extract(canon, "@(.*)\\.[a-z]+$", 1)
-        new_domain = let(domain, lambda d: let(stream(F.lit("domain"), d, F.lit(0), key), lambda s: masked(d, s, F.lit(False))))
-        mail = F.concat(masked(F.regexp_extract(canon, "^([^@]*)@", 1), h, F.lit(False)), F.lit("@"), new_domain, F.regexp_extract(canon, "(\\.[a-z]+)$", 1))
-        mail = let(mail, lambda x: F.when((m == F.upper(m)) & (m != F.lower(m)), F.upper(x)).otherwise(x))
+        domain = domain_of(canon)
+        local = masked(F.concat(F.regexp_extract(canon, "^([^@]*)@", 1), longer(attempt, "email", "x")), h, F.lit(False))
+        mail = F.concat(local, F.lit("@"), let(domain, lambda d: new_domain(d, tries("domain", d), key)), F.regexp_extract(canon, "(\\.[a-z]+)$", 1))
         octets = F.concat_ws(".", *((draw(h, 3 * i, 223 if i == 0 else 254) + 1).cast("string") for i in range(4)))
-        compact = F.concat(F.substr(canon, F.lit(1), F.lit(2)), masked(F.substr(canon, F.lit(3)), h, F.lit(False)))
+        compact = F.concat(F.substr(canon, F.lit(1), F.lit(2)), masked(F.concat(F.substr(canon, F.lit(3)), longer(attempt, "number", "0")), h, F.lit(False)))
         place = lambda i: F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), " ", ""))
-        iban = let(compact, lambda x: F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(x, place(i), F.lit(1)))), ""))
+        written = lambda x: F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(x, place(i), F.lit(1)))), "")
+        iban = let(compact, lambda x: F.concat(written(x), F.substr(x, F.length(canon) + 1)))
         label = F.substr(m, F.lit(1), F.length(m) - F.length(canon))
-        secret = F.concat(label, masked(canon, h, canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")))
+        secret = F.concat(label, masked(F.concat(canon, longer(attempt, "number", "0")), h, canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")))
+        digits = F.regexp_replace(canon, "[^0-9]", "")
+        number = let(new_digits(kind, canon, h, attempt), lambda d: F.concat(refill(m, d), F.substr(d, F.length(digits) + 1)))
         title, rest = title_and_rest(m)
+        part = lambda p: new_part(p["kind"], p["canon"], p["m"], tries(p["kind"], p["canon"]), key)
+        name = F.concat(title, F.array_join(F.transform(name_parts(canon, rest), part), " "))
         return (
-            F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "iban", iban).when(kind == "secret", secret)
-            .when(kind == "name", F.concat(title, new_name(rest, canon.startswith("f "), h, attempt))).otherwise(refill(m, new_digits(kind, canon, h)))
+            F.when(kind == "email", let(mail, lambda x: alike(x, m))).when(kind == "ip", octets).when(kind == "iban", iban).when(kind == "secret", secret)
+            .when(kind == "name", name).otherwise(number)
         )
 
-    return let(stream(kind, canon, attempt, key), of)
+    return F.when(kind.isNull(), m).otherwise(let(stream(kind, canon, attempt, key), of))
+
+
+def entity(kind: str | Column, canon: Column, m: Column) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), canon.alias("canon"), m.alias("m"))
+
+
+def name_parts(canon: Column, rest: Column) -> Column:
+    """Given name, if there is one, and family name: each is an entity, so a person with and without given name stays one."""
+    words = F.split(rest, " ")
+    family = F.element_at(words, -1)
+    last = entity("family", F.lower(family), family)
+    given = entity("given", F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.lower(words[0])), words[0])
+    return F.when(F.size(words) > 1, F.array(given, last)).otherwise(F.array(last))
+
+
+def pieces(e: Column) -> Column:
+    """What has to be distinct of an entity: itself; a mail address's domain too; of a name its parts."""
+    whole = entity(e["kind"], e["canon"], e["m"])
+    domain = entity("domain", domain_of(e["canon"]), domain_of(e["canon"]))
+    return F.when(e["kind"] == "email", F.array(whole, domain)).when(e["kind"] == "name", name_parts(e["canon"], title_and_rest(e["m"])[1])).otherwise(F.array(whole))
 
 
 def found(text: Column) -> Column:
@@ -178,57 +226,80 @@ def found(text: Column) -> Column:
     return F.transform(kinds, lambda e: F.struct(e["m"].alias("m"), e["kind"].alias("kind"), canonical(e["m"], e["kind"]).alias("canon")))
 
 
-def clashes(docs: DataFrame, entities: DataFrame, key: str) -> DataFrame:
+def clashes(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of entities whose first surrogate won't do: it is another's too, or a real entity's.
 
-    entities: distinct (kind, canon, m). Of those with one surrogate the least keeps it; the others try on until none
-    clash. Each round checks against all surrogates in use.
+    entities: distinct (kind, canon, m, domain_attempt), the last that of a mail address's domain. Of those with one
+    surrogate the least keeps it; the others try on until none clash. Each round checks against all surrogates in use.
+    Surrogates get longer with the attempts (see LONGER), so there is always room and the rounds end.
     """
+
     def given(e: DataFrame) -> DataFrame:
-        said = surrogate(F.col("m"), F.col("kind"), F.col("canon"), F.col("attempt"), key)
-        return e.withColumn("said", let(said, lambda s: canonical(s, F.col("kind"))))
+        kind, canon, m, attempt = (F.col(c) for c in ("kind", "canon", "m", "attempt"))
+        tries = lambda k, _: F.col("domain_attempt") if isinstance(k, str) else attempt
+        part = F.when(kind == "domain", new_domain(canon, attempt, key)).when(kind == "given", F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.lower(new_part(kind, canon, m, attempt, key))))
+        part = part.when(kind == "family", F.lower(new_part(kind, canon, m, attempt, key)))
+        return e.withColumn("said", F.coalesce(part, let(surrogate(m, kind, canon, tries, key), lambda s: canonical(s, kind))))
 
     now = materialize(given(entities.withColumn("attempt", F.lit(0))), "pii-entities")
-    for _ in range(ROUNDS):
+    while True:
         owners = now.groupBy("kind", "said").agg(F.min("canon").alias("owner"), F.count("*").alias("n"))
         real = now.select("kind", F.col("canon").alias("said")).distinct()
         shared = owners.filter("n > 1").select("kind", "said", "owner").unionAll(owners.join(real, ["kind", "said"], "left_semi").select("kind", "said", F.lit("").alias("owner")))
         shared = materialize(shared.groupBy("kind", "said").agg(F.min("owner").alias("owner")), "pii-shared")
-        bad = now.join(shared, ["kind", "said"]).filter("canon <> owner").select("kind", "canon", "m", (F.col("attempt") + 1).alias("attempt"))
+        bad = now.join(shared, ["kind", "said"]).filter("canon <> owner").select("kind", "canon", "m", "domain_attempt", (F.col("attempt") + 1).alias("attempt"))
         bad = materialize(given(bad), "pii-bad")
+        discard(shared)
         if bad.isEmpty():
-            return now.filter("attempt > 0").select("kind", "canon", "attempt")
+            discard(bad)
+            out = materialize(now.filter("attempt > 0").select("kind", "canon", "attempt"), "pii-again")
+            discard(now)
+            return out
         after = materialize(now.join(bad.select("kind", "canon"), ["kind", "canon"], "left_anti").unionByName(bad), "pii-entities")
-        discard(now)
+        discard(now, bad)
         now = after
-    raise RuntimeError(f"surrogates still clash after {ROUNDS} rounds")
+
+
+def settle(entities: DataFrame, key: str) -> DataFrame:
+    """clashes() of all entities, those of domains first, as mail addresses hold them."""
+    entities = materialize(entities, "pii-all")
+    domains = clashes(entities.filter("kind = 'domain'").withColumn("domain_attempt", F.lit(0)), key)
+    held = domains.select(F.col("canon").alias("of"), F.col("attempt").alias("domain_attempt"))
+    rest = entities.filter("kind <> 'domain'").withColumn("domain", F.when(F.col("kind") == "email", domain_of(F.col("canon"))))
+    rest = rest.join(held, F.col("domain") == F.col("of"), "left").select("kind", "canon", "m", F.coalesce("domain_attempt", F.lit(0)).alias("domain_attempt"))
+    others = clashes(rest, key)
+    out = materialize(domains.unionByName(others), "pii-tries")
+    discard(entities, domains, others)
+    return out
 
 
 def replace(docs: DataFrame, text: str = "text", key: str = "doc_id", secret_key: str = KEY) -> DataFrame:
     """key, text with surrogates, and n_entities of every row.
 
-    Found are mail and IPv4 addresses, phone, card and account numbers, social security numbers, labelled secrets, and
-    names after a title. A surrogate depends on secret_key and on what the entity is, so it is the same wherever and
+    Found are mail and IPv4 addresses, phone, card (by Luhn's check) and account numbers, social security numbers, labelled
+    secrets, and names after a title. A surrogate depends on secret_key and on what the entity is, so it is the same wherever and
     however the entity is written; it keeps separators, case and length class, a phone's country, a card's first digit
-    and Luhn check, a mail domain's identity, and a name's gender and script. Surrogates are checked over all entities of
+    and Luhn check, a mail domain's identity, and a name's gender and script. Given and family names have surrogates of their
+    own, so "Mr. Smith" and "Mr. John Smith" keep one family name. Surrogates are checked over all entities of
     the corpus: none is shared by two and none is a real entity. First surrogates need no join; only the few that clash
-    do, by entity, so common entities cost nothing. Null and empty texts stay as they are; repeated rows stay.
+    do, by entity, so common entities cost nothing. Null and empty texts stay as they are; repeated rows stay; texts may be of
+    any length. Other columns are not read. An empty table gives no rows.
     """
     rows = null_safe(docs, key, text).toDF("id", "body")
-    listed = rows.select(F.explode(found(F.col("body"))).alias("e")).select("e.kind", "e.canon", "e.m")
-    entities = listed.groupBy("kind", "canon").agg(F.min("m").alias("m"))
-    again = clashes(rows, entities, secret_key)
+    listed = rows.select(F.explode(F.flatten(F.transform(F.filter(found(F.col("body")), lambda e: e["kind"].isNotNull()), pieces))).alias("e"))
+    again = settle(listed.select("e.kind", "e.canon", "e.m").groupBy("kind", "canon").agg(F.min("m").alias("m")), secret_key)
     seen = rows.withColumn("e", found(F.col("body")))
     if again.isEmpty():
-        seen = seen.withColumn("tries", F.lit(None).cast("map<string,int>"))
+        attempt = lambda kind, canon: F.lit(0)
     else:
         named = seen.withColumn("row", F.struct(F.xxhash64("body").alias("x"), F.xxhash64(F.lit(7), "body").alias("y")))
-        uses = named.select("row", F.explode("e").alias("u")).select("row", "u.kind", "u.canon").distinct().join(materialize(again, "pii-again"), ["kind", "canon"])
+        uses = named.select("row", F.explode(F.flatten(F.transform(F.filter("e", lambda e: e["kind"].isNotNull()), pieces))).alias("u"))
+        uses = uses.select("row", "u.kind", "u.canon").distinct().join(again, ["kind", "canon"])
         tries = uses.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("tries"))
         seen = named.join(materialize(tries, "pii-tries"), "row", "left").drop("row")
-    attempt = lambda e: F.coalesce(F.element_at("tries", F.concat_ws("|", e["kind"], e["canon"])), F.lit(0))
-    new = F.transform("e", lambda e: surrogate(e["m"], e["kind"], e["canon"], attempt(e), secret_key))
+        attempt = lambda kind, canon: F.coalesce(F.element_at("tries", F.concat_ws("|", F.lit(kind) if isinstance(kind, str) else kind, canon)), F.lit(0))
+    new = F.transform("e", lambda e: surrogate(e["m"], e["kind"], e["canon"], attempt, secret_key))
     between = F.split(F.col("body"), ANY, -1)
+    count = F.size(F.filter("e", lambda e: e["kind"].isNotNull())).cast("long")
     joined = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    body = F.when(F.size("e") > 0, joined).otherwise(F.col("body"))
-    return seen.select(F.col("id").alias(key), body.alias(text), F.size("e").cast("long").alias("n_entities"))
+    return seen.select(F.col("id").alias(key), F.when(count > 0, joined).otherwise(F.col("body")).alias(text), count.alias("n_entities"))

@@ -8,12 +8,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import connected_components, materialize, null_safe, parts, unsigned
+from quillspark.llm.common import connected_components, discard, first_of_each, materialize, null_safe, parts, unsigned
 
-SEED, SHINGLE, RADIUS, LARGEST_TREE = 42, 3, 2, 2048
+SEED, SHINGLE, RADIUS, LARGEST_TREE, BUCKET = 42, 3, 2, 2048, 20_000
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits set in over half of the 64-bit values."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(np.ascontiguousarray(h[at : at + (1 << 16)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -29,11 +37,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(lengths) - 1
     starts = (ends - lengths + 1)[: len(words) - shingle + 1].tolist()
     ends = ends[shingle - 1 :].tolist()
-    ones, n = np.zeros(64, np.int64), len(starts)
-    for at in range(0, n, 1 << 16):
-        h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts)))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -119,13 +123,14 @@ def radius_links(words: DataFrame, radius: int = RADIUS, largest: int = LARGEST_
     cut = [F.shiftrightunsigned(F.shiftleft("fp", max(0, 64 - width * (i + 1))) if i + 1 < bands else F.col("fp"), 64 - width if i + 1 < bands else width * i) for i in range(bands)]
     sharded = words.select("fp", F.posexplode(F.array(*cut)).alias("band", "shard"))
     sizes = materialize(sharded.groupBy("band", "shard").agg(F.count("*").alias("n")).filter("n > 1"), "bk-shards")
-    met = sharded.join(sizes, ["band", "shard"])
+    met = sharded.join(sizes.hint("merge"), ["band", "shard"])  # sizes grow with the input, so they are never broadcast
     heavy = None
     if radius == 2:
         heavy = met.filter(F.col("n") > largest).select("fp").distinct()
         met = met.filter(F.col("n") <= largest)
-    buckets = max(parts(words.sparkSession), 1)
-    met = met.withColumn("bucket", F.pmod(F.xxhash64("band", "shard"), F.lit(4 * buckets)))
+    # a task gets a bounded number of words whatever the input: buckets grow with the words that meet
+    total = sizes.filter(F.col("n") <= largest).agg(F.sum("n")).first()[0] or 0
+    met = met.withColumn("bucket", F.pmod(F.xxhash64("band", "shard"), F.lit(max(parts(words.sparkSession), total // BUCKET + 1))))
     links = met.select("bucket", "band", "shard", "fp").groupBy("bucket").applyInPandas(lambda f: shard_links(f, radius), "a long, b long")
     if heavy is None:
         return links
@@ -140,25 +145,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     """key, fingerprint (16 hex digits) and component_id (smallest key reachable by links of at most radius bits) of each row.
 
     Equal fingerprints are one word with its smallest key; copies are never paired. Null texts have fingerprint 0;
-    repeated rows stay; a null key has a component only through others. An empty table gives no rows.
+    repeated rows stay; a null key has a component only through others. Other columns are not read. An empty table gives
+    no rows. Joins against tables that grow with the input go by merge at every size.
     """
     prints = materialize(fingerprints(docs, text, key), "sh-prints")
     words = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "sh-words")
     links = materialize(radius_links(words.select("fp"), radius, largest), "sh-links")
     comps = materialize(connected_components(links), "sh-components")
-    grouped = words.join(comps, words["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    grouped = words.join(comps.hint("merge"), words["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     smallest = materialize(grouped.groupBy("c").agg(F.min("least").alias("component_id")), "sh-smallest")
-    labels = materialize(grouped.join(smallest, "c").select("fp", "component_id"), "sh-labels")
-    return prints.join(labels, "fp").select(F.col("id").alias(key), unsigned(F.col("fp")).alias("fingerprint"), "component_id")
+    labels = materialize(grouped.join(smallest.hint("merge"), "c").select("fp", "component_id"), "sh-labels")
+    discard(words, links, comps, smallest)
+    return prints.join(labels.hint("merge"), "fp").select(F.col("id").alias(key), unsigned(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """docs without near-duplicates: of each group the row with the smallest key stays (one row, should the key repeat).
+    """docs without near-duplicates by fingerprint: of each group the row with the smallest key stays (one row, should the key repeat).
 
-    Rows with a null key stay, as nothing names them.
+    Rows with a null key stay, as nothing names them. All columns stay as they are.
     """
-    found = materialize(near_duplicates(docs, text, key, radius).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct(), "sh-kept")
-    kept = docs.join(found, docs[key] == found["_kept"], "left_semi")
-    order = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    kept = kept.withColumn("_copy", F.row_number().over(order)).filter("_copy = 1").drop("_copy")
-    return kept.unionAll(docs.filter(F.col(key).isNull()))
+    near = near_duplicates(docs, text, key, radius).filter(F.col(f"`{key}`") == F.col("component_id"))
+    return first_of_each(docs, materialize(near.select("component_id"), "sh-kept"), text, key)

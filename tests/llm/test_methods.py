@@ -1,6 +1,7 @@
 """The methods themselves against plain versions."""
 
 import random
+import re
 import struct
 from collections import Counter
 
@@ -157,6 +158,53 @@ def test_shared_lines_go_without_landmarks():
     assert html_extract.main_text("<article>a<div class='comment'>c</div><aside>s</aside></article><footer>f</footer>", None)[0] == "a"
 
 
+def test_inline_furniture_and_slashes():
+    text = lambda page: html_extract.main_text(page, None)[0]
+    assert text('<article><p>Text <span class="ad">Buy now</span> more</p></article>') == "Text more"
+    assert text("<nav class=x href=/b/>menu</nav><p>body</p>") == "body" and text("<div/>a<p>b</p>") == "a b"
+    assert text("<svg/><p>a</p><svg><text>b</text></svg>") == "a" and text("<article><p>a <b class=comment>x</b></p><p>b</article>") == "a b"
+
+
+def test_shared_lines_decide_inside_and_outside_landmarks():
+    page = "<div><p>Site name</p></div><article><p>Share this story</p><p>Own story number {0}, with words enough</p></article><div>Terms of use</div>"
+    assert html_extract.main_text(page.format(1), page.format(2)) == ("Own story number 1, with words enough", 4, 3)
+    teaser = "<article><p>Teaser</p></article><div><p>The long text of page {0} stands outside of the element</p></div>"
+    assert html_extract.main_text(teaser.format(1), teaser.format(2))[0] == "Teaser The long text of page 1 stands outside of the element"
+    copy = "<p>Menu {0}</p><article><p>One and the same article in two places</p></article>"
+    assert html_extract.main_text(copy.format(1), copy.format(2))[0] == "One and the same article in two places"
+
+
+def test_main_text_query_is_that_of_brute_force(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        host, path = rng.choice(["a.example", "b.example", "a.example", "a.example", "A.example"]), f"/{rng.randrange(9)}/{rng.randrange(9)}"
+        blocks = [rng.choice(["Home", "Terms", f"story {rng.randrange(40)} of some length", "Share", f"own {i}"]) for _ in range(rng.randrange(7))]
+        body = "".join(rng.choice(["<p>{}</p>", "<article><p>{}</p></article>", "<div class=ad>{}</div>"]).format(b) for b in blocks)
+        rows.append((i, f"http://{host}{path}" if rng.random() > 0.05 else None, body if rng.random() > 0.05 else None))
+    rows += rows[:10] + rows[5:8]
+    ordered = sorted(rows, key=lambda r: ((r[1] or "").lower()[7:16], (r[1] or "")[16:], str(r[0])))
+    want = Counter()
+    for n, (i, u, h) in enumerate(ordered):
+        mine = [t for t, _ in html_extract.lines(h)]
+        near = None
+        for step in (-1, 1):
+            m = n + step
+            while near is None and 0 <= m < len(ordered) and (ordered[m][1] or "").lower()[7:16] == (u or "").lower()[7:16]:
+                other = [t for t, _ in html_extract.lines(ordered[m][2])]
+                near = other if other != mine else None
+                m += step
+        d = {}
+        for a in range(len(mine), -1, -1):
+            for b in range(len(near or []), -1, -1):
+                d[a, b] = 0 if a == len(mine) or b == len(near or []) else d[a + 1, b + 1] + 1 if mine[a] == near[b] else max(d[a + 1, b], d[a, b + 1])
+        text, blocks, _ = html_extract.main_text(h, None if near is None else next(r[2] for r in ordered if [t for t, _ in html_extract.lines(r[2])] == near))
+        assert len(html_extract.shared_lines(mine, near)) == (d[0, 0] if near is not None else 0)
+        want[(i, u, text, len(text), blocks)] += 1
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert Counter((r.page_id, r.url, r.text, r.n_chars, r.n_blocks) for r in got) == want
+
+
 def video(sizes, keys):
     """An MP4 with one track of variable samples in chunks of two, and keyframes."""
     pairs = [sizes[i : i + 2] for i in range(0, len(sizes), 2)]
@@ -182,6 +230,38 @@ def test_keyframe_ranges():
     assert [(k["start"] - base, k["length"], k["first_sample"], k["samples"]) for k in t["keyframes"]] == [(0, 10, 0, 1), (60, 90, 3, 2)]
 
 
+def test_compact_sizes_codecs_and_fragments():
+    u = lambda *x: struct.pack(f">{len(x)}I", *x)
+
+    def parsed(stsz, entry, samples=0, handler=b"vide", after=b"", extends=b"", offset=0):
+        stbl = media.box(b"stbl", media.full(b"stsd", u(1), entry), media.full(b"stts", u(*([1, samples, 1] if samples else [0]))), media.full(b"stsc", u(*([1, 1, samples, 1] if samples else [0]))), stsz, media.full(b"stco", u(*([1, offset] if samples else [0]))))
+        mdia = media.box(b"mdia", media.full(b"mdhd", u(0, 0, 1000, samples, 0)), media.full(b"hdlr", bytes(4), handler, bytes(13)), media.box(b"minf", stbl))
+        moov = media.box(b"moov", media.full(b"mvhd", bytes(96)), media.box(b"trak", media.full(b"tkhd", u(0, 0, 7), bytes(72)), mdia), extends)
+        data = moov + after
+        return media.parse(data)[2][0] if media.parse(data)[0] == "ok" else media.parse(data)
+
+    for bits, packed in ((4, bytes([0x12, 0x30])), (8, bytes([1, 2, 3])), (16, struct.pack(">3H", 1, 2, 3))):
+        t = parsed(media.full(b"stz2", bytes([0, 0, 0, bits]), u(3), packed), media.box(b"raw ", bytes(78)), 3, after=media.box(b"mdat", bytes(9)))
+        assert (t["samples"], t["bytes"], t["keyframes"][0]["length"]) == (3, 6, 6)
+    empty = media.full(b"stsz", u(0, 0))
+    hvc = media.box(b"hvc1", bytes(78), media.box(b"hvcC", bytes([1, 1]), u(0x60000000), bytes(6), bytes([93]), bytes(10)))
+    aac = media.box(b"mp4a", bytes(28), media.full(b"esds", bytes([3, 25, 0, 1, 0, 4, 17, 0x40, 0x15]), bytes(11), bytes([5, 2, 0x12, 0x10])))
+    av1 = media.box(b"av01", bytes(78), media.box(b"av1C", bytes([0x81, 0x04, 0x40, 0])))
+    assert parsed(empty, hvc)["codec"] == "hvc1.1.6.L93" and parsed(empty, aac, handler=b"soun")["codec"] == "mp4a.40.2" and parsed(empty, av1)["codec"] == "av01.0.04M.10"
+    extends = media.box(b"mvex", media.full(b"trex", u(7, 1, 0, 5, 0x10000)))
+
+    def fragment(*sizes, first=0):
+        run = lambda place: media.full(b"trun", u(len(sizes), place, first, *sizes), flags=0x205)
+        moof = lambda place: media.box(b"moof", media.box(b"traf", media.full(b"tfhd", u(7), flags=0x20000), run(place)))
+        return moof(len(moof(0)) + 8) + media.box(b"mdat", bytes(sum(sizes)))
+
+    one = fragment(10, 20, 30)
+    t = parsed(empty, hvc, after=one + fragment(7, 8), extends=extends)
+    a, b = t["keyframes"]
+    assert (t["samples"], t["bytes"], a["length"], a["first_sample"], b["length"], b["first_sample"]) == (5, 75, 10, 0, 7, 3) and b["start"] - a["start"] == len(one)
+    assert parsed(empty, hvc, after=one[:-1], extends=extends)[0].startswith("malformed")
+
+
 def test_broken_media_has_a_reason(spark):
     whole = video([10, 20], [1])
     rows = [(i, bytearray(whole[:n])) for i, n in enumerate((0, 4, 30, len(whole) - 9, len(whole)))] + [(9, None)]
@@ -207,6 +287,31 @@ def test_surrogates_stay_distinct_and_alike(spark):
     new = [got[i][4 : got[i].index(" and ")] for i in range(len(rows))]
     assert all(got[i] == f"see {n} and {n}." for i, n in enumerate(new)) and len(set(new)) == len(rows)
     assert not set(new) & {*mails, *ips, *names} and all(n.startswith("Mr. ") for n in new[500:])
+    assert len({n.split()[1] for n in new[500:]}) == 10
+
+
+def test_full_formats_end_and_domains_stay_apart(spark):
+    mails = [f"{c}@mail.example" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"user@{c}{d}.org" for c in "abcdefgh" for d in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    got = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(list(enumerate(mails)), "doc_id long, text string")).collect()}
+    assert len(set(got.values())) == len(mails) and not set(got.values()) & set(mails)
+    domain = lambda x: x.split("@")[1]
+    assert len({domain(got[i]) for i in range(26)}) == 1 and len({domain(got[i]) for i in range(26, len(mails))}) == len(mails) - 26
+
+
+def test_entities_in_null_long_repeated_and_crossed_rows(spark):
+    card, no_card = "4111 1111 1111 1111", "4111 1111 1111 1112"
+    text = f"Mr. John Smith ({card}) met MR. SMITH? no, Mr. Smith and Mrs. Jane Smith; {no_card}, 1.2.3.4"
+    rows = [(1, text, "x", 1), (1, text, "x", 1), (2, None, None, None), (3, "word " * 200_000 + "mail a.b@c.example", "y", 2), (None, "call +1 (980) 555-2833 or +1 980 555 2833", "z", 3)]
+    got = pii.replace(spark.createDataFrame(rows, "doc_id long, text string, body string, tries int")).collect()
+    by = {r.doc_id: r for r in got}
+    one = by[1].text
+    assert len(got) == 5 and sum(r.text == one for r in got) == 2 and by[2].text is None and by[2].n_entities == 0
+    first, second, third = re.findall(r"Mrs?\. (\w+ ?\w*)(?= \(| and|;)", one)
+    assert first.split()[1] == second == third.split()[1] != "Smith" and first.split()[0].endswith("o") and third.split()[0].endswith("a")
+    assert no_card in one and card not in one and "1.2.3.4" not in one and sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(re.search(r"\((\d{4} \d{4} \d{4} \d{4})\)", one)[1].replace(" ", ""))) % 10 == 0
+    assert by[3].n_entities == 1 and by[3].text.startswith("word word") and "a.b@c.example" not in by[3].text
+    a, b = re.search(r"call (.*) or (.*)", by[None].text).groups()
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) and a.startswith("+1 (") and by[None].n_entities == 2
 
 
 def test_chain_on_held_out_rows():
@@ -234,9 +339,9 @@ def test_projection_passes_recall(spark):
     assert all(links[i] <= near[i].sum() for i in range(len(x))) and sum(links.values()) >= 0.9 * near.sum()
 
 
-@pytest.mark.parametrize("small", (32, 2))
-def test_shingle_components_are_those_of_all_pairs(spark, monkeypatch, small):
-    monkeypatch.setattr(shingle_dedup, "SMALL", small)
+@pytest.mark.parametrize("block", (512, 2))
+def test_shingle_components_are_those_of_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(shingle_dedup, "BLOCK", block)
     monkeypatch.setattr(shingle_dedup, "COMMON", 5)
     random.seed(8)
     texts = []
