@@ -258,7 +258,7 @@ def test_compact_sizes_codecs_and_fragments():
     one = fragment(10, 20, 30)
     t = parsed(empty, hvc, after=one + fragment(7, 8), extends=extends)
     a, b = t["keyframes"]
-    assert (t["samples"], t["bytes"], a["length"], a["first_sample"], b["length"], b["first_sample"]) == (5, 75, 10, 0, 7, 3) and b["start"] - a["start"] == len(one)
+    assert (t["samples"], t["bytes"], a["length"], a["first_sample"], b["length"], b["first_sample"]) == (5, 75, 10, 0, 7, 3) and b["start"] - a["start"] == len(one) - 4  # its table is one entry shorter
     assert parsed(empty, hvc, after=one[:-1], extends=extends)[0].startswith("malformed")
 
 
