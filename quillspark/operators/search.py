@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,13 +56,40 @@ def page(hits: DataFrame, limit: int, *order: Column) -> DataFrame:
     return hits.orderBy(*order).limit(max(1, min(500, limit)))
 
 
-def many_phrases(rows: DataFrame, phrases: DataFrame, text: str, phrase: str, gram: int = 24) -> DataFrame:
-    """Pairs of rows and phrases (long ones) where the row holds the phrase.
+def many_phrases(rows: DataFrame, phrases: DataFrame, key: str, text: str, phrase_key: str, phrase: str, most: int = 32 << 20) -> DataFrame:
+    """(key, phrase_key) of rows and phrases where the row's text holds the whole phrase; null and empty phrases match nothing.
 
-    Phrases meet rows by one rare place instead of by a cross join: each phrase looks for the least of its `gram`-letter
-    strings by hash; rows offer all of theirs that some phrase wants.
+    Phrases are the small side: they go to the tasks as an automaton that finds all of them in one scan of the texts, without
+    a shuffle. Their size is checked: past `most` bytes they are dealt to as many automata as are needed, a scan each.
     """
-    grams = lambda c: overlapping(c, gram)
-    wanted = phrases.withColumn("gram", F.array_min(F.transform(grams(F.col(phrase)), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
-    offered = rows.select("*", F.explode(F.array_distinct(grams(F.col(text)))).alias("gram"))
-    return offered.join(wanted, "gram").filter(F.col(text).contains(F.col(phrase))).drop("gram")
+    spark = rows.sparkSession
+    wanted = phrases.select(F.col(phrase_key).alias("item"), F.col(phrase).alias("phrase")).filter("phrase <> ''")
+    total = wanted.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
+    shards = int(total // most) + 1
+    kind, item = rows.schema[key].dataType.simpleString(), phrases.schema[phrase_key].dataType.simpleString()
+
+    def matches(shard: int) -> DataFrame:
+        sent = spark.sparkContext.broadcast([tuple(r) for r in wanted.filter(F.pmod(F.xxhash64("phrase"), F.lit(shards)) == shard).collect()])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            same: dict[str, list] = defaultdict(list)
+            for i, words in sent.value:
+                same[words].append(i)
+            automaton = ahocorasick.Automaton()
+            for words, items in same.items():
+                automaton.add_word(words, items)
+            automaton.make_automaton()
+            for batch in batches:
+                at, found = [], []
+                for i, x in enumerate(batch.column(1).to_pylist() if same else ()):
+                    for n in {n for _, items in automaton.iter(x or "") for n in items}:
+                        at.append(i)
+                        found.append(n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(found, types[item])], names=[key, phrase_key])
+
+        return rows.select(key, text).mapInArrow(run, f"{key} {kind}, {phrase_key} {item}")
+
+    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    return reduce(DataFrame.unionAll, map(matches, range(shards)))

@@ -26,25 +26,31 @@ def ranked(files: DataFrame, run: str = "run_id") -> DataFrame:
 def candidate_slots(plan: DataFrame, files: int, pages: int, run: str = "run_id") -> DataFrame:
     """slot_action of each routed file, in rank order: a slot, or the quota it met.
 
-    A PDF takes its pages first; one that gets none costs no slot. Files beyond the slots need no fold, but which those
-    are depends on the PDFs before them, so each run is folded once over its narrow rows.
+    A PDF takes its pages first; one that gets none costs no slot. Pages and slots only ever get fewer, so among files that
+    need the same number of pages those with a slot come first: at most `files` of each need can have one. Only these are
+    folded, a bounded number a run whatever its size; they are the first of their need by a rank that is cut before the
+    shuffle. Of the others, a PDF that needs more pages than are left at the end lacks pages, and all else lacks slots.
     """
-    row = F.struct("rank", F.col("file_identity").alias("id"), F.when(F.col("route") == "pdf", F.least("page_count", F.lit(PDF_MAX_PAGES))).otherwise(0).cast("long").alias("need"), (F.col("route") == "pdf").alias("pdf"))
-    runs = plan.groupBy(run).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.lit(files).cast("long").alias("slots"), F.lit(pages).cast("long").alias("pages"), F.array().cast("array<struct<id:string,slot_action:string>>").alias("out"))
+    pdf = F.col("route") == "pdf"
+    need = F.when(pdf, F.least("page_count", F.lit(PDF_MAX_PAGES))).otherwise(-1).cast("long")
+    routed = plan.select(run, "rank", "file_identity", need.alias("need"))
+    first = routed.withColumn("turn", F.row_number().over(Window.partitionBy(run, "need").orderBy("rank"))).filter(F.col("turn") <= files)
+    row = F.struct("rank", F.col("file_identity").alias("id"), F.greatest("need", F.lit(0)).alias("need"), (F.col("need") >= 0).alias("pdf"))
+    runs = first.groupBy(run).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    start = F.struct(F.lit(files).cast("long").alias("slots"), F.lit(pages).cast("long").alias("pages"), F.array().cast("array<string>").alias("out"))
 
     def step(s, r):
-        short = r["pdf"] & (r["need"] > s["pages"])
-        full = ~short & (s["slots"] <= 0)
-        given = ~short & ~full
-        said = F.when(short, "pdf_page_quota_exhausted").when(full, "candidate_quota_exhausted").otherwise("slot")
+        given = ~(r["pdf"] & (r["need"] > s["pages"])) & (s["slots"] > 0)
         return F.struct(
             (s["slots"] - given.cast("long")).alias("slots"), (s["pages"] - F.when(given, r["need"]).otherwise(0)).cast("long").alias("pages"),
-            F.concat(s["out"], F.array(F.struct(r["id"].alias("id"), said.alias("slot_action")))).alias("out"),
+            F.when(given, F.concat(s["out"], F.array(r["id"]))).otherwise(s["out"]).alias("out"),
         )
 
-    done = runs.select(run, F.explode(F.aggregate("rows", start, step)["out"]).alias("r"))
-    return done.select(run, F.col("r.id").alias("file_identity"), "r.slot_action")
+    done = runs.select(run, F.aggregate("rows", start, step).alias("end"))
+    given = done.select(run, F.explode("end.out").alias("file_identity"), F.lit("slot").alias("given"))
+    said = F.when(F.col("given").isNotNull(), F.col("given")).when(F.col("need") > F.col("pages"), "pdf_page_quota_exhausted").otherwise("candidate_quota_exhausted")
+    out = routed.join(given, [run, "file_identity"], "left").join(done.select(run, "end.pages"), run)
+    return out.select(run, "file_identity", said.alias("slot_action"))
 
 
 def first_fit(costs: DataFrame, budget: int, extractions: int, run: str = "run_id") -> DataFrame:
@@ -81,7 +87,8 @@ def omitted_prefix(omitted: DataFrame, budget: int, run: str = "run_id") -> Data
 def decisions(files: DataFrame, kind: str = "daily", budget: int = 60_000, per_file: int = 6_000, max_size: int = 30_000) -> DataFrame:
     """One row a file: rank, route, action, reason and characters taken. No input row is lost.
 
-    Only narrow columns are folded; contents join in when a body is needed.
+    Only narrow columns are folded; contents join in when a body is needed. input_chars is the text's length where it was
+    read whole or in part, and the discovered size where there is no body to count.
     """
     slots, pages, extractions = QUOTAS[kind]
     plan = ranked(files).withColumn("route", rules.route(F.col("extension"), F.col("size_bytes"), max_size))
@@ -95,7 +102,8 @@ def decisions(files: DataFrame, kind: str = "daily", budget: int = 60_000, per_f
     rejected = F.regexp_extract("route", "^(?:not_parsed|reject):(.*)$", 1)
     reason = F.when(rejected != "", rejected).when(F.col("slot_action") != "slot", F.col("slot_action")).when(F.col("admit_action") != "admit", F.col("admit_action"))
     status = F.when(F.col("route").startswith("reject:"), "error").when(reason.isNotNull(), "not_parsed").otherwise("success")
-    said = rules.decision(status, reason, F.col("route"), F.col("size_bytes"), F.col("n_chars"), F.lit(False), F.col("extension"), max_size, per_file)
+    said = rules.decision(status, reason, F.col("route"), F.col("size_bytes"), F.col("n_chars"), F.col("truncated"), F.col("extension"), max_size, per_file)
     out = out.withColumn("said", said)
     taken = F.when(F.col("said.action").isin("keep", "compress"), F.least(F.col("n_chars"), F.lit(per_file))).otherwise(0)
-    return out.select("run_id", "relative_path", "extension", "priority", "rank", "route", "said.action", "said.reason", taken.cast("long").alias("output_chars"), F.col("n_chars").alias("input_chars"))
+    return out.select("run_id", "relative_path", "extension", "priority", "rank", "route", "said.action", "said.reason", taken.cast("long").alias("output_chars"),
+        F.when(F.col("said.action").isin("keep", "compress"), F.col("n_chars")).otherwise(F.col("size_bytes")).alias("input_chars"))

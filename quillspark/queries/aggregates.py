@@ -61,7 +61,7 @@ def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grouped_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = load(spark, sf_dir, "documents").filter("doc_id % 4 = 1")
+    d = load(spark, sf_dir, "documents")
     return metrics.headed_groups(d, ["lang"], "source", "n_chars", "doc_id", 6).select("lang", "source", "first", "labels", "n")
 
 
@@ -96,7 +96,7 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (text, sources) in order of first sight."""
-    c = load(spark, sf_dir, "conversations").select("role", F.left("text", F.lit(12)).alias("k"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
+    c = load(spark, sf_dir, "conversations").select("role", F.col("text").alias("k"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
     first = c.groupBy("role", "k").agg(F.min("at").alias("at"))
     return first.select("role", "k", F.row_number().over(Window.partitionBy("role").orderBy("at")).alias("n"))
 
@@ -154,7 +154,7 @@ ORACLES = {
       SELECT scope, id, count(*) AS calls, CASE WHEN count(c) = count(*) THEN CAST(sum(c) AS BIGINT) END AS cost FROM s GROUP BY 1, 2""",
     "charged_usage": f"SELECT user_id, CAST(sum(CASE WHEN event_type = 'error' THEN 100 ELSE {K} END) AS BIGINT) AS charged, count(*) FILTER (event_type = 'error') AS reserved FROM events GROUP BY 1",
     "percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1",
-    "grouped_gaps": """WITH g AS (SELECT lang, source, min(doc_id) AS first, list_sort(list(DISTINCT n_chars)) AS l, count(*) AS n FROM documents WHERE doc_id % 4 = 1 GROUP BY 1, 2)
+    "grouped_gaps": """WITH g AS (SELECT lang, source, min(doc_id) AS first, list_sort(list(DISTINCT n_chars)) AS l, count(*) AS n FROM documents GROUP BY 1, 2)
       SELECT lang, source, first, array_to_string(l[1:6], ', ') || CASE WHEN len(l) > 6 THEN ' +' || (len(l) - 6) ELSE '' END AS labels, n FROM g""",
     "gap_rows": """SELECT DISTINCT source, lang, code FROM (SELECT source, lang, unnest([CASE WHEN n_chars > 5000 THEN 'PARSE_BOUNDED' END, CASE WHEN doc_id % 6 = 0 THEN 'SOURCE_UNAVAILABLE' END, CASE WHEN n_chars < 300 THEN 'EMPTY' END,
       CASE WHEN lang <> 'en' THEN 'LANGUAGE' END, CASE WHEN contains(text, '@') THEN 'PERSONAL' END]) AS code FROM documents) WHERE code IS NOT NULL""",
@@ -162,7 +162,7 @@ ORACLES = {
       SELECT source, reason, count(*) AS n, array_to_string(list_sort(list(DISTINCT doc_id))[1:10], ',') AS first FROM d WHERE reason IS NOT NULL GROUP BY 1, 2""",
     "backend_summary": """SELECT lang, string_agg(b || '=' || n, ',' ORDER BY b) AS backends, CAST(sum(n) AS BIGINT) AS files FROM (SELECT lang, 'b' || (doc_id % 3) AS b, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1""",
     "duplicate_groups": "SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS first, max(n_chars) AS chars FROM documents GROUP BY text HAVING count(*) > 1",
-    "summary_merge": """SELECT role, k, CAST(row_number() OVER (PARTITION BY role ORDER BY seen) AS INTEGER) AS n FROM (SELECT role, left(text, 12) AS k, min(conv_id * 1000 + turn) AS seen FROM conversations GROUP BY 1, 2)""",
+    "summary_merge": """SELECT role, k, CAST(row_number() OVER (PARTITION BY role ORDER BY seen) AS INTEGER) AS n FROM (SELECT role, text AS k, min(conv_id * 1000 + turn) AS seen FROM conversations GROUP BY 1, 2)""",
     "daily_rollup": f"""WITH {EV} SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS runs, count(*) FILTER (event_type = 'error') AS failures, arg_max(event_type, (ts, event_id)) AS last_status, arg_max(user_id, (ts, event_id)) AS last_user FROM ev GROUP BY 1""",
     "health_status": """SELECT user_id, CASE max(CASE WHEN event_type <> 'error' THEN 1 WHEN value > 50 THEN 3 ELSE 2 END) WHEN 3 THEN 'error' WHEN 2 THEN 'warning' ELSE 'ok' END AS status, count(*) FILTER (event_type = 'error') AS raised FROM events GROUP BY 1""",
     "run_status": "SELECT source, lang, CASE WHEN NOT bool_or(n_chars > 400) THEN 'error' WHEN bool_and(n_chars > 400) THEN 'success' ELSE 'partial' END AS status, count(*) FILTER (n_chars > 400) AS usable FROM documents GROUP BY 1, 2",

@@ -50,10 +50,10 @@ said AS (
   FROM ranked r LEFT JOIN fold f ON f.run_id = r.run_id AND f.file_identity = r.file_identity),
 decided AS (
   SELECT run_id, relative_path, extension, priority, rank, route,
-    CASE WHEN route LIKE 'reject:%' THEN 'error' WHEN why IS NOT NULL THEN 'omit' WHEN n_chars <= 6000 THEN 'keep' ELSE 'compress' END AS action,
-    CASE WHEN why IS NOT NULL THEN why WHEN n_chars <= 6000 THEN 'small_file_keep' WHEN extension = '.log' THEN 'large_log_tail'
+    CASE WHEN route LIKE 'reject:%' THEN 'error' WHEN why IS NOT NULL THEN 'omit' WHEN n_chars <= 6000 AND NOT truncated THEN 'keep' ELSE 'compress' END AS action,
+    CASE WHEN why IS NOT NULL THEN why WHEN n_chars <= 6000 AND NOT truncated THEN 'small_file_keep' WHEN extension = '.log' THEN 'large_log_tail'
          WHEN extension IN ('.docx','.pptx','.xlsx','.xls','.doc','.ppt','.pdf') THEN 'large_document_summary' ELSE 'medium_text_compress' END AS reason,
-    CAST(CASE WHEN why IS NULL AND route NOT LIKE 'reject:%' THEN least(n_chars, 6000) ELSE 0 END AS BIGINT) AS output_chars, n_chars AS input_chars
+    CAST(CASE WHEN why IS NULL AND route NOT LIKE 'reject:%' THEN least(n_chars, 6000) ELSE 0 END AS BIGINT) AS output_chars, CASE WHEN why IS NULL AND route NOT LIKE 'reject:%' THEN n_chars ELSE size_bytes END AS input_chars
   FROM said)
 """
 )
@@ -110,8 +110,12 @@ def omitted_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations of the books: rendered more than reserved, budgets exceeded, or a run's parts that do not add up."""
+    """Violations of the books (B28, B32): rendered more than reserved, budgets exceeded, or a run's parts that do not add up.
+
+    The books are the decisions with planted faults: some rows rendered too much, some lost their action.
+    """
     d = flagship_decisions(spark, sf_dir)
+    d = d.withColumn("output_chars", F.col("output_chars") + F.when(F.col("rank") % 37 == 1, 6500).otherwise(0)).withColumn("action", F.when(F.col("rank") % 41 != 2, F.col("action")))
     per_run = d.groupBy("run_id").agg(F.sum("output_chars").alias("value"), F.count("*").alias("n"), F.count_if(F.col("action").isin("keep", "compress", "omit", "error", "metadata_only")).alias("said"))
     over = per_run.filter("value > 48000").select("run_id", F.lit("budget").alias("rule"), "value")
     lost = per_run.filter("n <> said").select("run_id", F.lit("undecided").alias("rule"), (F.col("n") - F.col("said")).alias("value"))
@@ -134,6 +138,8 @@ ORACLES = {
           (SELECT run_id, reason, extension, count(*) AS n FROM decided WHERE action = 'omit' GROUP BY ALL)) GROUP BY 1, 2, 3""",
     "omitted_details": DECIDED_SQL + """SELECT run_id, rank, relative_path, used FROM (SELECT *, CAST(sum((length(relative_path) + length(reason) + 20) * 40) OVER (PARTITION BY run_id ORDER BY rank) AS BIGINT) AS used
         FROM decided WHERE action = 'omit') WHERE used <= 12000""",
-    "reconciliation": DECIDED_SQL + """SELECT run_id, 'budget' AS rule, CAST(sum(output_chars) AS BIGINT) AS value FROM decided GROUP BY run_id HAVING sum(output_chars) > 48000
-        UNION ALL SELECT run_id, 'per_file', count(*) FROM decided WHERE output_chars > 6000 GROUP BY run_id""",
+    "reconciliation": DECIDED_SQL + """, books AS (SELECT run_id, output_chars + CASE WHEN rank % 37 = 1 THEN 6500 ELSE 0 END AS c, rank % 41 = 2 AS lost FROM decided)
+        SELECT run_id, 'budget' AS rule, CAST(sum(c) AS BIGINT) AS value FROM books GROUP BY run_id HAVING sum(c) > 48000
+        UNION ALL SELECT run_id, 'undecided', count(*) FILTER (lost) FROM books GROUP BY run_id HAVING bool_or(lost)
+        UNION ALL SELECT run_id, 'per_file', count(*) FROM books WHERE c > 6000 GROUP BY run_id""",
 }

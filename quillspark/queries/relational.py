@@ -103,7 +103,7 @@ def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unique_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that stand once in a document and once in the next but nineteen of its source."""
-    d = load(spark, sf_dir, "documents").filter("length(text) < 20000").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    d = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     left = d.withColumn("pair", F.col("doc_id"))
     right = d.withColumn("pair", F.col("doc_id") - 20)
     out = joins.unique_anchors(left.drop("doc_id"), right.drop("doc_id"), ["pair"], "line")
@@ -156,7 +156,7 @@ def history_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users by what they did: union, intersection and difference of sets, and exact-set equality."""
     e = load(spark, sf_dir, "events")
-    sets = e.filter("event_id % 7 = 0").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("types"))
+    sets = e.groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("types"))
     want = F.array(F.lit("click"), F.lit("error"), F.lit("refund"))
     return sets.select(
         "user_id", F.array_join(F.array_sort(F.array_union("types", want)), ",").alias("both"), F.array_join(F.array_sort(F.array_intersect("types", want)), ",").alias("common"),
@@ -228,7 +228,7 @@ ORACLES = {
     "citation_labels": """WITH c AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS i FROM events WHERE event_type = 'view'),
       s AS (SELECT row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM documents))
       SELECT user_id, string_agg('S' || lpad(CAST(i + 1 AS VARCHAR), 3, '0'), ', ' ORDER BY i) AS labels FROM c JOIN s USING (i) GROUP BY user_id""",
-    "unique_anchors": """WITH l AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS line, CAST(unnest(range(0, len(str_split(text, chr(10))))) AS INTEGER) AS pos FROM documents WHERE length(text) < 20000),
+    "unique_anchors": """WITH l AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS line, CAST(unnest(range(0, len(str_split(text, chr(10))))) AS INTEGER) AS pos FROM documents),
       u AS (SELECT doc_id, line, min(pos) AS pos FROM l GROUP BY ALL HAVING count(*) = 1)
       SELECT a.doc_id AS pair, md5(a.line) AS line, a.pos AS left_pos, b.pos AS right_pos FROM u a JOIN u b ON b.doc_id = a.doc_id + 20 AND a.line = b.line""",
     "receipt_check": f"""WITH {FILES_SQL} SELECT file_identity, CASE WHEN doc_id % 97 = 0 THEN 'missing' ELSE concat_ws(',', CASE WHEN doc_id % 89 = 0 THEN 'extension' END, CASE WHEN doc_id % 83 = 0 THEN 'size_bytes' END) END AS wrong
@@ -239,7 +239,7 @@ ORACLES = {
       FROM (SELECT text, count(*) AS n, min(n_chars) AS c FROM documents GROUP BY text)""",
     "content_changes": "SELECT doc_id, 'unknown' AS change FROM documents WHERE doc_id % 4 = 0 OR doc_id % 9 = 0",
     "history_by_path": f"WITH {FILES_SQL} SELECT doc_id, run_id FROM named WHERE doc_id % 13 = 0",
-    "set_operations": """WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS t FROM events WHERE event_id % 7 = 0 GROUP BY user_id)
+    "set_operations": """WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS t FROM events GROUP BY user_id)
       SELECT user_id, array_to_string(list_sort(list_distinct(list_concat(t, ['click','error','refund']))), ',') AS both, array_to_string(list_sort(list_filter(t, lambda x: list_contains(['click','error','refund'], x))), ',') AS common,
         array_to_string(list_sort(list_filter(t, lambda x: NOT list_contains(['click','error','refund'], x))), ',') AS unknown, t = ['click','error','refund'] AS equal FROM s""",
     "alias_dedup": f"WITH {FILES_SQL} SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY content ORDER BY relative_path) = 1 THEN 'file' ELSE 'issue:path_alias' END AS kind FROM named",

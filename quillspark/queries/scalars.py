@@ -26,7 +26,7 @@ def text_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return d.select(
         "doc_id", F.md5(text.markdown_escaped(t)).alias("markdown"), F.md5(text.cell_escaped(t)).alias("cell"), F.md5(text.like_escaped(t)).alias("escaped"),
-        F.size(text.cells(F.left(t, F.lit(300)))).cast("long").alias("cells"), text.markdown_separator(F.lit("| --- | :---: |")).alias("separator"), F.size(text.sentences(t)).cast("long").alias("sentences"),
+        F.size(text.cells(t)).cast("long").alias("cells"), text.markdown_separator(F.lit("| --- | :---: |")).alias("separator"), F.size(text.sentences(t)).cast("long").alias("sentences"),
         F.round(text.printable_ratio(t), 6).alias("printable"),
     )
 
@@ -55,7 +55,7 @@ def rule_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters and predicates on paths, cells and facts."""
     d = files(spark, sf_dir)
     name = F.element_at(F.split("relative_path", "/"), -1)
-    fact = F.concat(F.left("content", F.lit(20)), F.element_at(F.array(*(F.lit(w) for w in ("审批", "金额", "完成", "截止", "无"))), (F.col("doc_id") % 5 + 1).cast("int")))
+    fact = F.concat("content", F.element_at(F.array(*(F.lit(w) for w in ("审批", "金额", "完成", "截止", "无"))), (F.col("doc_id") % 5 + 1).cast("int")))
     cells = F.array(F.lit("Name"), F.when(F.col("doc_id") % 2 == 0, "Amount").otherwise("12.5"), F.lit("Date"))
     coverage = rules.coverage(
         F.when(F.col("doc_id") % 7 == 0, "not_parsed").when(F.col("doc_id") % 7 == 1, "timeout").otherwise("success"), F.when(F.col("doc_id") % 7 == 3, 0).otherwise(F.col("n_chars")),
@@ -97,7 +97,7 @@ ORACLES = {
     "text_escapes": """WITH e AS (SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x FROM documents)
       SELECT doc_id, md5(translate(regexp_replace(regexp_replace(x, '([\\\\`*_|])', '\\\\\\1', 'g'), '\\A#', '\\\\#'), chr(13) || chr(10), '  ')) AS markdown,
       md5(replace(translate(text, chr(13) || chr(10), '  '), '|', '\\|')) AS cell, md5(regexp_replace(text, '([\\\\%_])', '\\\\\\1', 'g')) AS escaped,
-      CAST(len(str_split(regexp_replace(regexp_replace(trim(left(text, 300)), '^\\|', ''), '\\|$', ''), '|')) AS BIGINT) AS cells, true AS separator,
+      CAST(len(str_split(regexp_replace(regexp_replace(trim(text), '^\\|', ''), '\\|$', ''), '|')) AS BIGINT) AS cells, true AS separator,
       CAST(len(list_filter(str_split_regex(replace(replace(regexp_replace(text, '([\\n。！？])', '\\1' || chr(1), 'g'), '. ', '. ' || chr(1)), chr(2), ''), chr(1)), lambda s: trim(s) <> '')) AS BIGINT) AS sentences,
       round(CASE WHEN length(text) = 0 THEN 0.0 ELSE length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]|\\x{FFFD}', '', 'g')) / length(text) END, 6) AS printable FROM e""",
     "text_snippets": """WITH s AS (SELECT doc_id, text, strpos(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'thing') AS a FROM documents)

@@ -30,7 +30,7 @@ def reuse_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     attempts = e.filter("k < 30").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("attempt"), F.when(F.col("k") % 3 == 0, "done").when(F.col("k") % 3 == 1, "running").otherwise("failed").alias("state"), (F.col("k") % 2).alias("hash"))
-    requests = load(spark, sf_dir, "customer").filter("c_custkey <= 200").select(F.col("c_custkey").alias("request_id"), F.lit(0).cast("long").alias("hash"))
+    requests = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.lit(0).cast("long").alias("hash"))
     return state.started(requests, attempts)
 
 
@@ -87,18 +87,18 @@ def write_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as log files: past 30 days of the newest, or beyond the byte cap."""
-    o = load(spark, sf_dir, "orders").filter("o_orderdate >= '2001-01-01'").select(F.col("o_orderkey").cast("string").alias("path"), "o_orderdate", (F.col("o_orderkey") % 5000 + 1).alias("size"))
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), "o_orderdate", (F.col("o_orderkey") % 5000 + 1).alias("size"))
     return sinks.log_victims(o, "o_orderdate", "size", F.lit("2001-08-01").cast("timestamp"), 90, 2 << 20).select("path")
 
 
 def period_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = load(spark, sf_dir, "conversations").select("conv_id", F.format_string("%03d", F.col("turn")).alias("day"), F.left("text", F.lit(30)).alias("body"))
+    c = load(spark, sf_dir, "conversations").select("conv_id", F.format_string("%03d", F.col("turn")).alias("day"), F.col("text").alias("body"))
     return sinks.period_text(c, "conv_id", "day", "body").select("conv_id", F.md5("text").alias("text"))
 
 
 def rendered_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents")
-    body = sinks.rendered(F.col("source"), [("Head", F.left("text", F.lit(50))), ("Long", F.when(F.col("n_chars") > 3000, F.substring("text", 100, 40)).otherwise(""))])
+    body = sinks.rendered(F.col("source"), [("Language", F.col("lang")), ("Text", F.col("text")), ("Long", F.when(F.col("n_chars") > 3000, F.reverse("text")).otherwise(""))])
     return d.select("doc_id", F.md5(body).alias("body"))
 
 
@@ -117,7 +117,7 @@ ORACLES = {
       SELECT user_id, arg_max(state, (ts, event_id)) AS state, count(*) FILTER (step NOT IN (0, 1)) AS violations FROM r GROUP BY 1""",
     "reuse_kinds": f"""WITH {E} SELECT user_id, event_type, CASE WHEN bool_or(k = 77) THEN 'none' WHEN bool_and(k > 9) THEN 'snapshot' WHEN bool_and(k > 3) THEN 'parse' ELSE 'none' END AS reuse FROM e GROUP BY 1, 2""",
     "run_starts": f"""WITH {E}, a AS (SELECT user_id, max(event_id) AS l, arg_max(k % 3, event_id) AS s, arg_max(k % 2, event_id) AS h FROM e WHERE k < 30 GROUP BY 1),
-      j AS (SELECT c_custkey AS request_id, l, CASE WHEN l IS NULL THEN 'new' WHEN h <> 0 THEN 'conflict' WHEN s = 0 THEN 'stored' WHEN s = 1 THEN 'in_progress' ELSE 'new' END AS outcome FROM customer LEFT JOIN a ON user_id = c_custkey WHERE c_custkey <= 200)
+      j AS (SELECT c_custkey AS request_id, l, CASE WHEN l IS NULL THEN 'new' WHEN h <> 0 THEN 'conflict' WHEN s = 0 THEN 'stored' WHEN s = 1 THEN 'in_progress' ELSE 'new' END AS outcome FROM customer LEFT JOIN a ON user_id = c_custkey)
       SELECT request_id, outcome, CASE WHEN outcome = 'new' THEN coalesce(l, 0) + 1 END AS attempt FROM j""",
     "superseded_runs": f"""WITH {E}, p AS (SELECT user_id, max(ts) AS m FROM e WHERE event_type = 'purchase' AND k < 20 GROUP BY 1)
       SELECT event_id, CASE WHEN event_type = 'view' AND ts < m THEN 'cancelled' WHEN event_type = 'view' THEN 'pending' ELSE 'done' END AS state FROM e LEFT JOIN p USING (user_id) WHERE event_type IN ('view', 'click')""",
@@ -131,11 +131,11 @@ ORACLES = {
     "csv_export": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, coalesce(CAST(quality AS VARCHAR), 'unknown') AS quality, CAST(n_chars AS VARCHAR) AS n_chars FROM documents LEFT JOIN labels USING (doc_id)",
     "latest_upsert": "SELECT user_id, event_type, arg_max(event_id, (ts, event_id % 2, event_id)) AS event_id FROM events GROUP BY 1, 2",
     "write_conflicts": "SELECT doc_id FROM documents WHERE doc_id % 10 = 0",
-    "log_cleanup": """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, o_orderdate AS d, o_orderkey % 5000 + 1 AS s FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01'),
+    "log_cleanup": """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, o_orderdate AS d, o_orderkey % 5000 + 1 AS s FROM orders),
       k AS (SELECT *, d < TIMESTAMP '2001-08-01' - INTERVAL 90 DAY AS old, sum(CASE WHEN d >= TIMESTAMP '2001-08-01' - INTERVAL 90 DAY THEN s ELSE 0 END) OVER (ORDER BY d DESC, path DESC ROWS UNBOUNDED PRECEDING) AS c FROM o)
       SELECT path FROM k WHERE old OR c > 2097152""",
-    "period_texts": "SELECT conv_id, md5(string_agg('## ' || lpad(CAST(turn AS VARCHAR), 3, '0') || chr(10) || left(text, 30), chr(10) || chr(10) ORDER BY turn)) AS text FROM conversations GROUP BY 1",
-    "rendered_reports": """SELECT doc_id, md5('# ' || source || CASE WHEN trim(left(text, 50)) <> '' THEN chr(10) || chr(10) || '## Head' || chr(10) || trim(left(text, 50)) ELSE '' END
-      || CASE WHEN n_chars > 3000 AND trim(substr(text, 100, 40)) <> '' THEN chr(10) || chr(10) || '## Long' || chr(10) || trim(substr(text, 100, 40)) ELSE '' END) AS body FROM documents""",
+    "period_texts": "SELECT conv_id, md5(string_agg('## ' || lpad(CAST(turn AS VARCHAR), 3, '0') || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS text FROM conversations GROUP BY 1",
+    "rendered_reports": """SELECT doc_id, md5('# ' || source || chr(10) || chr(10) || '## Language' || chr(10) || trim(lang) || CASE WHEN trim(text) <> '' THEN chr(10) || chr(10) || '## Text' || chr(10) || trim(text) ELSE '' END
+      || CASE WHEN n_chars > 3000 AND trim(text) <> '' THEN chr(10) || chr(10) || '## Long' || chr(10) || trim(reverse(text)) ELSE '' END) AS body FROM documents""",
     "day_windows": """SELECT strftime(CAST(CAST(ts AS TIMESTAMP) + INTERVAL 8 HOUR AS DATE), '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS centi FROM events GROUP BY 1""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as fn
@@ -17,7 +17,7 @@ def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _fragments(spark, sf_dir)
-    return search.search(rows, "Thing of", search.postings(rows)).select("report_key", fn.like_snippet(F.col("body"), "thing of").alias("snippet"))
+    return search.search(rows, "Thing of").select("report_key", fn.like_snippet(F.col("body"), "thing of").alias("snippet"))
 
 
 def search_short(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +25,9 @@ def search_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filtered search with its total and its first page, newest first."""
-    hits = search.search(_fragments(spark, sf_dir).filter("lang = 'en'"), "the")
-    return search.page(hits.select("report_key", F.count("*").over(Window.partitionBy()).alias("total")), 25, F.desc("report_key"))
+    """A filtered search with its total and its first page, newest first (T05, T06). The total is a scalar subquery."""
+    hits = search.search(_fragments(spark, sf_dir).filter("lang = 'en'"), "the").select("report_key")
+    return search.page(hits.withColumn("total", hits.agg(F.count("*")).scalar()), 25, F.desc("report_key"))
 
 
 def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +35,8 @@ def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the first 60 letters of a benchmark item."""
-    b = load(spark, sf_dir, "benchmark").filter("length(text) >= 60").select("item_id", F.left("text", F.lit(60)).alias("phrase"))
-    return search.many_phrases(load(spark, sf_dir, "documents").select("doc_id", "text"), b, "text", "phrase").select("doc_id", "item_id").distinct()
+    """Documents that hold a whole benchmark item."""
+    return search.many_phrases(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text").distinct()
 
 
 def _versions(d: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +48,7 @@ def _versions(d: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def version_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents were added, continued or changed, by source parity."""
-    before, after = _versions(load(spark, sf_dir, "documents").filter("length(text) < 8000").select("doc_id", "text"))
+    before, after = _versions(load(spark, sf_dir, "documents").select("doc_id", "text"))
     c = diff.compare(before, after, "doc_id", "text").select("doc_id", "change").distinct()
     return c.groupBy((F.col("doc_id") % 2).alias("parity"), "change").agg(F.count("*").alias("n"))
 
@@ -79,7 +78,7 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fragment_explosion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titled fragments of each report, empty ones left out."""
     d = load(spark, sf_dir, "documents")
-    parts = F.array(F.struct(F.lit("source").alias("title"), F.col("source").alias("body")), F.struct(F.lit("head").alias("title"), F.when(F.col("n_chars") > 500, F.left("text", F.lit(40))).alias("body")))
+    parts = F.array(F.struct(F.lit("source").alias("title"), F.col("source").alias("body")), F.struct(F.lit("text").alias("title"), F.nullif("text", F.lit("")).alias("body")))
     return d.select("doc_id", F.explode(parts).alias("f")).filter("f.body IS NOT NULL").select("doc_id", "f.title", "f.body")
 
 
@@ -95,13 +94,13 @@ ORACLES = {
     "search_page": f"WITH {FRAG}, h AS (SELECT doc_id AS report_key, count(*) OVER () AS total FROM f WHERE lang = 'en' AND contains(lower(title || chr(10) || body), 'the')) SELECT * FROM h ORDER BY report_key DESC LIMIT 25",
     "trigram_postings": f"""WITH {FRAG}, g AS (SELECT DISTINCT doc_id, substr(t, CAST(i AS BIGINT), 3) AS gram FROM (SELECT doc_id, lower(title || chr(10) || body) AS t, unnest(range(1, length(lower(title || chr(10) || body)) - 1)) AS i FROM f))
       SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) >= 50""",
-    "benchmark_passages": "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON length(b.text) >= 60 AND contains(d.text, left(b.text, 60))",
-    "version_changes": """WITH d AS (SELECT doc_id, text, array_to_string(list_filter(str_split(text, chr(10)), lambda x, i: (i - 1 + doc_id) % 5 <> 0), chr(10)) AS e FROM documents WHERE length(text) < 8000)
+    "benchmark_passages": "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)",
+    "version_changes": """WITH d AS (SELECT doc_id, text, array_to_string(list_filter(str_split(text, chr(10)), lambda x, i: (i - 1 + doc_id) % 5 <> 0), chr(10)) AS e FROM documents)
       SELECT doc_id % 2 AS parity, CASE WHEN doc_id % 6 = 0 THEN 'added' WHEN doc_id % 2 = 0 OR coalesce(e, '') = text THEN 'continued' ELSE 'hunk' END AS change, count(*) AS n FROM d GROUP BY 1, 2""",
     "archive_verify": """WITH d AS (SELECT doc_id, sha256(text) AS h, text FROM documents)
       SELECT doc_id, 'missing_object' AS problem FROM d WHERE h NOT IN (SELECT h FROM d WHERE doc_id % 31 <> 0)
       UNION ALL SELECT doc_id, 'digest_mismatch' FROM d WHERE h IN (SELECT h FROM d WHERE doc_id % 31 <> 0 AND doc_id % 37 = 0)""",
     "json_fields": """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.other') AS other, array_to_string(json_keys(props), ',') AS keys, CAST(2 AS INTEGER) AS ids,
       CAST(event_id AS VARCHAR) AS second, sha256('{"a":"' || event_type || '","ids":[' || user_id || ',' || event_id || ']}') AS canonical FROM events""",
-    "fragment_explosion": """SELECT doc_id, 'source' AS title, source AS body FROM documents UNION ALL SELECT doc_id, 'head', left(text, 40) FROM documents WHERE n_chars > 500""",
+    "fragment_explosion": """SELECT doc_id, 'source' AS title, source AS body FROM documents WHERE source IS NOT NULL UNION ALL SELECT doc_id, 'text', text FROM documents WHERE text <> ''""",
 }

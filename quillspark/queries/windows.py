@@ -91,7 +91,7 @@ def greedy_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def newest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = load(spark, sf_dir, "documents").filter("length(text) < 6000")
+    d = load(spark, sf_dir, "documents")
     kept = windows.newest_that_fit(F.split("text", "\n"), 400)
     return d.select("doc_id", F.size(kept).cast("long").alias("lines"), F.md5(F.array_join(kept, "\n")).alias("body"))
 
@@ -136,9 +136,11 @@ ORACLES = {
       f AS (SELECT conv_id, k, n AS used, 0 AS g FROM t WHERE k = 1 UNION ALL
         SELECT t.conv_id, t.k, CASE WHEN f.used + 1 + t.n <= 600 THEN f.used + 1 + t.n ELSE t.n END, CASE WHEN f.used + 1 + t.n <= 600 THEN f.g ELSE f.g + 1 END FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1)
       SELECT conv_id, string_agg(CAST(g AS VARCHAR), ',' ORDER BY k) AS sections FROM f GROUP BY conv_id""",
-    "newest_lines": """WITH RECURSIVE d AS (SELECT doc_id, str_split(text, chr(10)) AS l FROM documents WHERE length(text) < 6000),
-      f AS (SELECT doc_id, l, len(l) AS i, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS kept FROM d UNION ALL
-        SELECT doc_id, l, i - 1, CASE WHEN used + length(l[i]) + 1 <= 400 THEN used + length(l[i]) + 1 ELSE used END, CASE WHEN used + length(l[i]) + 1 <= 400 THEN list_prepend(l[i], kept) ELSE kept END FROM f WHERE i > 0)
+    "newest_lines": """WITH RECURSIVE d AS (SELECT doc_id, str_split(text, chr(10)) AS l FROM documents),
+      n AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM d),
+      f AS (SELECT doc_id, len(l) AS i, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS kept FROM d UNION ALL
+        SELECT f.doc_id, f.i - 1, CASE WHEN used + length(line) + 1 <= 400 THEN used + length(line) + 1 ELSE used END, CASE WHEN used + length(line) + 1 <= 400 THEN list_prepend(line, kept) ELSE kept END
+        FROM f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i WHERE f.i > 0)
       SELECT doc_id, CAST(len(kept) AS BIGINT) AS lines, md5(coalesce(array_to_string(kept, chr(10)), '')) AS body FROM f WHERE i = 0""",
     "overview_five": """WITH RECURSIVE e AS (SELECT user_id, event_id, [event_type, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS VARCHAR)] AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
       f AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS seen, CAST([] AS VARCHAR[]) AS kept FROM e GROUP BY user_id UNION ALL

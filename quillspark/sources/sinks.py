@@ -45,10 +45,16 @@ def backup(spark: SparkSession, tables: dict[str, str], target: str) -> dict[str
 
 
 def log_victims(logs: DataFrame, at: str, size: str, now: Column, days: int = 30, cap: int = 2 << 20) -> DataFrame:
-    """Log files to drop: those past their days, then the oldest until the rest fits the cap. Rows are files of one log."""
+    """Log files to drop: those past their days, then the oldest until the rest fits the cap. Rows are files of one log.
+
+    The running sum is taken within each day, and over one row a day for the days after it, so no task gets all files.
+    """
     old = F.col(at) < now - F.make_dt_interval(F.lit(days))
-    kept = F.sum(F.when(~old, F.col(size)).otherwise(0)).over(Window.orderBy(F.desc(at), F.desc("path")).rowsBetween(Window.unboundedPreceding, 0))
-    return logs.withColumn("_kept", kept).filter(old | (F.col("_kept") > cap)).drop("_kept")
+    rows = logs.withColumn("_day", F.to_date(at)).withColumn("_size", F.when(~old, F.col(size)).otherwise(0))
+    newer = F.coalesce(F.sum("_all").over(Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = rows.groupBy("_day").agg(F.sum("_size").alias("_all")).select("_day", newer.alias("_newer"))
+    inside = F.sum("_size").over(Window.partitionBy("_day").orderBy(F.desc(at), F.desc("path")).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(totals, "_day").withColumn("_kept", F.col("_newer") + inside).filter(old | (F.col("_kept") > cap)).drop("_day", "_size", "_newer", "_kept")
 
 
 def period_text(reports: DataFrame, period: str, day: str, body: str) -> DataFrame:
