@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.queries import aggregates, planning, relational, scalars, state, texts, windows
+from quillspark.queries import aggregates, evidence, planning, relational, scalars, state, texts, windows
 
-MODULES = (planning, scalars, relational, windows, aggregates, texts, state)
+MODULES = (planning, scalars, relational, windows, aggregates, texts, state, evidence)
 FLAGSHIP = "flagship_decisions"
 QUERIES: dict = {}
 ORACLES: dict = {}
