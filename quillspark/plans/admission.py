@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import rules
+from quillspark.session import settled
 
 #: Quotas by report kind: files, PDF pages, PDF extractions. Fixed values.
 QUOTAS = {"daily": (96, 80, 8), "weekly": (192, 100, 12), "monthly": (384, 370, 16)}
-OMITTED_CAP, OMITTED_PERCENT, PDF_MAX_PAGES = 12_000, 20, 20
+OMITTED_CAP, OMITTED_PERCENT, PDF_MAX_PAGES, SEPARATOR = 12_000, 20, 20, 2
 
 
 def omitted_reservation(budget: int) -> int:
@@ -23,49 +24,56 @@ def ranked(files: DataFrame, run: str = "run_id") -> DataFrame:
     return out.withColumn("rank", F.row_number().over(order))
 
 
-def candidate_slots(plan: DataFrame, files: int, pages: int, run: str = "run_id") -> DataFrame:
+def candidate_slots(plan: DataFrame, files: int, pages: int, run: str = "run_id", left: DataFrame | None = None) -> DataFrame:
     """slot_action of each routed file, in rank order: a slot, or the quota it met.
 
     A PDF takes its pages first; one that gets none costs no slot. Pages and slots only ever get fewer, so among files that
     need the same number of pages those with a slot come first: at most `files` of each need can have one. Only these are
     folded, a bounded number a run whatever its size; they are the first of their need by a rank that is cut before the
     shuffle. Of the others, a PDF that needs more pages than are left at the end lacks pages, and all else lacks slots.
+
+    left: (run, slots, pages) if runs have used some of theirs; a PDF then takes what pages there are, rather than none.
     """
+    some = left is not None
     pdf = F.col("route") == "pdf"
     need = F.when(pdf, F.least("page_count", F.lit(PDF_MAX_PAGES))).otherwise(-1).cast("long")
     routed = plan.select(run, "rank", "file_identity", need.alias("need"))
     first = routed.withColumn("turn", F.row_number().over(Window.partitionBy(run, "need").orderBy("rank"))).filter(F.col("turn") <= files)
     row = F.struct("rank", F.col("file_identity").alias("id"), F.greatest("need", F.lit(0)).alias("need"), (F.col("need") >= 0).alias("pdf"))
     runs = first.groupBy(run).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.lit(files).cast("long").alias("slots"), F.lit(pages).cast("long").alias("pages"), F.array().cast("array<string>").alias("out"))
+    runs = runs.join(left.select(run, "slots", "pages"), run) if some else runs.select("*", F.lit(files).alias("slots"), F.lit(pages).alias("pages"))
+    start = F.struct(F.col("slots").cast("long").alias("slots"), F.col("pages").cast("long").alias("pages"), F.array().cast("array<string>").alias("out"))
 
     def step(s, r):
-        given = ~(r["pdf"] & (r["need"] > s["pages"])) & (s["slots"] > 0)
+        lacks = s["pages"] <= 0 if some else r["need"] > s["pages"]
+        given = ~(r["pdf"] & lacks) & (s["slots"] > 0)
         return F.struct(
-            (s["slots"] - given.cast("long")).alias("slots"), (s["pages"] - F.when(given, r["need"]).otherwise(0)).cast("long").alias("pages"),
+            (s["slots"] - given.cast("long")).alias("slots"), (s["pages"] - F.when(given, F.least(r["need"], s["pages"])).otherwise(0)).cast("long").alias("pages"),
             F.when(given, F.concat(s["out"], F.array(r["id"]))).otherwise(s["out"]).alias("out"),
         )
 
     done = runs.select(run, F.aggregate("rows", start, step).alias("end"))
     given = done.select(run, F.explode("end.out").alias("file_identity"), F.lit("slot").alias("given"))
-    said = F.when(F.col("given").isNotNull(), F.col("given")).when(F.col("need") > F.col("pages"), "pdf_page_quota_exhausted").otherwise("candidate_quota_exhausted")
+    lacks = (F.col("need") >= 0) & (F.col("pages") <= 0) if some else F.col("need") > F.col("pages")
+    said = F.when(F.col("given").isNotNull(), F.col("given")).when(lacks, "pdf_page_quota_exhausted").otherwise("candidate_quota_exhausted")
     out = routed.join(given, [run, "file_identity"], "left").join(done.select(run, "end.pages"), run)
     return out.select(run, "file_identity", said.alias("slot_action"))
 
 
-def first_fit(costs: DataFrame, budget: int, extractions: int, run: str = "run_id") -> DataFrame:
+def first_fit(costs: DataFrame, budget: int, extractions: int, run: str = "run_id", left: DataFrame | None = None) -> DataFrame:
     """admit_action of each candidate: admitted if its cost still fits; otherwise skipped and the pass goes on.
 
     costs: run, rank, file_identity, cost, needs_extraction. The budget is tested before an extraction slot, and a slot
     is spent by admission only. What fits depends on what was taken, so a running sum would be wrong; quotas bound a run's
-    candidates to a few hundred, which one fold takes.
+    candidates to a few hundred, which one fold takes. left: (run, budget, extractions) if runs have used some of theirs.
     """
     row = F.struct("rank", F.col("file_identity").alias("id"), F.col("cost").cast("long").alias("cost"), F.col("needs_extraction").alias("pdf"))
     runs = costs.groupBy(run).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(extractions).cast("long").alias("left"), F.array().cast("array<struct<id:string,admit_action:string>>").alias("out"))
+    runs = runs.join(left.select(run, "budget", "extractions"), run) if left is not None else runs.select("*", F.lit(budget).alias("budget"), F.lit(extractions).alias("extractions"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.col("extractions").cast("long").alias("left"), F.array().cast("array<struct<id:string,admit_action:string>>").alias("out"))
 
     def step(s, r):
-        fits = s["used"] + r["cost"] <= budget
+        fits = s["used"] + r["cost"] <= F.col("budget")
         blocked = fits & r["pdf"] & (s["left"] <= 0)
         taken = fits & ~blocked
         said = F.when(~fits, "global_context_budget_exceeded").when(blocked, "pdf_text_extraction_quota_exhausted").otherwise("admit")
@@ -107,3 +115,46 @@ def decisions(files: DataFrame, kind: str = "daily", budget: int = 60_000, per_f
     taken = F.when(F.col("said.action").isin("keep", "compress"), F.least(F.col("n_chars"), F.lit(per_file))).otherwise(0)
     return out.select("run_id", "relative_path", "extension", "priority", "rank", "route", "said.action", "said.reason", taken.cast("long").alias("output_chars"),
         F.when(F.col("said.action").isin("keep", "compress"), F.col("n_chars")).otherwise(F.col("size_bytes")).alias("input_chars"))
+
+
+def waves(files: DataFrame, outcomes: DataFrame, kind: str = "daily", budget: int = 60_000, per_file: int = 6_000, max_size: int = 30_000, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The first admission and up to two more, with what finished files gave back.
+
+    outcomes: run_id, file_identity, rendered (characters in the report, null if the file failed), inspected (pages that the
+    classifier read, null if unknown). A finished file keeps what it rendered plus a separator, an unknown one all it reserved.
+    Slots are spent by files that were parsed or classified, pages as inspected if known, extractions by admitted PDFs. Files
+    that met a quota stand again, in rank order: PDFs that were classified need no slot now. Returns (run_id, file_identity,
+    wave, reserved, retained) of admitted files, and (run_id, stop_reason, waves) of each run: complete, quota_exhausted or
+    round_limit.
+    """
+    slots, pages, extractions = QUOTAS[kind]
+    room = budget - omitted_reservation(budget)
+    plan = ranked(files).withColumn("route", rules.route(F.col("extension"), F.col("size_bytes"), max_size)).filter(~F.col("route").rlike("^(not_parsed|reject):"))
+    plan = plan.select("run_id", "file_identity", "rank", "route", "page_count", F.least(F.col("n_chars"), F.lit(per_file)).cast("long").alias("cost"), (F.col("route") == "pdf").alias("pdf"))
+    plan = settled(plan)
+    runs = plan.select("run_id").distinct()
+    id_ = ["run_id", "file_identity"]
+    state = plan.select(*id_, F.lit(None).cast("int").alias("wave"), F.lit(False).alias("slotted"))
+    left, stopped = None, None
+    for wave in range(rounds + 1):
+        open_ = plan.join(state.filter("wave IS NULL").select(*id_, "slotted"), id_)
+        fresh = candidate_slots(open_.filter("NOT slotted"), slots, pages, left=left).filter("slot_action = 'slot'").select(*id_)
+        ready = open_.join(fresh.withColumn("fresh", F.lit(True)), id_, "left").filter("slotted OR fresh")
+        fitted = first_fit(ready.select(*id_, "rank", "cost", F.col("pdf").alias("needs_extraction")), room, extractions, left=left)
+        new = ready.select(*id_, "pdf").join(fitted, id_).select(*id_, F.when(F.col("admit_action") == "admit", wave).alias("w"), "pdf")
+        state = settled(state.join(new, id_, "left").select(*id_, F.coalesce("wave", "w").alias("wave"), (F.col("slotted") | F.coalesce("pdf", F.lit(False))).alias("slotted")))
+        held = plan.join(state, id_).join(outcomes.select(*id_, "rendered", "inspected"), id_, "left")
+        admitted = F.col("wave").isNotNull()
+        need = F.least("page_count", F.lit(PDF_MAX_PAGES))
+        retained = F.least(F.coalesce(F.col("rendered") + SEPARATOR, F.col("cost")), F.col("cost"))
+        left = held.groupBy("run_id").agg(
+            (F.lit(slots) - F.count_if(admitted | F.col("slotted"))).alias("slots"), (F.lit(pages) - F.coalesce(F.sum(F.when(F.col("slotted"), F.least(F.coalesce("inspected", need), need))), F.lit(0))).alias("pages"),
+            (F.lit(room) - F.coalesce(F.sum(F.when(admitted, retained)), F.lit(0))).alias("budget"), (F.lit(extractions) - F.count_if(admitted & F.col("pdf"))).alias("extractions"),
+            F.bool_and(admitted).alias("complete"), F.coalesce(F.bool_or(F.col("wave") == wave), F.lit(False)).alias("moved"),
+        )
+        left = settled(left)
+        ended = F.when(F.col("complete"), "complete").when(~F.col("moved"), "quota_exhausted")
+        now = left.select("run_id", ended.alias("said"), F.lit(wave).alias("at"))
+        stopped = now if stopped is None else stopped.join(now.withColumnsRenamed({"said": "s2", "at": "a2"}), "run_id").select("run_id", F.coalesce("said", "s2").alias("said"), F.when(F.col("said").isNotNull(), F.col("at")).otherwise(F.col("a2")).alias("at"))
+    books = held.filter(admitted).select(*id_, "wave", F.col("cost").alias("reserved"), retained.alias("retained"))
+    return books, runs.join(stopped, "run_id").select("run_id", F.coalesce("said", F.lit("round_limit")).alias("stop_reason"), F.col("at").alias("waves"))

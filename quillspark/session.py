@@ -27,6 +27,20 @@ def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> Spark
     return spark
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read from there: what a loop builds on must not grow with its rounds.
+
+    The folder is the cluster's spark.checkpoint.dir; only a local session without one gets a folder beside its warehouse.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}-shared")
+    return df.checkpoint()
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder; Catalyst prunes its columns from what the caller selects."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
