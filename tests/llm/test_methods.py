@@ -339,8 +339,9 @@ def test_projection_passes_recall(spark):
     assert all(links[i] <= near[i].sum() for i in range(len(x))) and sum(links.values()) >= 0.9 * near.sum()
 
 
-@pytest.mark.parametrize("block", (512, 2))
-def test_shingle_components_are_those_of_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize("large, block", ((64, 512), (3, 2)))
+def test_shingle_components_are_those_of_all_pairs(spark, monkeypatch, large, block):
+    monkeypatch.setattr(shingle_dedup, "LARGE", large)
     monkeypatch.setattr(shingle_dedup, "BLOCK", block)
     monkeypatch.setattr(shingle_dedup, "COMMON", 5)
     random.seed(8)
