@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.queries import aggregates, evidence, excerpts, planning, relational, scalars, state, texts, windows
+from quillspark.queries import aggregates, batches, evidence, excerpts, planning, relational, scalars, state, texts, windows
 
-MODULES = (planning, scalars, relational, windows, aggregates, texts, state, evidence, excerpts)
+MODULES = (planning, scalars, relational, windows, aggregates, texts, state, evidence, excerpts, batches)
 FLAGSHIP = "flagship_decisions"
 QUERIES: dict = {}
 ORACLES: dict = {}
