@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as fn
 from quillspark.operators import diff, search
 from quillspark.session import load
+from quillspark.sources import office
 
 
 def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,11 +86,25 @@ def fragment_explosion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.explode(parts).alias("f")).filter("f.body IS NOT NULL").select("doc_id", "f.title", "f.body")
 
 
-NAMES = (search_phrase, search_short, search_page, trigram_postings, benchmark_passages, version_changes, version_hunks, archive_verify, json_fields, fragment_explosion)
+def docx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: every document's lines written as a DOCX and its body read back, without limits: paragraphs and their text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [office.parse_office("docx", office.docx_of((t or "").split("\n")), 1 << 31, limited=False) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r[4]) for r in read], pa.int64()), pa.array([r[0] for r in read], pa.string())], names=["doc_id", "paragraphs", "body"])
+
+    d = load(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, paragraphs long, body string")
+    return d.select("doc_id", "paragraphs", F.md5("body").alias("body"))
+
+
+NAMES = (docx_round_trip, search_phrase, search_short, search_page, trigram_postings, benchmark_passages, version_changes, version_hunks, archive_verify, json_fields, fragment_explosion)
 QUERIES = {f.__name__: f for f in NAMES}
 FRAG = """fr AS (SELECT doc_id, lang, source || ' ' || lang AS title, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS b0 FROM documents),
   f AS (SELECT *, CASE WHEN length(b0) <= 4000 THEN b0 ELSE left(b0, 3994) || '…[已截断]' END AS body FROM fr WHERE b0 <> '')"""
 ORACLES = {
+    "docx_round_trip": r"""WITH l AS (SELECT doc_id, list_filter(list_transform(str_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[\x00-\x1F]', '', 'g')), lambda x: regexp_matches(x, '[^\s\x{85}\p{Z}]')) AS l FROM documents)
+      SELECT doc_id, len(l) AS paragraphs, md5(array_to_string(l, chr(10))) AS body FROM l""",
     "search_phrase": f"""WITH {FRAG}, s AS (SELECT doc_id, body, strpos(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'thing of') AS a FROM f WHERE contains(lower(title || chr(10) || body), 'thing of'))
       SELECT doc_id AS report_key, CASE WHEN a > 0 THEN CASE WHEN a > 41 THEN '…' ELSE '' END || substr(body, greatest(a - 41, 0) + 1, a - 1 - greatest(a - 41, 0)) || '[' || substr(body, a, 8) || ']' || substr(body, a + 8, 40)
         || CASE WHEN a + 47 < length(body) THEN '…' ELSE '' END END AS snippet FROM s""",

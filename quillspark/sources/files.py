@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions import rules
+from quillspark.sources import office
 
 #: Read limits and preview sizes. Fixed values.
 FIELD_LIMIT, PREVIEW_ROWS, MAX_SHEETS, MAX_ROWS, MAX_COLUMNS = 131_072, 3, 5, 200, 50
@@ -127,10 +128,15 @@ def office_format(raw: bytes) -> str:
 
 
 def parse_xlsx(raw: bytes, most: int) -> tuple:
-    """The first sheets, rows and columns as bar-separated lines; only the shared strings that they need are kept."""
+    """The first sheets in the workbook's order (J24), their rows and columns as bar-separated lines; only the shared strings that they need are kept."""
     try:
         book = zipfile.ZipFile(io.BytesIO(raw))
-        sheets = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))[:MAX_SHEETS]
+        numbered = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+        try:
+            sheets = office.ordered(book, "xl/workbook.xml", "sheet")
+        except ElementTree.ParseError:
+            sheets = []
+        sheets = (sheets or numbered)[:MAX_SHEETS]
         tag = lambda e: e.tag.rpartition("}")[2]
         rows, needed = [], set()
         for sheet in sheets:
@@ -172,6 +178,8 @@ def parse_one(extension: str, raw: bytes | None, most: int) -> tuple:
         return parse_text(raw, most, extension == ".log")
     if extension in (".xlsx", ".docx", ".pptx"):
         kind = office_format(raw)
+        if kind in ("docx", "pptx"):
+            return office.parse_office(kind, raw, most)
         return parse_xlsx(raw, most) if kind == "xlsx" else ("", False, None, f"no_parser:{kind}", [])
     return ("", False, None, f"no_parser:{extension}", [])
 
