@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -20,6 +22,8 @@ def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> Spark
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if master.startswith("local") and "spark__checkpoint__dir" not in conf:
+        conf["spark__checkpoint__dir"] = tempfile.mkdtemp(prefix="quillspark-")  # one machine: its temporary folder is shared
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
