@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import settled
+
+
+def running(rows: DataFrame, keys: list[str], order: list, value: Column | int = 1) -> DataFrame:
+    """rows with _before, the sum of value over the rows before in order, and _total, that of all rows of the keys.
+
+    One key may hold most rows, so rows are dealt to ranges of (keys, order) and summed within each; the sums of whole ranges,
+    a few rows a range, give what came before. Give it narrow rows: they are written once, so that both sums see the same ranges.
+    """
+    value = F.lit(value) if isinstance(value, int) else value
+    placed = settled(rows.withColumn("_value", value).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = placed.withColumn("_inside", before("_value", Window.partitionBy(*keys, "_part").orderBy(*order)))
+    sums = placed.groupBy(*keys, "_part").agg(F.sum("_value").alias("_all"))
+    w = Window.partitionBy(*keys)
+    sums = sums.select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.col("_part").alias("_range"), before("_all", w.orderBy("_part")).alias("_earlier"), F.sum("_all").over(w).alias("_total"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys), F.col("_part") == F.col("_range"))
+    out = inside.join(sums, same).withColumn("_before", F.col("_earlier") + F.col("_inside"))
+    return out.select(*rows.columns, "_before", "_total")
+
 
 def interleave(rows: DataFrame, run: list[str], by: str, order: list) -> DataFrame:
-    """place: the i-th row of each `by` in turn, so that no class starves another."""
-    turn = F.row_number().over(Window.partitionBy(*run, by).orderBy(*order))
-    rows = rows.withColumn("turn", turn)
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*run).orderBy("turn", by, *order)))
+    """turn and place: the i-th row of each `by` in turn, so that no class starves another. Rows are narrow."""
+    turns = running(rows, [*run, by], order).withColumn("turn", (F.col("_before") + 1).cast("int")).drop("_before", "_total")
+    return running(turns, run, ["turn", by, *order]).withColumn("place", (F.col("_before") + 1).cast("int")).drop("_before", "_total")
 
 
 def evicted(entries: DataFrame, keys: list[str], order: list, size: str, cap: int) -> DataFrame:
@@ -18,9 +39,7 @@ def evicted(entries: DataFrame, keys: list[str], order: list, size: str, cap: in
 
     Dropping only removes, so a running sum is exact: a row goes if everything from it on is still too much.
     """
-    w = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum(size).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return entries.withColumn("_left", F.sum(size).over(w) - before).filter(F.col("_left") > cap).drop("_left")
+    return running(entries, keys, order, F.col(size)).filter(F.col("_total") - F.col("_before") > cap).drop("_before", "_total")
 
 
 def kept_tail(rows: DataFrame, keys: list[str], order: list, size: str, cap: int, most: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import rules
+from quillspark.operators import windows
 from quillspark.session import settled
 
 #: Quotas by report kind: files, PDF pages, PDF extractions. Fixed values.
@@ -18,10 +19,11 @@ def omitted_reservation(budget: int) -> int:
 
 
 def ranked(files: DataFrame, run: str = "run_id") -> DataFrame:
-    """files with priority and its rank in the one order that everything after follows."""
-    out = files.withColumn("priority", rules.priority(F.col("relative_path"), F.col("extension")))
-    order = Window.partitionBy(run).orderBy("priority", rules.normalized_path(F.col("relative_path")), "relative_path", "file_identity")
-    return out.withColumn("rank", F.row_number().over(order))
+    """files, without their contents, with priority and its rank in the one order that everything after follows."""
+    narrow = files.drop("content").withColumn("priority", rules.priority(F.col("relative_path"), F.col("extension")))
+    narrow = narrow.withColumn("_path", rules.normalized_path(F.col("relative_path")))
+    out = windows.running(narrow, [run], ["priority", "_path", "relative_path", "file_identity"])
+    return out.withColumn("rank", (F.col("_before") + 1).cast("int")).drop("_before", "_total", "_path")
 
 
 def candidate_slots(plan: DataFrame, files: int, pages: int, run: str = "run_id", left: DataFrame | None = None) -> DataFrame:
@@ -88,8 +90,8 @@ def first_fit(costs: DataFrame, budget: int, extractions: int, run: str = "run_i
 
 def omitted_prefix(omitted: DataFrame, budget: int, run: str = "run_id") -> DataFrame:
     """Omitted files that get a detail row: the prefix that fits, ended by the first that does not."""
-    upto = Window.partitionBy(run).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return omitted.withColumn("used", F.sum("cost").over(upto)).filter(F.col("used") <= omitted_reservation(budget))
+    used = windows.running(omitted, [run], ["rank"], F.col("cost")).withColumn("used", F.col("_before") + F.col("cost"))
+    return used.filter(F.col("used") <= omitted_reservation(budget)).drop("_before", "_total")
 
 
 def decisions(files: DataFrame, kind: str = "daily", budget: int = 60_000, per_file: int = 6_000, max_size: int = 30_000) -> DataFrame:

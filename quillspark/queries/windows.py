@@ -11,14 +11,14 @@ from quillspark.session import load
 
 
 def fair_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = load(spark, sf_dir, "documents")
+    d = load(spark, sf_dir, "documents").select("source", "lang", "doc_id")
     return windows.interleave(d, ["source"], "lang", ["doc_id"]).select("source", "doc_id", "turn", "place")
 
 
 def rank_alternation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantitative and other turns of a conversation alternate."""
     c = load(spark, sf_dir, "conversations").withColumn("quantitative", F.length("text") % 2 == 0)
-    c = c.withColumn("kind", F.when(F.col("quantitative"), 0).otherwise(1))
+    c = c.select("conv_id", "turn", F.when(F.col("quantitative"), 0).otherwise(1).alias("kind"))
     return windows.interleave(c.withColumnRenamed("turn", "line"), ["conv_id"], "kind", ["line"]).select("conv_id", "line", "place")
 
 
