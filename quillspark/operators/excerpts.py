@@ -96,6 +96,7 @@ def blocks(parts: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
     """Blocks in the order in which they are offered.
 
     The first comes first; then totals; then numbers and qualifiers in turn, so that neither takes all the room; then the rest.
+    What stands under more headings than ROUND characters is left out where a block starts inside the section.
     """
     b = Builder()
     for p in parts:
