@@ -173,25 +173,19 @@ def shared_lines(mine: list[int], partner: list[int] | None) -> list[int]:
 def pick(blocks: list[tuple[str, int]], shared: list[int]) -> tuple[str, int, int]:
     """(text, blocks, blocks deleted as shared) of a page's blocks, given those that it shares with its partner.
 
-    Shared lines are deleted, inside an article or main element too, and so is furniture, shared or not. If most of such an
-    element is shared, or all of a page without one, the two are copies of one article, and what it shares stays. Own text
-    outside the element stays out, unless it is longer than what the element leaves: then the element isn't the article.
+    Furniture is deleted, shared or not, and so are shared lines, but for two cases. What the page's article or main element
+    holds stays: two articles of a host may well have a line in common. And if a page without such an element shares all
+    its lines, the two are copies, and they stay. Own lines outside the element stay out, unless they are longer than what
+    the element holds: then it is a teaser, not the article.
     """
     gone = set(shared)
-    inside = any(mark > 0 for _, mark in blocks)
     size = lambda kept: sum(len(blocks[i][0]) for i in kept)
     declared = [i for i, (_, mark) in enumerate(blocks) if mark > 0]
     other = [i for i, (_, mark) in enumerate(blocks) if mark == 0]
-    own_declared, own_other = [i for i in declared if i not in gone], [i for i in other if i not in gone]
-    if inside:
-        if 2 * size(own_declared) < size(declared):
-            own_declared = declared
-        kept = sorted(own_declared + own_other) if size(own_other) > size(own_declared) else own_declared
-    else:
-        kept = own_other or other
+    own = [i for i in other if i not in gone]
+    kept = (sorted(declared + own) if size(own) > size(declared) else declared) if declared else own or other
     left = set(kept)
-    deleted = sum(i not in left for i in gone if blocks[i][1] >= 0)
-    return " ".join(blocks[i][0] for i in kept), len(blocks), deleted
+    return " ".join(blocks[i][0] for i in kept), len(blocks), sum(i not in left for i in gone if blocks[i][1] >= 0)
 
 
 def main_text(page: str | None, partner: str | None) -> tuple[str, int, int]:
