@@ -112,10 +112,6 @@ def printable_ratio(text: Column) -> Column:
     return F.when(F.length(text) == 0, 0.0).otherwise(kept / F.length(text))
 
 
-def valid_text_char(char: Column) -> Column:
-    return char.rlike(r"^[^\s\p{Cc}\p{Cf}\p{Co}\x{FFFD}]$")
-
-
 def domain_hash(domain: str, text: Column) -> Column:
     return F.sha2(F.concat(F.lit(domain), text), 256)
 

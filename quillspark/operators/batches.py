@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.functions import evidence
 from quillspark.operators import windows
 
 #: Longest depth block and table chunk, longest line of labelled fields, fields that hold text. Fixed values.
@@ -114,6 +115,75 @@ def packed_sources(entries: DataFrame, run: str, source: str, kind: str, depth:
     return entries.groupBy(run).applyInPandas(pack, f"{run} {types[run]}, {source} {types[source]}, {depth} {types[depth]}, batch long")
 
 
+def reduced_batch(entries: list[tuple[str, list[int]]], limit: int) -> list[int]:
+    """Where each entry (source, ends of its whole units) is cut in a request of `limit` characters; 0 if it is left out.
+
+    Each source's first entry gets its first unit if that fits; then each, in turn, grows unit by unit up to CHUNK while all fit.
+    """
+    cut, seen, used = [0] * len(entries), set(), 0
+    for i, (source, ends) in enumerate(entries):
+        if source not in seen and ends and used + ends[0] <= limit:
+            cut[i], used = ends[0], used + ends[0]
+        seen.add(source)
+    for i, (_, ends) in enumerate(entries):
+        for end in ends[1:] if cut[i] else ():
+            if end > CHUNK or used - cut[i] + end > limit:
+                break
+            cut[i], used = end, used - cut[i] + end
+    return cut
+
+
+def reduced_batches(entries: DataFrame, batch: str, source: str, order: str, ends: str) -> DataFrame:
+    """Batch, source, order and end of the entries that a retry of half the size keeps. A batch is one request's entries."""
+    types = {f.name: f.dataType.simpleString() for f in entries.schema}
+
+    def shrink(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values([order, source])
+        lists = [list(map(int, e)) for e in f[ends]]
+        cut = reduced_batch(list(zip(f[source], lists)), sum(e[-1] for e in lists if e) // 2)
+        return pd.DataFrame({batch: f[batch], source: f[source], order: f[order], "end": cut})[[c > 0 for c in cut]]
+
+    return entries.groupBy(batch).applyInPandas(shrink, f"{batch} {types[batch]}, {source} {types[source]}, {order} {types[order]}, end long")
+
+
+def fair_rows(sheets: list[tuple[int, list[tuple[str, int]]]], room: int) -> list[set[int]]:
+    """Rows (kind, characters) chosen of each sheet (characters of its heading, rows) of a file.
+
+    First each sheet gets its rows up to the first useful one, if they fit; then sheets take turns, totals before other rows,
+    each with the headers and unit lines above that it needs. A row that does not fit is passed over.
+    """
+    chosen: list[set[int]] = [set() for _ in sheets]
+    useful = lambda kind: kind not in evidence.STRUCTURE
+    for i, (head, rows) in enumerate(sheets):
+        first = next((n for n, (kind, _) in enumerate(rows) if useful(kind)), None)
+        cost = head + 1 + sum(c for _, c in rows[: first + 1]) if first is not None else room + 1
+        if cost <= room:
+            chosen[i], room = set(range(first + 1)), room - cost
+    turns = [sorted((n for n, (kind, _) in enumerate(rows) if useful(kind) and n not in chosen[i]), key=lambda n, rows=rows: (rows[n][0] != "total", n)) for i, (_, rows) in enumerate(sheets)]
+    for turn in range(max(map(len, turns), default=0)):
+        for i, (head, rows) in enumerate(sheets):
+            if turn < len(turns[i]):
+                n = turns[i][turn]
+                needed = {m for m in range(n + 1) if m == n or rows[m][0] in ("table_header", "heading", "unit")} - chosen[i]
+                cost = sum(rows[m][1] for m in needed) + (0 if chosen[i] else head + 1)
+                if cost <= room:
+                    chosen[i], room = chosen[i] | needed, room - cost
+    return chosen
+
+
+def fair_sheet_rows(rows: DataFrame, file: str, sheet: str, row: str, kind: str, text: str, room: int) -> DataFrame:
+    """File, sheet and row of what is shown of each file's sheets within `room` characters. A file is read within limits, so it is one group."""
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def choose(f: pd.DataFrame) -> pd.DataFrame:
+        parts = [(s, g) for s, g in f.sort_values([sheet, row]).groupby(sheet, sort=True)]
+        chosen = fair_rows([(len(f"## {s}"), [(k, len(t) + 1) for k, t in zip(g[kind], g[text])]) for s, g in parts], room)
+        kept = [g.iloc[sorted(c)][[file, sheet, row]] for (_, g), c in zip(parts, chosen)]
+        return pd.concat(kept) if kept else f[[file, sheet, row]].iloc[:0]
+
+    return rows.groupBy(file).applyInPandas(choose, f"{file} {types[file]}, {sheet} {types[sheet]}, {row} {types[row]}")
+
+
 def clipped_spans(spans: Column, end: Column) -> Column:
     """Spans (start, end) of a text joined by one character each, cut to its first `end` characters."""
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")

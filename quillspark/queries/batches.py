@@ -65,6 +65,23 @@ def packed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.packed_sources(e.join(o, "l_orderkey"), "o_custkey", "l_orderkey", "o_orderpriority", "depth", "size", 3, 1_000, 4)
 
 
+def reduced_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as entries of one request, order lines as their units; tests compare it with a plain version."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    li = load(spark, sf_dir, "lineitem").select("l_orderkey", F.sum(F.col("l_partkey") % 90 + 10).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
+    e = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("end")).alias("ends")).join(o, "l_orderkey")
+    return batches.reduced_batches(e.withColumn("n", F.col("l_orderkey")), "o_custkey", "l_orderkey", "n", "ends").select("o_custkey", "l_orderkey", "end")
+
+
+def fair_sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as rows of a sheet a priority; tests compare it with stated properties."""
+    o = load(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderkey") % 7 == 0, "table_header").when(F.col("o_orderkey") % 5 == 0, "total").otherwise("table_row")
+    rows = o.select("o_custkey", "o_orderpriority", "o_orderkey", kind.alias("kind"), F.concat_ws(" | ", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("text"))
+    return batches.fair_sheet_rows(rows, "o_custkey", "o_orderpriority", "o_orderkey", "kind", "text", 90)
+
+
 def clipped_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N06."""
     li = load(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") * 100).alias("start"), (F.col("l_partkey") * 100 + F.col("l_linenumber") * 9).alias("end"))
@@ -193,7 +210,7 @@ def migrated_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAMES = (
-    unit_chunks, table_chunks, fitting_sections, labelled_fields, dropped_items, ranked_items, packed_sources, clipped_spans, call_coverage, nested_texts, nested_ids, archive_units, profile_fingerprints, source_taint, call_ledger,
+    unit_chunks, table_chunks, fitting_sections, labelled_fields, dropped_items, ranked_items, packed_sources, reduced_batches, fair_sheet_rows, clipped_spans, call_coverage, nested_texts, nested_ids, archive_units, profile_fingerprints, source_taint, call_ledger,
     fact_selection, matter_merge, rebuilt_sources, post_read, collected_garbage, call_reuse, classification_lookup, migrated_weekly,
 )
 QUERIES = {f.__name__: f for f in NAMES}

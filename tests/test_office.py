@@ -77,3 +77,28 @@ def test_packed_sources_keep_the_limits_and_place_first_entries_first(spark):
     for r in ("r0", "r1", "r2"):  # deeper entries get a place only after all firsts had theirs
         firsts = [got[r, s, 0] for q, s, _, d, _ in rows if q == r and d == 0]
         assert sum(b is not None for b in firsts) >= min(len(firsts), 5)
+
+
+def test_a_reduced_batch_gives_every_source_a_unit_first():
+    assert batches.reduced_batch([("a", [10, 20, 600]), ("b", [15, 30]), ("a", [5])], 50) == [20, 30, 0]
+    assert batches.reduced_batch([("a", [10, 20]), ("b", [45])], 50) == [20, 0] and batches.reduced_batch([("a", []), ("b", [9])], 4) == [0, 0]
+    rng = random.Random(4)
+    for _ in range(200):
+        entries = [(rng.choice("abc"), sorted(rng.sample(range(1, 700), rng.randrange(6)))) for _ in range(rng.randrange(6))]
+        limit = rng.randrange(1, 900)
+        cut = batches.reduced_batch(entries, limit)
+        assert sum(cut) <= limit and all(c == 0 or c in e and (c <= 512 or c == e[0]) for c, (_, e) in zip(cut, entries))
+        assert len({s for c, (s, _) in zip(cut, entries) if c}) == sum(c > 0 for c in cut)
+
+
+def test_fair_rows_give_each_sheet_its_first_row_and_keep_the_room():
+    rows = [("table_header", 5), ("table_row", 10), ("table_row", 10), ("total", 10)]
+    assert batches.fair_rows([(4, rows), (4, rows)], 1000) == [{0, 1, 2, 3}] * 2
+    assert batches.fair_rows([(4, rows), (4, rows)], 40) == [{0, 1}, {0, 1}] and batches.fair_rows([(4, rows), (4, rows)], 60) == [{0, 1, 3}, {0, 1, 3}]
+    rng = random.Random(5)
+    for _ in range(200):
+        sheets = [(3, [(rng.choice(["table_row", "total", "table_header", "placeholder"]), rng.randrange(1, 20)) for _ in range(rng.randrange(8))]) for _ in range(rng.randrange(4))]
+        room = rng.randrange(120)
+        got = batches.fair_rows(sheets, room)
+        assert sum(sum(r[n][1] for n in c) + (h + 1 if c else 0) for c, (h, r) in zip(got, sheets)) <= room
+        assert all({m for m in range(n) if r[m][0] == "table_header"} <= c for c, (_, r) in zip(got, sheets) for n in c)
