@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import embedding_dedup, html_extract, line_dedup, media, mixing, packing, pii, simhash_dedup, suffix_dedup, toxicity
+from quillspark.llm import embedding_dedup, html_extract, line_dedup, media, mixing, packing, phrases, pii, simhash_dedup, suffix_dedup, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,5 +56,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_iso_media, op2_line_runs, op3_toxicity, op4_main_text, op5_surrogates, op6_suffix_array, op7_mixture, op8_embeddings, op9_packing, op10_simhash)}
-ORACLES = {"op2_line_runs": line_dedup.LINES_SQL, "op7_mixture": mixing.MIX_SQL}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_iso_media, op2_line_runs, op3_toxicity, op4_main_text, op5_surrogates, op6_suffix_array, op7_mixture, op8_embeddings, op9_packing, op10_simhash, op13_phrases)}
+ORACLES = {"op2_line_runs": line_dedup.LINES_SQL, "op7_mixture": mixing.MIX_SQL, "op13_phrases": phrases.PHRASES_SQL}
