@@ -1,8 +1,8 @@
 """Phrase collocation mining: every n-gram counted per language, scored at its weakest cut, extensions anti-joined, ranked.
 
-n-grams become rows (language, phrase, count), counted within each batch before the shuffle. A phrase of three or more words can
-only be frequent if all its pairs are, so pairs are counted first; the frequent ones set bits of a fixed-size filter, and longer n-grams are made
-only where all their pairs pass it. A filter that is full lets everything pass: it never loses a phrase, and counts are exact either way.
+n-grams become rows (language, phrase, count), counted within each chunk of texts before the shuffle. A phrase of two or more words can
+only be frequent if all its pairs are, so pairs are counted first, by 64-bit hash, which can only count too much; the frequent ones set bits of a fixed-size filter, and
+n-grams are made only where all their pairs pass it. A filter that is full lets everything pass: it never loses a phrase, and counts are exact either way.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import by_bytes, discard, materialize, null_safe
+from quillspark.llm.common import by_bytes, materialize, null_safe
 
 MOST, LEAST, TOP, SCALE, SHARE = 4, 30, 2000, 2_000_000, 80
-FILTER_BITS, SALTS, NO_LANG = 1 << 26, 64, "und"
+FILTER_BITS, SALTS, CHUNK, NO_LANG = 1 << 26, 64, 8 << 20, "und"
 #: Piece ends and tabs as the reader below wants them: 0xFF stands in no UTF-8 text.
 _PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\xff" * 10 + b" ")
 GRAMS = "lang string, phrase string, k int, f long"
@@ -68,91 +68,78 @@ class Chunk:
             [self.langs.cast(pa.string()), pa.array([""] * len(self.langs)), pa.array(np.zeros(len(self.langs), np.int32)), pa.array(counts.astype(np.int64))], names=["lang", "phrase", "k", "f"]
         )
 
-    def grams(self, most: int, pairs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        """Counted n-grams: of one and two words without pairs, else of three words and more whose pairs are all marked."""
-        at = np.flatnonzero(self.real)
-        place, name = at, self.lang[at] * len(self.words) + self.code[at]
+    def grams(self, most: int, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Counted n-grams of one word, and of two and more whose pairs (the word at a place and the next) are all marked."""
+        place = np.flatnonzero(self.real)
+        name = self.lang[place] * len(self.words) + self.code[place]
         for k in range(1, most + 1):
             if k > 1:
-                on = place + k - 1
-                ok = on < len(self.code)
-                ok[ok] = self.real[on[ok]]
-                if pairs is not None:
-                    ok[ok] = pairs[on[ok] - 1]
-                place, name = place[ok], same[ok] * len(self.words) + self.code[on[ok]]  # noqa: F821
+                ok = pairs[place + k - 2]
+                place = place[ok]
+                name = same[ok] * len(self.words) + self.code[place + k - 1]  # noqa: F821
             if not len(place):
                 return
             same = pa.array(name).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            if (k > 2) == (pairs is not None):
-                counts = np.bincount(same)
-                first = np.empty(len(counts), np.int64)
-                first[same[::-1]] = place[::-1]
-                yield self.rows(first, counts.astype(np.int64), k)
+            counts = np.bincount(same)
+            first = np.empty(len(counts), np.int64)
+            first[same[::-1]] = place[::-1]
+            yield self.rows(first, counts.astype(np.int64), k)
 
-    def pair_hashes(self) -> np.ndarray:
-        """Of each word and the next, with the language; the last has none."""
-        word = _hashes(self.words)[self.code]
-        return _mixed(_hashes(self.langs)[self.lang[:-1]], _mixed(word[:-1], word[1:]))
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which places begin a pair of words in one piece, and those pairs' hashes, with the language."""
+        is_pair = np.append(self.real[:-1] & self.real[1:], False)
+        at = np.flatnonzero(is_pair)
+        word = _hashes(self.words)
+        return is_pair, _mixed(_hashes(self.langs)[self.lang[at]], _mixed(word[self.code[at]], word[self.code[at + 1]]))
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[Chunk]:
     langs, texts = batch.column(0).cast(pa.binary()), batch.column(1).cast(pa.binary())
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).tolist()
-    for part in by_bytes(list(range(len(sizes))), sizes):
+    for part in by_bytes(list(range(len(sizes))), sizes, CHUNK):
         take = pa.array(part, pa.int64())
         yield Chunk(texts.take(take).to_pylist(), langs.take(take).to_pylist())
 
 
-def counted(docs: DataFrame, pairs: DataFrame | None, most: int) -> DataFrame:
-    """Rows (lang, phrase, k, f), each the count of one batch of texts; docs are (lang, text) without nulls."""
-    bits = None if pairs is None else docs.sparkSession.sparkContext.broadcast(pair_filter(pairs))
+def pair_filter(docs: DataFrame, least: int = LEAST) -> np.ndarray:
+    """The bits of frequent pairs, FILTER_BITS of them whatever the input: 8 MB on the driver and in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in _chunks(batch):
-                if bits is None:
-                    yield chunk.total()
-                    yield from chunk.grams(min(most, 2), None)
-                elif len(chunk.code) > 2:
-                    hashed = chunk.pair_hashes() % np.uint64(FILTER_BITS)
-                    marked = (bits.value[(hashed >> np.uint64(3)).astype(np.int64)] >> (hashed & np.uint64(7)).astype(np.uint8)) & 1
-                    yield from chunk.grams(most, np.append(marked.astype(bool), False))
+                found = pc.value_counts(pa.array(chunk.pairs()[1].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["pair", "f"])
 
-    return docs.mapInArrow(run, GRAMS)
+    often = docs.mapInArrow(run, "pair long, f long").groupBy("pair").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    spot = F.pmod("pair", F.lit(FILTER_BITS))
+    rows = often.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(pair, {FILTER_BITS}) % 64 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out
 
 
-def pair_filter(pairs: DataFrame) -> np.ndarray:
-    """The bits of frequent pairs, FILTER_BITS of them whatever the input: 8 MB at most on the driver and in each task."""
+def counted(docs: DataFrame, bits: np.ndarray, most: int) -> DataFrame:
+    """Rows (lang, phrase, k, f), each the count of one chunk of texts; docs are (lang, text) without nulls."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [p.split(b" ") for p in batch.column(1).cast(pa.binary()).to_pylist()]
-            if words:
-                lang, first, second = (_hashes(pa.array(c, pa.binary())) for c in (batch.column(0).cast(pa.binary()).to_pylist(), [w[0] for w in words], [w[1] for w in words]))
-                hashed = (_mixed(lang, _mixed(first, second)) % np.uint64(FILTER_BITS)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashed >> 6), pa.array(np.int64(1) << (hashed & 63))], names=["at", "bits"])
+            for chunk in _chunks(batch):
+                is_pair, hashed = chunk.pairs()
+                spot = (hashed % np.uint64(FILTER_BITS)).astype(np.int64)
+                is_pair[is_pair] = sent.value[spot >> 6] >> (spot & 63) & 1 == 1
+                yield chunk.total()
+                yield from chunk.grams(most, is_pair)
 
-    rows = pairs.select("lang", "phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return out.view(np.uint8)
+    return docs.mapInArrow(run, GRAMS)
 
 
 def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST, least: int = LEAST) -> DataFrame:
     """(lang, phrase, k, f) of all n-grams of 1 to `most` words with at least `least` occurrences, and each language's word count as k = 0."""
     docs = null_safe(docs, lang, text).select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
-    def summed(rows: DataFrame, name: str) -> DataFrame:
-        g = rows.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
-        return materialize(g.filter((F.col("f") >= least) | (F.col("k") == 0)), name)
-
-    short = summed(counted(docs, None, most), "phrases-short")
-    if most < 3:
-        return short
-    long = summed(counted(docs, short.filter("k = 2"), most), "phrases-long")
-    out = materialize(short.unionByName(long), "phrases")
-    discard(short, long)
-    return out
+    counts = counted(docs, pair_filter(docs, least), most).groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
+    return materialize(counts.filter((F.col("f") >= least) | (F.col("k") == 0)), "phrases")
 
 
 def scored(grams: DataFrame, scale: int = SCALE) -> DataFrame:
