@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import embedding_dedup, html_extract, line_dedup, media, mixing, packing, phrases, pii, simhash_dedup, spelling, suffix_dedup, toxicity
+from quillspark.llm import embedding_dedup, html_extract, language_model, line_dedup, media, mixing, packing, phrases, pii, simhash_dedup, spelling, suffix_dedup, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(read(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
@@ -64,5 +68,5 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_iso_media, op2_line_runs, op3_toxicity, op4_main_text, op5_surrogates, op6_suffix_array, op7_mixture, op8_embeddings, op9_packing, op10_simhash, op12_spelling, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_iso_media, op2_line_runs, op3_toxicity, op4_main_text, op5_surrogates, op6_suffix_array, op7_mixture, op8_embeddings, op9_packing, op10_simhash, op11_attention, op12_spelling, op13_phrases)}
 ORACLES = {"op2_line_runs": line_dedup.LINES_SQL, "op7_mixture": mixing.MIX_SQL, "op12_spelling": spelling.VARIANTS_SQL, "op13_phrases": phrases.PHRASES_SQL}
