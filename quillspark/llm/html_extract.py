@@ -25,14 +25,26 @@ INLINE = frozenset(
 )
 #: Elements without content. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark furniture. Fixed values.
+#: Words that mark furniture as a whole class, id or role. Fixed values.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner menu navbar nav navigation breadcrumb breadcrumbs sidebar aside widget"
-    " header masthead footer comment comments reply replies disqus cookie cookies consent notice notices popup modal overlay newsletter subscribe"
-    " login signup toolbar contentinfo complementary".split()
+    " header masthead footer comment comments reply replies responses discussion disqus cookie cookies consent notice notices popup modal overlay newsletter subscribe"
+    " login signup toolbar contentinfo complementary teaser teasers related recommended recommendations share sharing social".split()
 )
+#: Those that mark it as a part of a name too, like comment-list; the others, like header in header-image, leave it open. Fixed values.
+SURE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored navbar nav navigation breadcrumb breadcrumbs sidebar footer comment comments replies discussion disqus cookie cookies"
+    " newsletter teaser teasers related recommended share sharing".split()
+)
+#: Parts of a name that turn the others round. Fixed values.
+NEGATIONS = frozenset("free no non not without hide hidden un anti".split())
+#: Roles of furniture. Fixed values.
+ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog form toolbar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Where a block stands: in the article, in the article below an open mark, elsewhere, elsewhere below an open mark; below a sure mark, in furniture.
+ARTICLE, OPEN_ARTICLE, ELSEWHERE, OPEN_ELSEWHERE, MARKED, NEVER = 1, 2, 0, -3, -2, -1
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPACE = re.compile(r"\s+")
 #: Elements of other vocabularies, which alone may end in "/>". Fixed values.
 FOREIGN = frozenset("svg math".split())
@@ -40,21 +52,52 @@ SLASH = re.compile(r"(?:^|[\s\"'])/\Z")
 PARAGRAPH_ENDS = frozenset("p li dt dd tr td th option".split())
 
 
-def furniture(tag: str, rest: str, inside_article: bool) -> bool:
-    """Whether an element is furniture by its name or by a word of its class, id or role."""
-    if tag in FURNITURE or tag == "header" and not inside_article:
-        return True
-    if tag in ("body", "html", "main"):
-        return False
+def named(rest: str) -> str:
+    """What an element's class, id and role say: `never` furniture's role, `sure` furniture, `open`, or nothing.
+
+    A class or id counts word by word. A name of several parts is sure by a part in SURE if it has three parts at most; by
+    other marks it is open, and with a negation it says nothing.
+    """
+    said = ""
     for m in ATTRIBUTE.finditer(rest):
-        for word in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()):
-            if word in MARKS and not (word == "header" and inside_article):
-                return True
-    return False
+        kind = m[1].lower()
+        for token in (m[2] or m[3] or m[4] or "").split():
+            parts = [p.lower() for p in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_]+", token)]
+            if kind == "role":
+                if token.lower() in ROLES:
+                    return "never"
+            elif NEGATIONS.intersection(parts) or not MARKS.intersection(parts):
+                continue
+            elif len(parts) == 1 or len(parts) <= 3 and SURE.intersection(parts):
+                said = "sure"
+            else:
+                said = said or "open"
+    return said
+
+
+def place(tag: str, rest: str, now: int) -> int:
+    """Where what an element holds stands, if the element itself stands at `now`. The page's main element is never lost in a mark around it."""
+    inside = now in (ARTICLE, OPEN_ARTICLE)
+    if tag == "main":
+        return ARTICLE if now != NEVER else NEVER
+    if now in (NEVER, MARKED) or tag in HEADINGS or tag in ("body", "html"):
+        return now
+    if tag in FURNITURE or tag == "header" and not inside:
+        return NEVER
+    said = "" if tag == "header" else named(rest)
+    if said == "never":
+        return NEVER
+    if said == "sure":
+        return MARKED
+    if tag == "article":
+        return ARTICLE
+    if said == "open":
+        return OPEN_ARTICLE if inside else OPEN_ELSEWHERE
+    return now
 
 
 def lines(page: str | None) -> list[tuple[str, int]]:
-    """Blocks of text in page order with their landmark: 1 in the article or main element, -1 in furniture, else 0.
+    """Blocks of text in page order with where they stand (see ARTICLE and the others).
 
     White space inside a block is one space, character references are decoded, empty blocks are left out. Unclosed and
     cut elements are allowed: furniture ends with its own end tag, or with one of an element around it. An inline element
@@ -108,15 +151,13 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             continue
         if tag in PARAGRAPH_ENDS and stack and stack[-1][0] == tag:  # a new paragraph ends an open one
             now = stack.pop()[1]
-        if tag in INLINE and not furniture(tag, m["rest"], now > 0):
+        then = place(tag, m["rest"], now)
+        if tag in INLINE and (then == now or then not in (MARKED, NEVER)):
             continue
         stack.append((tag, now))
-        if now >= 0:
-            if furniture(tag, m["rest"], now > 0):
-                close()
-                now = -1
-            elif tag in ("article", "main"):
-                now = 1
+        if then != now:
+            close()
+            now = then
     if not skipping:
         text.append(page[at:])
     close()
@@ -173,19 +214,22 @@ def shared_lines(mine: list[int], partner: list[int] | None) -> list[int]:
 def pick(blocks: list[tuple[str, int]], shared: list[int]) -> tuple[str, int, int]:
     """(text, blocks, blocks deleted as shared) of a page's blocks, given those that it shares with its partner.
 
-    Furniture is deleted, shared or not, and so are shared lines, but for two cases. What the page's article or main element
-    holds stays: two articles of a host may well have a line in common. And if a page without such an element shares all
-    its lines, the two are copies, and they stay. Own lines outside the element stay out, unless they are longer than what
-    the element holds: then it is a teaser, not the article.
+    Elements that are furniture by their kind or by a sure mark go. The partner decides on the rest: a block below an open mark goes if
+    it is shared, in the article as elsewhere, and outside the article so does every shared block. What the page's article or main element
+    holds without a mark stays: two articles of a host may well have a line in common. Own blocks outside the article stay out, unless they are
+    longer than what it holds: then it is a teaser. Should nothing be left, the blocks below marks that are
+    not shared stay; and if all is shared, the two pages are copies, and the blocks stay that are not furniture.
     """
     gone = set(shared)
     size = lambda kept: sum(len(blocks[i][0]) for i in kept)
-    declared = [i for i, (_, mark) in enumerate(blocks) if mark > 0]
-    other = [i for i, (_, mark) in enumerate(blocks) if mark == 0]
-    own = [i for i in other if i not in gone]
-    kept = (sorted(declared + own) if size(own) > size(declared) else declared) if declared else own or other
+    at = lambda *where: [i for i, (_, mark) in enumerate(blocks) if mark in where]
+    mine = lambda some: [i for i in some if i not in gone]
+    declared = sorted(at(ARTICLE) + mine(at(OPEN_ARTICLE)))
+    own = mine(at(ELSEWHERE, OPEN_ELSEWHERE))
+    kept = sorted(declared + own) if size(own) > size(declared) else declared
+    kept = kept or own or mine(at(MARKED)) or at(ELSEWHERE, OPEN_ARTICLE) or at(OPEN_ELSEWHERE)
     left = set(kept)
-    return " ".join(blocks[i][0] for i in kept), len(blocks), sum(i not in left for i in gone if blocks[i][1] >= 0)
+    return " ".join(blocks[i][0] for i in kept), len(blocks), sum(i not in left for i in gone if blocks[i][1] not in (MARKED, NEVER))
 
 
 def main_text(page: str | None, partner: str | None) -> tuple[str, int, int]:
