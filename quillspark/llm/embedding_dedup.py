@@ -50,7 +50,7 @@ def near_duplicates(
     return sums of links, and of their links one spanning forest. The sort moves only (pass, label, code, key); it is one
     range shuffle, so a label with a third of all rows is spread out. Passes grow with the logarithm of the rows (see
     passes_for). Pairs that are in sparse surroundings and far apart in every pass are missed; none below the threshold is
-    ever linked. Repeated keys are allowed; other columns are not read; an empty table gives no rows.
+    ever linked. Repeated keys, with one vector or several, and null keys are allowed; each row counts as a vector. Other columns are not read; an empty table gives no rows.
     """
     v = null_safe(vectors, key, embedding, label).toDF("id", "vec", "label")
     v = v.withColumn("vec", F.col("vec").cast("array<double>"))
@@ -83,7 +83,7 @@ def near_duplicates(
     sizes = materialize(sizes.select("part", before.alias("before")), "ed-parts")  # one row a partition
     placed = ranked.join(sizes, "part").select("row", "turn", (F.col("before") + F.floor(F.col("inside") / window)).alias("block"))
     blocks = placed.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "block"))), lambda s: s["block"]).alias("blocks"))
-    rows = materialize(classes.join(blocks, "row").select("rep", "n", "vec", F.xxhash64("label", "dim").alias("grp"), "blocks"), "ed-rows")
+    rows = materialize(classes.join(blocks, "row").select(F.col("row").alias("rep"), "n", "vec", F.xxhash64("label", "dim").alias("grp"), "blocks"), "ed-rows")
     sent = rows.select("*", F.posexplode("blocks").alias("turn", "block"))
 
     def compare(table: pa.Table, inside: bool) -> pa.Table:
@@ -147,10 +147,12 @@ def near_duplicates(
         discard(dense)
         found, reach = found.unionAll(made), 2 * reach
     found = found.filter("a IS NOT NULL")
-    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    comps = connected_components(found.select("a", "b")).select(F.col("node").alias("rep"), "component")
-    known = classes.select("class", "rep", "n").join(links, "rep", "left").join(comps, "rep", "left")
-    known = materialize(known.select("class", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")), "ed-known")
+    links = found.groupBy(F.col("a").alias("row")).agg(F.sum("links").alias("links"))
+    comps = connected_components(found.select("a", "b")).select(F.col("node").alias("row"), "component")
+    known = classes.select("class", "row", "rep", "n").join(links, "row", "left").join(comps, "row", "left")
+    known = materialize(known.select("class", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "row").alias("component")), "ed-known")
+    smallest = known.groupBy("component").agg(F.min("rep").alias("least"))  # classes go by their row, as a key may stand for several
+    known = known.join(materialize(smallest, "ed-least"), "component").select("class", "links", F.col("least").alias("component"))
     out = named.select("id", "class").join(known, "class", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
