@@ -10,27 +10,38 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import discard, materialize, null_safe
 
-KEY, LONGER = "change-me", {"email": 3, "domain": 3, "number": 8}
+KEY, LONGER = "change-me", {"email": 3, "domain": 3, "number": 8, "ip": 12, "ip6": 3}
 #: No entity begins inside a word or number.
 EDGE = r"(?<![\p{L}\p{N}_])"
+#: A capitalised word of a script that surrogates are made in, and small words inside a name. Fixed values.
+CAPITAL = r"[\p{Lu}&&[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]][\p{L}'’-]+"
+PARTICLES = r"(?:(?:van|von|de|der|den|del|della|di|da|dos|du|la|le|ten|ter|zu|zur|bin|al) ){0,3}"
 #: What is looked for, in this order where several would fit at one place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
-    "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[\p{N}])",
+    "ip": r"(?<!\.)(?<![Vv]ersion )(?<![Bb]uild )(?<![Rr]elease )(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[\p{N}])",
+    "ip6": r"(?<!:)(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}_:])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}_])",
     "phone": r"(?<!\+)(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\p{L}\p{N}])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "card": r"(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4})(?![\p{L}\p{N}])",
-    "secret": r"(?i:token|api[_-]?key|secret|passw(?:or)?d|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{12,}",
-    "name": r"(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?",
+    "secret": r"(?:(?i:token|api[_-]?key|secret|passw(?:or)?d|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{12,}|(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36,})(?![\p{L}\p{N}_]))",
+    "name": r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа|Κύριος|Κυρία)\.? " + f"(?:{CAPITAL} )?{PARTICLES}{CAPITAL}",
 }
 ANY = EDGE + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: A document without any of these holds no entity; most are settled by this alone.
-HINT = r"[0-9@=:MHFSГ](?:(?<=[0-9@=:])|(?<=M)(?:r|s|iss|me|onsieur|adame)|(?<=H)err|(?<=F)rau|(?<=S)(?:eñor|r)|(?<=Г)осп)"
-WOMEN = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа)"
-#: Syllables that names are made of, and what a given name ends in by gender.
-SYLLABLES = {"latin": "ba den for gan hol kin lan mer nor pel ros sten tal ver wil zan".split(), "cyrillic": "ба вен дор гал зим кар лин мор нов пет рос сав тар фил хол шин".split()}
-ENDINGS = {"latin": ("a", "o"), "cyrillic": ("а", "ий")}
+HINT = r"[0-9@=:MHFSГDPΚ](?:(?<=[0-9@=:])|(?<=M)(?:r|s|x|iss|me|onsieur|adame)|(?<=H)err|(?<=F)rau|(?<=S)(?:eñor|r)|(?<=Г)осп|(?<=D)r|(?<=P)rof|(?<=Κ)[υύ]ρ)"
+WOMEN = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|Κυρία)\b"
+EITHER = r"^(?:Mx|Dr|Prof|Professor)\b"
+#: What is before a secret of a known maker, and addresses that belong to nobody. Fixed values.
+MAKER, NOBODY = r"^(?:AKIA|gh[opsu]_)", r"^(?:127\..*|0\.0\.0\.0|255\.255\.255\.255)$"
+#: Syllables that names are made of, and what a given name ends in: for a woman, a man, and where a title doesn't tell.
+SYLLABLES = {
+    "latin": "ba den for gan hol kin lan mer nor pel ros sten tal ver wil zan".split(), "cyrillic": "ба вен дор гал зим кар лин мор нов пет рос сав тар фил хол шин".split(),
+    "greek": "βα δεν φορ γαν κιν λαν μερ νορ πελ ρος στεν ταλ βερ θεο ζαν χαρ".split(),
+}
+ENDINGS = {"latin": ("a", "o", "e"), "cyrillic": ("а", "ий", "о"), "greek": ("α", "ος", "ι")}
+LETTERS = {"latin": "bdfghklmnprstvwz", "cyrillic": "бвдгзклмнпрстфхш", "greek": "βγδζθκλμνπρστφχψ"}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,9 +50,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    """Which pattern a match of ANY is; null for a long number that fails a card's Luhn check, which is no entity."""
+    """Which pattern a match of ANY is; null for what is no entity: a long number that fails a card's Luhn check, an address of nobody's."""
     number = F.regexp_replace(m, "[^0-9]", "")
-    which = {k: F.when(F.pmod(luhn_sum(number), F.lit(10)) == 0, k) if k == "card" else F.lit(k) for k in PATTERNS}
+    which = {k: F.lit(k) for k in PATTERNS} | {"card": F.when(F.pmod(luhn_sum(number), F.lit(10)) == 0, "card"), "ip": F.when(~m.rlike(NOBODY), "ip")}
     return reduce(lambda other, k: F.when(m.rlike(f"^(?:{PATTERNS[k]})$"), which[k]).otherwise(other), reversed(list(PATTERNS)[:-1]), F.lit("name"))
 
 
@@ -53,12 +64,13 @@ def title_and_rest(m: Column) -> tuple[Column, Column]:
 def canonical(m: Column, kind: Column) -> Column:
     """What an entity is regardless of its writing: separators and letter case don't count, nor do titles and labels."""
     digits = F.regexp_replace(m, "[^0-9+]", "")
-    woman = F.when(m.rlike(WOMEN), "f ").otherwise("m ")
+    gender = F.when(m.rlike(WOMEN), "f ").when(m.rlike(EITHER), "x ").otherwise("m ")
     return (
         F.when(kind.isin("phone", "card", "ssn"), digits)
+        .when((kind == "secret") & m.rlike(MAKER), F.regexp_replace(m, MAKER, ""))
         .when(kind == "secret", F.regexp_extract(m, r"([A-Za-z0-9_+/-]+)$", 1))
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
-        .when(kind == "name", F.concat(woman, F.lower(title_and_rest(m)[1])))
+        .when(kind == "name", F.concat(gender, F.lower(title_and_rest(m)[1])))
         .otherwise(F.lower(m))
     )
 
@@ -157,18 +169,53 @@ def new_domain(domain: Column, attempt: Column, key: str) -> Column:
 
 
 def new_part(kind: Column, canon: Column, m: Column, attempt: Column, key: str) -> Column:
-    """A given or family name of the same gender, script and case; each attempt adds a syllable."""
+    """A given or family name of the same gender, script and case, with hyphens and apostrophes where m has them; each attempt adds a syllable."""
     pick = lambda h, names, i: F.element_at(F.array(*(F.lit(x) for x in names)), draw(h, i, len(names)) + 1)
-    made = lambda h, script: F.array_join(F.transform(F.sequence(F.lit(1), attempt + 3), lambda i: pick(h, SYLLABLES[script], i)), "")
 
-    def of(h: Column) -> Column:
+    def of(h: Column, runs: Column) -> Column:
         def name(script: str) -> Column:
-            end = F.when(kind == "family", F.lit("")).when(canon.startswith("f "), F.lit(ENDINGS[script][0])).otherwise(F.lit(ENDINGS[script][1]))
-            return F.concat(made(h, script), end)
+            end = F.when(kind == "family", F.lit("")).when(canon.startswith("f "), F.lit(ENDINGS[script][0])).when(canon.startswith("x "), F.lit(ENDINGS[script][2])).otherwise(F.lit(ENDINGS[script][1]))
+
+            def run(r: Column, i: Column) -> Column:
+                many = F.when(F.size(runs) > 1, attempt + 2).otherwise(attempt + 3)
+                made = F.array_join(F.transform(F.sequence(F.lit(1), many), lambda j: pick(h, SYLLABLES[script], j + i * 7)), "")
+                made = F.when(F.length(r) == 1, letter(LETTERS[script], draw(h, i * 7 + 1, len(LETTERS[script])))).otherwise(F.concat(made, F.when(i == F.size(runs) - 1, end).otherwise("")))
+                return F.when(r.rlike("^['’-]$"), r).otherwise(F.initcap(made))
+
+            return F.array_join(F.transform(runs, run), "")
+
+        made = F.when(m.rlike(r"\p{IsCyrillic}"), name("cyrillic")).when(m.rlike(r"\p{IsGreek}"), name("greek")).otherwise(name("latin"))
+        return alike(made, m)
+
+    # what a separator ends a name with belongs to no run
+    runs = lambda h: let(F.regexp_extract_all(m, F.lit(r"\p{L}+|['’-](?=\p{L})"), 0), lambda r: of(h, r))
+    return let(stream(kind, canon, attempt, key), runs)
+
+
+def new_address(canon: Column, h: Column, attempt: Column) -> Column:
+    """An IPv4 address of the same range: private networks stay private ones. A range that may be full gives way to a unique local IPv6 address."""
+    octet = lambda i: (draw(h, 3 * i, 254) + 1).cast("string")
+    first = draw(h, 0, 223) + 1
+    public = F.when(first.isin(10, 127, 169, 172, 192), first + 1).otherwise(first).cast("string")
+    head = (
+        F.when(canon.startswith("10."), F.concat_ws(".", F.lit("10"), octet(1))).when(canon.startswith("192.168."), F.lit("192.168")).when(canon.startswith("169.254."), F.lit("169.254"))
+        .when(canon.rlike(r"^172\.(1[6-9]|2[0-9]|3[01])\."), F.concat(F.lit("172."), (draw(h, 3, 16) + 16).cast("string"))).otherwise(F.concat_ws(".", public, octet(1)))
+    )
+    return F.when(attempt < LONGER["ip"], F.concat_ws(".", head, octet(2), octet(3))).otherwise(F.concat(F.lit("fd"), grouped(h, 8)))
+
+
+def grouped(h: Column, groups: int) -> Column:
+    """Hex digits of a stream as IPv6 groups, the first of two digits."""
+    return F.concat_ws(":", F.substr(h, F.lit(1), F.lit(2)), *(F.substr(h, F.lit(4 * i + 5), F.lit(4)) for i in range(groups - 1)))
 
-        return alike(F.initcap(F.when(m.rlike(r"\p{IsCyrillic}"), name("cyrillic")).otherwise(name("latin"))), m)
 
-    return let(stream(kind, canon, attempt, key), of)
+def new_groups(canon: Column, h: Column, attempt: Column) -> Column:
+    """An IPv6 address with groups as long as before; link-local and unique local ones stay such. Short forms, which are soon full, get all groups."""
+    local = F.regexp_extract(canon, "^(fe80|f[cd][0-9a-f]{2}):", 1)
+    turned = lambda i: F.concat(F.substr(h, (i * 8 + 1).cast("int")), F.substr(h, F.lit(1), (i * 8).cast("int")))
+    group = lambda g, i: F.when((g == "") | (i == 0) & (local != ""), g).otherwise(let(turned(i), lambda t: masked(g, t, F.lit(True))))
+    short = F.array_join(F.transform(F.split(canon, ":"), group), ":")
+    return F.when(attempt < LONGER["ip6"], short).when(local != "", F.concat(local, F.lit(":0"), grouped(h, 7))).otherwise(F.concat(F.lit("20"), grouped(h, 8)))
 
 
 def surrogate(m: Column, kind: Column, canon: Column, tries: Callable[[Column | str, Column], Column], key: str) -> Column:
@@ -179,7 +226,6 @@ def surrogate(m: Column, kind: Column, canon: Column, tries: Callable[[Column |
         domain = domain_of(canon)
         local = masked(F.concat(F.regexp_extract(canon, "^([^@]*)@", 1), longer(attempt, "email", "x")), h, F.lit(False))
         mail = F.concat(local, F.lit("@"), let(domain, lambda d: new_domain(d, tries("domain", d), key)), F.regexp_extract(canon, "(\\.[a-z]+)$", 1))
-        octets = F.concat_ws(".", *((draw(h, 3 * i, 223 if i == 0 else 254) + 1).cast("string") for i in range(4)))
         compact = F.concat(F.substr(canon, F.lit(1), F.lit(2)), masked(F.concat(F.substr(canon, F.lit(3)), longer(attempt, "number", "0")), h, F.lit(False)))
         place = lambda i: F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), " ", ""))
         written = lambda x: F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(x, place(i), F.lit(1)))), "")
@@ -190,9 +236,10 @@ def surrogate(m: Column, kind: Column, canon: Column, tries: Callable[[Column |
         number = let(new_digits(kind, canon, h, attempt), lambda d: F.concat(refill(m, d), F.substr(d, F.length(digits) + 1)))
         title, rest = title_and_rest(m)
         part = lambda p: new_part(p["kind"], p["canon"], p["m"], tries(p["kind"], p["canon"]), key)
-        name = F.concat(title, F.array_join(F.transform(name_parts(canon, rest), part), " "))
+        small = F.regexp_extract(rest, f"(?:^| )({PARTICLES})[^ ]+$", 1)  # these stay as they are
+        name = let(F.transform(name_parts(canon, rest), part), lambda x: F.concat(title, F.when(F.size(x) > 1, F.concat(x[0], F.lit(" "))).otherwise(""), small, F.element_at(x, -1)))
         return (
-            F.when(kind == "email", let(mail, lambda x: alike(x, m))).when(kind == "ip", octets).when(kind == "iban", iban).when(kind == "secret", secret)
+            F.when(kind == "email", let(mail, lambda x: alike(x, m))).when(kind == "ip", new_address(canon, h, attempt)).when(kind == "ip6", alike(new_groups(canon, h, attempt), m)).when(kind == "iban", iban).when(kind == "secret", secret)
             .when(kind == "name", name).otherwise(number)
         )
 
@@ -204,8 +251,8 @@ def entity(kind: str | Column, canon: Column, m: Column) -> Column:
 
 
 def name_parts(canon: Column, rest: Column) -> Column:
-    """Given name, if there is one, and family name: each is an entity, so a person with and without given name stays one."""
-    words = F.split(rest, " ")
+    """Given name, if there is one, and family name: each is an entity, so a person with and without given name stays one. Particles are neither."""
+    words = F.filter(F.split(rest, " "), lambda w: ~w.rlike(r"^\p{Ll}"))
     family = F.element_at(words, -1)
     last = entity("family", F.lower(family), family)
     given = entity("given", F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.lower(words[0])), words[0])
@@ -276,10 +323,11 @@ def settle(entities: DataFrame, key: str) -> DataFrame:
 def replace(docs: DataFrame, text: str = "text", key: str = "doc_id", secret_key: str = KEY) -> DataFrame:
     """key, text with surrogates, and n_entities of every row.
 
-    Found are mail and IPv4 addresses, phone, card (by Luhn's check) and account numbers, social security numbers, labelled
-    secrets, and names after a title. A surrogate depends on secret_key and on what the entity is, so it is the same wherever and
+    Found are mail, IPv4 and IPv6 addresses, phone, card (by Luhn's check) and account numbers, social security numbers, labelled
+    secrets and keys of known makers, and names after a title; what such a name consists of is replaced wherever else it stands in that document, as it is written or
+    in capitals, so a person stays one. A surrogate depends on secret_key and on what the entity is, so it is the same wherever and
     however the entity is written; it keeps separators, case and length class, a phone's country, a card's first digit
-    and Luhn check, a mail domain's identity, and a name's gender and script. Given and family names have surrogates of their
+    and Luhn check, a mail domain's identity, an address's private range, and a name's gender, script, particles and hyphens. Given and family names have surrogates of their
     own, so "Mr. Smith" and "Mr. John Smith" keep one family name. Surrogates are checked over all entities of
     the corpus: none is shared by two and none is a real entity. First surrogates need no join; only the few that clash
     do, by entity, so common entities cost nothing. Null and empty texts stay as they are; repeated rows stay; texts may be of
@@ -299,7 +347,12 @@ def replace(docs: DataFrame, text: str = "text", key: str = "doc_id", secret_key
         seen = named.join(materialize(tries, "pii-tries"), "row", "left").drop("row")
         attempt = lambda kind, canon: F.coalesce(F.element_at("tries", F.concat_ws("|", F.lit(kind) if isinstance(kind, str) else kind, canon)), F.lit(0))
     new = F.transform("e", lambda e: surrogate(e["m"], e["kind"], e["canon"], attempt, secret_key))
-    between = F.split(F.col("body"), ANY, -1)
+    said = F.array_distinct(F.flatten(F.transform(F.filter("e", lambda e: e["kind"] == "name"), lambda e: name_parts(e["canon"], title_and_rest(e["m"])[1]))))
+    alone = F.transform(said, lambda p: F.struct(p["m"].alias("old"), new_part(p["kind"], p["canon"], p["m"], attempt(p["kind"], p["canon"]), secret_key).alias("new")))
+    seen = seen.withColumn("alone", alone).withColumn("between", F.split(F.col("body"), ANY, -1))
+    whole = lambda old: F.concat(F.lit(EDGE), old, F.lit(r"(?![\p{L}\p{N}_])"))
+    named_too = lambda t: F.aggregate("alone", t, lambda acc, p: F.regexp_replace(F.regexp_replace(acc, whole(p["old"]), p["new"]), whole(F.upper(p["old"])), F.upper(p["new"])))
+    between = F.when(F.size("alone") > 0, F.transform("between", named_too)).otherwise(F.col("between"))
     count = F.size(F.filter("e", lambda e: e["kind"].isNotNull())).cast("long")
     joined = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return seen.select(F.col("id").alias(key), F.when(count > 0, joined).otherwise(F.col("body")).alias(text), count.alias("n_entities"))
