@@ -145,6 +145,19 @@ def row_key(label: Column, header: Column, cells: Column) -> Column:
     return F.when(value != "", text.identity(F.lit("row-key"), label, F.to_json(F.array(value))))
 
 
+def composite_row_key(label: Column, header: Column, cells: Column, keys: Column) -> Column:
+    """V02 with configured keys: identity of a row by its cells below all key columns, in their order. Null if a column or a value is missing."""
+    values = F.transform(keys, lambda k: F.get(cells, F.array_position(header, k).cast("int") - 1))
+    whole = (F.size(keys) > 0) & ~F.exists(keys, lambda k: F.array_position(header, k) == 0) & ~F.exists(values, lambda v: F.coalesce(v, F.lit("")) == "")
+    return F.when(whole, text.identity(F.lit("row-key"), label, F.to_json(values)))
+
+
+def inferred_keys(header: Column) -> Column:
+    """The first header that names an id, as an array of one or none."""
+    low = lambda h: F.lower(h)
+    return F.slice(F.filter(header, lambda h: (low(h) == "id") | low(h).endswith("编号") | low(h).endswith("编码") | low(h).endswith("单号")), 1, 1)
+
+
 def scan_quality(failed: Column, sources: Column, usable: Column, gaps: Column) -> Column:
     """What a scan amounts to."""
     return rules.first_match(

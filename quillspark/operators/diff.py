@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
 from bisect import bisect_left
 from collections import Counter
+from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillspark.functions import evidence
 
 COARSE = 100_000
 
@@ -73,3 +78,36 @@ def verify(versions: DataFrame, objects: DataFrame, key: str, digest: str, conte
     missing = versions.join(objects.select(digest).distinct(), digest, "left_anti").select(key, F.lit("missing_object").alias("problem"))
     broken = objects.filter(F.sha2(content, 256) != F.col(digest)).select(digest).distinct()
     return missing.unionByName(versions.join(broken, digest, "left_semi").select(key, F.lit("digest_mismatch").alias("problem")))
+
+
+def keyed_rows(rows: DataFrame, keys: DataFrame, document: str, order: list[str]) -> DataFrame:
+    """rows with row_key (V02), under the first header of their label, which is carried down the rows.
+
+    rows: document, order, label, is_header, cells and sha256 of each table row; keys: (label, keys), the columns configured for a label, one row
+    each. Other labels take the first header that names an id. A row without a value in each of its key columns, or above any
+    header, has its digest as the key. A document's rows of one label are one sort.
+    """
+    named = F.first(F.when(F.col("is_header"), F.col("cells")), ignorenulls=True)
+    header = named.over(Window.partitionBy(document, "label").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    known = keys.select(F.col("label").alias("_label"), F.col("keys").alias("_keys"))
+    j = rows.withColumn("_header", header).join(known, F.col("label") == F.col("_label"), "left")
+    key = evidence.composite_row_key(F.col("label"), F.col("_header"), F.col("cells"), F.coalesce("_keys", evidence.inferred_keys(F.col("_header"))))
+    return j.withColumn("row_key", F.coalesce(key, F.col("sha256"))).drop("_header", "_label", "_keys")
+
+
+def same_text(text: str) -> str:
+    """What fidelity compares: NFC letters without white space."""
+    return unicodedata.normalize("NFC", "".join(text.split()))
+
+
+@F.pandas_udf(T.DoubleType())
+def fidelity(text: pd.Series, truth: pd.Series) -> pd.Series:
+    """twice the letters of matching blocks over all letters, white space apart, as difflib counts them; null with a null."""
+
+    def ratio(a: str | None, b: str | None) -> float | None:
+        if a is None or b is None:
+            return None
+        a, b = same_text(a), same_text(b)
+        return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+
+    return pd.Series([ratio(a, b) for a, b in zip(text, truth)], dtype="float64")

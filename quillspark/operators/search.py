@@ -7,12 +7,16 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as fn
 
 
+BUCKETS = 64
+
+
 def fragments(reports: DataFrame, key: str, title: Column, body: Column, *kept: str) -> DataFrame:
     """One row a fragment with title and bounded body; empty bodies don't come."""
     out = reports.select(F.col(key).alias("report_key"), title.alias("title"), fn.bounded(fn.squeezed(body)).alias("body"), *kept)
@@ -34,10 +38,47 @@ def postings(rows: DataFrame) -> DataFrame:
     return rows.select("report_key", F.explode(trigrams(F.concat_ws("\n", "title", "body"))).alias("gram"))
 
 
+def bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS))
+
+
+def signature(rows: DataFrame) -> DataFrame:
+    """What changes whenever a fragment does: their number and the sum of their digests."""
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("report_key", "title", "body").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+
+
+def stored_index(rows: DataFrame, path: str) -> DataFrame:
+    """The postings of fragments as a table partitioned by gram bucket, written again only if the fragments have changed.
+
+    A bucket is dealt to several tasks, so a gram that most fragments hold is no task's alone. The signature is written after the postings: an
+    index whose writing was cut short has none, and is built again.
+    """
+    spark = rows.sparkSession
+    now = tuple(signature(rows).first())
+    try:
+        fresh = tuple(spark.read.parquet(f"{path}/signature").select("n", "digest").first() or ()) == now
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        fresh = False
+    if not fresh:
+        spark.createDataFrame([], "n long, digest string").write.mode("overwrite").parquet(f"{path}/signature")
+        grams = postings(rows).withColumn("bucket", bucket(F.col("gram")))
+        dealt = grams.repartition("bucket", F.pmod(F.xxhash64("report_key"), F.lit(8)))
+        dealt.sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        spark.createDataFrame([now], "n long, digest string").write.mode("overwrite").parquet(f"{path}/signature")
+    return spark.read.schema(f"report_key {rows.schema['report_key'].dataType.simpleString()}, gram string, bucket long").parquet(f"{path}/postings")
+
+
 def phrase_candidates(index: DataFrame, phrase: str) -> DataFrame:
-    """Fragments that hold every trigram of a phrase of three letters or more: a filter, to be verified."""
+    """Fragments that hold every trigram of a phrase of three letters or more: a filter, to be verified.
+
+    Of a stored index only the buckets of the phrase's grams are read, and of these the row groups that may hold them.
+    """
     low = phrase.lower()
     grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
+    if "bucket" in index.columns:
+        index = index.filter(F.col("bucket").isin(*(bucket(F.lit(g)) for g in grams)))
     return index.filter(F.col("gram").isin(grams)).groupBy("report_key").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(grams)).select("report_key")
 
 

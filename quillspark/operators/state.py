@@ -25,12 +25,9 @@ def reuse_kind(failed: Column, snapshot: Column, hits: Column, lookups: Column)
     return F.when(failed, "none").when(snapshot, "snapshot").when((lookups > 0) & (hits == lookups), "parse").otherwise("none")
 
 
-def profile_hash(settings: dict) -> str:
-    """Fingerprint of every setting that changes content: sorted keys, compact, no escapes."""
-    import hashlib
-    import json
-
-    return hashlib.sha256(json.dumps(settings, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+def profile_fingerprint(*settings: str) -> Column:
+    """Fingerprint of every setting (a column each) that changes content: compact JSON with sorted keys, null settings kept."""
+    return F.sha2(F.to_json(F.struct(*(F.col(s).alias(s) for s in sorted(settings))), {"ignoreNullFields": "false"}), 256)
 
 
 def started(requests: DataFrame, attempts: DataFrame) -> DataFrame:

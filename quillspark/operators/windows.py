@@ -42,11 +42,18 @@ def evicted(entries: DataFrame, keys: list[str], order: list, size: str, cap: in
     return running(entries, keys, order, F.col(size)).filter(F.col("_total") - F.col("_before") > cap).drop("_before", "_total")
 
 
+def first_rows(rows: DataFrame, keys: list[str], order: list[str], most: int, salts: int = 64) -> DataFrame:
+    """The first `most` rows of each key in order, with their number as _n. Each of some salts of a key is cut before one task sees what is left."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    some = salted.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).filter(F.col("_n") <= most)
+    return some.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= most).drop("_salt")
+
+
 def kept_tail(rows: DataFrame, keys: list[str], order: list, size: str, cap: int, most: int) -> DataFrame:
-    """The prefix in order that keeps within a number of rows and a sum of sizes."""
+    """The prefix in order that keeps within a number of rows and a sum of sizes. Only the first rows of a key, by a rank cut before the shuffle, are summed."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    rows = rows.withColumn("_n", F.row_number().over(w)).withColumn("_sum", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.filter((F.col("_n") <= most) & (F.col("_sum") <= cap)).drop("_n", "_sum")
+    first = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most)
+    return first.withColumn("_sum", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_sum") <= cap).drop("_n", "_sum")
 
 
 def islands(ranges: DataFrame, keys: list[str], start: str = "start", end: str = "end", touching: bool = True) -> DataFrame:

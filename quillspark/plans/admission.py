@@ -54,7 +54,7 @@ def candidate_slots(plan: DataFrame, files: int, pages: int, run: str = "run_id"
             F.when(given, F.concat(s["out"], F.array(r["id"]))).otherwise(s["out"]).alias("out"),
         )
 
-    done = runs.select(run, F.aggregate("rows", start, step).alias("end"))
+    done = settled(runs.select(run, F.aggregate("rows", start, step).alias("end")))  # one row a run, which is read twice
     given = done.select(run, F.explode("end.out").alias("file_identity"), F.lit("slot").alias("given"))
     lacks = (F.col("need") >= 0) & (F.col("pages") <= 0) if some else F.col("need") > F.col("pages")
     said = F.when(F.col("given").isNotNull(), F.col("given")).when(lacks, "pdf_page_quota_exhausted").otherwise("candidate_quota_exhausted")

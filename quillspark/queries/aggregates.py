@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import metrics
+from quillspark.operators import metrics, windows
 from quillspark.queries.relational import EV, events
 from quillspark.session import load
 
@@ -57,7 +57,8 @@ def charged_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(*(F.round(metrics.inclusive_percentile(F.col("value"), q), 6).alias(f"p{round(q * 100)}") for q in (0.5, 0.9)))
+    found = metrics.inclusive_percentiles(e, "event_type", "value", [0.5, 0.9])
+    return found.select("event_type", F.round("p0", 6).alias("p50"), F.round("p1", 6).alias("p90"))
 
 
 def grouped_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +79,11 @@ def gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def omission_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Omitted documents by reason with the first ten distinct paths."""
     d = load(spark, sf_dir, "documents").withColumn("reason", F.when(F.col("n_chars") > 4000, "size").when(F.col("n_chars") < 200, "empty"))
-    g = d.filter("reason IS NOT NULL").groupBy("source", "reason").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("doc_id")).alias("ids"))
-    return g.select("source", "reason", "n", F.array_join(F.transform(F.slice("ids", 1, 10), lambda i: i.cast("string")), ",").alias("first"))
+    d = d.filter("reason IS NOT NULL").select("source", "reason", "doc_id")
+    shown = windows.first_rows(d.distinct(), ["source", "reason"], ["doc_id"], 10)
+    shown = shown.groupBy("source", "reason").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: i.cast("string")), ",").alias("first"))
+    g = d.groupBy(F.col("source").alias("s"), F.col("reason").alias("r")).agg(F.count("*").alias("n"))
+    return g.join(shown, F.col("s").eqNullSafe(F.col("source")) & (F.col("r") == F.col("reason"))).select("source", "reason", "n", "first")
 
 
 def backend_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +102,7 @@ def summary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (text, sources) in order of first sight."""
     c = load(spark, sf_dir, "conversations").select("role", F.col("text").alias("k"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
     first = c.groupBy("role", "k").agg(F.min("at").alias("at"))
-    return first.select("role", "k", F.row_number().over(Window.partitionBy("role").orderBy("at")).alias("n"))
+    return windows.running(first, ["role"], ["at", "k"]).select("role", "k", (F.col("_before") + 1).cast("int").alias("n"))
 
 
 def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

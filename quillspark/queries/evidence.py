@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import evidence
@@ -102,9 +102,9 @@ def folded_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 256 diagnostics of a run, the rest by stage, code and whether a retry may help."""
     e = load(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     e = e.select("event_id", F.col("event_type").alias("run"), (F.col("k") % 4).alias("stage"), (F.col("k") % 3).alias("code"), (F.col("k") % 2 == 0).alias("retry"))
-    e = e.withColumn("n", F.row_number().over(Window.partitionBy("run").orderBy("event_id")))
-    first = e.filter("n <= 256").select("run", "event_id", "stage", "code", "retry", F.lit(1).cast("long").alias("n"))
-    rest = e.filter("n > 256").groupBy("run", "stage", "code", "retry").agg(F.count("*").alias("n"))
+    first = windows.first_rows(e, ["run"], ["event_id"], 256).select("run", "event_id", "stage", "code", "retry", F.lit(1).cast("long").alias("n"))
+    last = first.groupBy(F.col("run").alias("of")).agg(F.max("event_id").alias("last"))
+    rest = e.join(last, F.col("run") == F.col("of")).filter("event_id > last").groupBy("run", "stage", "code", "retry").agg(F.count("*").alias("n"))
     return first.unionByName(rest.withColumn("event_id", F.lit(None).cast("long")))
 
 

@@ -167,8 +167,9 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alias_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of documents with one content the first path stays; the others become issues."""
     f = files(spark, sf_dir).withColumn("h", F.md5("content"))
-    n = F.row_number().over(Window.partitionBy("h").orderBy("relative_path"))
-    return f.select("doc_id", F.when(n == 1, "file").otherwise("issue:path_alias").alias("kind"))
+    f = f.select("doc_id", "relative_path", "h")
+    first = f.groupBy(F.col("h").alias("of")).agg(F.min("relative_path").alias("first"))
+    return f.join(first, F.col("h").eqNullSafe(F.col("of"))).select("doc_id", F.when(F.col("relative_path") == F.col("first"), "file").otherwise("issue:path_alias").alias("kind"))
 
 
 def current_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

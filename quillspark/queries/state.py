@@ -29,7 +29,7 @@ def reuse_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
-    attempts = e.filter("k < 30").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("attempt"), F.when(F.col("k") % 3 == 0, "done").when(F.col("k") % 3 == 1, "running").otherwise("failed").alias("state"), (F.col("k") % 2).alias("hash"))
+    attempts = e.filter("event_type <> 'signup'").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("attempt"), F.when(F.col("k") % 3 == 0, "done").when(F.col("k") % 3 == 1, "running").otherwise("failed").alias("state"), (F.col("k") % 2).alias("hash"))
     requests = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.lit(0).cast("long").alias("hash"))
     return state.started(requests, attempts)
 
@@ -37,7 +37,7 @@ def run_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def superseded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     runs = e.filter("event_type IN ('view', 'click')").select("event_id", "user_id", "ts", F.when(F.col("event_type") == "view", "pending").otherwise("done").alias("state"))
-    return state.superseded(runs, e.filter("event_type = 'purchase' AND k < 20").select("user_id", "ts"), "user_id", "ts").select("event_id", "state")
+    return state.superseded(runs, e.filter("event_type = 'purchase'").select("user_id", "ts"), "user_id", "ts").select("event_id", "state")
 
 
 def revision_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,10 +116,10 @@ ORACLES = {
     "run_states": f"""WITH {E}, r AS (SELECT *, k % 6 - lag(k % 6) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM e)
       SELECT user_id, arg_max(state, (ts, event_id)) AS state, count(*) FILTER (step NOT IN (0, 1)) AS violations FROM r GROUP BY 1""",
     "reuse_kinds": f"""WITH {E} SELECT user_id, event_type, CASE WHEN bool_or(k = 77) THEN 'none' WHEN bool_and(k > 9) THEN 'snapshot' WHEN bool_and(k > 3) THEN 'parse' ELSE 'none' END AS reuse FROM e GROUP BY 1, 2""",
-    "run_starts": f"""WITH {E}, a AS (SELECT user_id, max(event_id) AS l, arg_max(k % 3, event_id) AS s, arg_max(k % 2, event_id) AS h FROM e WHERE k < 30 GROUP BY 1),
+    "run_starts": f"""WITH {E}, a AS (SELECT user_id, max(event_id) AS l, arg_max(k % 3, event_id) AS s, arg_max(k % 2, event_id) AS h FROM e WHERE event_type <> 'signup' GROUP BY 1),
       j AS (SELECT c_custkey AS request_id, l, CASE WHEN l IS NULL THEN 'new' WHEN h <> 0 THEN 'conflict' WHEN s = 0 THEN 'stored' WHEN s = 1 THEN 'in_progress' ELSE 'new' END AS outcome FROM customer LEFT JOIN a ON user_id = c_custkey)
       SELECT request_id, outcome, CASE WHEN outcome = 'new' THEN coalesce(l, 0) + 1 END AS attempt FROM j""",
-    "superseded_runs": f"""WITH {E}, p AS (SELECT user_id, max(ts) AS m FROM e WHERE event_type = 'purchase' AND k < 20 GROUP BY 1)
+    "superseded_runs": f"""WITH {E}, p AS (SELECT user_id, max(ts) AS m FROM e WHERE event_type = 'purchase' GROUP BY 1)
       SELECT event_id, CASE WHEN event_type = 'view' AND ts < m THEN 'cancelled' WHEN event_type = 'view' THEN 'pending' ELSE 'done' END AS state FROM e LEFT JOIN p USING (user_id) WHERE event_type IN ('view', 'click')""",
     "revision_violations": """WITH q AS (SELECT l_orderkey, l_linenumber, CAST(max(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2),
       r AS (SELECT *, lag(q) OVER w AS lq, lag(l_linenumber) OVER w AS ln FROM q WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) SELECT l_orderkey, l_linenumber FROM r WHERE q < lq OR l_linenumber <> coalesce(ln, 0) + 1""",

@@ -35,7 +35,7 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.postings(_fragments(spark, sf_dir)).groupBy("gram").agg(F.count("*").alias("n")).filter("n >= 50")
+    return search.postings(_fragments(spark, sf_dir)).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,7 @@ ORACLES = {
     "search_short": f"WITH {FRAG} SELECT doc_id AS report_key FROM f WHERE contains(title || chr(10) || body, 'É')",
     "search_page": f"WITH {FRAG}, h AS (SELECT doc_id AS report_key, count(*) OVER () AS total FROM f WHERE lang = 'en' AND contains(lower(title || chr(10) || body), 'the')) SELECT * FROM h ORDER BY report_key DESC LIMIT 25",
     "trigram_postings": f"""WITH {FRAG}, g AS (SELECT DISTINCT doc_id, substr(t, CAST(i AS BIGINT), 3) AS gram FROM (SELECT doc_id, lower(title || chr(10) || body) AS t, unnest(range(1, length(lower(title || chr(10) || body)) - 1)) AS i FROM f))
-      SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) >= 50""",
+      SELECT gram, count(*) AS n FROM g GROUP BY gram""",
     "benchmark_passages": "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)",
     "version_changes": """WITH d AS (SELECT doc_id, text, array_to_string(list_filter(str_split(text, chr(10)), lambda x, i: (i - 1 + doc_id) % 5 <> 0), chr(10)) AS e FROM documents)
       SELECT doc_id % 2 AS parity, CASE WHEN doc_id % 6 = 0 THEN 'added' WHEN doc_id % 2 = 0 OR coalesce(e, '') = text THEN 'continued' ELSE 'hunk' END AS change, count(*) AS n FROM d GROUP BY 1, 2""",

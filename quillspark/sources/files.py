@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import json
@@ -20,6 +21,7 @@ from quillspark.sources import office
 
 #: Read limits and preview sizes. Fixed values.
 FIELD_LIMIT, PREVIEW_ROWS, MAX_SHEETS, MAX_ROWS, MAX_COLUMNS = 131_072, 3, 5, 200, 50
+PIECE = 1 << 20
 UNITS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text_start", T.LongType()), T.StructField("text_end", T.LongType())]))
 PARSED = T.StructType([T.StructField("content", T.StringType()), T.StructField("truncated", T.BooleanType()), T.StructField("encoding", T.StringType()), T.StructField("warning", T.StringType()), T.StructField("units", UNITS)])
 
@@ -58,37 +60,45 @@ def decode_tail(raw: bytes, limit: int) -> tuple[str, bool]:
     return part.decode("utf-8", "replace"), cut
 
 
-def decode_csv(raw: bytes) -> tuple[str, str]:
-    """CSV text and its encoding: a byte order mark decides, then UTF-8, then GB18030."""
-    if raw.startswith(b"\xef\xbb\xbf"):
-        return raw[3:].decode("utf-8"), "utf-8-sig"
-    try:
-        return raw.decode("utf-8"), "utf-8"
-    except UnicodeDecodeError:
-        return raw.decode("gb18030"), "gb18030"
+def csv_lines(raw: bytes) -> tuple[Iterator[str], str | None]:
+    """Lines of CSV bytes, decoded a piece at a time, and the encoding; None if it is neither UTF-8 nor GB18030."""
+    for encoding in ("utf-8-sig",) if raw.startswith(b"\xef\xbb\xbf") else ("utf-8", "gb18030"):
+        decoder = codecs.getincrementaldecoder(encoding)()
+        try:
+            for at in range(0, len(raw), PIECE):
+                decoder.decode(raw[at : at + PIECE])
+            decoder.decode(b"", final=True)
+        except UnicodeDecodeError:
+            continue
+        return io.TextIOWrapper(io.BytesIO(raw), encoding, newline=""), encoding
+    return iter(()), None
 
 
 def parse_csv(raw: bytes, most: int) -> tuple:
-    """Header and three rows shown, every row audited; a lone CR, an open quote or a huge field is an error."""
-    try:
-        text, encoding = decode_csv(raw)
-    except UnicodeDecodeError:
+    """Header and three rows shown, every row audited; a lone CR, an open quote or a huge field is an error.
+
+    Rows are read one by one from pieces of the file, and only those that are shown are kept.
+    """
+    text, encoding = csv_lines(raw)
+    if encoding is None:
         return ("", False, None, "csv_encoding", [])
-    if re.search(r"\r(?!\n)", text):
+    wide = re.compile(rb"\r(?!\n)")  # neither encoding has a CR inside a letter
+    if wide.search(raw):
         return ("", False, encoding, "csv_lone_cr", [])
     csv.field_size_limit(FIELD_LIMIT)
+    shown, units, at, count = [], [], 0, 0
     try:
-        rows = list(csv.reader(io.StringIO(text, newline=""), strict=True))
+        for row in csv.reader(text, strict=True):
+            if count <= PREVIEW_ROWS:
+                line = " | ".join(cell.replace("\n", " ") for cell in row)
+                units.append(("header" if count == 0 else "row", at, at + len(line)))
+                shown.append(line)
+                at += len(line) + 1
+            count += 1
     except csv.Error:
         return ("", False, encoding, "csv_malformed", [])
-    shown, units, at = [], [], 0
-    for i, row in enumerate(rows[: PREVIEW_ROWS + 1]):
-        line = " | ".join(cell.replace("\n", " ") for cell in row)
-        units.append(("header" if i == 0 else "row", at, at + len(line)))
-        shown.append(line)
-        at += len(line) + 1
     content = "\n".join(shown)
-    return (content[:most], len(content) > most or len(rows) > len(shown), encoding, None, [u for u in units if u[2] <= most])
+    return (content[:most], len(content) > most or count > len(shown), encoding, None, [u for u in units if u[2] <= most])
 
 
 def parse_json(raw: bytes, most: int) -> tuple:
