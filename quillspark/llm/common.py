@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+_open: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,7 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-shared"
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -37,9 +40,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillspark_path = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
+@contextmanager
+def only_kept() -> Iterator[Callable[..., None]]:
+    """A block at whose end all tables that it made are deleted, but for those given to the function that it yields.
+
+    For operators that have written all that their result reads: what the result doesn't read would stay for good.
+    """
+    _open.append([])
+    kept: list[DataFrame] = []
+    try:
+        yield lambda *tables: kept.extend(tables)
+    except BaseException:
+        _open.pop()
+        raise
+    made = _open.pop()
+    discard(*(t for t in made if not any(t is k for k in kept)))
+    if _open:
+        _open[-1] += kept
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables made by materialize() that nothing reads any more."""
     for df in tables:

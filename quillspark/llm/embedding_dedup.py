@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import connected_components, discard, materialize, null_safe, parts
+from quillspark.llm.common import connected_components, discard, materialize, null_safe, only_kept, parts
 
 COSINE, WINDOW, LEAST_PASSES, BITS, SEED, MISSED, DENSE = 0.93, 1024, 6, 30, 17, 0.02, 128
 
@@ -52,6 +52,17 @@ def near_duplicates(
     passes_for). Pairs that are in sparse surroundings and far apart in every pass are missed; none below the threshold is
     ever linked. Repeated keys, with one vector or several, and null keys are allowed; each row counts as a vector. Other columns are not read; an empty table gives no rows.
     """
+    with only_kept() as keep:
+        named, known, least = linked(vectors, embedding, label, key, cosine, window, passes)
+        keep(named, known, least)
+    known = known.join(least, "component").select("class", "links", F.col("least").alias("component"))
+    out = named.select("id", "class").join(known, "class", "left")
+    component = F.coalesce("component", "id")
+    return out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def linked(vectors: DataFrame, embedding: str, label: str, key: str, cosine: float, window: int, passes: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, class) of every row, (class, links, component) of every class, and (component, least key)."""
     v = null_safe(vectors, key, embedding, label).toDF("id", "vec", "label")
     v = v.withColumn("vec", F.col("vec").cast("array<double>"))
     fine = F.forall("vec", lambda c: c.isNotNull() & (F.abs(c) < float("inf"))) & F.exists("vec", lambda c: c != 0) & F.col("label").isNotNull()
@@ -152,7 +163,4 @@ def near_duplicates(
     known = classes.select("class", "row", "rep", "n").join(links, "row", "left").join(comps, "row", "left")
     known = materialize(known.select("class", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "row").alias("component")), "ed-known")
     smallest = known.groupBy("component").agg(F.min("rep").alias("least"))  # classes go by their row, as a key may stand for several
-    known = known.join(materialize(smallest, "ed-least"), "component").select("class", "links", F.col("least").alias("component"))
-    out = named.select("id", "class").join(known, "class", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return named, known, materialize(smallest, "ed-least")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD, discard, materialize, null_safe, private
+from quillspark.llm.common import WORD, discard, materialize, null_safe, only_kept, private
 
 MIN_WORDS = 50
 LAST = (1 << 63) - 1
@@ -93,6 +93,19 @@ def run_intervals(docs: DataFrame, text: str = "text", key: str = "doc_id", min_
     return found
 
 
+def deletions(docs: DataFrame, text: str, key: str, min_words: int) -> DataFrame:
+    """(doc, gone): numbers of the lines that go of each document that loses any."""
+    hits = run_intervals(docs, text, key, min_words)
+    later = hits.filter(F.col("first") != F.struct("doc", "pos")).select("doc", "pos", (F.col("pos") + F.col("depth")).alias("end"))
+    # runs that overlap become one span before any line is listed, so each line is listed once
+    order = Window.partitionBy("doc").orderBy("pos", "end")
+    spans = later.withColumn("reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumn("span", F.sum(F.when(F.col("pos") <= F.col("reach"), 0).otherwise(1)).over(order))
+    spans = spans.groupBy("doc", "span").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
+    gone = spans.select("doc", F.explode(F.sequence("pos", F.col("end") - 1)).alias("pos"))
+    return gone.groupBy("doc").agg(F.collect_list("pos").alias("gone"))
+
+
 def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later copies of repeated line runs deleted from the text, and n_lines and n_removed added.
 
@@ -103,16 +116,10 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", min_w
     added ones take. An empty table gives no rows.
     """
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")))
-    hits = run_intervals(null_safe(docs, key, text), text, key, min_words)
-    later = hits.filter(F.col("first") != F.struct("doc", "pos")).select("doc", "pos", (F.col("pos") + F.col("depth")).alias("end"))
-    # runs that overlap become one span before any line is listed, so each line is listed once
-    order = Window.partitionBy("doc").orderBy("pos", "end")
-    spans = later.withColumn("reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    spans = spans.withColumn("span", F.sum(F.when(F.col("pos") <= F.col("reach"), 0).otherwise(1)).over(order))
-    spans = spans.groupBy("doc", "span").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
     row, owner, gone_, lines_ = private(docs, "row", "owner", "gone", "lines")
-    gone = spans.select("doc", F.explode(F.sequence("pos", F.col("end") - 1)).alias("pos"))
-    gone = materialize(gone.groupBy("doc").agg(F.collect_list("pos").alias(gone_)).withColumnRenamed("doc", owner), "ld-gone")
+    with only_kept() as keep:
+        gone = materialize(deletions(null_safe(docs, key, text), text, key, min_words).toDF(owner, gone_), "ld-gone")
+        keep(gone)
     # what goes grows with the input, so it is never broadcast: the plan is the same at every size
     kept_columns = [F.col(f"`{c}`") for c in docs.columns]
     joined = docs.select(*kept_columns, row_name(text, key).alias(row)).join(gone.hint("merge"), F.col(row) == F.col(owner), "left")

@@ -89,8 +89,10 @@ def take(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     named = docs.withColumn(row, name)
     mixed = mix(named.select(row, source, text), text, source, row, **options).filter("taken > 0")
     number = Window.partitionBy(row)
+    # which of some equal keys and texts is which must not change when a task runs again; a map has no order, but its JSON has
+    kinds = [F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns if c != text]
     mixed = mixed.select(row, F.col("size").alias(size), F.col("taken").alias(taken), F.row_number().over(number.orderBy(F.desc("taken"))).alias(copy))
-    rows = named.withColumn(copy, F.row_number().over(number.orderBy(F.lit(0)))).join(materialize(mixed, "mix-taken"), [row, copy])
+    rows = named.withColumn(copy, F.row_number().over(number.orderBy(F.xxhash64(*kinds), *kinds))).join(materialize(mixed, "mix-taken"), [row, copy])
     part = F.pmod(F.col(taken), F.col(size)).cast("int")
     words_kept = F.split(F.ltrim(F.col(f"`{text}`"), F.lit(SPACES)), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     first = F.rtrim(F.array_join(F.slice(words_kept, 1, part), ""), F.lit(SPACES))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, null_safe
+from quillspark.llm.common import discard, materialize, null_safe
 
 LENGTH, END, TOKENIZER, LANES, CACHE = 2048, 1, "word_bpe_49k.json", 1024, 300_000
 LETTERS = "a-z\xdf-\xf6\xf8-ɏ"
@@ -162,6 +162,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int =
     placed = np.array(placed, np.int64).reshape(-1, 5)
     before = Window.partitionBy("length").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(counts.select("length", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "pack-lanes")
+    discard(counts)
     inside = Window.partitionBy("length", "lane").orderBy("id", "start", "ids_crc32")
     ranked = cut_lanes.withColumn("inside", F.row_number().over(inside) - 1).join(offsets, ["length", "lane"])
     ranked = ranked.select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("inside")).alias("rank"))

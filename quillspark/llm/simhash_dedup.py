@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import connected_components, discard, first_of_each, materialize, null_safe, parts, unsigned
+from quillspark.llm.common import connected_components, first_of_each, materialize, null_safe, only_kept, parts, unsigned
 
 SEED, SHINGLE, RADIUS, LARGEST_TREE, BUCKET = 42, 3, 2, 2048, 20_000
 
@@ -148,15 +148,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     repeated rows stay; a null key has a component only through others. Other columns are not read. An empty table gives
     no rows. Joins against tables that grow with the input go by merge at every size.
     """
-    prints = materialize(fingerprints(docs, text, key), "sh-prints")
+    with only_kept() as keep:
+        prints = materialize(fingerprints(docs, text, key), "sh-prints")
+        labels = labelled(prints, radius, largest)
+        keep(prints, labels)
+    return prints.join(labels.hint("merge"), "fp").select(F.col("id").alias(key), unsigned(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def labelled(prints: DataFrame, radius: int, largest: int) -> DataFrame:
+    """(fp, component_id) of all distinct fingerprints of prints (id, fp)."""
     words = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "sh-words")
     links = materialize(radius_links(words.select("fp"), radius, largest), "sh-links")
     comps = materialize(connected_components(links), "sh-components")
     grouped = words.join(comps.hint("merge"), words["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     smallest = materialize(grouped.groupBy("c").agg(F.min("least").alias("component_id")), "sh-smallest")
-    labels = materialize(grouped.join(smallest.hint("merge"), "c").select("fp", "component_id"), "sh-labels")
-    discard(words, links, comps, smallest)
-    return prints.join(labels.hint("merge"), "fp").select(F.col("id").alias(key), unsigned(F.col("fp")).alias("fingerprint"), "component_id")
+    return materialize(grouped.join(smallest.hint("merge"), "c").select("fp", "component_id"), "sh-labels")
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, null_safe
+from quillspark.llm.common import discard, materialize, null_safe
 
 #: Category: SQL over a labels row. Later categories see the probabilities of earlier ones.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_low_quality": "toxic = 1 AND quality = 0"}
@@ -170,6 +170,7 @@ def fit_chain(
     names = list(categories)
     schema = "terms array<int>, id long, fold int, " + ", ".join(f"`{c}` double" for c in names)
     rows = sample.select("body", F.col("id").cast("long").alias("id"), "fold", *names).mapInArrow(encode, schema).toArrow()
+    discard(drawn, sample)
     order = np.argsort(rows["id"].to_numpy(), kind="stable")
     x = np.zeros((len(order), len(vocabulary)), np.uint8)
     place = np.argsort(order)
