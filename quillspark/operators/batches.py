@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -115,6 +116,105 @@ def packed_sources(entries: DataFrame, run: str, source: str, kind: str, depth:
     return entries.groupBy(run).applyInPandas(pack, f"{run} {types[run]}, {source} {types[source]}, {depth} {types[depth]}, batch long")
 
 
+def packed_ranges(entries: DataFrame, run: str, source: str, kind: str, path: str, most_sources: int, most_size: int, most_batches: int, gap: int = 2) -> DataFrame:
+    """E22 with ranges and priorities: batch, start and end of each packed range; null batch for one that met the limit of batches.
+
+    entries: run, source, kind, path, part, start, end, priority. Kinds take turns, sources with priority before all; every source's first range is placed before any
+    deeper one. With priorities the batches that all sources need are made beforehand and filled in turn. A deeper range joins the
+    last range of its source in a batch that it comes close to (within `gap`), if the whole still fits, and else
+    stands alone where its source is, in another batch, or in a new one; those of sources with priority come first. A run's ranges are bounded by its excerpts, so it is one group.
+    """
+    types = {f.name: f.dataType.simpleString() for f in entries.schema}
+
+    def pack(f: pd.DataFrame) -> pd.DataFrame:
+        queues: dict = {}
+        for r in f.sort_values([source, "part"]).to_dict("records"):
+            queues.setdefault(r[source], []).append(r)
+        by_kind: dict = {}
+        for s in sorted(queues, key=lambda s: (queues[s][0][path] or "", s)):
+            by_kind.setdefault(queues[s][0][kind] or "", []).append(s)
+        order = [s for n in range(max(map(len, by_kind.values()), default=0)) for k in sorted(by_kind) for s in by_kind[k][n : n + 1]]
+        first = {s for s in order if any(r["priority"] for r in queues[s])}
+        order.sort(key=lambda s: s not in first)
+        made: list[list[list]] = [[] for _ in range(min(most_batches, -(-len(order) // most_sources)))] if first else []
+        fits = lambda b: sum(e - a for _, a, e in b) <= most_size and len({s for s, *_ in b}) <= most_sources
+        lost: list[tuple] = []
+        cursor = 0
+        for s in order:
+            r = queues[s][0]
+            new = [s, r["start"], r["end"]]
+            if first:
+                at = next((i for i in ((cursor + n) % len(made) for n in range(len(made))) if len(made[i]) < most_sources and fits(made[i] + [new])), None)
+            else:
+                at = len(made) - 1 if made and len(made[-1]) < most_sources and fits(made[-1] + [new]) else None
+            if at is None and len(made) < most_batches:
+                made.append([])
+                at = len(made) - 1
+            if at is None:
+                lost.append(new)
+            else:
+                made[at].append(new)
+                cursor = (at + 1) % len(made)
+        made = [b for b in made if b]
+        for some in ([s for s in order if s in first], [s for s in order if s not in first]):
+            for depth in range(1, max((len(queues[s]) for s in some), default=0)):
+                for s in some:
+                    if depth >= len(queues[s]):
+                        continue
+                    new = [s, queues[s][depth]["start"], queues[s][depth]["end"]]
+                    for b in sorted(made, key=lambda b: all(x[0] != s for x in b)):
+                        near = next((i for i in reversed(range(len(b))) if b[i][0] == s and new[1] <= b[i][2] + gap), None)
+                        then = b + [new] if near is None else b[:near] + [[s, b[near][1], new[2]]] + b[near + 1 :]
+                        if fits(then):
+                            b[:] = then
+                            break
+                    else:
+                        if len(made) < most_batches:
+                            made.append([new])
+                        else:
+                            lost.append(new)
+        rows = [(f[run].iloc[0], s, n, a, e) for n, b in enumerate(made) for s, a, e in b] + [(f[run].iloc[0], s, None, a, e) for s, a, e in lost]
+        return pd.DataFrame(rows, columns=[run, source, "batch", "start", "end"]).astype({"batch": "Int64"})
+
+    return entries.groupBy(run).applyInPandas(pack, f"{run} {types[run]}, {source} {types[source]}, batch long, start long, end long")
+
+
+def reduced_requests(requests: DataFrame, request: str) -> DataFrame:
+    """E30 in bytes: request, source and the prefix of each entry's text that a retry of half the request's bytes keeps.
+
+    requests: request, fixed_bytes (all of the request but its entries), and entries, an array of (source, text, ends): where whole units end. An entry counts
+    as its JSON, so quotes and line ends cost what they cost on the wire. Of a source that stands twice the first entry counts.
+    """
+    types = {f.name: f.dataType.simpleString() for f in requests.schema}
+    wire = lambda source, text: len(json.dumps({"source_id": source, "text": text}, ensure_ascii=False, separators=(",", ":")).encode()) + 1
+
+    def shrink(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for r in f.to_dict("records"):
+                entries = [(e["source"], e["text"], list(e["ends"])) for e in r["entries"]]
+                limit = (r["fixed_bytes"] + sum(wire(s, t) for s, t, _ in entries)) // 2
+                kept: dict = {}
+                used, seen = r["fixed_bytes"], set()
+                for s, t, ends in entries:
+                    if s in seen:
+                        continue
+                    seen.add(s)
+                    if ends and used + wire(s, t[: ends[0]]) <= limit:
+                        kept[s] = [t, ends, ends[0]]
+                        used += wire(s, t[: ends[0]])
+                for s, (t, ends, _) in kept.items():
+                    for end in ends[1:]:
+                        more = wire(s, t[:end]) - wire(s, t[: kept[s][2]])
+                        if end > CHUNK or used + more > limit:
+                            break
+                        kept[s][2], used = end, used + more
+                rows += [(r[request], s, end) for s, (_, _, end) in kept.items()]
+            yield pd.DataFrame(rows, columns=[request, "source", "end"])
+
+    return requests.select(request, "fixed_bytes", "entries").mapInPandas(shrink, f"{request} {types[request]}, source string, end long")
+
+
 def reduced_batch(entries: list[tuple[str, list[int]]], limit: int) -> list[int]:
     """Where each entry (source, ends of its whole units) is cut in a request of `limit` characters; 0 if it is left out.
 

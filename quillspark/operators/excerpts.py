@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -152,23 +153,40 @@ def share_out(files: list[tuple[str, str, bool, list]], budget: int) -> list[lis
             first = False
 
 
+def within(some: list[list[tuple[str, str]]], budget: int) -> list[list[tuple[str, str]]]:
+    """The first blocks, which a file gets in order, up to the one before which more than the budget of their own text stands."""
+    own, out = 0, []
+    for block in some:
+        if own > budget:
+            break
+        out.append(block)
+        own += sum(len(t) for k, t in block if not structural(k))
+    return out
+
+
 def allocate(parts: DataFrame, run: str, key: str, extension: str, path: str, preferred: Column, budget: int) -> DataFrame:
     """run, key, chars, pieces, text of each file's excerpt: E08 over E09.
 
-    parts: one row a piece, with unit and piece as its order. A run's files are those admitted, a bounded number by quota, so a
-    run is one group; what it holds is bounded by the pieces of its files.
+    parts: one row a piece, with unit and piece as its order. Blocks are built a file at a time, and a file sends its run only those that the
+    budget could reach. A run's files are those admitted, a bounded number by quota, so a run is one group of
+    bounded texts, however long its files are.
     """
     rows = parts.select(run, key, extension, path, preferred.alias("preferred"), "unit", "piece", "kind", "text")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    offered = f"{run} {types[run]}, {key} {types[key]}, {extension} {types[extension]}, {path} {types[path]}, preferred boolean, blocks string"
+
+    def build(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["unit", "piece"])
+        head = f.iloc[0]
+        return pd.DataFrame([{run: head[run], key: head[key], extension: head[extension], path: head[path], "preferred": bool(head["preferred"]), "blocks": json.dumps(within(blocks(list(zip(f["kind"], f["text"]))), budget))}])
 
     def give(f: pd.DataFrame) -> pd.DataFrame:
         names, files = [], []
-        for name, g in f.sort_values([key, "unit", "piece"]).groupby(key, sort=True):
-            head = g.iloc[0]
-            names.append(name)
-            files.append((head[extension] or "", head[path] or "", bool(head["preferred"]), blocks(list(zip(g["kind"], g["text"])))))
+        for head in f.sort_values(key).to_dict("records"):
+            names.append(head[key])
+            files.append((head[extension] or "", head[path] or "", bool(head["preferred"]), [[tuple(p) for p in b] for b in json.loads(head["blocks"])]))
         given = share_out(files, budget)
         texts = ["\n".join(t for _, t in g) for g in given]
         return pd.DataFrame({run: f[run].iloc[0], key: names, "chars": [len(t) for t in texts], "pieces": [len(g) for g in given], "text": texts})
 
-    return rows.groupBy(run).applyInPandas(give, f"{run} {types[run]}, {key} {types[key]}, chars long, pieces long, text string")
+    return rows.groupBy(run, key).applyInPandas(build, offered).groupBy(run).applyInPandas(give, f"{run} {types[run]}, {key} {types[key]}, chars long, pieces long, text string")

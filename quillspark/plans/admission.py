@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,15 +121,15 @@ def decisions(files: DataFrame, kind: str = "daily", budget: int = 60_000, per_f
         F.when(F.col("said.action").isin("keep", "compress"), F.col("n_chars")).otherwise(F.col("size_bytes")).alias("input_chars"))
 
 
-def waves(files: DataFrame, outcomes: DataFrame, kind: str = "daily", budget: int = 60_000, per_file: int = 6_000, max_size: int = 30_000, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def waves(files: DataFrame, outcomes: DataFrame, kind: str = "daily", budget: int = 60_000, per_file: int = 6_000, max_size: int = 30_000, rounds: int = 2, late: Callable[[], bool] = lambda: False) -> tuple[DataFrame, DataFrame]:
     """The first admission and up to two more, with what finished files gave back.
 
     outcomes: run_id, file_identity, rendered (characters in the report, null if the file failed), inspected (pages that the
     classifier read, null if unknown). A finished file keeps what it rendered plus a separator, an unknown one all it reserved.
     Slots are spent by files that were parsed or classified, pages as inspected if known, extractions by admitted PDFs. Files
     that met a quota stand again, in rank order: PDFs that were classified need no slot now. Returns (run_id, file_identity,
-    wave, reserved, retained) of admitted files, and (run_id, stop_reason, waves) of each run: complete, quota_exhausted or
-    round_limit.
+    wave, reserved, retained) of admitted files, and (run_id, stop_reason, waves) of each run: complete, quota_exhausted,
+    round_limit, or deadline if `late()` said so before a further wave; what the waves before admitted stands.
     """
     slots, pages, extractions = QUOTAS[kind]
     room = budget - omitted_reservation(budget)
@@ -137,8 +139,11 @@ def waves(files: DataFrame, outcomes: DataFrame, kind: str = "daily", budget: in
     runs = plan.select("run_id").distinct()
     id_ = ["run_id", "file_identity"]
     state = plan.select(*id_, F.lit(None).cast("int").alias("wave"), F.lit(False).alias("slotted"))
-    left, stopped = None, None
+    left, stopped, limit = None, None, "round_limit"
     for wave in range(rounds + 1):
+        if wave and late():
+            limit = "deadline"
+            break
         open_ = plan.join(state.filter("wave IS NULL").select(*id_, "slotted"), id_)
         fresh = candidate_slots(open_.filter("NOT slotted"), slots, pages, left=left).filter("slot_action = 'slot'").select(*id_)
         ready = open_.join(fresh.withColumn("fresh", F.lit(True)), id_, "left").filter("slotted OR fresh")
@@ -159,4 +164,4 @@ def waves(files: DataFrame, outcomes: DataFrame, kind: str = "daily", budget: in
         now = left.select("run_id", ended.alias("said"), F.lit(wave).alias("at"))
         stopped = now if stopped is None else stopped.join(now.withColumnsRenamed({"said": "s2", "at": "a2"}), "run_id").select("run_id", F.coalesce("said", "s2").alias("said"), F.when(F.col("said").isNotNull(), F.col("at")).otherwise(F.col("a2")).alias("at"))
     books = held.filter(admitted).select(*id_, "wave", F.col("cost").alias("reserved"), retained.alias("retained"))
-    return books, runs.join(stopped, "run_id").select("run_id", F.coalesce("said", F.lit("round_limit")).alias("stop_reason"), F.col("at").alias("waves"))
+    return books, runs.join(stopped, "run_id").select("run_id", F.coalesce("said", F.lit(limit)).alias("stop_reason"), F.col("at").alias("waves"))

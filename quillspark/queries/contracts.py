@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as fn
-from quillspark.operators import composition, diff, ledger, search
+from quillspark.operators import batches as operators_batches
+from quillspark.operators import composition, diff, ledger, search, validators
 from quillspark.queries import texts
 from quillspark.session import load, settled, shared_folder
 from quillspark.sources import guard
@@ -138,8 +139,56 @@ def indexed_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(rows, "Thing of", index).select("report_key", fn.like_snippet(F.col("body"), "thing of").alias("snippet"))
 
 
+def source_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sources whose fields are taken from their texts; the rules that each breaks."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("t"), F.coalesce("n_chars", F.lit(0)).alias("n"))
+    sha, line = F.sha2("t", 256), F.get(F.split("t", "\n"), F.lit(0))
+    rows = d.select(
+        "doc_id", F.when(F.col("n") % 13 == 0, "user_input").when(F.col("n") % 17 == 0, F.concat(F.lit("src_"), F.upper(sha))).otherwise(F.concat(F.lit("src_"), sha)).alias("source_id"), F.when(F.col("n") % 7 == 0, "user_statement").otherwise("file").alias("source_kind"),
+        F.when(line.contains("|"), "table").otherwise("success").alias("parse_status"), F.when(F.length(line) > 200, F.left(sha, F.lit(63))).otherwise(sha).alias("excerpt_sha256"), F.when(F.col("n") % 5 == 0, line).alias("content_sha256"),
+        F.length("t").alias("excerpt_chars"), F.col("n").alias("model_chars"), F.concat(F.lit("2024-01-"), F.lpad((F.col("n") % 40).cast("string"), 2, "0"), F.lit("T08:00:00Z")).alias("observed_at_utc"), F.when(F.col("n") % 3 == 0, "2024-01-01T00:00:00+08:00").alias("modified_at_utc"),
+        F.when(F.col("n") % 11 == 0, F.concat(F.lit("../"), "lang")).when(F.col("n") % 11 == 1, F.concat(F.lit("/"), "lang")).when(F.col("n") % 7 != 0, F.concat_ws("/", "lang", "source")).alias("relative_path"),
+    )
+    return validators.source_problems(rows, "doc_id").select("doc_id", "rule")
+
+
+def history_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of events a day as reports, for a range of days and a list of those with the most errors in January."""
+    e = load(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    reports = e.groupBy("day").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    bad = validators.history(reports, "day", prefix="2024-01").filter(F.col("errors") * 5 > F.col("n")).select("day")
+    listed = validators.history(reports, "day", days=bad).select("day", "n", F.lit("list").alias("form"))
+    return listed.unionByName(validators.history(reports, "day", between=("2024-01-05", "2024-01-20")).select("day", "n", F.lit("range").alias("form")))
+
+
+def retained_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that a turn cites in its report, by the ids found at any depth of it."""
+    c = load(spark, sf_dir, "conversations")
+    report = F.to_json(F.struct(F.array(F.struct(F.array((F.col("conv_id") * 7 % 4001).cast("string"), F.length("text").cast("string")).alias("source_ids"))).alias("details"), F.struct(F.array(F.col("turn").cast("string")).alias("source_ids")).alias("other")))
+    cited = c.select(operators_batches.nested_ids(report).alias("ids"))
+    return validators.retained(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), cited, "o_orderkey", "ids")
+
+
+def packed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a customer's orders as ranges of sources, urgent orders first; tests compare it with a plain version."""
+    o = load(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", "o_orderstatus")
+    part = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_linenumber", "l_suppkey"))
+    li = load(spark, sf_dir, "lineitem").select("l_orderkey", part.alias("part"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_linenumber") * 30).cast("long").alias("end"))
+    rows = li.join(o, "l_orderkey").select("o_custkey", "l_orderkey", "o_orderpriority", F.col("o_orderstatus").alias("path"), "part", "start", "end", (F.col("o_orderpriority") == "1-URGENT").alias("priority"))
+    return operators_batches.packed_ranges(rows, "o_custkey", "l_orderkey", "o_orderpriority", "path", 3, 400, 4)
+
+
+def reduced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as requests, turns as their entries and words as their units; tests compare it with a plain version."""
+    c = load(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    ends = F.transform(F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: (F.substr("text", i, F.lit(1)) == " ") | (i == F.length("text"))), lambda i: i.cast("long"))
+    entry = F.struct("turn", F.col("role").alias("source"), "text", ends.alias("ends"))
+    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    return operators_batches.reduced_requests(g.select("conv_id", F.lit(200).cast("long").alias("fixed_bytes"), F.transform("e", lambda x: F.struct(x["source"].alias("source"), x["text"].alias("text"), x["ends"].alias("ends"))).alias("entries")), "conv_id")
+
+
 NAMES = (
-    publication_outcomes, publication_conflicts, ledger_outcomes, ledger_calls, checked_reuse, guard_taint, composed_matters, uncovered_facts, fact_bounds, fidelity_ratios, table_row_keys, indexed_phrase,
+    source_problems, history_of_days, retained_sources, packed_ranges, reduced_requests, publication_outcomes, publication_conflicts, ledger_outcomes, ledger_calls, checked_reuse, guard_taint, composed_matters, uncovered_facts, fact_bounds, fidelity_ratios, table_row_keys, indexed_phrase,
 )
 QUERIES = {f.__name__: f for f in NAMES}
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -157,6 +206,13 @@ FACTS = """li AS (
   facts AS (SELECT report, fact_id, bool_or(l_linestatus = 'O') AS pending FROM li GROUP BY 1, 2),
   cited AS (SELECT report, fact_id, bool_or(l_linenumber <> 1 AND l_returnflag = 'R') AS as_pending, bool_or(l_linenumber <> 1 AND l_returnflag <> 'R') AS in_matter FROM li GROUP BY 1, 2)"""
 ORACLES = {
+    "source_problems": r"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, coalesce(n_chars, 0) AS n, sha256(coalesce(text, '')) AS sha, str_split(coalesce(text, ''), chr(10))[1] AS line FROM documents),
+      f AS (SELECT *, CASE WHEN n % 11 = 0 THEN '../' || lang WHEN n % 11 = 1 THEN '/' || lang WHEN n % 7 <> 0 THEN concat_ws('/', lang, source) END AS path FROM d)
+      SELECT doc_id, unnest(list_filter([CASE WHEN n % 13 <> 0 AND n % 17 = 0 AND upper(sha) <> sha THEN 'id' END, CASE WHEN contains(line, '|') THEN 'status' END, CASE WHEN length(line) > 200 THEN 'excerpt_hash' END, CASE WHEN n % 5 = 0 AND NOT regexp_full_match(line, '[0-9a-f]{64}') THEN 'content_hash' END,
+        CASE WHEN n > length(t) THEN 'chars' END, CASE WHEN n % 40 = 0 OR n % 40 > 31 THEN 'observed_at' END, CASE WHEN n % 3 = 0 THEN 'modified_at' END, CASE WHEN n % 7 <> 0 AND (n % 13 = 0 OR n % 11 IN (0, 1) OR path = '') THEN 'file' END, CASE WHEN n % 7 = 0 AND (n % 13 <> 0 OR path IS NOT NULL) THEN 'statement' END], lambda r: r IS NOT NULL)) AS rule FROM f""",
+    "history_of_days": """WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1)
+      SELECT day, n, 'list' AS form FROM r WHERE starts_with(day, '2024-01') AND errors * 5 > n UNION ALL SELECT day, n, 'range' FROM r WHERE day BETWEEN '2024-01-05' AND '2024-01-20'""",
+    "retained_sources": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT conv_id * 7 % 4001 FROM conversations UNION SELECT length(text) FROM conversations UNION SELECT turn FROM conversations)",
     "publication_outcomes": f"WITH {PUBLISHED} SELECT day, outcome, sha256, existing FROM p",
     "publication_conflicts": f"WITH {PUBLISHED} SELECT day, body, existing_body FROM p WHERE outcome = 'conflict'",
     "ledger_outcomes": f"""WITH {CALLS} SELECT event_id, coalesce(call_id, -1) AS call_id, CAST(CASE WHEN attempt <= 3 THEN attempt END AS INTEGER) AS attempt,

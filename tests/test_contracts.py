@@ -262,3 +262,153 @@ def test_row_keys_carry_the_first_header(spark):
     got = {r.pos: r.row_key for r in diff.keyed_rows(spark.createDataFrame(rows, "doc string, pos int, label string, is_header boolean, cells array<string>, sha256 string"), keys, "doc", ["pos"]).collect()}
     sha = lambda *p: __import__("hashlib").sha256(__import__("json").dumps(["row-key", p[0], __import__("json").dumps(list(p[1:]), separators=(",", ":"), ensure_ascii=False)], separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
     assert got[0] == "h0" and got[2] == sha("t", "17") and got[3] == sha("t", "b") and got[4] == "h4" and got[5] == "h5" and got[7] == sha("k", "3", "1") and got[8] == "h8"
+
+
+def plain_ranges(rows, most_sources, most_size, most_batches):
+    """The same rules over lists: rows (source, kind, path, part, start, end, priority)."""
+    queue = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r[0], r[3])):
+        queue[r[0]].append(r)
+    lanes = defaultdict(list)
+    for s in sorted(queue, key=lambda s: (queue[s][0][2] or "", s)):
+        lanes[queue[s][0][1] or ""].append(s)
+    order = []
+    while any(lanes.values()):
+        for k in sorted(lanes):
+            if lanes[k]:
+                order.append(lanes[k].pop(0))
+    urgent = [s for s in order if any(r[6] for r in queue[s])]
+    order = urgent + [s for s in order if s not in urgent]
+    boxes = [[] for _ in range(min(most_batches, (len(order) + most_sources - 1) // most_sources))] if urgent else []
+    fits = lambda box: sum(e - a for _, a, e in box) <= most_size and len({s for s, *_ in box}) <= most_sources
+    lost, turn = [], 0
+    for s in order:
+        _, _, _, _, a, e, _ = queue[s][0]
+        tries = [(turn + i) % len(boxes) for i in range(len(boxes))] if urgent else [len(boxes) - 1] if boxes else []
+        good = [i for i in tries if len(boxes[i]) < most_sources and fits([*boxes[i], (s, a, e)])]
+        if not good and len(boxes) < most_batches:
+            boxes.append([])
+            good = [len(boxes) - 1]
+        if good:
+            boxes[good[0]].append((s, a, e))
+            turn = (good[0] + 1) % len(boxes)
+        else:
+            lost.append((s, None, a, e))
+    boxes = [b for b in boxes if b]
+    for some in (urgent, [s for s in order if s not in urgent]):
+        for depth in range(1, 99):
+            for s in [s for s in some if depth < len(queue[s])]:
+                _, _, _, _, a, e, _ = queue[s][depth]
+                own = [b for b in boxes if s in {x[0] for x in b}]
+                placed = False
+                for b in own + [b for b in boxes if b not in own]:
+                    joined = list(b)
+                    close = [i for i, x in enumerate(b) if x[0] == s and a <= x[2] + 2]
+                    if close:
+                        joined[close[-1]] = (s, b[close[-1]][1], e)
+                    else:
+                        joined.append((s, a, e))
+                    if fits(joined):
+                        b[:] = joined
+                        placed = True
+                        break
+                if not placed and len(boxes) < most_batches:
+                    boxes.append([(s, a, e)])
+                elif not placed:
+                    lost.append((s, None, a, e))
+    return sorted([(s, n, a, e) for n, b in enumerate(boxes) for s, a, e in b] + lost, key=str)
+
+
+def test_ranges_pack_as_in_a_plain_version(spark):
+    from quillspark.operators import batches
+
+    rng = random.Random(9)
+    rows = []
+    for run in range(120):
+        for s in range(rng.randint(1, 7)):
+            at, kind, path, urgent = rng.randint(0, 9), rng.choice([".md", ".txt", None]), rng.choice(["a", "b", None]), run % 2 == 0 and rng.random() < 0.4
+            for part in range(rng.randint(1, 4)):
+                end = at + rng.randint(1, 60)
+                rows.append((run, s, kind, path, part, at, end, urgent))
+                at = end + rng.choice([0, 1, 2, 3, 40])
+    d = spark.createDataFrame(rows, "run long, source long, kind string, path string, part int, start long, end long, priority boolean")
+    got = defaultdict(list)
+    for r in batches.packed_ranges(d, "run", "source", "kind", "path", 2, 100, 3).collect():
+        got[r.run].append((r.source, r.batch, r.start, r.end))
+    for run in range(120):
+        assert sorted(got[run], key=str) == plain_ranges([r[1:] for r in rows if r[0] == run], 2, 100, 3), run
+
+
+def test_requests_shrink_to_half_their_bytes(spark):
+    import json
+
+    from quillspark.operators import batches
+
+    rng = random.Random(4)
+    cost = lambda s, t: len(json.dumps({"source_id": s, "text": t}, ensure_ascii=False, separators=(",", ":")).encode()) + 1
+    rows = []
+    for i in range(80):
+        entries = []
+        for _ in range(rng.randint(0, 5)):
+            text = "".join(rng.choices('aé中"\n ', k=rng.randint(0, 700)))
+            entries.append((rng.choice("pqrs"), text, sorted({rng.randint(1, max(1, len(text))) for _ in range(rng.randint(0, 6))})))
+        rows.append((i, rng.randint(0, 300), entries))
+    want = set()
+    for i, fixed, entries in rows:
+        limit, kept, seen = (fixed + sum(cost(s, t) for s, t, _ in entries)) // 2, [], set()
+        total = lambda: fixed + sum(cost(s, t[:e]) for s, t, _, e in kept)  # noqa: B023, E731
+        for s, t, ends in entries:
+            if s not in seen:
+                seen.add(s)
+                if ends and total() + cost(s, t[: ends[0]]) <= limit:
+                    kept.append([s, t, ends, ends[0]])
+        for k in kept:
+            for end in k[2][1:]:
+                was, k[3] = k[3], end
+                if end > 512 or total() > limit:
+                    k[3] = was
+                    break
+        want |= {(i, s, e) for s, _, _, e in kept}
+    d = spark.createDataFrame(rows, "r int, fixed_bytes long, entries array<struct<source:string,text:string,ends:array<long>>>")
+    assert {tuple(x) for x in batches.reduced_requests(d, "r").collect()} == want and len(want) > 40
+
+
+def test_report_problems(spark):
+    from quillspark.operators import validators
+
+    good = dict(day="2024-01-02", schema_version=4, report_kind="file_evidence", scope_id="personal_work", timezone="Asia/Shanghai", root_alias="work", window_start_utc="2024-01-01T16:00:00Z", window_end_utc="2024-01-02T16:00:00Z", generated_at="2024-01-03T00:00:00.5Z", user_notes=None, quality="partial", has_content=True)
+    schema = "day string, schema_version int, report_kind string, scope_id string, timezone string, root_alias string, window_start_utc string, window_end_utc string, generated_at string, user_notes string, quality string, has_content boolean"
+    edits = {
+        "2024-01-02": {}, "2024-01-03": dict(schema_version=9, root_alias="", generated_at="2024-01-03 00:00", user_notes="x" * 70_000, quality="fine"), "2024-01-04": dict(quality="complete"), "2024-01-05": dict(quality="no_changes", has_content=False), "2024-01-06": dict(quality="no_changes", has_content=True),
+        "2024-01-07": dict(schema_version=3), "2024-01-08": dict(), "bad day": dict(),
+    }
+    rows = []
+    for day, e in edits.items():
+        before, after = ("2024-01-%02dT16:00:00Z" % (int(day[-2:]) - 1), f"{day}T16:00:00Z") if day.startswith("2024") else ("x", "y")
+        rows.append(tuple({**good, "day": day, "window_start_utc": before, "window_end_utc": after, **e}[f.split()[0]] for f in schema.split(", ")))
+    sources = [(d, f"s{i}", True, i == 2, "success", False) for d in ("2024-01-02", "2024-01-03", "2024-01-04", "2024-01-08") for i in (1, 2)] + [("2024-01-08", "s1", True, False, "success", False), ("2024-01-07", "s9", False, False, "error", False)]
+    gaps = [("2024-01-02", None, "OK_1", "m", "parse"), ("2024-01-08", "s7", "OK", "m", "parse"), ("2024-01-03", "s1", "not ok", "m", "parse")]
+    facts = [(d, "f1", False, ["s1"]) for d in ("2024-01-02", "2024-01-03", "2024-01-04", "2024-01-08", "bad day")] + [("2024-01-02", "f2", True, ["s2"]), ("2024-01-04", "f2", False, ["s2"]), ("2024-01-08", "f1", True, [])]
+    got = defaultdict(set)
+    out = validators.report_problems(
+        spark.createDataFrame(rows, schema), spark.createDataFrame(sources, "day string, source_id string, usable boolean, unverified boolean, parse_status string, truncated boolean"),
+        spark.createDataFrame(gaps, "day string, source_id string, code string, message string, stage string"), spark.createDataFrame(facts, "day string, fact_id string, pending boolean, source_ids array<string>"),
+    )
+    for r in out.collect():
+        got[r.day].add(r.rule)
+    assert dict(got) == {
+        "2024-01-03": {"kind", "alias", "generated_at", "notes", "quality", "gap"}, "2024-01-04": {"not_complete", "fact"}, "2024-01-06": {"not_without_changes", "content"}, "2024-01-07": {"nothing_usable", "content"},
+        "2024-01-08": {"source_twice", "gap", "fact_twice", "fact"}, "bad day": {"window", "fact"},
+    }
+
+
+def test_a_deadline_stops_further_waves(spark):
+    from quillspark.plans import admission
+    from quillspark.queries import excerpts
+    from quillspark.queries.base import files as file_rows
+
+    f, o = file_rows(spark, DATA), excerpts._outcomes(spark, DATA)
+    first, stops = admission.waves(f, o, late=lambda: True)
+    assert {r.wave for r in first.collect()} == {0} and {r.stop_reason for r in stops.collect()} <= {"complete", "quota_exhausted", "deadline"}
+    whole, _ = admission.waves(f, o)
+    assert first.exceptAll(whole.select(first.columns)).count() == 0
