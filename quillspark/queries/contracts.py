@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import rules
 from quillspark.functions import text as fn
 from quillspark.operators import batches as operators_batches
 from quillspark.operators import composition, diff, ledger, search, validators
 from quillspark.queries import texts
+from quillspark.queries.base import FILES_SQL, files
 from quillspark.session import load, settled, shared_folder
 from quillspark.sources import guard
 from quillspark.streaming import publication
@@ -187,8 +189,29 @@ def reduced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operators_batches.reduced_requests(g.select("conv_id", F.lit(200).cast("long").alias("fixed_bytes"), F.transform("e", lambda x: F.struct(x["source"].alias("source"), x["text"].alias("text"), x["ends"].alias("ends"))).alias("entries")), "conv_id")
 
 
+def decided_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in every state that reading a file can end in, each with its one action and reason."""
+    f = files(spark, sf_dir)
+    n = F.coalesce("n_chars", F.lit(0))
+    status = F.when(n % 19 == 0, "timeout").when(n % 23 == 0, "error").when(n % 29 == 0, "not_parsed").otherwise("success")
+    reason = F.when(n % 38 == 0, "parse_timeout").when(n % 29 == 0, "ignored_pattern").when(n % 31 == 0, "pdf_no_text_in_parse_window")
+    backend = F.when(F.col("extension") == ".pdf", "pdf_metadata_v2").otherwise("light_text")
+    f = f.withColumn("said", rules.decision(status, reason, backend, F.col("size_bytes"), n, F.col("truncated"), F.col("extension"), 9_000, 3_000))
+    return f.select("doc_id", "said.action", "said.reason")
+
+
+def sheet_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as rows of a sheet: which are headers, and which formulas sum the rows above in one column."""
+    li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    names = F.array(F.lit("Name"), F.lit(" amount "), F.lit("DATE"), F.lit("other"))
+    cells = F.array(F.get(names, (F.col("l_partkey") % 4).cast("int")), F.get(names, (F.col("l_suppkey") % 4).cast("int")), F.when(F.col("l_returnflag") == "R", F.lit("1,234.5%")).otherwise(F.col("l_returnflag")))
+    column = F.when(F.col("l_suppkey") % 3 == 0, "C").otherwise("B")
+    formula = F.when(F.col("l_partkey") % 5 == 0, F.format_string("=sum($B$2:$%s$%d)", column, F.col("l_linenumber") * 3)).when(F.col("l_partkey") % 5 == 1, F.format_string("SUM(B1:%s%d)", column, F.col("l_partkey") % 14)).when(F.col("l_partkey") % 5 == 2, F.format_string("=SUM(B2:B%d)+1", F.col("l_linenumber"))).otherwise("=B2")
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", rules.header_row(cells, ("name", "amount", "date")).alias("header"), F.coalesce(rules.vertical_sum(formula, F.lit(12)), F.lit(False)).alias("vertical"))
+
+
 NAMES = (
-    source_problems, history_of_days, retained_sources, packed_ranges, reduced_requests, publication_outcomes, publication_conflicts, ledger_outcomes, ledger_calls, checked_reuse, guard_taint, composed_matters, uncovered_facts, fact_bounds, fidelity_ratios, table_row_keys, indexed_phrase,
+    decided_evidence, sheet_predicates, source_problems, history_of_days, retained_sources, packed_ranges, reduced_requests, publication_outcomes, publication_conflicts, ledger_outcomes, ledger_calls, checked_reuse, guard_taint, composed_matters, uncovered_facts, fact_bounds, fidelity_ratios, table_row_keys, indexed_phrase,
 )
 QUERIES = {f.__name__: f for f in NAMES}
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -206,6 +229,13 @@ FACTS = """li AS (
   facts AS (SELECT report, fact_id, bool_or(l_linestatus = 'O') AS pending FROM li GROUP BY 1, 2),
   cited AS (SELECT report, fact_id, bool_or(l_linenumber <> 1 AND l_returnflag = 'R') AS as_pending, bool_or(l_linenumber <> 1 AND l_returnflag <> 'R') AS in_matter FROM li GROUP BY 1, 2)"""
 ORACLES = {
+    "decided_evidence": f"""WITH {FILES_SQL}, n AS (SELECT *, coalesce(n_chars, 0) AS n FROM named),
+      s AS (SELECT *, CASE WHEN n % 19 = 0 THEN 'timeout' WHEN n % 23 = 0 THEN 'error' WHEN n % 29 = 0 THEN 'not_parsed' ELSE 'success' END AS status, CASE WHEN n % 38 = 0 THEN 'parse_timeout' WHEN n % 29 = 0 THEN 'ignored_pattern' WHEN n % 31 = 0 THEN 'pdf_no_text_in_parse_window' END AS why FROM n),
+      a AS (SELECT *, CASE WHEN status IN ('error', 'timeout') THEN 'error' WHEN status = 'not_parsed' THEN 'omit' WHEN extension = '.pdf' AND coalesce(why, '') = 'pdf_no_text_in_parse_window' THEN 'metadata_only' WHEN size_bytes > 9000 THEN 'metadata_only' WHEN n <= 3000 AND NOT truncated THEN 'keep' ELSE 'compress' END AS action FROM s)
+      SELECT doc_id, action, CASE action WHEN 'error' THEN coalesce(why, 'parse_error') WHEN 'omit' THEN why WHEN 'keep' THEN 'small_file_keep' WHEN 'metadata_only' THEN CASE WHEN extension = '.pdf' AND coalesce(why, '') = 'pdf_no_text_in_parse_window' THEN why ELSE 'file_size_policy' END
+        ELSE CASE WHEN extension = '.log' THEN 'large_log_tail' WHEN extension IN ('.docx', '.xlsx', '.pdf', '.doc') THEN 'large_document_summary' ELSE 'medium_text_compress' END END AS reason FROM a""",
+    "sheet_predicates": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag <> 'R' AND l_partkey % 4 <> 3 AND l_suppkey % 4 <> 3 AS header,
+      CASE l_partkey % 5 WHEN 0 THEN l_suppkey % 3 <> 0 AND l_linenumber * 3 < 12 WHEN 1 THEN l_suppkey % 3 <> 0 AND l_partkey % 14 < 12 ELSE false END AS vertical FROM lineitem""",
     "source_problems": r"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, coalesce(n_chars, 0) AS n, sha256(coalesce(text, '')) AS sha, str_split(coalesce(text, ''), chr(10))[1] AS line FROM documents),
       f AS (SELECT *, CASE WHEN n % 11 = 0 THEN '../' || lang WHEN n % 11 = 1 THEN '/' || lang WHEN n % 7 <> 0 THEN concat_ws('/', lang, source) END AS path FROM d)
       SELECT doc_id, unnest(list_filter([CASE WHEN n % 13 <> 0 AND n % 17 = 0 AND upper(sha) <> sha THEN 'id' END, CASE WHEN contains(line, '|') THEN 'status' END, CASE WHEN length(line) > 200 THEN 'excerpt_hash' END, CASE WHEN n % 5 = 0 AND NOT regexp_full_match(line, '[0-9a-f]{64}') THEN 'content_hash' END,
