@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.queries import aggregates, batches, contracts, evidence, excerpts, planning, relational, scalars, state, texts, windows
+from quillspark.queries import aggregates, batches, contracts, evidence, excerpts, planning, relational, retention, scalars, state, texts, windows
 
-MODULES = (planning, scalars, relational, windows, aggregates, texts, state, evidence, excerpts, batches, contracts)
+MODULES = (planning, scalars, relational, windows, aggregates, texts, state, evidence, excerpts, batches, contracts, retention)
 FLAGSHIP = "flagship_decisions"
 QUERIES: dict = {}
 ORACLES: dict = {}
