@@ -35,26 +35,36 @@ class Linear:
     weights: np.ndarray
     bias: float
 
-    def __call__(self, x: np.ndarray, before: np.ndarray) -> np.ndarray:
-        z = np.hstack([x[:, self.columns], before]) @ self.weights + self.bias
+    def __call__(self, x: np.ndarray, before: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """Probabilities of all rows of x, or of some; before is that of these rows."""
+        z = np.hstack([x[:, self.columns] if rows is None else x[np.ix_(rows, self.columns)], before]) @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(x: np.ndarray, before: np.ndarray, y: np.ndarray) -> Linear:
-    """Ridge logistic regression by Newton steps on the terms that go with y in these rows (chi-squared).
+def column_sums(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of some rows, a few at a time: x is large, and a copy of most of it would be as large."""
+    out = np.zeros(x.shape[1])
+    for i in range(0, len(rows), 512):
+        out += x[rows[i : i + 512]].sum(axis=0, dtype=np.float64)
+    return out
 
-    With labels of one value, the model is its smoothed share.
+
+def fit_linear(x: np.ndarray, before: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None) -> Linear:
+    """Ridge logistic regression by Newton steps on the terms that go with y in these rows of x, or all (chi-squared).
+
+    before and y are those of the rows. With labels of one value, the model is its smoothed share.
     """
+    rows = np.arange(len(x)) if rows is None else rows
     n, ones = len(y), y.sum()
     base = (ones + 0.5) / (n + 1)
     if ones in (0, n):
         return Linear(np.zeros(0, np.int64), np.zeros(before.shape[1]), float(np.log(base / (1 - base))))
-    have, both = x.sum(axis=0, dtype=np.float64), x[y > 0].sum(axis=0, dtype=np.float64)
+    have, both = column_sums(x, rows), column_sums(x, rows[y > 0])
     spread = have * (n - have) * ones * (n - ones)
     chi2 = n * (n * both - have * ones) ** 2 / np.where(spread > 0, spread, np.inf)
     columns = np.argsort(-chi2, kind="stable")[:MAX_SELECTED]
     columns = np.sort(columns[chi2[columns] >= LEAST_CHI2])
-    a = np.hstack([x[:, columns], before, np.ones((n, 1))]).astype(np.float64)
+    a = np.hstack([x[np.ix_(rows, columns)], before, np.ones((n, 1))]).astype(np.float64)
     penalty = np.full(a.shape[1], RIDGE)
     penalty[-1] = 1e-6
     w = np.zeros(a.shape[1])
@@ -106,7 +116,7 @@ def train(x: np.ndarray, y: np.ndarray, folds: np.ndarray, categories: list[str]
         held = np.zeros(len(x))
         for fold in np.unique(folds):
             out = folds == fold
-            held[out] = fit_linear(x[~out], before[~out], y[~out, j])(x[out], before[out]) if (~out).any() else y[:, j].mean()
+            held[out] = fit_linear(x, before[~out], y[~out, j], np.flatnonzero(~out))(x, before[out], np.flatnonzero(out)) if (~out).any() else y[:, j].mean()
         if category == decide:
             cut = best_cut(held, y[:, j])
         before = np.hstack([before, held[:, None]])
