@@ -6,6 +6,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as fn
 
 
-BUCKETS = 64
+BUCKETS, SNIPPET = 64, 40
 
 
 def fragments(reports: DataFrame, key: str, title: Column, body: Column, *kept: str) -> DataFrame:
@@ -92,6 +93,73 @@ def search(rows: DataFrame, query: str, index: DataFrame | None = None) -> DataF
     return rows.filter(fn.ascii_lower(both).contains(query.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))))
 
 
+def folded(text: str) -> str:
+    """Letter case folded letter by letter, so that places stay."""
+    return "".join(low if len(low := c.lower()) == 1 else c for c in text)
+
+
+def best_window(columns: list[str], query: str, tokens: int) -> tuple[int, int, list[int]] | None:
+    """(column, first trigram, places of the phrase) of the window of trigrams that shows the phrase best; None without a hit.
+
+    A window scores 1000 for the phrase and 1 for each further one in it. Windows stand around a hit, or begin where the hit's sentence does, which is
+    worth 100, or 120 at the column's start, as long as that is before the hit. Of equal ones the first stays.
+    """
+    needle, width = folded(query), len(query) - 2
+    best: tuple[int, int, int] = (0, 0, 0)
+    found: list[list[int]] = []
+    for at, text in enumerate(columns):
+        low, size = folded(text), max(0, len(text) - 2)
+        hits = [i for i in range(size) if low.startswith(needle, i)]
+        found.append(hits)
+        sentences = [i for i in range(size) if i == 0 or (text[i - 1] in " \t\n\r" and text[:i].rstrip(" \t\n\r")[-1:] in (".", ":") and text[:i].rstrip(" \t\n\r"))]
+        for hit in hits:
+            inside = [i for i in hits if hit <= i < hit + tokens]
+            score = 999 + len(inside)
+            start = max(0, min(hit - (tokens - (inside[-1] + width - hit)) // 2, size - tokens))
+            if score > best[0]:
+                best = (score, at, start)
+            if size > tokens:
+                begin = [s for s in sentences if s <= hit][-1]
+                if begin < hit:
+                    inside = [i for i in hits if begin <= i < begin + tokens]
+                    score = (999 + len(inside) if inside else 0) + (120 if begin == 0 else 100)
+                    if score > best[0]:
+                        best = (score, at, begin)
+    return (best[1], best[2], found[best[1]]) if best[0] else None
+
+
+def match_snippet(columns: list[str], query: str, tokens: int = SNIPPET) -> str | None:
+    """the best window of a phrase of three letters or more with its hits in brackets, and an ellipsis where text is left out."""
+    window = best_window(columns, query, tokens)
+    if window is None:
+        return None
+    at, first, hits = window
+    text, size, width = columns[at], len(columns[at]) - 2, len(query) - 2
+    last = min(first + tokens, size)
+    out, place = ["…" if first else ""], first
+    runs: list[list[int]] = []
+    for hit in hits:  # hits that share a letter are one
+        if runs and hit < runs[-1][1] + 2:
+            runs[-1][1] = max(runs[-1][1], hit + width)
+        else:
+            runs.append([hit, hit + width])
+    for begin, end in runs:
+        begin, end = max(begin, first), min(end, last)
+        if begin < end:
+            out += [text[place : max(begin, place)], "[", text[max(begin, place) : end + 2], "]"]
+            place = end + 2
+    return "".join([*out, text[place : last + 2], "…" if last < size else ""])
+
+
+def snippets(rows: DataFrame, query: str) -> DataFrame:
+    """rows of hits with their snippet: match_snippet of title and body, in Arrow batches."""
+
+    def shown(titles: pd.Series, bodies: pd.Series) -> pd.Series:
+        return pd.Series([match_snippet([t or "", b or ""], query) for t, b in zip(titles, bodies)], dtype="object")
+
+    return rows.withColumn("snippet", F.pandas_udf(shown, "string")("title", "body"))
+
+
 def page(hits: DataFrame, limit: int, *order: Column) -> DataFrame:
     """The first rows in order; the limit is held between 1 and 500."""
     return hits.orderBy(*order).limit(max(1, min(500, limit)))

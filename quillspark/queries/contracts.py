@@ -210,8 +210,14 @@ def sheet_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", rules.header_row(cells, ("name", "amount", "date")).alias("header"), F.coalesce(rules.vertical_sum(formula, F.lit(12)), F.lit(False)).alias("vertical"))
 
 
+def match_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the best window of a phrase in each fragment that has it; tests compare it with a full-text engine's."""
+    rows = search.fragments(load(spark, sf_dir, "documents"), "doc_id", F.concat_ws(" ", "source", "lang"), F.col("text"))
+    return search.snippets(search.search(rows, "and the"), "and the").select("report_key", "snippet")
+
+
 NAMES = (
-    decided_evidence, sheet_predicates, source_problems, history_of_days, retained_sources, packed_ranges, reduced_requests, publication_outcomes, publication_conflicts, ledger_outcomes, ledger_calls, checked_reuse, guard_taint, composed_matters, uncovered_facts, fact_bounds, fidelity_ratios, table_row_keys, indexed_phrase,
+    match_snippets, decided_evidence, sheet_predicates, source_problems, history_of_days, retained_sources, packed_ranges, reduced_requests, publication_outcomes, publication_conflicts, ledger_outcomes, ledger_calls, checked_reuse, guard_taint, composed_matters, uncovered_facts, fact_bounds, fidelity_ratios, table_row_keys, indexed_phrase,
 )
 QUERIES = {f.__name__: f for f in NAMES}
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"

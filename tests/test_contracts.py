@@ -412,3 +412,32 @@ def test_a_deadline_stops_further_waves(spark):
     assert {r.wave for r in first.collect()} == {0} and {r.stop_reason for r in stops.collect()} <= {"complete", "quota_exhausted", "deadline"}
     whole, _ = admission.waves(f, o)
     assert first.exceptAll(whole.select(first.columns)).count() == 0
+
+
+def test_snippets_are_those_of_a_full_text_engine(spark):
+    """SQLite's FTS5 with trigrams; phrases whose hits share letters but no trigram are left out, as it doubles text there."""
+    import sqlite3
+
+    c = sqlite3.connect(":memory:")
+    try:
+        c.execute("CREATE VIRTUAL TABLE t USING fts5(title, body, tokenize='trigram')")
+    except sqlite3.OperationalError:
+        pytest.skip("no trigram index here")
+    rng, seen = random.Random(1), 0
+    rows = []
+    for i in range(2500):
+        title, body = ("".join(rng.choices(["the ", "ab", "a", "b", "c. ", ": ", "x", "\n", " ", "é", "."], k=k)) for k in (rng.randint(0, 12), rng.randint(0, 90)))
+        query = rng.choice(["the", "THE", "aba", "the a", "abab", "bab", ". x", "xab"])
+        c.execute("DELETE FROM t")
+        c.execute("INSERT INTO t VALUES (?, ?)", (title, body))
+        found = c.execute("SELECT snippet(t, -1, '[', ']', '…', 40) FROM t WHERE t MATCH ?", (f'"{query}"',)).fetchone()
+        places = [[p for p in range(len(x)) if x.lower().startswith(query.lower(), p)] for x in (title, body)]
+        if any(len(query) - 2 <= b - a < len(query) for p in places for a, b in zip(p, p[1:])):
+            continue
+        assert search.match_snippet([title, body], query) == (found[0] if found else None), (title, body, query)
+        seen += found is not None
+        rows.append((i, title, body))
+    assert seen > 900
+    d = spark.createDataFrame(rows[:50], "report_key long, title string, body string")
+    assert {r.report_key: r.snippet for r in search.snippets(d, "the").collect()} == {i: search.match_snippet([t, b], "the") for i, t, b in rows[:50]}
+    assert search.match_snippet(["", "aaaaa"], "aaa") == "[aaaaa]"
