@@ -13,7 +13,7 @@ LEVELS = ("ok", "warning", "error")
 
 
 def execution_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditional counts a day; all_hit is null on days without lookups."""
+    """Conditional counts a day; all_hit is null on days without lookups."""
     e = events(spark, sf_dir)
     t = F.col("event_type")
     hit = F.col("value") < 100
@@ -24,14 +24,14 @@ def execution_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strict_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals that are null when a part is unknown, and those that are null only when all is."""
+    """Totals that are null when a part is unknown, and those that are null only when all is."""
     k = F.get_json_object("props", "$.k").cast("long")
     e = load(spark, sf_dir, "events").withColumn("k", F.when(k % 13 != 0, k))
     return e.groupBy("user_id", "event_type").agg(metrics.strict_total(F.col("k")).alias("strict"), metrics.known_total(F.col("k")).alias("known"), F.count("*").alias("n"))
 
 
 def model_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens known and unknown, retries and time by stage, from JSON usage."""
+    """Tokens known and unknown, retries and time by stage, from JSON usage."""
     e = load(spark, sf_dir, "events").withColumn("tokens", F.get_json_object("props", "$.k").cast("long"))
     n = F.row_number().over(Window.partitionBy("user_id", "event_type", "tokens").orderBy("ts", "event_id"))
     e = e.withColumn("retry", n > 1)
@@ -42,32 +42,34 @@ def model_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def budget_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each call in the scopes of its run, day and job; a call of unknown cost poisons all three."""
+    """Each call in the scopes of its run, day and job; a call of unknown cost poisons all three."""
     k = F.get_json_object("props", "$.k").cast("long")
     e = events(spark, sf_dir).withColumn("cost", F.when(k != 1, k * 3)).withColumn("run", F.col("user_id")).withColumn("d", F.date_format("day", "yyyy-MM-dd")).withColumn("job", F.col("event_type"))
     return metrics.budget_usage(e, [("run", "run"), ("day", "d"), ("job", "job")], "cost")
 
 
 def charged_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known cost if there is one, else the reserved upper bound."""
+    """Known cost if there is one, else the reserved upper bound."""
     k = F.get_json_object("props", "$.k").cast("long")
     charge = F.when(F.col("event_type") == "error", F.lit(100)).otherwise(k)
     return load(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(charge).cast("long").alias("charged"), F.count_if(F.col("event_type") == "error").alias("reserved"))
 
 
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G16."""
     e = load(spark, sf_dir, "events")
     found = metrics.inclusive_percentiles(e, "event_type", "value", [0.5, 0.9])
     return found.select("event_type", F.round("p0", 6).alias("p50"), F.round("p1", 6).alias("p90"))
 
 
 def grouped_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G19."""
     d = load(spark, sf_dir, "documents")
     return metrics.headed_groups(d, ["lang"], "source", "n_chars", "doc_id", 6).select("lang", "source", "first", "labels", "n")
 
 
 def gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to five gap codes a source, distinct and sorted."""
+    """Up to five gap codes a source, distinct and sorted."""
     d = load(spark, sf_dir, "documents")
     codes = F.array(
         F.when(F.col("n_chars") > 5000, "PARSE_BOUNDED"), F.when(F.col("doc_id") % 6 == 0, "SOURCE_UNAVAILABLE"), F.when(F.col("n_chars") < 300, "EMPTY"), F.when(F.col("lang") != "en", "LANGUAGE"),
@@ -77,7 +79,7 @@ def gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def omission_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Omitted documents by reason with the first ten distinct paths."""
+    """Omitted documents by reason with the first ten distinct paths."""
     d = load(spark, sf_dir, "documents").withColumn("reason", F.when(F.col("n_chars") > 4000, "size").when(F.col("n_chars") < 200, "empty"))
     d = d.filter("reason IS NOT NULL").select("source", "reason", "doc_id")
     shown = windows.first_rows(d.distinct(), ["source", "reason"], ["doc_id"], 10)
@@ -87,53 +89,54 @@ def omission_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backend_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts nested by extension class, backend and lane, as sorted JSON."""
+    """Counts nested by extension class, backend and lane, as sorted JSON."""
     d = load(spark, sf_dir, "documents").withColumn("backend", F.concat(F.lit("b"), (F.col("doc_id") % 3).cast("string")))
     g = d.groupBy("lang", "backend").agg(F.count("*").alias("n"))
     return g.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "backend", F.col("n").cast("string")))), ",").alias("backends"), F.sum("n").alias("files"))
 
 
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G26, M20."""
     d = load(spark, sf_dir, "documents").select(F.md5("text").alias("h"), "doc_id", "n_chars")
     return d.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("n_chars").alias("chars")).filter("n > 1")
 
 
 def summary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (text, sources) in order of first sight."""
+    """Distinct (text, sources) in order of first sight."""
     c = load(spark, sf_dir, "conversations").select("role", F.col("text").alias("k"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
     first = c.groupBy("role", "k").agg(F.min("at").alias("at"))
     return windows.running(first, ["role"], ["at", "k"]).select("role", "k", (F.col("_before") + 1).cast("int").alias("n"))
 
 
 def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detail folded into one row a day: runs, failures, and what was last."""
+    """Detail folded into one row a day: runs, failures, and what was last."""
     e = events(spark, sf_dir)
     last = lambda c: F.max_by(c, F.struct("ts", "event_id"))
     return e.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("runs"), F.count_if(F.col("event_type") == "error").alias("failures"), last("event_type").alias("last_status"), last("user_id").alias("last_user"))
 
 
 def health_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The worst of a user's checks."""
+    """The worst of a user's checks."""
     e = load(spark, sf_dir, "events")
     level = F.when(F.col("event_type") == "error", F.when(F.col("value") > 50, "error").otherwise("warning")).otherwise("ok")
     return e.groupBy("user_id").agg(metrics.worst(level, LEVELS).alias("status"), F.count_if(level != "ok").alias("raised"))
 
 
 def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """success, partial or error of each source: error if nothing is usable, partial if anything is not."""
+    """Success, partial or error of each source: error if nothing is usable, partial if anything is not."""
     d = load(spark, sf_dir, "documents").withColumn("ok", F.col("n_chars") > 400)
     return d.groupBy("source", "lang").agg(F.when(~F.bool_or("ok"), "error").when(F.bool_and("ok"), "success").otherwise("partial").alias("status"), F.count_if("ok").alias("usable"))
 
 
 def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents covered by labels, by language and quality, with what no label covers."""
+    """Documents covered by labels, by language and quality, with what no label covers."""
     d, la = load(spark, sf_dir, "documents").select("doc_id", "lang"), load(spark, sf_dir, "labels")
     j = d.join(la, "doc_id", "left")
     return j.groupBy("lang").agg(F.count("*").alias("presented"), F.count("quality").alias("covered"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality").isNull()).alias("unlabelled"))
 
 
 def freshness_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Count and newest key per table: an index is stale if they changed."""
+    """Count and newest key per table: an index is stale if they changed."""
     rows = [("documents", "doc_id"), ("conversations", "conv_id"), ("events", "event_id")]
     out = None
     for name, key in rows:

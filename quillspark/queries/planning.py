@@ -60,15 +60,18 @@ decided AS (
 
 
 def flagship_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B05, B10, B12, B13, J01, J07, J27, E02, E03."""
     return admission.decisions(files(spark, sf_dir))
 
 
 def nominal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B08, B09, E01."""
     plan = admission.ranked(files(spark, sf_dir)).withColumn("route", rules.route(F.col("extension"), F.col("size_bytes"), 30_000))
     return plan.select("run_id", "relative_path", "priority", "rank", "route")
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G04."""
     d = flagship_decisions(spark, sf_dir)
     count = lambda c: F.count_if(c).alias
     return d.groupBy("run_id").agg(
@@ -78,6 +81,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extension_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J08, G01."""
     d = flagship_decisions(spark, sf_dir)
     return d.groupBy("extension").agg(
         F.count("*").alias("discovered"), F.count_if(F.col("action").isin("keep", "compress")).alias("parsed"), F.count_if(F.col("action") == "omit").alias("not_parsed"),
@@ -86,7 +90,7 @@ def extension_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four fixed rows a run, whatever happened."""
+    """Four fixed rows a run, whatever happened."""
     d = flagship_decisions(spark, sf_dir).groupBy("run_id").agg(
         F.count("*").alias("discovery"), F.count_if(~F.col("route").rlike("^(not_parsed|reject):")).alias("planning"),
         F.count_if(F.col("action").isin("keep", "compress")).alias("parsing"), F.count_if(F.col("output_chars") > 0).alias("rendering"),
@@ -95,7 +99,7 @@ def stage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def omitted_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Omitted files by reason and extension; groups after the first eight of a run are one."""
+    """Omitted files by reason and extension; groups after the first eight of a run are one."""
     d = flagship_decisions(spark, sf_dir).filter("action = 'omit'").groupBy("run_id", "reason", "extension").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("n"), "reason", "extension"))
     d = d.withColumn("place", place)
@@ -105,6 +109,7 @@ def omitted_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def omitted_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E04."""
     d = flagship_decisions(spark, sf_dir).filter("action = 'omit'").withColumn("cost", (F.length("relative_path") + F.length("reason") + 20) * 40)
     return admission.omitted_prefix(d, 60_000).select("run_id", "rank", "relative_path", "used")
 

@@ -25,12 +25,13 @@ def _cache(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J03, J04, M01, M04."""
     lookups, cache = _cache(spark, sf_dir)
     return joins.cache_lookup(lookups, cache).select("doc_id", "status", "miss_reason")
 
 
 def cache_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest lineitem of each order's customer with nation: four tables, one row."""
+    """Latest lineitem of each order's customer with nation: four tables, one row."""
     o, c, n, li = (load(spark, sf_dir, t) for t in ("orders", "customer", "nation", "lineitem"))
     last = joins.latest(li.select("l_orderkey", "l_linenumber", "l_shipdate"), ["l_orderkey"], F.desc("l_shipdate"), F.desc("l_linenumber"))
     out = o.join(last, o.o_orderkey == last.l_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
@@ -38,18 +39,20 @@ def cache_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with labels, pages and events by number: three left joins that keep every document."""
+    """Documents with labels, pages and events by number: three left joins that keep every document."""
     d, la, p, e = (load(spark, sf_dir, t) for t in ("documents", "labels", "pages", "events"))
     out = d.select("doc_id", "lang").join(la, "doc_id", "left").join(p.select(F.col("page_id").alias("doc_id"), "url"), "doc_id", "left")
     return out.join(e.filter("event_type = 'error'").select(F.col("event_id").alias("doc_id"), "value"), "doc_id", "left").select("doc_id", "lang", "quality", "url", "value")
 
 
 def pending_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J13, L06."""
     e = events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts")
     return joins.unresolved(e.filter("event_type = 'signup'"), e.filter("event_type = 'purchase'"), "user_id").select("event_id", "user_id")
 
 
 def failures_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J14."""
     e = events(spark, sf_dir)
     done = e.filter("event_type = 'purchase'").groupBy("user_id", "day").agg(F.max("ts").alias("published_at"))
     out = e.filter("event_type = 'error'").join(done, ["user_id", "day"])
@@ -57,27 +60,27 @@ def failures_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest event of each user and day, if it is an error; equal times go by number."""
+    """The newest event of each user and day, if it is an error; equal times go by number."""
     last = joins.latest(events(spark, sf_dir), ["user_id", "day"], F.desc("ts"), F.desc("event_id"))
     return last.filter("event_type = 'error'").select("event_id", "user_id")
 
 
 def unfinished_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users whose JSON key names a job that no purchase of theirs has."""
+    """Users whose JSON key names a job that no purchase of theirs has."""
     e = events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     jobs = e.filter("event_type = 'click'").select("user_id", "k").distinct()
     return jobs.join(e.filter("event_type = 'purchase'").select("user_id", "k").distinct(), ["user_id", "k"], "left_anti")
 
 
 def missed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days between a user's first and last event on which there was none."""
+    """Days between a user's first and last event on which there was none."""
     e = events(spark, sf_dir)
     days = joins.calendar(e.groupBy("user_id").agg(F.min("day").alias("a"), F.max("day").alias("b")), ["user_id"], "a", "b")
     return days.join(e.select("user_id", "day").distinct(), ["user_id", "day"], "left_anti").select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 def range_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every weekday of a user's span with its events, 0 where there were none."""
+    """Every weekday of a user's span with its events, 0 where there were none."""
     e = events(spark, sf_dir)
     days = joins.calendar(e.groupBy("user_id").agg(F.min("day").alias("a"), F.max("day").alias("b")), ["user_id"], "a", "b").filter(F.dayofweek("day").between(2, 6))
     n = e.groupBy("user_id", "day").agg(F.count("*").alias("n"))
@@ -85,14 +88,14 @@ def range_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def newest_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two newest events of each user and type, side by side."""
+    """The two newest events of each user and type, side by side."""
     w = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
     e = load(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.lead("event_id").over(w).alias("before_id"), F.row_number().over(w).alias("n"))
     return e.filter("n = 1 AND before_id IS NOT NULL").select("user_id", "event_type", "before_id", F.col("event_id").alias("after_id"))
 
 
 def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of the sources that each user cites, by their position in the source list."""
+    """Labels of the sources that each user cites, by their position in the source list."""
     e = load(spark, sf_dir, "events").filter("event_type = 'view'")
     cited = e.select("user_id", (F.get_json_object("props", "$.k").cast("long") % 20).alias("i")).distinct()
     names = load(spark, sf_dir, "documents").select("source").distinct()
@@ -102,7 +105,7 @@ def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that stand once in a document and once in the next but nineteen of its source."""
+    """Lines that stand once in a document and once in the next but nineteen of its source."""
     d = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     left = d.withColumn("pair", F.col("doc_id"))
     right = d.withColumn("pair", F.col("doc_id") - 20)
@@ -111,6 +114,7 @@ def unique_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def receipt_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J28."""
     f = files(spark, sf_dir).select("file_identity", "extension", "size_bytes", "lang", "doc_id")
     stored = f.filter("doc_id % 97 <> 0").select(
         "file_identity", F.when(F.col("doc_id") % 89 == 0, "?").otherwise(F.col("extension")).alias("extension"), (F.col("size_bytes") + F.when(F.col("doc_id") % 83 == 0, 1).otherwise(0)).alias("size_bytes"), "lang"
@@ -119,19 +123,20 @@ def receipt_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J22."""
     d = load(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return joins.retry_merge(d.filter("doc_id % 5 <> 0"), d.filter("doc_id % 7 <> 0").withColumn("n_chars", F.col("n_chars") + 1), "doc_id", "n_chars")
 
 
 def shared_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small dictionary joined to large rows; a key that it lacks is an error row."""
+    """A small dictionary joined to large rows; a key that it lacks is an error row."""
     li = load(spark, sf_dir, "lineitem")
     names = load(spark, sf_dir, "part").filter("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     return li.select("l_orderkey", "l_linenumber", "l_partkey").join(names, "l_partkey", "left").select("l_orderkey", "l_linenumber", F.coalesce("p_brand", F.lit("#missing")).alias("brand"))
 
 
 def deduplicated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logical and physical characters, and what equal contents save."""
+    """Logical and physical characters, and what equal contents save."""
     d = load(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("h"), "n_chars")
     return d.groupBy("h").agg(F.count("*").alias("n"), F.first("n_chars").alias("c")).agg(
         F.sum("n").alias("versions"), F.sum(F.col("n") * F.col("c")).alias("logical"), F.sum("c").alias("physical"), F.greatest(F.lit(0), F.sum(F.col("n") * F.col("c")) - F.sum("c")).alias("saved")
@@ -139,14 +144,14 @@ def deduplicated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prior against current content by hash, nulls equal."""
+    """Prior against current content by hash, nulls equal."""
     d = load(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
     prior = d.filter("doc_id % 4 <> 0").select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("h")).alias("p"))
     return d.join(prior, "doc_id", "left").filter(~F.col("h").eqNullSafe(F.col("p"))).select("doc_id", F.when(F.col("p").isNull(), "unknown").otherwise("changed").alias("change"))
 
 
 def history_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose normalised path is asked for, in any case and with either separator."""
+    """Files whose normalised path is asked for, in any case and with either separator."""
     f = files(spark, sf_dir)
     asked = f.filter("doc_id % 13 = 0").select(F.translate(F.upper("relative_path"), "/", "\\").alias("p"))
     asked = asked.select(F.lower(F.translate("p", "\\", "/")).alias("p"))
@@ -154,7 +159,7 @@ def history_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users by what they did: union, intersection and difference of sets, and exact-set equality."""
+    """Users by what they did: union, intersection and difference of sets, and exact-set equality."""
     e = load(spark, sf_dir, "events")
     sets = e.groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("types"))
     want = F.array(F.lit("click"), F.lit("error"), F.lit("refund"))
@@ -165,7 +170,7 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alias_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of documents with one content the first path stays; the others become issues."""
+    """Of documents with one content the first path stays; the others become issues."""
     f = files(spark, sf_dir).withColumn("h", F.md5("content"))
     f = f.select("doc_id", "relative_path", "h")
     first = f.groupBy(F.col("h").alias("of")).agg(F.min("relative_path").alias("first"))
@@ -173,22 +178,24 @@ def alias_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def current_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J17, G13, S01."""
     e = load(spark, sf_dir, "events")
     return e.filter("event_type = 'view'").select("user_id").union(e.filter("event_type = 'click' AND value > 100").select("user_id")).distinct()
 
 
 def slowest_twenty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L02."""
     e = load(spark, sf_dir, "events")
     return e.select("event_id", "value").orderBy(F.desc(F.coalesce("value", F.lit(0.0))), "event_id").limit(20)
 
 
 def run_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest fifty runs of a day, newest first."""
+    """The newest fifty runs of a day, newest first."""
     return events(spark, sf_dir).filter(F.col("day") == F.lit("2024-01-15").cast("date")).orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "user_id")
 
 
 def warnings_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per user the first five warnings, run-level ones first; the rest folded by type."""
+    """Per user the first five warnings, run-level ones first; the rest folded by type."""
     e = load(spark, sf_dir, "events").withColumn("run_level", F.col("event_type") == "error")
     n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("run_level"), "event_id"))
     e = e.withColumn("n", n)

@@ -11,7 +11,7 @@ from quillspark.session import load
 
 
 def text_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excerpts by head and tail, log tail, fragments, notes, token estimates."""
+    """Excerpts by head and tail, log tail, fragments, notes, token estimates."""
     d = files(spark, sf_dir)
     t = F.col("content")
     return d.select(
@@ -21,7 +21,7 @@ def text_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Escapes for markdown, table cells and LIKE; table cells and separators; sentences."""
+    """Escapes for markdown, table cells and LIKE; table cells and separators; sentences."""
     d = load(spark, sf_dir, "documents")
     t = F.col("text")
     return d.select(
@@ -32,12 +32,13 @@ def text_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F08."""
     d = load(spark, sf_dir, "documents").select("doc_id", text.like_snippet(F.col("text"), "Thing").alias("snippet"))
     return d.filter("snippet IS NOT NULL")
 
 
 def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identities, labels, versions, cell columns, costs and page samples."""
+    """Identities, labels, versions, cell columns, costs and page samples."""
     d = files(spark, sf_dir)
     version = rules.source_version(F.col("doc_id") * 1000 + 7, F.col("size_bytes"))
     letters = F.concat(F.chr(F.lit(65) + F.col("doc_id") % 26), F.chr(F.lit(65) + F.floor(F.col("doc_id") / 26) % 26), F.lit("12"))
@@ -52,7 +53,7 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filters and predicates on paths, cells and facts."""
+    """Filters and predicates on paths, cells and facts."""
     d = files(spark, sf_dir)
     name = F.element_at(F.split("relative_path", "/"), -1)
     fact = F.concat("content", F.element_at(F.array(*(F.lit(w) for w in ("审批", "金额", "完成", "截止", "无"))), (F.col("doc_id") % 5 + 1).cast("int")))
@@ -70,7 +71,7 @@ def rule_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Report days, windows, weeks and months of events."""
+    """Report days, windows, weeks and months of events."""
     e = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     day = dates.local_date(F.col("ts"))
     ymd = lambda c: F.date_format(c, "yyyy-MM-dd")

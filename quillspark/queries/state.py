@@ -19,15 +19,18 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M07."""
     return state.run_states(_events(spark, sf_dir), "user_id", "state", ["ts", "event_id"])
 
 
 def reuse_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M05."""
     g = _events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("k") > 3).alias("hits"), F.bool_or(F.col("k") == 77).alias("failed"), F.bool_and(F.col("k") > 9).alias("snapshot"))
     return g.select("user_id", "event_type", state.reuse_kind(F.col("failed"), F.col("snapshot"), F.col("hits"), F.col("n")).alias("reuse"))
 
 
 def run_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M19."""
     e = _events(spark, sf_dir)
     attempts = e.filter("event_type <> 'signup'").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("attempt"), F.when(F.col("k") % 3 == 0, "done").when(F.col("k") % 3 == 1, "running").otherwise("failed").alias("state"), (F.col("k") % 2).alias("hash"))
     requests = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.lit(0).cast("long").alias("hash"))
@@ -35,23 +38,27 @@ def run_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def superseded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10."""
     e = _events(spark, sf_dir)
     runs = e.filter("event_type IN ('view', 'click')").select("event_id", "user_id", "ts", F.when(F.col("event_type") == "view", "pending").otherwise("done").alias("state"))
     return state.superseded(runs, e.filter("event_type = 'purchase'").select("user_id", "ts"), "user_id", "ts").select("event_id", "state")
 
 
 def revision_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M11."""
     li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("long").alias("q"))
     return state.revision_violations(li, "l_orderkey", "l_linenumber", "q")
 
 
 def pin_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M13."""
     d = load(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("size"), F.md5("text").alias("digest"))
     now = d.filter("doc_id % 21 <> 0").withColumn("digest", F.when(F.col("doc_id") % 23 == 0, "?").otherwise(F.col("digest")))
     return state.pin_violations(d, now, "doc_id")
 
 
 def access_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M17."""
     day = F.date_format("ts", "yyyy-MM-dd").alias("day")
     hits = load(spark, sf_dir, "events").filter("event_type = 'view'").select(F.col("user_id").alias("c_custkey"), day)
     cache = load(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "2024-01-20").otherwise("2023-12-01").alias("day"))
@@ -59,50 +66,58 @@ def access_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M03."""
     d = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.md5("text").alias("digest"))
     return state.snapshot_usable(d.select("doc_id", F.concat_ws("/", "source", "lang").alias("snapshot"), "digest"), d.filter("doc_id % 67 <> 0").select("doc_id", "digest"), "snapshot", "doc_id")
 
 
 def claim_downgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B33."""
     items = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id"), F.when(F.col("c_custkey") % 3 == 0, "planned").otherwise("observed").alias("kind"), F.array((F.col("c_custkey") % 25).cast("int"), ((F.col("c_custkey") * 7) % 25).cast("int")).alias("source_ids"))
     sources = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("source_id"), (F.col("n_nationkey") % 5 == 0).alias("unverified"))
     return state.claims(items, sources)
 
 
 def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K02."""
     d = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id", "left")
     return sinks.csv_rows(d, ["doc_id", "lang", "quality", "n_chars"])
 
 
 def latest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K04."""
     e = load(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
     one = lambda rows: rows.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("ts").alias("ts"))
     return sinks.upserted(one(e.filter("event_id % 2 = 0")), one(e.filter("event_id % 2 = 1")), ["user_id", "event_type"], "ts").select("user_id", "event_type", "event_id")
 
 
 def write_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K05."""
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
     return sinks.immutable_conflicts(d, d.filter("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))), "doc_id", "text")
 
 
 def log_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as log files: past 30 days of the newest, or beyond the byte cap."""
+    """Orders as log files: past 30 days of the newest, or beyond the byte cap."""
     o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), "o_orderdate", (F.col("o_orderkey") % 5000 + 1).alias("size"))
     return sinks.log_victims(o, "o_orderdate", "size", F.lit("2001-08-01").cast("timestamp"), 90, 2 << 20).select("path")
 
 
 def period_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K09."""
     c = load(spark, sf_dir, "conversations").select("conv_id", F.format_string("%03d", F.col("turn")).alias("day"), F.col("text").alias("body"))
     return sinks.period_text(c, "conv_id", "day", "body").select("conv_id", F.md5("text").alias("text"))
 
 
 def rendered_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K07."""
     d = load(spark, sf_dir, "documents")
     body = sinks.rendered(F.col("source"), [("Language", F.col("lang")), ("Text", F.col("text")), ("Long", F.when(F.col("n_chars") > 3000, F.reverse("text")).otherwise(""))])
     return d.select("doc_id", F.md5(body).alias("body"))
 
 
 def day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W01."""
     return daily.day_windows(load(spark, sf_dir, "events"))
 
 

@@ -20,21 +20,24 @@ def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T03."""
     rows = _fragments(spark, sf_dir)
     return search.search(rows, "Thing of").select("report_key", fn.like_snippet(F.col("body"), "thing of").alias("snippet"))
 
 
 def search_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T04."""
     return search.search(_fragments(spark, sf_dir), "É").select("report_key")
 
 
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filtered search with its total and its first page, newest first (T05, T06). The total is a scalar subquery."""
+    """A filtered search with its total and its first page, newest first (T05, T06). The total is a scalar subquery."""
     hits = search.search(_fragments(spark, sf_dir).filter("lang = 'en'"), "the").select("report_key")
     return search.page(hits.withColumn("total", hits.agg(F.count("*")).scalar()), 25, F.desc("report_key"))
 
 
 def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T01."""
     return search.postings(_fragments(spark, sf_dir)).groupBy("gram").agg(F.count("*").alias("n"))
 
 
@@ -51,25 +54,27 @@ def _versions(d: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def version_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents were added, continued or changed, by source parity."""
+    """How many documents were added, continued or changed, by source parity."""
     before, after = _versions(load(spark, sf_dir, "documents").select("doc_id", "text"))
     c = diff.compare(before, after, "doc_id", "text").select("doc_id", "change").distinct()
     return c.groupBy((F.col("doc_id") % 2).alias("parity"), "change").agg(F.count("*").alias("n"))
 
 
 def version_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E25."""
     before, after = _versions(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return diff.compare(before, after, "doc_id", "text").filter("change = 'hunk'")
 
 
 def archive_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V03."""
     d = load(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), "text")
     objects = d.filter("doc_id % 31 <> 0").select("digest", F.when(F.col("doc_id") % 37 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
     return diff.verify(d.select("doc_id", "digest"), objects, "doc_id", "digest", "text")
 
 
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whitelist of JSON fields by a fixed schema, sorted keys, and array lengths."""
+    """A whitelist of JSON fields by a fixed schema, sorted keys, and array lengths."""
     e = load(spark, sf_dir, "events")
     fixed = F.from_json("props", "k long, other string")
     doc = F.to_json(F.struct(F.col("event_type").alias("a"), F.array("user_id", "event_id").alias("ids")))
@@ -80,7 +85,7 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fragment_explosion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titled fragments of each report, empty ones left out."""
+    """Titled fragments of each report, empty ones left out."""
     d = load(spark, sf_dir, "documents")
     parts = F.array(F.struct(F.lit("source").alias("title"), F.col("source").alias("body")), F.struct(F.lit("text").alias("title"), F.nullif("text", F.lit("")).alias("body")))
     return d.select("doc_id", F.explode(parts).alias("f")).filter("f.body IS NOT NULL").select("doc_id", "f.title", "f.body")

@@ -11,24 +11,26 @@ from quillspark.session import load
 
 
 def fair_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E07."""
     d = load(spark, sf_dir, "documents").select("source", "lang", "doc_id")
     return windows.interleave(d, ["source"], "lang", ["doc_id"]).select("source", "doc_id", "turn", "place")
 
 
 def rank_alternation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantitative and other turns of a conversation alternate."""
+    """Quantitative and other turns of a conversation alternate."""
     c = load(spark, sf_dir, "conversations").withColumn("quantitative", F.length("text") % 2 == 0)
     c = c.select("conv_id", "turn", F.when(F.col("quantitative"), 0).otherwise(1).alias("kind"))
     return windows.interleave(c.withColumnRenamed("turn", "line"), ["conv_id"], "kind", ["line"]).select("conv_id", "line", "place")
 
 
 def eviction_victims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E12."""
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", (F.col("o_orderkey") % 1000 + 1).alias("size"))
     return windows.evicted(o, ["o_orderstatus"], ["o_orderdate", "o_orderkey"], "size", 1_000_000).select("o_orderkey", "o_orderstatus")
 
 
 def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs past the age cut, then the oldest over the count cap; protected ones are skipped."""
+    """Runs past the age cut, then the oldest over the count cap; protected ones are skipped."""
     e = load(spark, sf_dir, "events").withColumn("protected", F.col("event_type") == "purchase")
     free = e.filter("NOT protected")
     n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
@@ -37,41 +39,45 @@ def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E14."""
     d = load(spark, sf_dir, "documents")
     return windows.kept_tail(d, ["source"], [F.col("n_chars"), F.col("doc_id")], "n_chars", 9000, 10).select("source", "doc_id")
 
 
 def merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E18."""
     li = load(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_partkey") * 10).alias("start"), (F.col("l_partkey") * 10 + F.col("l_linenumber") * 6).cast("long").alias("end"))
     return windows.islands(li, ["l_suppkey"])
 
 
 def covered_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G25."""
     li = load(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_partkey") * 10).alias("start"), (F.col("l_partkey") * 10 + F.col("l_linenumber") * 6).cast("long").alias("end"))
     return windows.covered(li, ["l_suppkey"])
 
 
 def header_above(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest user turn above each turn."""
+    """The nearest user turn above each turn."""
     c = load(spark, sf_dir, "conversations")
     header = windows.last_seen(F.when(F.col("role") == "user", F.md5("text")), ["conv_id"], ["turn"])
     return c.select("conv_id", "turn", header.alias("header"))
 
 
 def adjacent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user turn and the assistant turn right after it."""
+    """A user turn and the assistant turn right after it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lead("role").over(w).alias("r"), F.lead("turn").over(w).alias("t"))
     return c.filter("role = 'user' AND r = 'assistant' AND t = turn + 1").select("conv_id", "turn")
 
 
 def unit_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E26."""
     c = load(spark, sf_dir, "conversations")
     return windows.offsets(c, ["conv_id"], ["turn"], F.length("text"), 2).select("conv_id", "turn", "text_start", "text_end")
 
 
 def audit_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units that overlap the one before, or leave their text."""
+    """Units that overlap the one before, or leave their text."""
     c = windows.offsets(load(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.length("text"), 2)
     c = c.withColumn("text_end", F.col("text_end") + F.when(F.col("turn") % 3 == 0, 5).otherwise(0))
     before = F.lag("text_end").over(Window.partitionBy("conv_id").orderBy("turn"))
@@ -79,25 +85,27 @@ def audit_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempt_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E27."""
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     return load(spark, sf_dir, "events").select("event_id", F.row_number().over(w).alias("attempt"))
 
 
 def greedy_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation joined into sections of 600 characters at most."""
+    """Turns of a conversation joined into sections of 600 characters at most."""
     c = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").cast("long").alias("n")))).alias("t"))
     groups = windows.greedy_groups(F.transform("t", lambda x: x["n"]), 600, 1)
     return c.select("conv_id", F.array_join(F.transform(groups, lambda g: g.cast("string")), ",").alias("sections"))
 
 
 def newest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E29."""
     d = load(spark, sf_dir, "documents")
     kept = windows.newest_that_fit(F.split("text", "\n"), 400)
     return d.select("doc_id", F.size(kept).cast("long").alias("lines"), F.md5(F.array_join(kept, "\n")).alias("body"))
 
 
 def overview_five(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per user the first events whose type or key is new, five at most."""
+    """Per user the first events whose type or key is new, five at most."""
     key = F.array(F.col("event_type"), (F.get_json_object("props", "$.k").cast("long") % 5).cast("string"))
     e = load(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", key.alias("k")))).alias("all"))
     at = windows.distinct_overview(F.transform("all", lambda x: x["k"]), 5)
