@@ -210,7 +210,7 @@ def test_language_model_learns_what_unigrams_cannot(spark):
     rng = random.Random(8)
     kinds = [["ka", "lo", "mi", "nu", "pe", "ra"], ["st", "gr", "un", "ich", "ach", "tz"]]
     docs = [(i, " ".join("".join(rng.choices(kinds[i % 2], k=rng.randint(3, 5))) for _ in range(120)), "en") for i in range(1500)]
-    held = [r for r in lm.scores(frame(spark, docs), share=2).collect() if r.held_out]
+    held = [r for r in lm.scores(frame(spark, docs)).collect() if r.held_out]
     assert len(held) > 100 and sum(r.score for r in held) > 0.98 * sum(r.base_score for r in held) and np.mean([r.score > r.base_score for r in held]) > 0.95
 
 
