@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import by_bytes, materialize, null_safe
 
 MOST, LEAST, TOP, SCALE, SHARE = 4, 30, 2000, 2_000_000, 80
-FILTER_BITS, SALTS, CHUNK, NO_LANG = 1 << 26, 64, 2 << 20, "und"
+FILTER_BITS, SALTS, CHUNK, NO_LANG = 1 << 26, 64, 1 << 20, "und"
 #: Piece ends and tabs as the reader below wants them: 0xFF stands in no UTF-8 text.
 _PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\xff" * 10 + b" ")
 GRAMS = "lang string, phrase string, k int, f long"
