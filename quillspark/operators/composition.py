@@ -7,11 +7,11 @@ item belongs to. A report has few parts of at most 64 items each, so it is one g
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import rules
+from quillspark.operators.groups import folded
 
 #: Items an overview has at most, facts of a step, ids of an item, conditions of a fact. Fixed values.
 OVERVIEW, FACTS, IDS, CONDITIONS = 5, 64, 64, 20
@@ -110,19 +110,20 @@ def merged(items: DataFrame, facts: DataFrame) -> DataFrame:
     Facts rank by the words of their text. Items without a report don't come; a report without facts ranks all items last.
     """
     kind = items.schema["report"].dataType.simpleString()
-    ranked = facts.select(F.col("report").alias("of"), F.col("fact_id").alias("fact_id"), F.col("matter_id").alias("matter_id"), rules.fact_priority(F.coalesce("text", F.lit(""))).alias("rank"))
+    ranked = facts.select("report", "fact_id", "matter_id", rules.fact_priority(F.coalesce("text", F.lit(""))).alias("rank"))
 
-    def merge(said: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        rows = said.astype(object).where(said.notna(), None).sort_values(["part", "place"], kind="stable").to_dict("records")
+    def merge(group: list[tuple]) -> list[tuple]:
+        names = ("part", "place", "slot", "matter", "matter_id", "title", "text", "fact_ids")
+        by_id = {r[9]: {"matter_id": r[5], "rank": r[10]} for r in group if r[11]}
+        rows = [dict(zip(names, r[1:9])) for r in group if not r[11]]
         for r in rows:
-            r["fact_ids"] = [] if r["fact_ids"] is None else list(r["fact_ids"])
-        by_id = {r["fact_id"]: r for r in known.astype(object).where(known.notna(), None).to_dict("records")}
-        out = pd.DataFrame(merge_parts(rows, by_id), columns=["slot", "place", "matter", "matter_id", "title", "text", "fact_ids"])
-        out.insert(0, "report", rows[0]["report"] if rows else None)
-        return out.astype({"matter": "Int32"})
-
-    narrow = items.filter("report IS NOT NULL").select("report", "part", "place", "slot", "matter", "matter_id", "title", "text", "fact_ids")
-    return narrow.groupBy("report").cogroup(ranked.groupBy("of")).applyInPandas(merge, f"report {kind}, {MERGED}")
+            r["fact_ids"] = r["fact_ids"] or []
+        return [(group[0][0], *(r[c] for c in ("slot", "place", "matter", "matter_id", "title", "text", "fact_ids"))) for r in merge_parts(rows, by_id)]
+
+    narrow = items.filter("report IS NOT NULL").select("report", "part", "place", "slot", "matter", "matter_id", "title", "text", "fact_ids", F.lit(False).alias("known"))
+    both = narrow.unionByName(ranked.filter("report IS NOT NULL").withColumn("known", F.lit(True)), allowMissingColumns=True)
+    both = both.select("report", "part", "place", "slot", "matter", "matter_id", "title", "text", "fact_ids", "fact_id", "rank", "known")
+    return folded(both, "report", ["part", "place"], merge, f"report {kind}, {MERGED}")
 
 
 def uncovered(facts: DataFrame, items: DataFrame) -> DataFrame:
