@@ -51,7 +51,8 @@ def local_text(ts: Column) -> Column:
 
 
 def ns_time(ns: Column) -> Column:
-    return F.timestamp_micros(F.floor(ns / 1000).cast("long"))
+    """The microsecond that a number of nanoseconds lies in, by whole numbers: a quotient of doubles can be off by one."""
+    return F.timestamp_micros(F.call_function("div", ns - F.pmod(ns, F.lit(1000)), F.lit(1000)))
 
 
 def historical(generated: Column, report_day: Column) -> Column:
