@@ -22,3 +22,9 @@ def test_nanoseconds_keep_their_microsecond(spark):
     micros = [1704067199999999, 1706000000999999, 0, -1, -1704067200000001, 9_000_000_000_000_000]
     d = spark.createDataFrame([(m, m * 1000 + n) for m in micros for n in (0, 1, 999)], "want long, ns long")
     assert d.filter(F.unix_micros(dates.ns_time(F.col("ns"))) != F.col("want")).count() == 0
+
+
+def test_profiles_hold_numbers_and_texts(spark):
+    names = {r.r_regionkey: r.r_name for r in spark.read.parquet(f"{DATA}/region.parquet").collect()}
+    want = {k: hashlib.sha256(json.dumps({"a": [1, "é"], "key": k, "name": v}, ensure_ascii=False, separators=(",", ":"), sort_keys=True).encode()).hexdigest() for k, v in names.items()}
+    assert {r.r_regionkey: r.fingerprint for r in catalog.QUERIES["profile_fingerprints"](spark, DATA).collect()} == want
