@@ -100,10 +100,12 @@ def reuse(requests: DataFrame, calls: DataFrame, bodies: DataFrame) -> DataFrame
     requests: (request_id, generation, fingerprint, scope, request); calls: successful ones, (call_id, generation, fingerprint, scope, request_sha256,
     response_sha256); bodies: (sha256, body), the store of responses. The newest call counts. A call of another scope, or of a request with other bytes, is an
     `identity_mismatch`; a response that is not in the store is `missing`, one whose bytes don't have its digest is `corrupt`.
+    Texts are hashed where they are read: what is joined has one width, however many requests have the same key.
     """
+    requests = requests.select("request_id", "generation", "fingerprint", "scope", F.sha2("request", 256).alias("asked"))
     newest = calls.groupBy("generation", "fingerprint").agg(F.max_by(F.struct("call_id", "scope", "request_sha256", "response_sha256"), "call_id").alias("c"))
     kept = bodies.groupBy("sha256").agg(F.bool_and(F.sha2("body", 256) == F.col("sha256")).alias("whole"))
     j = requests.join(newest, ["generation", "fingerprint"], "left").join(kept, F.col("c.response_sha256") == F.col("sha256"), "left")
-    same = F.col("c.scope").eqNullSafe(F.col("scope")) & F.col("c.request_sha256").eqNullSafe(F.sha2("request", 256))
+    same = F.col("c.scope").eqNullSafe(F.col("scope")) & F.col("c.request_sha256").eqNullSafe(F.col("asked"))
     said = F.when(F.col("c").isNull(), "call").when(~same, "identity_mismatch").when(F.col("whole").isNull(), "missing").when(~F.col("whole"), "corrupt").otherwise("replay")
     return j.select("request_id", F.col("c.call_id").alias("call_id"), said.alias("outcome"))

@@ -28,3 +28,11 @@ def test_profiles_hold_numbers_and_texts(spark):
     names = {r.r_regionkey: r.r_name for r in spark.read.parquet(f"{DATA}/region.parquet").collect()}
     want = {k: hashlib.sha256(json.dumps({"a": [1, "é"], "key": k, "name": v}, ensure_ascii=False, separators=(",", ":"), sort_keys=True).encode()).hexdigest() for k, v in names.items()}
     assert {r.r_regionkey: r.fingerprint for r in catalog.QUERIES["profile_fingerprints"](spark, DATA).collect()} == want
+
+
+def test_reuse_joins_digests_and_not_texts(spark):
+    requests = spark.createDataFrame([(1, "g", "f", "s", "x" * 9), (2, "g", "f", "s", None)], "request_id long, generation string, fingerprint string, scope string, request string")
+    calls = spark.createDataFrame([(7, "g", "f", "s", hashlib.sha256(b"x" * 9).hexdigest(), hashlib.sha256(b"y").hexdigest())], "call_id long, generation string, fingerprint string, scope string, request_sha256 string, response_sha256 string")
+    out = ledger.reuse(requests, calls, spark.createDataFrame([(hashlib.sha256(b"y").hexdigest(), "y")], "sha256 string, body string"))
+    assert {tuple(r) for r in out.collect()} == {(1, 7, "replay"), (2, 7, "identity_mismatch")}
+    assert "sha2(" not in out._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
