@@ -131,13 +131,15 @@ def group_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as identities of sheet rows: how many rows, the columns that all share, and the one that differs with its values."""
     columns = ("l_returnflag", "l_linestatus", "l_suppkey")
     field = lambda name: lambda r: r[name]
-    li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.col(c).cast("string").alias(c) for c in columns))
-    row = F.struct("l_linenumber", *columns)
-    g = li.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(row)).alias("rows"), *(F.count_distinct(c).alias(f"d_{c}") for c in columns), *(F.min(c).alias(f"v_{c}") for c in columns)).filter("n >= 2")
-    common = F.concat_ws("；", *(F.when(F.col(f"d_{c}") == 1, F.concat(F.lit(f"{c} = "), F.col(f"v_{c}"))) for c in columns))
-    varied = F.filter(F.array(*(F.when(F.col(f"d_{c}") > 1, F.lit(c)) for c in columns)), lambda c: c.isNotNull())
+    li = load(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", *columns).alias("row"))
+    rows = F.array_sort(F.transform("rows", lambda r: F.struct(r["l_linenumber"].alias("l_linenumber"), *(r[c].cast("string").alias(c) for c in columns))))
+    g = li.groupBy("l_orderkey").agg(F.collect_list("row").alias("rows")).filter("size(rows) >= 2").select("l_orderkey", F.size("rows").cast("long").alias("n"), rows.alias("rows"))
+    g = g.select("l_orderkey", "n", *(F.array_distinct(F.filter(F.transform("rows", field(c)), lambda v: v.isNotNull())).alias(f"a_{c}") for c in columns))
+    many = {c: F.size(f"a_{c}") for c in columns}
+    common = F.concat_ws("；", *(F.when(many[c] == 1, F.concat(F.lit(f"{c} = "), F.get(f"a_{c}", F.lit(0)))) for c in columns))
+    varied = F.filter(F.array(*(F.when(many[c] > 1, F.lit(c)) for c in columns)), lambda c: c.isNotNull())
     one = F.when(F.size(varied) == 1, varied[0])
-    values = F.coalesce(*(F.when(one == c, F.array_join(F.array_distinct(F.transform(F.col("rows"), field(c))), "、")) for c in columns))
+    values = F.coalesce(*(F.when(one == c, F.array_join(F.col(f"a_{c}"), "、")) for c in columns))
     return g.select("l_orderkey", "n", common.alias("common"), one.alias("differing"), values.alias("values"))
 
 

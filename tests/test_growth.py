@@ -36,3 +36,7 @@ def test_reuse_joins_digests_and_not_texts(spark):
     out = ledger.reuse(requests, calls, spark.createDataFrame([(hashlib.sha256(b"y").hexdigest(), "y")], "sha256 string, body string"))
     assert {tuple(r) for r in out.collect()} == {(1, 7, "replay"), (2, 7, "identity_mismatch")}
     assert "sha2(" not in out._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+
+
+def test_summaries_read_each_row_once(spark):
+    assert "Expand" not in plan(catalog.QUERIES["group_summaries"](spark, DATA))
