@@ -57,14 +57,20 @@ def kept_tail(rows: DataFrame, keys: list[str], order: list, size: str, cap: int
 
 
 def islands(ranges: DataFrame, keys: list[str], start: str = "start", end: str = "end", touching: bool = True) -> DataFrame:
-    """Merged ranges: overlapping ones, and if `touching` those that meet. Equal ranges count once, so the order is total."""
-    ranges = ranges.select(*keys, start, end).distinct()
+    """Merged ranges: overlapping ones, and if `touching` those that meet. Equal ranges count once.
+
+    One sort serves all: each merged range is read off its last row, where the largest end of its island is known.
+    """
     w = Window.partitionBy(*keys).orderBy(start, end)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     seen = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.when(seen.isNull() | (F.col(start) > seen if touching else F.col(start) >= seen), 1).otherwise(0)
-    marked = ranges.withColumn("_apart", apart)
-    marked = marked.withColumn("_island", F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    again = F.lag(start).over(w).eqNullSafe(F.col(start)) & F.lag(end).over(w).eqNullSafe(F.col(end)) & (F.row_number().over(w) > 1)
+    apart = F.when(~again & (seen.isNull() | (F.col(start) > seen if touching else F.col(start) >= seen)), 1).otherwise(0)
+    marked = ranges.select(*keys, start, end, apart.alias("_apart"), F.lag(start).over(w).isNull().alias("_first"))
+    marked = marked.withColumn("_island", F.sum("_apart").over(so_far)).withColumn("_last", F.coalesce(F.lead("_apart").over(w), F.lit(1)) == 1)
+    opened = F.last(F.when((F.col("_apart") == 1) | F.col("_first"), F.col(start)), ignorenulls=True).over(so_far)
+    marked = marked.withColumn("_start", opened).withColumn("_top", F.max(F.struct(F.col("_island"), F.col(end).alias("_end"))).over(so_far))
+    return marked.filter("_last").select(*keys, F.col("_start").alias(start), F.col("_top._end").alias(end))
 
 
 def covered(ranges: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:

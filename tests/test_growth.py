@@ -40,3 +40,26 @@ def test_reuse_joins_digests_and_not_texts(spark):
 
 def test_summaries_read_each_row_once(spark):
     assert "Expand" not in plan(catalog.QUERIES["group_summaries"](spark, DATA))
+
+
+@pytest.mark.parametrize("name", ["merged_ranges"])
+def test_merged_ranges_need_no_table_of_ranges(spark, name):
+    assert not [x for x in plan(catalog.QUERIES[name](spark, DATA)).splitlines() if "HashAggregate" in x and ("start#" in x or "_island#" in x)]
+
+
+@pytest.mark.parametrize("touching", [True, False])
+def test_islands_of_equal_empty_and_nested_ranges(spark, touching):
+    rng = random.Random(5)
+    rows = [(k, s, s + rng.choice([0, 0, 1, 3, 12])) for k in range(60) for s in (rng.randrange(40) for _ in range(rng.randrange(1, 12)))] * 2
+    want = set()
+    for k in range(60):
+        island: list = []
+        for s, e in sorted({(s, e) for key, s, e in rows if key == k}):
+            if island and (s <= island[1] if touching else s < island[1]):
+                island[1] = max(island[1], e)
+                continue
+            want |= {(k, *island)} if island else set()
+            island = [s, e]
+        want.add((k, *island))
+    got = windows.islands(spark.createDataFrame(rows, "k int, start long, end long"), ["k"], touching=touching).select("k", "start", "end").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
