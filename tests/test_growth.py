@@ -63,3 +63,8 @@ def test_islands_of_equal_empty_and_nested_ranges(spark, touching):
         want.add((k, *island))
     got = windows.islands(spark.createDataFrame(rows, "k int, start long, end long"), ["k"], touching=touching).select("k", "start", "end").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_paragraphs_are_split_a_few_texts_at_once(spark):
+    text = plan(catalog.QUERIES["paragraph_splits"](spark, DATA))
+    assert "BatchEvalPython" in text and "ArrowEvalPython" not in text
