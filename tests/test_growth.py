@@ -44,7 +44,7 @@ def test_summaries_read_each_row_once(spark):
 
 @pytest.mark.parametrize("name", ["merged_ranges", "covered_chars", "call_coverage"])
 def test_merged_ranges_need_no_table_of_ranges(spark, name):
-    assert not [x for x in plan(catalog.QUERIES[name](spark, DATA)).splitlines() if "HashAggregate" in x and ("start#" in x or "_island#" in x)]
+    assert not [x for x in plan(catalog.QUERIES[name](spark, DATA)).splitlines() if "HashAggregate" in x and any(c in x.split("functions=")[0] for c in ("start#", "_island#"))]
 
 
 @pytest.mark.parametrize("touching", [True, False])
