@@ -1,8 +1,8 @@
 """A small causal self-attention language model on subword ids, trained in numpy over the corpus, and scores of whole texts by it.
 
 One layer and one head: what the last id and an attention over the ids before it say is added and read by a two-level softmax, first of a class of ids, then of
-the id within its class. All training words count towards its classes and start values; a share of all training windows, which grows with the
-corpus, then trains it in shards, whose weights are averaged after each pass. Words are lower-cased and spaced by one blank; each is encoded by itself.
+the id within its class. All training words count towards its classes and start values; all windows of the
+training texts then train it in shards, whose weights are averaged after each pass. Words are lower-cased and spaced by one blank; each is encoded by itself.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from quillspark.llm.common import by_bytes, discard, materialize, null_safe
 VOCABULARY, END, PAD, START = "byte_bpe_multi_50k.tiktoken", 50_256, -2, -3
 #: Ids with weights of their own; the others are one class and keep their counts. Numbers of a state, ids in a window, and of those scored in it.
 KNOWN, CLASSES, STATE, WINDOW, SCORED, BATCH, FEW = 1024, 24, 32, 32, 24, 768, 96
-#: One in SHARE segments of SEGMENT training words is trained on, or more where that would be fewer than LEAST_WORDS words, PASSES times, in shards of about SHARD_WINDOWS windows but at most MOST_SHARDS shards, which then grow.
-SHARE, LEAST_WORDS, SEGMENT, PASSES, SHARD_WINDOWS, MOST_SHARDS, STEP, RATE = 96, 1_600_000, 64, 2, 16_384, 4096, 48, 0.01
+#: All windows are trained on PASSES times, in shards of about SHARD_WINDOWS windows but at most MOST_SHARDS shards, which then grow. NONE is the target that is none.
+PASSES, SHARD_WINDOWS, MOST_SHARDS, STEP, RATE, NONE = 2, 16_384, 4096, 48, 0.01, 65_535
 FOLDS, HELD_OUT, COMMON, CHUNK, HELD = 7, 2, 400_000, 1 << 20, 300_000
 _loaded: dict = {}
 
@@ -343,12 +343,12 @@ def started(pairs: DataFrame, path: str, known: int = KNOWN, classes: int = CLAS
     return model
 
 
-def windowed(ids: np.ndarray, size: np.ndarray, whole: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windowed(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Input ids of overlapping windows over each of some sequences, the target ids of their last places (PAD: none), and each window's sequence.
 
-    A sequence's first input is START if it is whole, else its first id, which is then no target; each later id is one target exactly.
+    A sequence's first input is START; each id is one target exactly.
     """
-    count = -(-(size if whole else size - 1) // SCORED)
+    count = -(-size // SCORED)
     before = WINDOW - SCORED
     width = before + count * SCORED
     base = np.cumsum(width) - width
@@ -357,42 +357,28 @@ def windowed(ids: np.ndarray, size: np.ndarray, whole: bool = True) -> tuple[np.
     inside = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
     at = np.repeat(base, size) + before + inside
     ends = inside == np.repeat(size, size) - 1
-    if whole:
-        flat[base + before] = START
-        flat[at[~ends] + 1], wanted[at] = ids[~ends], ids
-    else:
-        flat[at[~ends]], wanted[at[inside > 0] - 1] = ids[~ends], ids[inside > 0]
+    flat[base + before] = START
+    flat[at[~ends] + 1], wanted[at] = ids[~ends], ids
     start = np.repeat(base, count) + SCORED * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
     places = start[:, None] + np.arange(WINDOW)
     return flat[places], wanted[places[:, before:]], np.repeat(np.arange(len(size)), count)
 
 
-def training_windows(docs: DataFrame, model: Model, share: int = SHARE, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
-    """(tie, ids): windows over one in `share` segments of the training texts, chosen by checksum of key and place, as 32-bit ids."""
+def training_windows(docs: DataFrame, model: Model, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
+    """(tie, ids): all windows of the training texts, input rows and then target ids (NONE: none) as 16-bit numbers. Each id is a target once."""
     path = model.path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Pieces(path)
         for batch in batches:
             for keys, texts in _texts(batch):
-                words, sizes, ties = [], [], []
-                for key, body in zip(keys, texts):
-                    if fold(key) % folds == held_out:
-                        continue
-                    found = [*body.split(), b""]
-                    for at in range(0, len(found), SEGMENT):
-                        tie = zlib.crc32(f"{key}/{at}".encode())
-                        if tie % share == 0:
-                            part = found[max(0, at - 8) : at + SEGMENT]
-                            words += part
-                            sizes.append(len(part))
-                            ties.append(tie)
-                if words:
-                    ids, each, _ = code.ids(words)
-                    size = np.add.reduceat(each, np.cumsum(sizes) - sizes)
-                    inputs, targets, source = windowed(ids, size, whole=False)
-                    row = np.concatenate([inputs, targets], 1).astype("<i4")
-                    tie = np.array(ties)[source] * 64 + np.arange(len(source)) % 64
+                own = [(key, [*body.split(), b""]) for key, body in zip(keys, texts) if fold(key) % folds != held_out]
+                if own:
+                    ids, each, _ = code.ids([w for _, found in own for w in found])
+                    sizes = np.array([len(found) for _, found in own])
+                    inputs, targets, source = windowed(ids, np.add.reduceat(each, np.cumsum(sizes) - sizes))
+                    row = np.concatenate([model.inputs(inputs), np.where(targets == PAD, NONE, targets)], 1).astype("<u2")
+                    tie = (np.array([fold(key) for key, _ in own], np.int64) << 24)[source] + np.arange(len(source))
                     yield pa.RecordBatch.from_arrays([pa.array(tie), pa.array([r.tobytes() for r in row], pa.binary())], names=["tie", "ids"])
 
     return docs.mapInArrow(run, "tie long, ids binary")
@@ -415,10 +401,10 @@ def trained(model: Model, windows: DataFrame, count: int, passes: int = PASSES,
 
             def train() -> None:
                 nonlocal step, seen
-                rows = np.frombuffer(b"".join(held), "<i4").reshape(len(held), WINDOW + SCORED)
+                rows = np.frombuffer(b"".join(held), "<u2").reshape(len(held), WINDOW + SCORED).astype(np.int64)
                 held.clear()
                 target = rows[:, WINDOW:].ravel()
-                g = own.gradients(own.inputs(rows[:, :WINDOW]), target, target != PAD)
+                g = own.gradients(rows[:, :WINDOW], target, target != NONE)
                 step, seen = step + 1, seen + len(rows)
                 now = rate * min(1, step / 10) * max(0.05, 1 - (turn + step / steps) / passes)
                 for name, x in g.items():
@@ -461,34 +447,30 @@ def trained(model: Model, windows: DataFrame, count: int, passes: int = PASSES,
     return model
 
 
-def fitted(docs: DataFrame, words: DataFrame, path: str, share: int = SHARE, passes: int = PASSES) -> Model:
-    """A model of the texts of docs (key, text) that are not held out; words are their counts.
-
-    One in `share` segments is trained on; of a small corpus more, so that the model learns from LEAST_WORDS words, or all that there are.
-    """
-    share = max(1, min(share, (words.agg(F.sum("n")).first()[0] or 0) // LEAST_WORDS))
+def fitted(docs: DataFrame, words: DataFrame, path: str, passes: int = PASSES) -> Model:
+    """A model of all texts of docs (key, text) that are not held out; words are their counts."""
     pairs = materialize(followers(words, path), "lm-pairs")
     model = started(pairs, path)
-    windows = materialize(training_windows(docs, model, share), "lm-windows")
-    model = trained(model, windows, windows.count(), passes)
-    discard(pairs, windows)
+    ids = pairs.agg(F.sum("n")).first()[0] or 0
+    model = trained(model, training_windows(docs, model), ids // SCORED, passes)
+    discard(pairs)
     return model
 
 
-def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, common: int = COMMON, share: int = SHARE, passes: int = PASSES) -> DataFrame:
+def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, common: int = COMMON, passes: int = PASSES) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     A null text is empty and has its end alone. A null key is the empty text in the checksum. Repeated rows are scored each. Texts of any length are
     scored whole, each id once, from the window where it has at least WINDOW - SCORED ids before it. Counts of words that many texts hold are
     sent to the tasks, `common` of them at most; the rest are joined. Other columns are not read. Without training texts all ids are alike.
-    One in `share` segments of the training texts is trained on, and more of a small corpus (see fitted).
+    All training texts are trained on, whole.
     """
     path = path or vocabulary_path()
     docs = null_safe(docs, key, text).toDF("key", "text")
     words = materialize(training_words(docs), "lm-words")
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    model = fitted(docs, words, path, share, passes)
+    model = fitted(docs, words, path, passes)
     least = _least_common(words, common)
     often = words.filter(F.col("n") >= least).toArrow()
     often = dict(zip(often["word"].to_pylist(), zip(range(len(often)), often["n"].to_pylist())))
