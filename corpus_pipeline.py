@@ -33,8 +33,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five-word shingles, Jaccard similarity of 0.8 or more.
 
-    SimHash fingerprints of the shingle sets pick pivots and rule out pairs; README tells why a radius on them can't decide. Null
-    and wordless texts are copies of each other; of equal keys one row stays; rows with a null key stay.
+    SimHash fingerprints of the shingle sets are searched by BK-trees over band shards; what is similar beyond the trees' radius meets by its
+    rare shingles (README tells why), and the exact similarity decides on all. Null and wordless texts are copies of each other; of
+    equal keys one row stays; rows with a null key stay.
     """
     return shingle_dedup.keep_first(docs.select(*COLUMNS))
 

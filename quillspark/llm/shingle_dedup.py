@@ -1,4 +1,4 @@
-"""Near-duplicates by word shingles: shards of texts with a rare shingle in common, SimHash pivots, exact similarity, components."""
+"""Near-duplicates by word shingles: SimHash with BK-trees over band shards, then shards of texts with a rare shingle in common; exact similarity, components."""
 
 from __future__ import annotations
 
@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import connected_components, discard, first_of_each, materialize, null_safe, only_kept, parts
-from quillspark.llm.simhash_dedup import majority
+from quillspark.llm.simhash_dedup import BUCKET, banded, majority, shard_links
 
 SHINGLE, LEAST = 5, (4, 5)  # Jaccard similarity as a fraction
 COMMON, MOST_COMMON = 64, 200_000
+#: Trees find fingerprints up to TREE_RADIUS bits apart, in shards that agree on AGREE blocks of bits; a tree holds about LARGEST_TREE words.
+TREE_RADIUS, AGREE, LARGEST_TREE = 4, 2, 512
 RADIUS, PLAIN, LARGE, BLOCK, COLUMNS, PART = 24, 32, 64, 512, 4096, 1_000_000
 SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -150,6 +152,25 @@ def may_link(n: np.ndarray, fp: np.ndarray, i: int, least: tuple[int, int]) -> n
     return fits & ((np.bitwise_count(fp ^ fp[i]) <= RADIUS) | (np.minimum(n, n[i]) <= PLAIN))
 
 
+def tree_pairs(about: DataFrame, radius: int = TREE_RADIUS, largest: int = LARGEST_TREE) -> DataFrame:
+    """Pairs (a, b) of sets (x, fp) whose fingerprints the BK-trees of band shards find within the radius, or that are equal.
+
+    They connect what all such pairs connect. A shard above `largest` words is dealt to several trees; what those leave apart, like
+    all that is similar beyond the radius, meets in the shards of rare shingles.
+    """
+    words = materialize(about.groupBy("fp").agg(F.min("x").alias("x")), "sd-words")
+    sharded = banded(words, radius, AGREE)
+    sizes = materialize(sharded.groupBy("band", "shard").agg(F.count("*").alias("n")).filter("n > 1"), "sd-bands")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    tree = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / largest))
+    met = sharded.join(sizes.hint("merge"), ["band", "shard"]).select(F.struct("band", tree.alias("tree")).alias("b"), "shard", "fp")
+    met = met.select(F.xxhash64("b").alias("band"), "shard", "fp", F.pmod(F.xxhash64("b", "shard"), F.lit(max(parts(about.sparkSession), total // BUCKET + 1))).alias("bucket"))
+    links = met.groupBy("bucket").applyInPandas(lambda f: shard_links(f, radius), "a long, b long").distinct().toDF("p", "q")
+    found = links.join(words.toDF("p", "a").hint("merge"), "p").join(words.toDF("q", "b").hint("merge"), "q").select("a", "b")
+    same = about.select("x", "fp").join(words.toDF("fp", "least").hint("merge"), "fp").filter("x <> least").select(F.col("least").alias("a"), F.col("x").alias("b"))
+    return found.unionAll(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def pivot_pairs(groups: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) of each shard's pivot and the others: the set whose fingerprint is nearest to the shard's majority.
 
@@ -284,9 +305,10 @@ def verified(found: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataF
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
     """(id, component_id) of every row: the smallest key reachable by links of texts with a shingle similarity of `least`.
 
-    Texts with equal shingle sets are one class and never paired; nulls count as empty. Sets as similar as that share a
-    shingle of their prefixes in one order of all shingles, so each such pair meets in a shard; common shingles are last in
-    that order. First each shard's sets are compared with its pivot. Then, where a shard's sets are still in different
+    Texts with equal shingle sets are one class and never paired; nulls count as empty. SimHash fingerprints of the sets are searched by
+    BK-trees over band shards, see tree_pairs. A radius that shards can be cut for doesn't reach all sets as similar as that, but they share a
+    shingle of their prefixes in one order of all shingles, so each such pair also meets in a shard of a rare shingle; common shingles are last in
+    that order. First what the trees found is compared, and each of these shards' sets with its pivot. Then, where a shard's sets are still in different
     components, all pairs across components are compared: those of small shards that sizes and SimHash fingerprints allow
     (see may_link, whose fingerprints leave out a pair at the threshold with a probability of about 10^-6), and those of large ones in blocks (see
     family_links). So large groups of near copies aren't paired in full. A link counts only by the exact similarity of the two sets. Rows with null keys link as
@@ -317,10 +339,11 @@ def labelled(docs: DataFrame, text: str, key: str, shingle: int, least: tuple[in
     most = ids.agg(F.sum(F.floor(F.col("n") * (least[1] - least[0]) / least[1]) + 1)).first()[0] or 0
     shards = offered(docs, text, shingle, least, common).repartition(max(parts(docs.sparkSession), most // PART + 1), "h").mapInArrow(grouped, "g long, x long").distinct()
     about = ids.groupBy("x").agg(F.first("n").alias("n"), F.first("fp").alias("fp"))
+    trees = materialize(tree_pairs(about), "sd-trees")
     shards = materialize(shards.join(about, "x"), "sd-shards")
     groups = shards.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("x", "n", "fp"))).alias("m"))
     groups = materialize(groups.select("g", "m.x", "m.n", "m.fp"), "sd-groups")
-    first = materialize(pivot_pairs(groups, least), "sd-pairs")
+    first = materialize(trees.unionAll(pivot_pairs(groups, least)).distinct(), "sd-pairs")
     nodes = first.select(F.explode(F.array("a", "b")).alias("x")).unionAll(hopeful(groups, least))
     nodes = materialize(nodes.distinct(), "sd-nodes")
     least_id = materialize(ids.join(nodes, "x").groupBy("x").agg(F.min(F.struct("name", "id")).alias("m")).select("m.name", "m.id"), "sd-named")

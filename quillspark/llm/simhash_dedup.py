@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -109,6 +110,15 @@ def shard_links(frame: pd.DataFrame, radius: int) -> pd.DataFrame:
     return pd.DataFrame(np.array(out, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
 
 
+def banded(words: DataFrame, radius: int, agree: int = 1) -> DataFrame:
+    """(fp, band, shard): each word under each `agree` of its radius + agree blocks of bits. Words within the radius agree on so many."""
+    blocks = radius + agree
+    width = -(-64 // blocks)
+    masks = [((1 << width) - 1) << width * i & (1 << 64) - 1 for i in range(blocks)]
+    bands = [sum(some) - (1 << 64 if sum(some) >> 63 else 0) for some in combinations(masks, agree)]
+    return words.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in bands))).alias("band", "shard"))
+
+
 def radius_links(words: DataFrame, radius: int = RADIUS, largest: int = LARGEST_TREE) -> DataFrame:
     """Links (a, b) between distinct words (column fp) that connect exactly what pairs within the radius connect.
 
@@ -118,10 +128,7 @@ def radius_links(words: DataFrame, radius: int = RADIUS, largest: int = LARGEST_
     its words go another exact way. At radius 2, each word meets under itself and its 64 one-bit neighbours, and two words
     within two bits have such a neighbour in common, so a meeting holds 65 words at most, all of which are linked.
     """
-    bands = radius + 1
-    width = -(-64 // bands)
-    cut = [F.shiftrightunsigned(F.shiftleft("fp", max(0, 64 - width * (i + 1))) if i + 1 < bands else F.col("fp"), 64 - width if i + 1 < bands else width * i) for i in range(bands)]
-    sharded = words.select("fp", F.posexplode(F.array(*cut)).alias("band", "shard"))
+    sharded = banded(words, radius)
     sizes = materialize(sharded.groupBy("band", "shard").agg(F.count("*").alias("n")).filter("n > 1"), "bk-shards")
     met = sharded.join(sizes.hint("merge"), ["band", "shard"])  # sizes grow with the input, so they are never broadcast
     heavy = None
