@@ -73,9 +73,22 @@ def islands(ranges: DataFrame, keys: list[str], start: str = "start", end: str =
     return marked.filter("_last").select(*keys, F.col("_start").alias(start), F.col("_top._end").alias(end))
 
 
-def covered(ranges: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Total length of the union of ranges."""
-    return islands(ranges, keys, start, end).groupBy(*keys).agg(F.sum(F.col(end) - F.col(start)).alias("covered"))
+def covered(ranges: DataFrame, keys: list[str], start: str = "start", end: str = "end", some: Column | None = None) -> DataFrame:
+    """Total length of the union of ranges, and as `some` that of the ranges for which a condition holds.
+
+    One sort of bare ranges serves both: a range adds what lies beyond the largest end before it, so no merged ranges are made. Equal
+    ranges count once.
+    """
+    ends = {"covered": end} if some is None else {"covered": end, "some": "_some"}
+    rows = ranges if some is None else ranges.withColumn("_some", F.when(some, F.col(end)))
+    w = Window.partitionBy(*keys).orderBy(start, end, *(F.desc_nulls_last(e) for e in list(ends.values())[1:]))
+    same = F.lag(start).over(w).eqNullSafe(F.col(start)) & F.lag(end).over(w).eqNullSafe(F.col(end))
+    added = []
+    for name, e in ends.items():
+        seen = F.max(e).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        beyond = F.when(seen.isNull() | (F.col(start) > seen), F.col(e) - F.col(start)).otherwise(F.greatest(F.lit(0), F.col(e) - seen))
+        added.append(F.when(F.col(e).isNotNull() & ~(same & F.lag(e).over(w).isNotNull()), beyond).alias(name))
+    return rows.select(*keys, start, end, *list(ends.values())[1:]).select(*keys, *added).groupBy(*keys).agg(*(F.sum(name).alias(name) for name in ends))
 
 
 def last_seen(value: Column, keys: list[str], order: list) -> Column:

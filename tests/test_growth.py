@@ -68,3 +68,22 @@ def test_islands_of_equal_empty_and_nested_ranges(spark, touching):
 def test_paragraphs_are_split_a_few_texts_at_once(spark):
     text = plan(catalog.QUERIES["paragraph_splits"](spark, DATA))
     assert "BatchEvalPython" in text and "ArrowEvalPython" not in text
+
+
+def test_coverage_is_one_sort(spark):
+    for name in ("covered_chars",):
+        text = plan(catalog.QUERIES[name](spark, DATA)).split("== Initial Plan ==")[-1]
+        lines = [x.strip(" +-:*()0123456789") for x in text.splitlines()]
+        assert [sum(x.startswith(k) for x in lines) for k in ("Sort ", "Window ", "SortMergeJoin", "BroadcastHashJoin")] == [1, 1, 0, 0]
+
+
+def test_covered_lengths_of_chosen_ranges(spark):
+    rng = random.Random(8)
+    rows = [(k, s, s + rng.choice([-2, 0, 0, 1, 3, 12]), rng.choice([True, False, None])) for k in range(80) for s in (rng.randrange(40) for _ in range(rng.randrange(1, 14)))] * 2
+    d = spark.createDataFrame(rows, "k int, start long, end long, ok boolean")
+    want = {}
+    for chosen in (False, True):
+        for r in windows.islands(d.filter("ok") if chosen else d, ["k"]).collect():
+            want[r.k, chosen] = want.get((r.k, chosen), 0) + r.end - r.start
+    got = windows.covered(d, ["k"], some=F.col("ok")).collect()
+    assert {(r.k, c): v for r in got for c, v in ((False, r.covered), (True, r.some)) if v is not None} == want and len(got) == 80
