@@ -71,7 +71,7 @@ def test_paragraphs_are_split_a_few_texts_at_once(spark):
 
 
 def test_coverage_is_one_sort(spark):
-    for name in ("covered_chars",):
+    for name in ("covered_chars", "call_coverage"):
         text = plan(catalog.QUERIES[name](spark, DATA)).split("== Initial Plan ==")[-1]
         lines = [x.strip(" +-:*()0123456789") for x in text.splitlines()]
         assert [sum(x.startswith(k) for x in lines) for k in ("Sort ", "Window ", "SortMergeJoin", "BroadcastHashJoin")] == [1, 1, 0, 0]
