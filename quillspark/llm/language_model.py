@@ -11,7 +11,7 @@ import base64
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -25,8 +25,9 @@ from quillspark.llm.common import by_bytes, discard, materialize, null_safe
 VOCABULARY, END, PAD, START = "byte_bpe_multi_50k.tiktoken", 50_256, -2, -3
 #: Ids with weights of their own; the others are one class and keep their counts. Numbers of a state, ids in a window, and of those scored in it.
 KNOWN, CLASSES, STATE, WINDOW, SCORED, BATCH, FEW = 1024, 24, 32, 32, 24, 768, 96
-#: All windows are trained on PASSES times, in shards of about SHARD_WINDOWS windows but at most MOST_SHARDS shards, which then grow. NONE is the target that is none.
-PASSES, SHARD_WINDOWS, MOST_SHARDS, STEP, RATE, NONE = 2, 16_384, 4096, 48, 0.01, 65_535
+#: All windows are trained on PASSES times, in shards of about SHARD_WINDOWS windows but at most MOST_SHARDS shards, which then grow. In a piece of
+#: PIECE windows, NONE is no id and FIRST is START.
+PASSES, SHARD_WINDOWS, MOST_SHARDS, STEP, RATE, PIECE, NONE, FIRST = 2, 16_384, 4096, 48, 0.01, 16, 65_535, 65_534
 FOLDS, HELD_OUT, COMMON, CHUNK, HELD = 7, 2, 400_000, 1 << 20, 300_000
 _loaded: dict = {}
 
@@ -197,55 +198,68 @@ class Model:
         s /= total[..., None]
         return {"last": last, "q": q, "k": k, "v": v, "a": s, "h": (last + s @ v).reshape(-1, STATE)}
 
-    def losses(self, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> np.ndarray:
-        """Natural log probability of each target id; with grad, adds gradients of the negated mean and that of h as 'h'."""
-        w, n = self.weights, len(h)
+    def losses(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log probability of each target id."""
+        w = self.weights
         rank = self.rank_of[target]
         cls = self.class_of[rank]
-        z = h @ w["class"] + w["class_bias"]
-        out, p = _log_softmax(z, cls, grad is not None)
-        if grad is not None:
-            p[np.arange(n), cls] -= 1
-            p /= n
-            grad["class"], grad["class_bias"], grad["h"] = h.T @ p, p.sum(0), p @ w["class"].T
-            grad["id"], grad["id_bias"] = np.zeros_like(w["id"]), np.zeros_like(w["id_bias"])
-        order = np.argsort(cls, kind="stable")
-        cuts = np.append(0, np.cumsum(np.bincount(cls, minlength=self.classes)))
+        out = _log_softmax(h @ w["class"] + w["class_bias"], cls)
+        order, cuts = self._by_class(cls)
         for c in range(self.classes - 1):
             rows = order[cuts[c] : cuts[c + 1]]
             lo, hi = self.bounds[c], self.bounds[c + 1]
             if len(rows) and hi - lo > 1:
-                some, right = h[rows], rank[rows] - lo
-                found, p = _log_softmax(some @ w["id"][:, lo:hi] + w["id_bias"][lo:hi], right, grad is not None)
-                out[rows] += found
-                if grad is not None:
-                    p[np.arange(len(rows)), right] -= 1
-                    p /= n
-                    grad["id"][:, lo:hi], grad["id_bias"][lo:hi] = some.T @ p, p.sum(0)
-                    grad["h"][rows] += p @ w["id"][:, lo:hi].T
+                out[rows] += _log_softmax(h[rows] @ w["id"][:, lo:hi] + w["id_bias"][lo:hi], rank[rows] - lo)
         rows = order[cuts[self.classes - 1] :]
         out[rows] += self.rest[target[rows]]
         return out
 
+    def _by_class(self, cls: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The order of rows by their class, and where each class begins and the last ends."""
+        return np.argsort(cls, kind="stable"), [0, *np.cumsum(np.bincount(cls, minlength=self.classes)).tolist()]
+
     def gradients(self, windows: np.ndarray, target: np.ndarray, scored: np.ndarray) -> dict:
+        """Gradients of the negated mean of losses(). Rows go by their target's class, so that each class is one slice."""
         w, f, g = self.weights, self.forward(windows), {}
-        e = w["embed"][windows]
+        rank = self.rank_of[target[scored]]
+        order, cuts = self._by_class(self.class_of[rank])
+        rows, rank = np.flatnonzero(scored)[order], rank[order]
+        h = np.append(f["h"].take(rows, 0), np.ones((len(rows), 1), f["h"].dtype), 1)  # the last number meets the bias
+        read = np.concatenate([np.append(w["class"], w["id"], 1), np.append(w["class_bias"], w["id_bias"])[None]])
+        parts = [(0, len(rows), 0, self.classes)]
+        parts += [(a, b, self.classes + lo, self.classes + hi) for a, b, lo, hi in zip(cuts[:-2], cuts[1:-1], self.bounds[:-1].tolist(), self.bounds[1:].tolist()) if b > a and hi - lo > 1]
+        right = np.concatenate([self.class_of[rank], *(self.classes + rank[a:b] for a, b, _, _ in parts[1:])])
+        views = _all_probabilities(h, read, parts, right)
+        gread, dh = np.zeros_like(read), np.zeros((len(rows), STATE), h.dtype)
+        for (a, b, lo, hi), view in zip(parts, views):
+            gread[:, lo:hi] = h[a:b].T @ view
+            dh[a:b] += view @ read[:-1, lo:hi].T
+        g["class"], g["id"] = gread[:-1, : self.classes], gread[:-1, self.classes :]
+        g["class_bias"], g["id_bias"] = gread[-1, : self.classes], gread[-1, self.classes :]
+        flat = lambda x: x.reshape(-1, x.shape[-1])
         h = np.zeros_like(f["h"])
-        self.losses(f["h"][scored], target[scored], g)
-        h[scored] = g.pop("h")
+        h[rows] = dh
         h = h.reshape(f["last"].shape)
-        da = h @ f["v"].transpose(0, 2, 1)
-        ds = f["a"] * (da - (da * f["a"]).sum(-1, keepdims=True))
-        dv, dq, dk = f["a"].transpose(0, 2, 1) @ h, ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
+        ds = h @ f["v"].transpose(0, 2, 1)
+        ds -= np.einsum("bij,bij->bi", ds, f["a"])[..., None]
+        ds *= f["a"]
+        both = np.empty((*windows.shape, 2 * STATE), h.dtype)
+        both[..., :STATE], both[..., STATE:] = ds.transpose(0, 2, 1) @ f["q"], f["a"].transpose(0, 2, 1) @ h
+        dq = ds @ f["k"]
         g["near"] = np.bincount(_DISTANCE.ravel(), ds.sum(0).ravel(), WINDOW + 1)[:WINDOW].astype(np.float32)
-        flat = lambda x: x.reshape(-1, STATE)
-        g["query"], g["key"], g["value"] = flat(f["last"]).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-        de = dk @ w["key"].T + dv @ w["value"].T
-        de[:, WINDOW - SCORED :] += h + dq @ w["query"].T
-        order = np.argsort(windows.ravel(), kind="stable")
-        names, first = np.unique(windows.ravel()[order], return_index=True)
+        g["query"], side = flat(f["last"]).T @ flat(dq), flat(w["embed"].take(windows, 0)).T @ flat(both)
+        g["key"], g["value"] = side[:, :STATE], side[:, STATE:]
+        de = (flat(both) @ np.concatenate([w["key"].T, w["value"].T])).reshape(*windows.shape, STATE)
+        h += (flat(dq) @ w["query"].T).reshape(h.shape)
+        de[:, WINDOW - SCORED :] += h
+        names = windows.ravel().astype(np.int16 if self.known < 1 << 14 else np.int64)  # 16-bit numbers are sorted by digits
+        order = np.argsort(names, kind="stable")
+        names = names[order]
+        first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
         g["embed"] = np.zeros_like(w["embed"])
-        g["embed"][names] = np.add.reduceat(flat(de)[order], first, 0)
+        g["embed"][names[first]] = np.add.reduceat(flat(de).take(order, 0), first, 0)
+        for x in g.values():
+            x /= len(rows)
         return g
 
     def vector(self) -> np.ndarray:
@@ -280,13 +294,33 @@ def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return z, z @ ones
 
 
-def _log_softmax(z: np.ndarray, right: np.ndarray, all_of: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities of the right columns, and all probabilities if they are wanted."""
+def _log_softmax(z: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Log probabilities of the right columns."""
     z, total = _softmax(z)
-    out = np.log(np.maximum(z[np.arange(len(z)), right], 1e-37)) - np.log(total)
-    if all_of:
-        z /= total[:, None]
-    return out, z
+    return np.log(np.maximum(z[np.arange(len(z)), right], 1e-37)) - np.log(total)
+
+
+def _all_probabilities(h: np.ndarray, read: np.ndarray, parts: list[tuple[int, int, int, int]], right: np.ndarray) -> list[np.ndarray]:
+    """Softmax of h[a:b] @ read[:, lo:hi] for each part (a, b, lo, hi), less one at the right columns of read.
+
+    What isn't a product is done on all parts at once, as they are many and small.
+    """
+    rows, width = np.array([b - a for a, b, _, _ in parts]), np.array([hi - lo for _, _, lo, hi in parts])
+    ends = np.cumsum(rows * width)
+    z = np.empty(ends[-1], h.dtype)
+    views = [z[e - n * m : e].reshape(n, m) for e, n, m in zip(ends.tolist(), rows.tolist(), width.tolist())]
+    for (a, b, lo, hi), view in zip(parts, views):
+        np.matmul(h[a:b], read[:, lo:hi], out=view)
+    each = np.repeat(width, rows)
+    starts = np.cumsum(each) - each
+    at = starts + right - np.repeat([lo for _, _, lo, _ in parts], rows)
+    most = z.max(initial=0)
+    least = np.maximum.reduceat(z, starts) - most if len(z) else z
+    z -= most if (least > -60).all() else np.repeat(least + most, each)  # all rows within reach of the largest number need no maximum of their own
+    np.exp(z, out=z)
+    z *= np.repeat(1 / np.add.reduceat(z, starts), each) if len(z) else 1
+    z[at] -= 1
+    return views
 
 
 def started(pairs: DataFrame, path: str, known: int = KNOWN, classes: int = CLASSES) -> Model:
@@ -364,9 +398,13 @@ def windowed(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return flat[places], wanted[places[:, before:]], np.repeat(np.arange(len(size)), count)
 
 
-def training_windows(docs: DataFrame, model: Model, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
-    """(tie, ids): all windows of the training texts, input rows and then target ids (NONE: none) as 16-bit numbers. Each id is a target once."""
-    path = model.path
+def training_pieces(docs: DataFrame, model: Model, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
+    """(tie, place, ids): the training texts' ids as 16-bit numbers, in pieces of up to PIECE windows with what these need before and after.
+
+    Windows overlap and hold inputs and targets, so a row for each would hold most ids more than twice; pieces hold them little more than once. Rows that are equal in key and text
+    differ in tie if they are read together.
+    """
+    path, before = model.path, WINDOW - SCORED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Pieces(path)
@@ -376,69 +414,131 @@ def training_windows(docs: DataFrame, model: Model, folds: int = FOLDS, held_out
                 if own:
                     ids, each, _ = code.ids([w for _, found in own for w in found])
                     sizes = np.array([len(found) for _, found in own])
-                    inputs, targets, source = windowed(ids, np.add.reduceat(each, np.cumsum(sizes) - sizes))
-                    row = np.concatenate([model.inputs(inputs), np.where(targets == PAD, NONE, targets)], 1).astype("<u2")
-                    tie = (np.array([fold(key) for key, _ in own], np.int64) << 24)[source] + np.arange(len(source))
-                    yield pa.RecordBatch.from_arrays([pa.array(tie), pa.array([r.tobytes() for r in row], pa.binary())], names=["tie", "ids"])
+                    size = np.add.reduceat(each, np.cumsum(sizes) - sizes)
+                    copies: Counter = Counter()
+                    tie, place, cut = [], [], []
+                    for (key, _), some in zip(own, np.split(ids, np.cumsum(size)[:-1])):
+                        windows = -(-len(some) // SCORED)
+                        line = np.full(before + SCORED * windows + 1, NONE, "<u2")
+                        line[before], line[before + 1 : before + 1 + len(some)] = FIRST, some
+                        for at in range(0, windows, PIECE):
+                            tie.append(fold(key) << 24 | copies[key])
+                            place.append(at)
+                            cut.append(line[SCORED * at : SCORED * min(at + PIECE, windows) + before + 1].tobytes())
+                        copies[key] += 1
+                    yield pa.RecordBatch.from_arrays([pa.array(tie), pa.array(place), pa.array(cut, pa.binary())], names=["tie", "place", "ids"])
+
+    return docs.mapInArrow(run, "tie long, place long, ids binary")
+
+
+def piece_windows(model: Model, piece: bytes) -> np.ndarray:
+    """Windows of a piece: input rows of each and then the ids of its targets (NONE: none)."""
+    line = np.frombuffer(piece, "<u2").astype(np.int64)
+    inputs = np.where((line == NONE) | (line == END), PAD, np.where(line == FIRST, START, line))
+    start = np.arange(0, len(line) - WINDOW, SCORED)[:, None]
+    return np.concatenate([model.inputs(inputs)[start + np.arange(WINDOW)], line[start + np.arange(WINDOW - SCORED + 1, WINDOW + 1)]], 1).astype("<u2")
 
-    return docs.mapInArrow(run, "tie long, ids binary")
 
+def training_windows(docs: DataFrame, model: Model, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
+    """(tie, ids): all windows of the training texts, input rows and then target ids (NONE: none) as 16-bit numbers. Each id is a target once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [piece_windows(model, piece) for piece in batch.column(1).to_pylist()]
+            tie = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(tie), pa.array([r.tobytes() for f in found for r in f], pa.binary())], names=["tie", "ids"])
 
-def trained(model: Model, windows: DataFrame, count: int, passes: int = PASSES, rate: float = RATE) -> Model:
-    """The model after some passes over the windows: shards train from the same weights, and the mean of theirs, by windows, goes on.
+    return training_pieces(docs, model, folds, held_out).select("tie", "ids").mapInArrow(run, "tie long, ids binary")
 
-    At most MOST_SHARDS shards, so what is averaged is bounded, and a shard is read as a stream.
+
+class Trainer:
+    """Adam steps of one shard from given weights, all of them in one row of numbers."""
+
+    def __init__(self, model: Model, shard: int) -> None:
+        self.own, self.shard, self.step, self.seen, self.turns = Model(model.path, model.ranks, model.bounds, model.rest), shard, 0, 0, 0
+        self.own.weights = dict(model.weights)
+        self.x = self.own.vector()
+        self.m, self.v, self.g, self.room = np.zeros_like(self.x), np.zeros_like(self.x), np.empty_like(self.x), np.empty_like(self.x)
+        at = 0
+        for name in sorted(self.own.weights):
+            value = self.own.weights[name]
+            self.own.weights[name] = self.x[at : at + value.size].reshape(value.shape)
+            at += value.size
+
+    def block(self, rows: np.ndarray, rate: Callable[[int], float]) -> None:
+        """Trains on windows in an order that is drawn, STEP at a time. Pieces come whole, so their windows would stand together else."""
+        rows = rows[np.random.default_rng((self.shard, self.turns)).permutation(len(rows))]
+        self.turns += 1
+        for at in range(0, len(rows), STEP):
+            some = rows[at : at + STEP].astype(np.int64)
+            target = some[:, WINDOW:].ravel()
+            g = self.own.gradients(some[:, :WINDOW], target, target != NONE)
+            np.concatenate([g[name].ravel() for name in sorted(g)], out=self.g)
+            self.step, self.seen = self.step + 1, self.seen + len(some)
+            self.adam(rate(self.step))
+
+    def adam(self, rate: float) -> None:
+        m, v, g, room = self.m, self.v, self.g, self.room
+        m *= 0.9
+        m += np.multiply(g, 0.1, out=room)
+        g *= g
+        v *= 0.99
+        v += np.multiply(g, 0.01, out=g)
+        np.sqrt(v, out=room)
+        room *= 1 / math.sqrt(1 - 0.99**self.step)
+        room += 1e-7
+        np.divide(m, room, out=room)
+        room *= rate / (1 - 0.9**self.step)
+        self.x -= room
+
+
+def trained(model: Model, pieces: DataFrame, count: int, passes: int = PASSES, rate: float = RATE) -> Model:
+    """The model after some passes over all windows of the pieces: shards train from the same weights, and the mean of theirs, by windows, goes on.
+
+    At most MOST_SHARDS shards. A shard is read as a stream, whose windows are drawn in blocks of at least SHARD_WINDOWS; a task sends the sum of its shards.
     """
-    spark = windows.sparkSession
+    spark = pieces.sparkSession
     shards = min(MOST_SHARDS, max(1, count // SHARD_WINDOWS))
-    dealt = materialize(windows.withColumn("shard", F.pmod(F.xxhash64("tie", "ids"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("ids", "tie")), "lm-shards")
-    block, steps = 1 << 14, max(1, count // shards // STEP)
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("tie", "place", "ids"), F.lit(shards)).cast("int"))
+    dealt = materialize(dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("ids", "place", "tie")).select("shard", "ids"), "lm-shards")
+    block, steps = 1 << 10, max(1, count // shards // STEP)
     for turn in range(passes):
         sent = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
-            shard, own, adam, step, seen, held = None, None, None, 0, 0, []
+            own, held, size, total, seen = None, [], 0, 0, 0
+            now = lambda step: rate * min(1, step / 10) * max(0.05, 1 - (turn + step / steps) / passes)
 
             def train() -> None:
-                nonlocal step, seen
-                rows = np.frombuffer(b"".join(held), "<u2").reshape(len(held), WINDOW + SCORED).astype(np.int64)
-                held.clear()
-                target = rows[:, WINDOW:].ravel()
-                g = own.gradients(rows[:, :WINDOW], target, target != NONE)
-                step, seen = step + 1, seen + len(rows)
-                now = rate * min(1, step / 10) * max(0.05, 1 - (turn + step / steps) / passes)
-                for name, x in g.items():
-                    m, v = adam.setdefault(name, (np.zeros_like(x), np.zeros_like(x)))
-                    m *= 0.9
-                    m += 0.1 * x
-                    v *= 0.99
-                    v += 0.01 * x * x
-                    own.weights[name] -= now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
-
-            def out() -> pa.RecordBatch:
+                nonlocal size
                 if held:
-                    train()
-                x = own.vector().astype(np.float64) * seen
-                cut = [x[i : i + block] for i in range(0, len(x), block)]
-                return pa.RecordBatch.from_arrays([pa.array(np.arange(len(cut), dtype=np.int32)), pa.array([float(seen)] * len(cut)), pa.array([c.tolist() for c in cut], pa.list_(pa.float64()))], names=["block", "n", "x"])
+                    own.block(np.concatenate(held), now)
+                    held.clear()
+                    size = 0
+
+            def end() -> None:
+                nonlocal total, seen
+                train()
+                total, seen = total + own.x.astype(np.float64) * own.seen, seen + own.seen
 
             for batch in batches:
-                for s, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if s != shard:
+                for s, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if own is None or s != own.shard:
                         if own is not None:
-                            yield out()
-                        shard, step, seen, adam = s, 0, 0, {}
-                        own = Model(sent.value.path, sent.value.ranks, sent.value.bounds, sent.value.rest)
-                        own.weights = {k: v.copy() for k, v in sent.value.weights.items()}
-                    held.append(ids)
-                    if len(held) == STEP:
+                            end()
+                        own = Trainer(sent.value, s)
+                    held.append(piece_windows(own.own, piece))
+                    size += len(held[-1])
+                    if size >= 2 * SHARD_WINDOWS:
                         train()
             if own is not None:
-                yield out()
+                end()
+                cut = [total[i : i + block] for i in range(0, len(total), block)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cut), dtype=np.int32)), pa.array([float(seen)] * len(cut)), pa.array(cut, pa.list_(pa.float64()))], names=["block", "n", "x"])
 
         def mean(key, table):
-            x = np.stack([np.array(r) for r in table["x"].to_pylist()]).sum(0) / table["n"].to_numpy().sum()
-            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "x": pa.array([x.tolist()], pa.list_(pa.float64()))})
+            x = table["x"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).sum(0) / table["n"].to_numpy().sum()
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "x": pa.array([x], pa.list_(pa.float64()))})
 
         rows = dealt.select("shard", "ids").mapInArrow(run, "block int, n double, x array<double>").groupBy("block").applyInArrow(mean, "block int, x array<double>").toArrow().sort_by("block")
         if rows.num_rows:
@@ -452,7 +552,7 @@ def fitted(docs: DataFrame, words: DataFrame, path: str, passes: int = PASSES) -
     pairs = materialize(followers(words, path), "lm-pairs")
     model = started(pairs, path)
     ids = pairs.agg(F.sum("n")).first()[0] or 0
-    model = trained(model, training_windows(docs, model), ids // SCORED, passes)
+    model = trained(model, training_pieces(docs, model), ids // SCORED, passes)
     discard(pairs)
     return model
 
