@@ -180,37 +180,49 @@ class Model:
         """Rows of the input table: known ids, then one each for other ids, the start and padding."""
         return np.where(ids >= 0, self.rank_of[np.maximum(ids, 0)], np.where(ids == START, self.known + 1, self.known + 2))
 
-    def tables(self) -> tuple[np.ndarray, ...]:
-        """Queries, keys and values of all input rows: they are the same wherever a row stands."""
+    def tables(self, embed: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Input rows, and their queries, keys and values, which are the same wherever a row stands."""
         w = self.weights
-        return tuple(w["embed"] @ w[name] for name in ("query", "key", "value"))
-
-    def forward(self, windows: np.ndarray, tables: tuple[np.ndarray, ...] | None = None) -> dict:
-        """States of the last SCORED places of each window of input rows, by one masked attention over all windows."""
-        w, here = self.weights, windows[:, WINDOW - SCORED :]
-        queries, keys, values = tables or self.tables()
-        last, q, k, v = w["embed"].take(here, 0), queries.take(here, 0), keys.take(windows, 0), values.take(windows, 0)
+        embed = w["embed"] if embed is None else embed
+        return (embed, *(embed @ w[name] for name in ("query", "key", "value")))
+
+    def forward(self, windows: np.ndarray, tables: tuple[np.ndarray, ...] | None = None, padding: int | None = None) -> dict:
+        """States of the last SCORED places of each window of input rows, by one masked attention over all windows. The tables may be of fewer rows."""
+        here, padding = windows[:, WINDOW - SCORED :], self.known + 2 if padding is None else padding
+        embed, queries, keys, values = tables or self.tables()
+        last, q, k, v = embed.take(here, 0), queries.take(here, 0), keys.take(windows, 0), values.take(windows, 0)
         s = q @ k.transpose(0, 2, 1)
-        s += _by_distance(w["near"])
-        padded = np.flatnonzero((windows[:, :: WINDOW - 1] == self.known + 2).any(1))  # padding is at an end
-        s[padded] += np.where(windows[padded] == self.known + 2, np.float32(-1e9), np.float32(0))[:, None]
-        s, total = _softmax(s)
-        s /= total[..., None]
-        return {"last": last, "q": q, "k": k, "v": v, "a": s, "h": (last + s @ v).reshape(-1, STATE)}
+        s += _by_distance(self.weights["near"])
+        padded = np.flatnonzero((windows[:, :: WINDOW - 1] == padding).any(1))  # padding is at an end
+        if len(padded):
+            s[padded] += np.where(windows[padded] == padding, np.float32(-1e9), np.float32(0))[:, None]
+        s, total = _softmax(s.reshape(-1, WINDOW))
+        s *= (1 / total)[:, None]
+        s = s.reshape(*here.shape, WINDOW)
+        said = s @ v
+        return {"last": last, "q": q, "k": k, "v": v, "a": s, "said": said, "h": (last + said).reshape(-1, STATE)}
+
+    def reading(self) -> np.ndarray:
+        """What reads a state: a row each for classes and known ids, with its bias as the last number."""
+        w = self.weights
+        if "read" in w:
+            return w["read"]
+        return np.ascontiguousarray(np.concatenate([np.append(w["class"], w["id"], 1), np.append(w["class_bias"], w["id_bias"])[None]]).T)
 
     def losses(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target id."""
-        w = self.weights
-        rank = self.rank_of[target]
-        cls = self.class_of[rank]
-        out = _log_softmax(h @ w["class"] + w["class_bias"], cls)
-        order, cuts = self._by_class(cls)
-        for c in range(self.classes - 1):
-            rows = order[cuts[c] : cuts[c + 1]]
-            lo, hi = self.bounds[c], self.bounds[c + 1]
-            if len(rows) and hi - lo > 1:
-                out[rows] += _log_softmax(h[rows] @ w["id"][:, lo:hi] + w["id_bias"][lo:hi], rank[rows] - lo)
-        rows = order[cuts[self.classes - 1] :]
+        rank, read, c = self.rank_of[target], self.reading(), self.classes
+        order, cuts = self._by_class(self.class_of[rank])
+        states = np.ones((len(h), STATE + 1), h.dtype)  # the last number meets the bias
+        states[:, :-1] = h.take(order, 0)
+        rank = rank[order]
+        found = _log_softmax(states @ read[:c].T, self.class_of[rank])
+        for a, b, lo, hi in zip(cuts[:-2], cuts[1:-1], self.bounds[:-1].tolist(), self.bounds[1:].tolist()):
+            if b > a and hi - lo > 1:
+                found[a:b] += _log_softmax(states[a:b] @ read[c + lo : c + hi].T, rank[a:b] - lo)
+        out = np.empty_like(found)
+        out[order] = found
+        rows = order[cuts[c - 1] :]
         out[rows] += self.rest[target[rows]]
         return out
 
@@ -219,60 +231,96 @@ class Model:
         return np.argsort(cls, kind="stable"), [0, *np.cumsum(np.bincount(cls, minlength=self.classes)).tolist()]
 
     def gradients(self, windows: np.ndarray, target: np.ndarray, scored: np.ndarray) -> dict:
-        """Gradients of the negated mean of losses(). Rows go by their target's class, so that each class is one slice."""
-        w, f, g = self.weights, self.forward(windows), {}
+        """Gradients of the negated mean of losses()."""
+        g = self.slopes(windows, target, scored)
+        return {k: x for k, x in g.items() if k != "read"} | self.named(g["read"])
+
+    def named(self, read: np.ndarray) -> dict:
+        """The parts of reading() by their names."""
+        c = self.classes
+        return {"class": read[:c, :-1].T, "class_bias": read[:c, -1], "id": read[c:, :-1].T, "id_bias": read[c:, -1]}
+
+    def slopes(self, windows: np.ndarray, target: np.ndarray, scored: np.ndarray) -> dict:
+        """gradients(), those of reading() as one. Rows go by their target's class, so that each class is one slice; tables are of the input rows that are there."""
+        w, g, read, c = self.weights, {}, self.reading(), self.classes
+        there = np.zeros(self.known + 3, bool)
+        there[windows] = True
+        used = np.flatnonzero(there)
+        place = np.empty(len(there), np.int64)
+        place[used] = np.arange(len(used))
+        local, tables = place[windows], self.tables(w["embed"].take(used, 0))
+        f = self.forward(local, tables, len(used) - 1 if there[-1] else -1)
+        states, dtype = f["h"], f["h"].dtype
+
         rank = self.rank_of[target[scored]]
-        order, cuts = self._by_class(self.class_of[rank])
-        rows, rank = np.flatnonzero(scored)[order], rank[order]
-        h = np.append(f["h"].take(rows, 0), np.ones((len(rows), 1), f["h"].dtype), 1)  # the last number meets the bias
-        read = np.concatenate([np.append(w["class"], w["id"], 1), np.append(w["class_bias"], w["id_bias"])[None]])
-        parts = [(0, len(rows), 0, self.classes)]
-        parts += [(a, b, self.classes + lo, self.classes + hi) for a, b, lo, hi in zip(cuts[:-2], cuts[1:-1], self.bounds[:-1].tolist(), self.bounds[1:].tolist()) if b > a and hi - lo > 1]
-        right = np.concatenate([self.class_of[rank], *(self.classes + rank[a:b] for a, b, _, _ in parts[1:])])
-        views = _all_probabilities(h, read, parts, right)
-        gread, dh = np.zeros_like(read), np.zeros((len(rows), STATE), h.dtype)
-        for (a, b, lo, hi), view in zip(parts, views):
-            gread[:, lo:hi] = h[a:b].T @ view
-            dh[a:b] += view @ read[:-1, lo:hi].T
-        g["class"], g["id"] = gread[:-1, : self.classes], gread[:-1, self.classes :]
-        g["class_bias"], g["id_bias"] = gread[-1, : self.classes], gread[-1, self.classes :]
-        flat = lambda x: x.reshape(-1, x.shape[-1])
-        h = np.zeros_like(f["h"])
-        h[rows] = dh
+        cls = self.class_of[rank]
+        order, cuts = self._by_class(cls)
+        rows, rank, cls = np.flatnonzero(scored)[order], rank[order], cls[order]
+        n = len(rows)
+        h = np.ones((n, STATE + 1), dtype)  # the last number meets the bias
+        h[:, :-1] = states.take(rows, 0)
+        parts = [(0, n, 0, c)]
+        parts += [(a, b, c + lo, c + hi) for a, b, lo, hi in zip(cuts[:-2], cuts[1:-1], self.bounds[:-1].tolist(), self.bounds[1:].tolist()) if b > a and hi - lo > 1]
+        inside = np.flatnonzero(np.append(np.diff(self.bounds) > 1, False)[cls])
+        views, share = _less_the_right(h, read, parts, np.append(cls, c + rank[inside]))
+        share /= n
+        by_class, by_id, at_id = share[:n, None], np.zeros((n, 1), dtype), np.zeros((n, STATE), dtype)
+        by_id[inside, 0] = share[n:]
+        g["read"] = np.zeros_like(read)
+        np.matmul(views[0].T, h * by_class, out=g["read"][:c])
+        h *= by_id
+        for (a, b, lo, hi), view in zip(parts[1:], views[1:]):
+            np.matmul(view.T, h[a:b], out=g["read"][lo:hi])
+            np.matmul(view, read[lo:hi, :-1], out=at_id[a:b])
+        at_id *= by_id
+        at_class = views[0] @ read[:c, :-1]
+        at_class *= by_class
+        at_class += at_id
+
+        h = np.zeros_like(states)
+        h[rows] = at_class
+        mixed = (h * f["said"].reshape(h.shape)) @ np.ones(STATE, dtype)
         h = h.reshape(f["last"].shape)
         ds = h @ f["v"].transpose(0, 2, 1)
-        ds -= np.einsum("bij,bij->bi", ds, f["a"])[..., None]
+        ds -= mixed.reshape(*h.shape[:2], 1)
         ds *= f["a"]
-        both = np.empty((*windows.shape, 2 * STATE), h.dtype)
-        both[..., :STATE], both[..., STATE:] = ds.transpose(0, 2, 1) @ f["q"], f["a"].transpose(0, 2, 1) @ h
-        dq = ds @ f["k"]
         g["near"] = np.bincount(_DISTANCE.ravel(), ds.sum(0).ravel(), WINDOW + 1)[:WINDOW].astype(np.float32)
-        g["query"], side = flat(f["last"]).T @ flat(dq), flat(w["embed"].take(windows, 0)).T @ flat(both)
-        g["key"], g["value"] = side[:, :STATE], side[:, STATE:]
-        de = (flat(both) @ np.concatenate([w["key"].T, w["value"].T])).reshape(*windows.shape, STATE)
-        h += (flat(dq) @ w["query"].T).reshape(h.shape)
-        de[:, WINDOW - SCORED :] += h
-        names = windows.ravel().astype(np.int16 if self.known < 1 << 14 else np.int64)  # 16-bit numbers are sorted by digits
-        order = np.argsort(names, kind="stable")
-        names = names[order]
-        first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+        at = np.arange(len(used) * STATE).reshape(-1, STATE).take(local, 0)
+        here = at[:, WINDOW - SCORED :].ravel()
+
+        def summed(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(used) * STATE, dtype)
+            np.add.at(out, at, rows.ravel())  # with one row of numbers this is much faster than with rows of a table
+            return out.reshape(-1, STATE)
+
+        keyed, said, asked = summed(ds.transpose(0, 2, 1) @ f["q"], at.ravel()), summed(f["a"].transpose(0, 2, 1) @ h, at.ravel()), summed(ds @ f["k"], here)
+        inputs = tables[0].T
+        g["query"], g["key"], g["value"] = inputs @ asked, inputs @ keyed, inputs @ said
         g["embed"] = np.zeros_like(w["embed"])
-        g["embed"][names[first]] = np.add.reduceat(flat(de).take(order, 0), first, 0)
-        for x in g.values():
-            x /= len(rows)
+        g["embed"][used] = summed(h, here) + keyed @ w["key"].T + said @ w["value"].T + asked @ w["query"].T
         return g
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([self.weights[k].ravel() for k in sorted(self.weights)])
+        return np.concatenate([self.weights[k].ravel() for k in _APART] + [self.reading().ravel()])
+
+    def view(self, vector: np.ndarray) -> None:
+        """Weights become parts of the vector."""
+        at, shapes = 0, {"embed": (self.known + 3, STATE), "near": (WINDOW,)}
+        for k in _APART:
+            shape = shapes.get(k, (STATE, STATE))
+            self.weights[k] = vector[at : at + math.prod(shape)].reshape(shape)
+            at += math.prod(shape)
+        self.weights["read"] = vector[at:].reshape(-1, STATE + 1)
+        self.weights |= self.named(self.weights["read"])
 
     def load(self, vector: np.ndarray) -> None:
-        at = 0
-        for k in sorted(self.weights):
-            x = self.weights[k]
-            self.weights[k] = vector[at : at + x.size].reshape(x.shape).astype(np.float32)
-            at += x.size
+        self.view(vector)
+        del self.weights["read"]
+        self.weights = {k: np.array(x, np.float32, order="C") for k, x in self.weights.items()}
 
 
+#: Weights in the order in which a vector has them, before those that read states.
+_APART = ("embed", "key", "near", "query", "value")
 #: How far each of the scored places is from each place of its window, WINDOW if that comes later.
 _DISTANCE = (lambda d: np.where(d < 0, WINDOW, d))(np.arange(WINDOW - SCORED, WINDOW)[:, None] - np.arange(WINDOW))
 
@@ -300,27 +348,31 @@ def _log_softmax(z: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(z[np.arange(len(z)), right], 1e-37)) - np.log(total)
 
 
-def _all_probabilities(h: np.ndarray, read: np.ndarray, parts: list[tuple[int, int, int, int]], right: np.ndarray) -> list[np.ndarray]:
-    """Softmax of h[a:b] @ read[:, lo:hi] for each part (a, b, lo, hi), less one at the right columns of read.
+def _less_the_right(h: np.ndarray, read: np.ndarray, parts: list[tuple[int, int, int, int]], right: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each part (a, b, lo, hi) e to the power of h[a:b] @ read[lo:hi].T, but for one factor a row, less a row's sum at its right row of read; and one over these sums.
 
     What isn't a product is done on all parts at once, as they are many and small.
     """
     rows, width = np.array([b - a for a, b, _, _ in parts]), np.array([hi - lo for _, _, lo, hi in parts])
     ends = np.cumsum(rows * width)
-    z = np.empty(ends[-1], h.dtype)
+    z, total, ones = np.empty(ends[-1], h.dtype), np.empty(rows.sum(), h.dtype), np.ones(width.max(), h.dtype)
     views = [z[e - n * m : e].reshape(n, m) for e, n, m in zip(ends.tolist(), rows.tolist(), width.tolist())]
+    sums = [total[e - n : e] for e, n in zip(np.cumsum(rows).tolist(), rows.tolist())]
     for (a, b, lo, hi), view in zip(parts, views):
-        np.matmul(h[a:b], read[:, lo:hi], out=view)
-    each = np.repeat(width, rows)
-    starts = np.cumsum(each) - each
-    at = starts + right - np.repeat([lo for _, _, lo, _ in parts], rows)
-    most = z.max(initial=0)
-    least = np.maximum.reduceat(z, starts) - most if len(z) else z
-    z -= most if (least > -60).all() else np.repeat(least + most, each)  # all rows within reach of the largest number need no maximum of their own
+        np.matmul(h[a:b], read[lo:hi].T, out=view)
+    z -= z.max(initial=0)
     np.exp(z, out=z)
-    z *= np.repeat(1 / np.add.reduceat(z, starts), each) if len(z) else 1
-    z[at] -= 1
-    return views
+    for view, some in zip(views, sums):
+        np.matmul(view, ones[: view.shape[1]], out=some)
+    if not (total > 1e-26).all():  # some row is out of reach of the largest number and needs a maximum of its own
+        for (a, b, lo, hi), view, some in zip(parts, views, sums):
+            np.matmul(h[a:b], read[lo:hi].T, out=view)
+            view -= view.max(1, keepdims=True)
+            np.exp(view, out=view)
+            np.matmul(view, ones[: view.shape[1]], out=some)
+    each = np.repeat(width, rows)
+    z[np.cumsum(each) - each + right - np.repeat([lo for _, _, lo, _ in parts], rows)] -= total
+    return views, 1 / total
 
 
 def started(pairs: DataFrame, path: str, known: int = KNOWN, classes: int = CLASSES) -> Model:
@@ -398,13 +450,8 @@ def windowed(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return flat[places], wanted[places[:, before:]], np.repeat(np.arange(len(size)), count)
 
 
-def training_pieces(docs: DataFrame, model: Model, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
-    """(tie, place, ids): the training texts' ids as 16-bit numbers, in pieces of up to PIECE windows with what these need before and after.
-
-    Windows overlap and hold inputs and targets, so a row for each would hold most ids more than twice; pieces hold them little more than once. Rows that are equal in key and text
-    differ in tie if they are read together.
-    """
-    path, before = model.path, WINDOW - SCORED
+def training_ids(docs: DataFrame, path: str, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
+    """(key, ids): the training texts' ids as 16-bit numbers. docs: (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Pieces(path)
@@ -413,22 +460,50 @@ def training_pieces(docs: DataFrame, model: Model, folds: int = FOLDS, held_out:
                 own = [(key, [*body.split(), b""]) for key, body in zip(keys, texts) if fold(key) % folds != held_out]
                 if own:
                     ids, each, _ = code.ids([w for _, found in own for w in found])
-                    sizes = np.array([len(found) for _, found in own])
-                    size = np.add.reduceat(each, np.cumsum(sizes) - sizes)
-                    copies: Counter = Counter()
-                    tie, place, cut = [], [], []
-                    for (key, _), some in zip(own, np.split(ids, np.cumsum(size)[:-1])):
-                        windows = -(-len(some) // SCORED)
-                        line = np.full(before + SCORED * windows + 1, NONE, "<u2")
-                        line[before], line[before + 1 : before + 1 + len(some)] = FIRST, some
-                        for at in range(0, windows, PIECE):
-                            tie.append(fold(key) << 24 | copies[key])
-                            place.append(at)
-                            cut.append(line[SCORED * at : SCORED * min(at + PIECE, windows) + before + 1].tobytes())
-                        copies[key] += 1
-                    yield pa.RecordBatch.from_arrays([pa.array(tie), pa.array(place), pa.array(cut, pa.binary())], names=["tie", "place", "ids"])
-
-    return docs.mapInArrow(run, "tie long, place long, ids binary")
+                    yield pa.RecordBatch.from_arrays([pa.array([key for key, _ in own], batch.column(0).type), pa.array(_by_text(ids, each, [len(found) for _, found in own]), pa.binary())], names=["key", "ids"])
+
+    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, ids binary")
+
+
+def _by_text(ids: np.ndarray, each: np.ndarray, words: list[int]) -> list[bytes]:
+    """The ids of each of some texts as 16-bit numbers: how many ids each word has, and words each text."""
+    ends = np.append(0, np.cumsum(each)[np.cumsum(words) - 1]).tolist()
+    ids = ids.astype("<u2")
+    return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
+
+def in_pieces(texts: DataFrame) -> DataFrame:
+    """(tie, place, ids): texts' ids (key, ids) in pieces of up to PIECE windows with what these need before and after.
+
+    Windows overlap and hold inputs and targets, so a row for each would hold most ids more than twice; pieces hold them little more than once. Rows that are equal in key and text
+    differ in tie if they are read together.
+    """
+    before = WINDOW - SCORED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            copies: Counter = Counter()
+            for rows in by_bytes(list(range(batch.num_rows)), pc.binary_length(batch.column(1)).to_pylist(), CHUNK):
+                tie, place, cut = [], [], []
+                some = batch.slice(rows[0], len(rows))
+                for key, ids in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    ids = np.frombuffer(ids, "<u2")
+                    windows = -(-len(ids) // SCORED)
+                    line = np.full(before + SCORED * windows + 1, NONE, "<u2")
+                    line[before], line[before + 1 : before + 1 + len(ids)] = FIRST, ids
+                    for at in range(0, windows, PIECE):
+                        tie.append(fold(key) << 24 | copies[key])
+                        place.append(at)
+                        cut.append(line[SCORED * at : SCORED * min(at + PIECE, windows) + before + 1].tobytes())
+                    copies[key] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(tie, pa.int64()), pa.array(place, pa.int64()), pa.array(cut, pa.binary())], names=["tie", "place", "ids"])
+
+    return texts.select("key", "ids").mapInArrow(run, "tie long, place long, ids binary")
+
+
+def training_pieces(docs: DataFrame, model: Model, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
+    """(tie, place, ids): the training texts of docs (key, text) in pieces."""
+    return in_pieces(training_ids(docs, model.path, folds, held_out))
 
 
 def piece_windows(model: Model, piece: bytes) -> np.ndarray:
@@ -456,14 +531,9 @@ class Trainer:
 
     def __init__(self, model: Model, shard: int) -> None:
         self.own, self.shard, self.step, self.seen, self.turns = Model(model.path, model.ranks, model.bounds, model.rest), shard, 0, 0, 0
-        self.own.weights = dict(model.weights)
-        self.x = self.own.vector()
+        self.x = model.vector()
+        self.own.view(self.x)
         self.m, self.v, self.g, self.room = np.zeros_like(self.x), np.zeros_like(self.x), np.empty_like(self.x), np.empty_like(self.x)
-        at = 0
-        for name in sorted(self.own.weights):
-            value = self.own.weights[name]
-            self.own.weights[name] = self.x[at : at + value.size].reshape(value.shape)
-            at += value.size
 
     def block(self, rows: np.ndarray, rate: Callable[[int], float]) -> None:
         """Trains on windows in an order that is drawn, STEP at a time. Pieces come whole, so their windows would stand together else."""
@@ -472,23 +542,23 @@ class Trainer:
         for at in range(0, len(rows), STEP):
             some = rows[at : at + STEP].astype(np.int64)
             target = some[:, WINDOW:].ravel()
-            g = self.own.gradients(some[:, :WINDOW], target, target != NONE)
-            np.concatenate([g[name].ravel() for name in sorted(g)], out=self.g)
+            g = self.own.slopes(some[:, :WINDOW], target, target != NONE)
+            np.concatenate([*(g[name].ravel() for name in _APART), g["read"].ravel()], out=self.g)
             self.step, self.seen = self.step + 1, self.seen + len(some)
             self.adam(rate(self.step))
 
     def adam(self, rate: float) -> None:
-        m, v, g, room = self.m, self.v, self.g, self.room
+        """One step. m is ten and v a hundred times the running means of gradients and their squares, which saves their scaling."""
+        m, v, g, room, bias = self.m, self.v, self.g, self.room, math.sqrt(0.01 / (1 - 0.99**self.step))
         m *= 0.9
-        m += np.multiply(g, 0.1, out=room)
+        m += g
         g *= g
         v *= 0.99
-        v += np.multiply(g, 0.01, out=g)
+        v += g
         np.sqrt(v, out=room)
-        room *= 1 / math.sqrt(1 - 0.99**self.step)
-        room += 1e-7
+        room += 1e-7 / bias
         np.divide(m, room, out=room)
-        room *= rate / (1 - 0.9**self.step)
+        room *= rate * 0.1 / (1 - 0.9**self.step) / bias
         self.x -= room
 
 
@@ -547,14 +617,13 @@ def trained(model: Model, pieces: DataFrame, count: int, passes: int = PASSES, r
     return model
 
 
-def fitted(docs: DataFrame, words: DataFrame, path: str, passes: int = PASSES) -> Model:
-    """A model of all texts of docs (key, text) that are not held out; words are their counts."""
+def fitted(docs: DataFrame, words: DataFrame, path: str, passes: int = PASSES, texts: DataFrame | None = None) -> Model:
+    """A model of all texts of docs (key, text) that are not held out; words are their counts. texts: the ids of these texts (key, ids), if they are known."""
     pairs = materialize(followers(words, path), "lm-pairs")
     model = started(pairs, path)
     ids = pairs.agg(F.sum("n")).first()[0] or 0
-    model = trained(model, training_pieces(docs, model), ids // SCORED, passes)
     discard(pairs)
-    return model
+    return trained(model, training_pieces(docs, model) if texts is None else in_pieces(texts), ids // SCORED, passes)
 
 
 def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, common: int = COMMON, passes: int = PASSES) -> DataFrame:
@@ -563,22 +632,22 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
     A null text is empty and has its end alone. A null key is the empty text in the checksum. Repeated rows are scored each. Texts of any length are
     scored whole, each id once, from the window where it has at least WINDOW - SCORED ids before it. Counts of words that many texts hold are
     sent to the tasks, `common` of them at most; the rest are joined. Other columns are not read. Without training texts all ids are alike.
-    All training texts are trained on, whole.
+    All training texts are trained on, whole. A text's ids are found once, for training and for its score.
     """
     path = path or vocabulary_path()
     docs = null_safe(docs, key, text).toDF("key", "text")
     words = materialize(training_words(docs), "lm-words")
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    model = fitted(docs, words, path, passes)
     least = _least_common(words, common)
     often = words.filter(F.col("n") >= least).toArrow()
     often = dict(zip(often["word"].to_pylist(), zip(range(len(often)), often["n"].to_pylist())))
     counts = np.array([c for _, c in often.values()] or [0], np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast((model, {w: i for w, (i, _) in often.items()}, counts))
+    context, kind = docs.sparkSession.sparkContext, docs.schema["key"].dataType.simpleString()
+    common_words = context.broadcast(({w: i for w, (i, _) in often.items()}, counts))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, places, count = sent.value
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, count = common_words.value
         code = Pieces(path, places)
         log = np.append(np.log10(count + 1.0), 0)
         seen = np.append(count > 0, False)
@@ -596,14 +665,26 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys, batch.column(0).type), pa.array([fold(k) % FOLDS == HELD_OUT for k in keys]), pa.array(size.astype(np.int64)), pa.array(np.add.reduceat(seen[at].astype(np.int64), cut)),
-                        pa.array(np.add.reduceat(log[at], cut)), pa.array(log10_probability(model, ids, np.add.reduceat(each, cut))), pa.array(rare, pa.list_(pa.binary())),
+                        pa.array(np.add.reduceat(log[at], cut)), pa.array(rare, pa.list_(pa.binary())), pa.array(_by_text(ids, each, size.tolist()), pa.binary()),
                     ],
-                    names=["key", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
+                    names=["key", "held_out", "n_tokens", "n_known", "base", "rare", "ids"],
                 )
 
-    kind = docs.schema["key"].dataType.simpleString()
-    rows = docs.mapInArrow(run, f"key {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>")
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
+    form = f"key {kind}, held_out boolean, n_tokens long, n_known long, base double, rare array<binary>"
+    texts = materialize(docs.mapInArrow(read, f"{form}, ids binary"), "lm-texts")
+    model = context.broadcast(fitted(docs, words, path, passes, texts.filter("not held_out")))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("ids")
+            for rows in by_bytes(list(range(batch.num_rows)), pc.binary_length(batch.column(at)).to_pylist(), CHUNK):
+                some = batch.slice(rows[0], len(rows))
+                ids = [np.frombuffer(x, "<u2") for x in some.column(at).to_pylist()]
+                found = log10_probability(model.value, np.concatenate(ids).astype(np.int64), np.array([len(x) for x in ids]))
+                yield pa.RecordBatch.from_arrays([*some.columns[:at], pa.array(found)], names=[*some.schema.names[:at], "score"])
+
+    rows = materialize(texts.mapInArrow(score, f"{form}, score double").withColumn("row", F.monotonically_increasing_id()), "lm-scores")
+    discard(texts)
     rare = rows.select("row", F.explode("rare").alias("word")).join(words.filter(F.col("n") < least), "word")
     rare = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("logs"))
     base = F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))

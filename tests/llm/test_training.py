@@ -41,3 +41,16 @@ def test_rows_equal_in_key_and_text_are_dealt_to_many_shards(spark):
     path = lm.vocabulary_path()
     model = lm.started(lm.followers(lm.training_words(docs), path), path)
     assert lm.training_pieces(docs, model).select("tie", "place").distinct().count() == 64
+
+
+def test_texts_are_encoded_once_for_training_and_scores(spark, monkeypatch):
+    """Training and scoring each split and encoded all texts."""
+    docs, read, write = spark.createDataFrame([(i, f"word{i} and others") for i in range(20)], "doc_id long, text string"), [], lm.materialize
+
+    def noted(df, name):
+        if "text#" in df._jdf.queryExecution().optimizedPlan().toString():
+            read.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(lm, "materialize", noted)
+    assert lm.scores(docs).count() == 20 and read == ["lm-words", "lm-texts"]
