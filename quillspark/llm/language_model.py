@@ -506,12 +506,19 @@ def training_pieces(docs: DataFrame, model: Model, folds: int = FOLDS, held_out:
     return in_pieces(training_ids(docs, model.path, folds, held_out))
 
 
-def piece_windows(model: Model, piece: bytes) -> np.ndarray:
-    """Windows of a piece: input rows of each and then the ids of its targets (NONE: none)."""
-    line = np.frombuffer(piece, "<u2").astype(np.int64)
-    inputs = np.where((line == NONE) | (line == END), PAD, np.where(line == FIRST, START, line))
-    start = np.arange(0, len(line) - WINDOW, SCORED)[:, None]
-    return np.concatenate([model.inputs(inputs)[start + np.arange(WINDOW)], line[start + np.arange(WINDOW - SCORED + 1, WINDOW + 1)]], 1).astype("<u2")
+def _windows_in(piece: bytes) -> int:
+    return (len(piece) // 2 - (WINDOW - SCORED) - 1) // SCORED
+
+
+def piece_windows(model: Model, *pieces: bytes) -> np.ndarray:
+    """Windows of pieces: input rows of each and then the ids of its targets (NONE: none)."""
+    line = np.frombuffer(b"".join(pieces), "<u2")
+    rows = np.full(1 << 16, model.known + 2, "<u2")  # as inputs, NONE and END are padding
+    rows[:END], rows[FIRST] = model.rank_of[:END], model.known + 1
+    size, count = np.array([len(p) // 2 for p in pieces]), np.array([_windows_in(p) for p in pieces])
+    start = np.repeat(np.cumsum(size) - size - SCORED * (np.cumsum(count) - count), count) + SCORED * np.arange(count.sum())
+    start = start[:, None]
+    return np.concatenate([rows[line][start + np.arange(WINDOW)], line[start + np.arange(WINDOW - SCORED + 1, WINDOW + 1)]], 1)
 
 
 def training_windows(docs: DataFrame, model: Model, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
@@ -582,7 +589,7 @@ def trained(model: Model, pieces: DataFrame, count: int, passes: int = PASSES, r
             def train() -> None:
                 nonlocal size
                 if held:
-                    own.block(np.concatenate(held), now)
+                    own.block(piece_windows(own.own, *held), now)
                     held.clear()
                     size = 0
 
@@ -597,8 +604,8 @@ def trained(model: Model, pieces: DataFrame, count: int, passes: int = PASSES, r
                         if own is not None:
                             end()
                         own = Trainer(sent.value, s)
-                    held.append(piece_windows(own.own, piece))
-                    size += len(held[-1])
+                    held.append(piece)
+                    size += _windows_in(piece)
                     if size >= 2 * SHARD_WINDOWS:
                         train()
             if own is not None:

@@ -1,6 +1,7 @@
 """The language model learns from whole training texts."""
 
 import numpy as np
+import pytest
 
 from quillspark.llm import language_model as lm
 
@@ -54,3 +55,34 @@ def test_texts_are_encoded_once_for_training_and_scores(spark, monkeypatch):
 
     monkeypatch.setattr(lm, "materialize", noted)
     assert lm.scores(docs).count() == 20 and read == ["lm-words", "lm-texts"]
+
+
+@pytest.mark.parametrize("spread", [1, 300])
+def test_small_softmaxes_at_once_are_each_by_itself(spread):
+    """Also where rows are out of reach of the largest number."""
+    rng = np.random.default_rng(9)
+    h, read = rng.normal(0, 1, (12, 5)) * np.linspace(1, spread, 12)[:, None], rng.normal(0, 1, (9, 5))
+    parts = [(0, 12, 0, 3), (0, 5, 3, 7), (8, 12, 7, 9)]
+    right = np.concatenate([rng.integers(lo, hi, b - a) for a, b, lo, hi in parts])
+    views, share = lm._less_the_right(h.astype(np.float32), read.astype(np.float32), parts, right)
+    at = 0
+    for (a, b, lo, hi), view in zip(parts, views):
+        z = h[a:b] @ read[lo:hi].T
+        want = np.exp(z - z.max(1, keepdims=True))
+        want /= want.sum(1, keepdims=True)
+        want[np.arange(b - a), right[at : at + b - a] - lo] -= 1
+        assert np.allclose(view * share[at : at + b - a, None], want, atol=2e-4)
+        at += b - a
+
+
+def test_windows_of_many_pieces_are_those_of_each():
+    model = lm.Model("", np.arange(100, 140), np.array([0, 40]), np.zeros(lm.END + 1, np.float32))
+    rng, before = np.random.default_rng(2), lm.WINDOW - lm.SCORED
+    pieces = []
+    for n in (1, 3, lm.PIECE):
+        line = rng.integers(90, 150, before + lm.SCORED * n + 1).astype("<u2")
+        line[:before], line[before], line[-1] = lm.NONE, lm.FIRST, lm.END
+        pieces.append(line.tobytes())
+    got = lm.piece_windows(model, *pieces)
+    assert (got == np.concatenate([lm.piece_windows(model, p) for p in pieces])).all() and len(got) == 4 + lm.PIECE
+    assert (got[0, : lm.WINDOW] == [42] * before + [41] + [x - 100 if 100 <= x < 140 else 40 for x in np.frombuffer(pieces[0], "<u2")[before + 1 : lm.WINDOW]]).all() and got[0, -1] == lm.END
